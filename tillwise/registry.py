@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tillwise import oracle as O
 from pyspark.sql import functions as F
 
-from tillwise.operators import catalog, sales
+from tillwise.operators import billing, catalog, ledger, sales
+from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables
 
 # --- fixed values: fixture parameters ---------------------------------------
@@ -59,6 +60,26 @@ QUERIES = {
     "recent_orders": (lambda t: sales.recent_orders(t, 5), O.recent_orders),
     "receipts": (lambda t: sales.receipts(t), O.receipts),
     "clearance_candidates": (lambda t: sales.clearance_candidates(t, AS_OF), O.clearance_candidates),
+    # 2.9 billing
+    "parse_carts": (lambda t: billing.parse_carts(D.cart_json(t)), O.parse_carts),
+    "price_carts": (lambda t: billing.price_carts(t, D.cart_lines(t), D.cart_headers(t)), O.price_carts),
+    "validate_carts": (lambda t: billing.validate_carts(t, D.cart_lines(t), D.cart_headers(t), AS_OF),
+                       O.validate_carts),
+    "discount_for_order": (lambda t: billing.discount_for_order(t, AS_OF), O.discount_for_order),
+    "apply_restocks": (lambda t: billing.apply_restocks(t, D.restock_requests(t, AS_OF)), O.apply_restocks),
+    # ledger, windows, alerts
+    "stock_ledger": (lambda t: ledger.stock_ledger(t, AS_OF), O.stock_ledger),
+    "running_stock": (lambda t: ledger.running_stock(t, AS_OF), O.running_stock),
+    "low_stock_alerts": (lambda t: ledger.low_stock_alerts(t, AS_OF), O.low_stock_alerts),
+    "expiry_warnings": (lambda t: ledger.expiry_warnings(t, AS_OF), O.expiry_warnings),
+    "all_alerts": (lambda t: ledger.all_alerts(t, AS_OF), O.all_alerts),
+    "alerts_feed": (lambda t: ledger.alerts_feed(t, AS_OF, 50), O.alerts_feed),
+    "unread_alerts": (lambda t: ledger.unread_alerts(t, AS_OF, 20), O.unread_alerts),
+    "apply_alert_reads": (lambda t: ledger.apply_alert_reads(t, AS_OF, ledger.manager_reads(t, AS_OF)),
+                          O.apply_alert_reads),
+    "stock_log_feed": (lambda t: ledger.stock_log_feed(t, AS_OF, n=100), O.stock_log_feed),
+    "ledger_reconcile": (lambda t: ledger.ledger_reconcile(t, AS_OF), O.ledger_reconcile),
+    "blocked_lines": (lambda t: ledger.blocked_lines(t, AS_OF), O.blocked_lines),
 }
 
 

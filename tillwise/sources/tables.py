@@ -76,6 +76,13 @@ def money(c: Column) -> Column:
     return c.cast(MONEY)
 
 
+def ntz(value: dt.datetime | dt.date) -> Column:
+    """A TIMESTAMP_NTZ literal (wall-clock time, no zone conversion)."""
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, dt.time())
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 class Tables:
     """Lazy bundle of source DataFrames for one data directory."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillwise import oracle as O
 from pyspark.sql import functions as F
 
-from tillwise.operators import billing, catalog, ledger, sales
+from tillwise.operators import billing, catalog, changes, ledger, quality, sales
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables
 
@@ -80,6 +80,13 @@ QUERIES = {
     "stock_log_feed": (lambda t: ledger.stock_log_feed(t, AS_OF, n=100), O.stock_log_feed),
     "ledger_reconcile": (lambda t: ledger.ledger_reconcile(t, AS_OF), O.ledger_reconcile),
     "blocked_lines": (lambda t: ledger.blocked_lines(t, AS_OF), O.blocked_lines),
+    # change feeds, insert-if-absent, data quality
+    "apply_product_changes": (lambda t: changes.apply_product_changes(t, D.product_changes(t, AS_OF)),
+                              O.apply_product_changes),
+    "register_customers": (lambda t: changes.register_customers(t, D.registration_requests(t)),
+                           O.register_customers),
+    "insert_ignore": (changes.insert_categories, O.insert_ignore),
+    "data_quality": (lambda t: quality.data_quality(t, AS_OF), O.data_quality),
 }
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,25 +51,33 @@ def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str =
         "payment_mode")
 
 
-def line_checks(t: Tables, lines: DataFrame, as_of: dt.date, stock: DataFrame | None = None) -> DataFrame:
+def line_checks(t: Tables, lines: DataFrame, as_of, check_stock: bool = True) -> DataFrame:
     """Per cart line, the first failing check: unknown product, expired,
-    short stock (against ``stock`` or the shelf ``stock_qty``)."""
-    p = t.product.select("product_id", "expiry_date", "stock_qty")
-    if stock is not None:
-        p = p.drop("stock_qty").join(stock, "product_id", "left")
-    j = lines.join(p.withColumn("_known", F.lit(True)), "product_id", "left")
+    short stock against the shelf ``stock_qty``.  ``as_of`` is a date, or a
+    column (e.g. each order's own date) present on ``lines``."""
+    p = t.product.select("product_id", "expiry_date", "stock_qty").withColumn("_known", F.lit(True))
+    j = lines.join(p, "product_id", "left")
+    ref = as_of if isinstance(as_of, Column) else F.lit(as_of)
     reason = (F.when(F.col("_known").isNull(), "unknown_product")
-               .when(F.col("expiry_date") < F.lit(as_of), "expired")
-               .when(F.coalesce(F.col("stock_qty"), F.lit(0)) < F.col("qty"), "short_stock"))
+               .when(F.col("expiry_date") < ref, "expired"))
+    if check_stock:
+        reason = reason.when(F.coalesce(F.col("stock_qty"), F.lit(0)) < F.col("qty"), "short_stock")
     return j.withColumn("line_reason", reason)
 
 
-def validate_carts(t: Tables, lines: DataFrame, headers: DataFrame, as_of: dt.date) -> DataFrame:
+def validate_carts(t: Tables, lines: DataFrame, headers: DataFrame, as_of: dt.date | None,
+                   check_stock: bool = True) -> DataFrame:
     """Validate each cart alone; the first failing reason wins: missing
-    input, no such customer, then the first bad line in cart order."""
+    input, no such customer, then the first bad line in cart order.
+    ``as_of=None`` checks expiry against each order's own date."""
     customers = t.app_user.filter(F.col("role") == "customer").select(
         F.col("user_id").alias("customer_id"), F.lit(True).alias("_cust"))
-    bad = (line_checks(t, lines, as_of).filter(F.col("line_reason").isNotNull())
+    if as_of is None:
+        lines = lines.join(headers.select("order_id", F.to_date("order_date").alias("_day")), "order_id")
+        ref = F.col("_day")
+    else:
+        ref = as_of
+    bad = (line_checks(t, lines, ref, check_stock).filter(F.col("line_reason").isNotNull())
            .groupBy("order_id")
            .agg(F.min_by(F.struct(F.col("line_reason").alias("r"), F.col("product_id").alias("p")),
                          F.col("pos")).alias("first_bad")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillwise import oracle as O
 from pyspark.sql import functions as F
 
-from tillwise.operators import billing, catalog, changes, ledger, quality, sales
+from tillwise.operators import admission, billing, catalog, changes, ledger, quality, sales
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables
 
@@ -87,6 +87,8 @@ QUERIES = {
                            O.register_customers),
     "insert_ignore": (changes.insert_categories, O.insert_ignore),
     "data_quality": (lambda t: quality.data_quality(t, AS_OF), O.data_quality),
+    # B-3: iterative fixpoint, checked against a sequential replay in tests
+    "bill_batch": (lambda t: admission.bill_fixture_batch(t, AS_OF), None),
 }
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillwise.operators import admission, billing, catalog, changes, ledger, quality, sales
 from tillwise.sources import derived as D
+from tillwise.streaming import reports as ST
 from tillwise.sources.tables import Tables
 
 # --- fixed values: fixture parameters ---------------------------------------
@@ -89,6 +90,10 @@ QUERIES = {
     "data_quality": (lambda t: quality.data_quality(t, AS_OF), O.data_quality),
     # B-3: iterative fixpoint, checked against a sequential replay in tests
     "bill_batch": (lambda t: admission.bill_fixture_batch(t, AS_OF), None),
+    # 2.11 streaming re-aims (stream result == batch result)
+    "stream_daily_sales": (ST.stream_daily_sales, O.stream_daily_sales),
+    "stream_low_stock": (lambda t: ST.stream_low_stock(t, AS_OF), O.stream_low_stock),
+    "stream_category_revenue": (ST.stream_category_revenue, O.stream_category_revenue),
 }
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,31 +72,40 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("line_no", T.IntegerType()),
     T.StructField("created_at", T.TimestampNTZType()),
     T.StructField("stock_after", T.LongType()),
-    T.StructField("name", T.StringType()),
     T.StructField("reorder_level", T.IntegerType()),
 ])
 STOCK_STATE = T.StructType([T.StructField("stock", T.LongType())])
-_SORT = ["log_time", "kind", "reference_id", "line_no", "change_qty"]
 
 
 def _crossings(key, batches, state):
     """Per product and micro-batch: advance the running stock in ledger
     order, emit rows whose update crosses down to the reorder level."""
     stock = state.get[0] if state.exists else 0
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.sort_values(_SORT, na_position="first", kind="mergesort")
-    after = stock + rows["change_qty"].astype("int64").cumsum()
-    before = after - rows["change_qty"].astype("int64")
-    hit = (rows["kind"] > 0) & (after <= rows["reorder_level"]) & (before > rows["reorder_level"])
-    state.update((int(after.iloc[-1]),))
-    out = rows.loc[hit, ["product_id", "reference_id", "line_no", "log_time", "name", "reorder_level"]]
-    out = out.assign(stock_after=after[hit].values,
-                     reference_id=out["reference_id"].astype("Int64")).rename(columns={"log_time": "created_at"})
-    yield out[[f.name for f in ALERT_SCHEMA.fields]]
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    ref = rows["reference_id"].to_numpy(dtype="float64", na_value=-1.0)
+    order = np.lexsort((rows["change_qty"].to_numpy(), rows["line_no"].to_numpy(), ref,
+                        rows["kind"].to_numpy(), rows["log_time"].to_numpy()))
+    change = rows["change_qty"].to_numpy(dtype="int64")[order]
+    after = stock + np.cumsum(change)
+    state.update((int(after[-1]),))
+    level = rows["reorder_level"].to_numpy(dtype="int64")[order]
+    hit = (rows["kind"].to_numpy()[order] > 0) & (after <= level) & (after - change > level)
+    if not hit.any():
+        return
+    sel = order[hit]
+    yield pd.DataFrame({
+        "product_id": rows["product_id"].to_numpy()[sel],
+        "reference_id": pd.array(np.where(ref[sel] < 0, pd.NA, ref[sel]), dtype="Int64"),
+        "line_no": rows["line_no"].to_numpy()[sel],
+        "created_at": rows["log_time"].to_numpy()[sel],
+        "stock_after": after[hit],
+        "reorder_level": level[hit],
+    })
 
 
 def low_stock_stream(t: Tables, ledger_rows: DataFrame) -> DataFrame:
-    p = t.product.select("product_id", "name", "reorder_level")
+    p = t.product.select("product_id", "reorder_level")
     return (ledger_rows.join(p, "product_id")
             .groupBy("product_id")
             .applyInPandasWithState(_crossings, ALERT_SCHEMA, STOCK_STATE, "append",
@@ -110,7 +120,8 @@ def stream_low_stock(t: Tables, as_of: dt.date) -> DataFrame:
     run_as_feed(spark, src, "log_time",
                 lambda s: low_stock_stream(t, s).writeStream.outputMode("append")
                 .foreachBatch(batch_sink(sink)), "lowstock")
-    a = spark.read.parquet(sink).drop("batch_id")
+    names = t.product.select("product_id", "name")
+    a = spark.read.parquet(sink).drop("batch_id").join(names, "product_id")
     msg = F.concat(F.lit('Low stock alert: "'), F.col("name"), F.lit('" has only '),
                    F.col("stock_after").cast("string"), F.lit(" units left. Reorder level: "),
                    F.col("reorder_level").cast("string"))

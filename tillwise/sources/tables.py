@@ -94,8 +94,22 @@ class Tables:
     def from_dir(cls, spark: SparkSession, root: str) -> "Tables":
         return cls(spark, root)
 
+    @classmethod
+    def from_frames(cls, spark: SparkSession, root: str | None = None, raw: dict | None = None,
+                    **frames: DataFrame) -> "Tables":
+        """A bundle whose retail tables (and optionally raw tables) are given
+        DataFrames, e.g. inline fixtures in tests; the rest derive as usual."""
+        t = cls(spark, root or "")
+        t._raw_overrides = dict(raw or {})
+        for name, df in frames.items():
+            t.__dict__[name] = df  # pre-fills the cached_property slot
+        return t
+
     # -- raw driver tables ---------------------------------------------------
     def raw(self, name: str) -> DataFrame:
+        overrides = getattr(self, "_raw_overrides", {})
+        if name in overrides:
+            return overrides[name]
         path = os.path.join(self.root, f"{name}.parquet")
         schema = RAW_SCHEMAS.get(name)
         reader = self.spark.read

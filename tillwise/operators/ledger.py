@@ -92,6 +92,12 @@ def all_alerts(t: Tables, as_of: dt.date) -> DataFrame:
                     is_read.alias("is_read"), S.alert_severity(F.col("type")).alias("severity"))
 
 
+def alert_severity(t: Tables, as_of: dt.date) -> DataFrame:
+    """Display severity of every alert (warn / danger / info)."""
+    return all_alerts(t, as_of).select("type", "product_id", "reference_id", "line_no", "created_at",
+                                       "severity")
+
+
 def _alert_order():
     return [F.col("created_at").desc(), F.col("type"), F.col("product_id"),
             F.col("reference_id").asc_nulls_first(), F.col("line_no"), F.col("message")]

@@ -74,6 +74,7 @@ QUERIES = {
     "low_stock_alerts": (lambda t: ledger.low_stock_alerts(t, AS_OF), O.low_stock_alerts),
     "expiry_warnings": (lambda t: ledger.expiry_warnings(t, AS_OF), O.expiry_warnings),
     "all_alerts": (lambda t: ledger.all_alerts(t, AS_OF), O.all_alerts),
+    "alert_severity": (lambda t: ledger.alert_severity(t, AS_OF), O.alert_severity),
     "alerts_feed": (lambda t: ledger.alerts_feed(t, AS_OF, 50), O.alerts_feed),
     "unread_alerts": (lambda t: ledger.unread_alerts(t, AS_OF, 20), O.unread_alerts),
     "apply_alert_reads": (lambda t: ledger.apply_alert_reads(t, AS_OF, ledger.manager_reads(t, AS_OF)),

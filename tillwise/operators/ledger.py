@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions import scalar as S
 from tillwise.operators import billing
+from tillwise.plans.lookup import lookup_join
 from tillwise.plans.running import chunked_running_sum
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables, ntz
@@ -55,7 +56,8 @@ def running_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None) ->
     led = ledger if ledger is not None else stock_ledger(t, as_of)
     order = [F.col(c).asc_nulls_first() for c in LEDGER_ORDER]
     return chunked_running_sum(led, "product_id", F.to_date("log_time"), order,
-                               {"stock_after": F.col("change_qty").cast("bigint")})
+                               {"stock_after": F.col("change_qty").cast("bigint")},
+                               materialize=ledger is None)
 
 
 def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None) -> DataFrame:
@@ -141,7 +143,8 @@ def stock_log_feed(t: Tables, as_of: dt.date, product_id=None, n: int = 100) ->
     names = t.product.select("product_id", F.col("name").alias("product_name"))
     users = t.app_user.select(F.col("user_id").alias("performed_by"),
                               F.col("full_name").alias("performed_by_name"))
-    out = led.join(names, "product_id").join(users, "performed_by", "left")
+    out = lookup_join(led.join(names, "product_id"), "performed_by", users, "performed_by",
+                      ["performed_by_name"], how="left")
     return out.select(*LEDGER_COLS, "product_name", "performed_by_name").orderBy(
         F.col("log_time").desc(), "product_id", "kind", F.col("reference_id").asc_nulls_first(),
         "line_no", "change_qty").limit(n)

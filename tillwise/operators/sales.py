@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.functions import scalar as S
+from tillwise.plans.lookup import lookup_join
 from tillwise.sources.tables import MONEY, Tables
 
 SUM_MONEY = T.DecimalType(22, 2)
@@ -178,7 +179,8 @@ def _named_orders(t: Tables, o: DataFrame, phone: bool = False) -> DataFrame:
         cu_cols.append(F.col("phone_no").alias("customer_phone"))
     cu = u.select(*cu_cols)
     ca = u.select(F.col("user_id").alias("cashier_id"), F.col("full_name").alias("cashier_name"))
-    return o.join(cu, "customer_id").join(ca, "cashier_id")
+    # Few cashiers serve all orders: broadcast the used ones, no shuffle by cashier.
+    return lookup_join(o.join(cu, "customer_id"), "cashier_id", ca, "cashier_id", ["cashier_name"])
 
 
 ORDER_COLS = ["order_id", "customer_id", "cashier_id", "order_date", "subtotal", "discount",

@@ -2,10 +2,16 @@
 
 A plain ``sum().over(partitionBy(key).orderBy(seq))`` sends every row of a
 key to one task.  Here the key's sequence is cut into chunks (contiguous in
-the ordering, e.g. one calendar day): chunk totals are pre-aggregated
-(partial aggregation before the shuffle), turned into per-chunk offsets by a
-window over at most one row per chunk, and each chunk runs its own window.
-A key that holds a third of all rows is spread over all of its chunks.
+the ordering, e.g. one calendar day) and the rows are shuffled once by
+(key, chunk):
+
+* each (key, chunk) runs its own window (its running sum within the chunk),
+* chunk totals are aggregated per (key, chunk) and turned into offsets,
+* a window over at most one row per chunk turns totals into offsets, which
+  a join on (key, chunk) adds back.  The window output is already sorted by
+  (key, chunk), so a sort-merge join needs no further sort.
+
+A key holding a third of all rows is spread over all of its chunks.
 """
 
 from __future__ import annotations
@@ -15,29 +21,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.plans.lineage import cut_lineage
+
 
 def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
                         order: Sequence[Column], values: dict[str, Column],
-                        inclusive: bool = True) -> DataFrame:
+                        inclusive: bool = True, materialize: bool = False) -> DataFrame:
     """Add one running-sum column per ``values`` entry.
 
     ``chunk`` must be non-decreasing along ``order`` within a key (it is the
     leading part of the ordering).  ``inclusive`` includes the current row;
-    otherwise the sum covers strictly earlier rows.
+    otherwise the sum covers strictly earlier rows.  The input feeds two
+    branches (rows and chunk totals); ``materialize`` writes it once as a
+    reliable checkpoint first, for inputs that are expensive to recompute.
     """
     keys = [key] if isinstance(key, str) else list(key)
     d = df.withColumn("_chunk", chunk)
     for name, v in values.items():
         d = d.withColumn(f"_v_{name}", v)
-    totals = d.groupBy(*keys, "_chunk").agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    if materialize:
+        d = cut_lineage(d)
+    d = d.repartition(*keys, "_chunk")
+    upto = 0 if inclusive else -1
+    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    within = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)).alias(f"_w_{n}")
+                             for n in values])
+    totals = d.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", *[
         F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
-    upto = 0 if inclusive else -1
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    out = d.join(offsets, [*keys, "_chunk"])
+    out = within.join(offsets, [*keys, "_chunk"])
     for n in values:
-        out = out.withColumn(n, (F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0))))
-    drop = ["_chunk"] + [f"_v_{n}" for n in values] + [f"_t_{n}" for n in values] + [f"_o_{n}" for n in values]
-    return out.drop(*[c for c in drop if c in out.columns])
+        out = out.withColumn(n, F.col(f"_o_{n}") + F.col(f"_w_{n}"))
+    drop = ["_chunk"] + [f"_{p}_{n}" for p in "vwo" for n in values]
+    return out.drop(*drop)

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from tillwise.operators import billing
 from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.running import chunked_running_sum
-from tillwise.session import scratch_path
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables
 
@@ -66,9 +65,10 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
     work = (lines.select("order_id", "product_id", "qty")
             .join(ok, "order_id", "left_semi")
             .join(headers.select("order_id", "order_date"), "order_id"))
-    work = supply_per_line(work, opening, restocks).withColumn("state", F.lit("U"))
+    work = (supply_per_line(work, opening, restocks)
+            .withColumn("state", F.lit("U")).withColumn("decided_round", F.lit(None).cast("int")))
     work = cut_lineage(work)
-    out_dir = scratch_path(spark, "admission")
+    retired = []  # lines whose product has nothing undecided left: final states
     rnd = 0
     while True:
         rnd += 1
@@ -81,23 +81,31 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
             F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("fits_all"),
             F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("fails_one"))
             .select("order_id", F.when(F.col("fits_all"), "A").when(F.col("fails_one"), "R").alias("new")))
-        work = work.join(verdict, "order_id", "left").withColumn(
-            "state", F.when((F.col("state") == "U") & F.col("new").isNotNull(), F.col("new"))
-                      .otherwise(F.col("state")))
+        decided_now = (F.col("state") == "U") & F.col("new").isNotNull()
+        work = (work.join(verdict, "order_id", "left")
+                .withColumn("decided_round", F.when(decided_now, F.lit(rnd)).otherwise(F.col("decided_round")))
+                .withColumn("state", F.when(decided_now, F.col("new")).otherwise(F.col("state")))
+                .drop("new"))
         work = cut_lineage(work)
-        (work.filter(F.col("new").isNotNull()).select("order_id", "new").distinct()
-         .select("order_id",
-                 F.when(F.col("new") == "A", "accepted").otherwise("rejected").alias("decision"),
-                 F.when(F.col("new") == "R", "short_stock").alias("reason"),
-                 F.lit(rnd).alias("decided_round"))
-         .write.mode("append").parquet(out_dir))
         open_products = work.filter(F.col("state") == "U").select("product_id").distinct()
         if open_products.isEmpty() or (max_rounds and rnd >= max_rounds):
+            retired.append(work)
             break
-        work = (work.drop("new").filter(F.col("state") != "R")
-                .join(open_products, "product_id", "left_semi"))
-    decided = spark.read.parquet(out_dir).unionByName(static_rej)
-    return decided.select(*DECISION_COLS)
+        flagged = work.join(open_products.withColumn("_open", F.lit(True)), "product_id", "left")
+        leaving = F.col("_open").isNull() | (F.col("state") == "R")
+        retired.append(flagged.filter(leaving).drop("_open"))
+        work = flagged.filter(~leaving).drop("_open")
+    lines_final = retired[0]
+    for r in retired[1:]:
+        lines_final = lines_final.unionByName(r)
+    decided = (lines_final.filter(F.col("state") != "U")
+               .groupBy("order_id").agg(F.first("state").alias("state"),
+                                        F.first("decided_round").alias("decided_round"))
+               .select("order_id",
+                       F.when(F.col("state") == "A", "accepted").otherwise("rejected").alias("decision"),
+                       F.when(F.col("state") == "R", "short_stock").alias("reason"),
+                       "decided_round"))
+    return decided.unionByName(static_rej).select(*DECISION_COLS)
 
 
 def admitted_sales(t: Tables, decisions: DataFrame, lines: DataFrame, headers: DataFrame) -> DataFrame:

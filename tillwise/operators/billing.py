@@ -24,13 +24,17 @@ CART_SCHEMA = T.ArrayType(T.StructType([
 ]))
 
 
-def parse_carts(carts_json: DataFrame) -> DataFrame:
-    """JSON carts -> one row per item with its 0-based cart position."""
+def parse_carts(carts_json: DataFrame, piece_size: int = D.CART_PIECE) -> DataFrame:
+    """JSON cart pieces -> one row per item with its 0-based cart position
+    and the cart's item count (summed over pieces by an aggregate)."""
     parsed = carts_json.select(
-        "order_id", F.json_array_length("items_json").alias("n_items"),
-        F.posexplode(F.from_json("items_json", CART_SCHEMA)).alias("pos", "item"))
-    return parsed.select("order_id", "n_items", "pos",
-                         F.col("item.product_id").alias("product_id"), F.col("item.qty").alias("qty"))
+        "order_id", "piece",
+        F.posexplode(F.from_json("items_json", CART_SCHEMA)).alias("local_pos", "item"))
+    sizes = carts_json.groupBy("order_id").agg(
+        F.sum(F.json_array_length("items_json")).cast("int").alias("n_items"))
+    return parsed.join(sizes, "order_id").select(
+        "order_id", "n_items", (F.col("piece") * piece_size + F.col("local_pos")).cast("int").alias("pos"),
+        F.col("item.product_id").alias("product_id"), F.col("item.qty").alias("qty"))
 
 
 def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str = "0.18") -> DataFrame:

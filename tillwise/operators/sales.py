@@ -239,14 +239,6 @@ def receipts(t: Tables, order_ids: DataFrame | None = None) -> DataFrame:
         "line_no", "product_id", "product_name", "qty_sold", "unit_price", "line_total")
 
 
-def receipt_documents(t: Tables) -> DataFrame:
-    """Nested receipts: one row per order with its lines as an array."""
-    flat = receipts(t)
-    line = F.struct("line_no", "product_id", "product_name", "qty_sold", "unit_price", "line_total")
-    return flat.groupBy(*ORDER_COLS, "customer_name", "customer_phone", "cashier_name").agg(
-        F.sort_array(F.collect_list(line)).alias("lines"))
-
-
 def clearance_candidates(t: Tables, as_of: dt.date, days: int = 30, n: int | None = 50) -> DataFrame:
     """Active in-stock products with no sale in the last ``days`` days,
     earliest expiry first (no expiry first of all)."""

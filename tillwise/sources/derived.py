@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.plans.running import chunked_running_sum
 from tillwise.sources.tables import MONEY, Tables, ntz
 
 # --- fixed values: derived-input rules ---------------------------------------
@@ -31,17 +32,25 @@ def restock_count(as_of: dt.date) -> int:
     return (as_of - RESTOCK_EPOCH).days // RESTOCK_EVERY_DAYS
 
 
+# Carts are positioned and serialised in bounded pieces so that one huge
+# order never lands whole in one task.
+CART_RANK_BLOCK = 1024   # products per ranking chunk inside one (order, line)
+CART_PIECE = 1000        # items per JSON cart piece
+
+
 def cart_lines(t: Tables) -> DataFrame:
     """Cart lines: demand summed per (order, product); ``pos`` is the 0-based
     cart position, ordered by the product's first line number then id (line
-    numbers repeat within an order in the source).  Lines are clustered by
-    order once; the aggregate and the per-order window reuse that layout."""
-    w = Window.partitionBy("order_id").orderBy("first_line", "product_id")
-    return (t.order_items.repartition("order_id")
-            .groupBy("order_id", "product_id")
-            .agg(F.sum("qty_sold").cast("int").alias("qty"), F.min("line_no").alias("first_line"))
-            .select("order_id", "product_id", "qty",
-                    (F.row_number().over(w) - 1).cast("int").alias("pos")))
+    numbers repeat within an order in the source).  The position is a running
+    count chunked by (first line, product-id block), not a window over the
+    whole order."""
+    agg = (t.order_items.groupBy("order_id", "product_id")
+           .agg(F.sum("qty_sold").cast("int").alias("qty"), F.min("line_no").alias("first_line")))
+    chunk = F.struct(F.col("first_line"), F.floor(F.col("product_id") / CART_RANK_BLOCK))
+    ranked = chunked_running_sum(agg, "order_id", chunk, [F.col("first_line"), F.col("product_id")],
+                                 {"_before": F.lit(1).cast("bigint")}, inclusive=False)
+    return ranked.select("order_id", "product_id", "qty", "first_line",
+                         F.col("_before").cast("int").alias("pos"))
 
 
 def cart_headers(t: Tables) -> DataFrame:
@@ -50,11 +59,12 @@ def cart_headers(t: Tables) -> DataFrame:
 
 
 def cart_json(t: Tables) -> DataFrame:
-    """One JSON cart per order: ``[{"product_id":1,"qty":2}, ...]`` in cart
-    position order (the checkout procedure's argument)."""
-    lines = cart_lines(t)
+    """JSON carts in the checkout argument's format
+    ``[{"product_id":1,"qty":2}, ...]``, in cart order, cut into pieces of
+    at most CART_PIECE items: one row per (order_id, piece)."""
+    lines = cart_lines(t).withColumn("piece", F.floor(F.col("pos") / CART_PIECE).cast("int"))
     items = F.sort_array(F.collect_list(F.struct("pos", "product_id", "qty")))
-    return lines.groupBy("order_id").agg(
+    return lines.groupBy("order_id", "piece").agg(
         F.to_json(F.transform(items, lambda x: F.struct(x["product_id"].alias("product_id"),
                                                         x["qty"].alias("qty")))).alias("items_json"))
 

@@ -166,3 +166,22 @@ def test_daily_watermark_drops_late_orders(spark):
     out = spark.read.parquet(sink)
     assert out.filter(F.col("customer_id") == 2).count() == 0      # dropped: older than watermark
     assert out.select("day").distinct().count() == 6
+
+
+def test_range_chunks_split_a_hot_key_day(spark):
+    from tillwise.plans.running import assign_range_chunks
+    # product 1 holds ~90 % of the rows, all at the same instant
+    rows = spark.range(0, 20000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id") % 7 + 2).otherwise(1).alias("product_id"),
+        F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("seq"), ((F.col("id") * 7919) % 13 - 6).alias("v"))
+    order = [F.col("ts"), F.col("seq")]
+    tagged = assign_range_chunks(rows, "product_id", order, partitions=8)
+    hot_chunks = tagged.filter("product_id = 1").select("_rchunk").distinct().count()
+    assert hot_chunks >= 4
+    got = chunked_running_sum(tagged, "product_id", F.col("_rchunk"), order, {"run": F.col("v")})
+    w = Window.partitionBy("product_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    want = rows.withColumn("run", F.sum("v").over(w))
+    cols = ["product_id", "seq", "run"]
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0
+    assert got.count() == want.count()

@@ -12,7 +12,7 @@ An order is accepted when every line fits even at ``upper`` and rejected when
 some line does not fit even at ``lower``.  Since lower <= truth <= upper the
 decisions equal the sequential replay; the earliest undecided order always has
 lower == upper, so every round decides at least one order (in practice a
-large share).  Prefix sums use the day-chunked running sum, each round's state
+large share).  Prefix sums use range-chunked running sums, each round's state
 is checkpointed under ``spark.checkpoint.dir`` (reliable, survives executor
 loss) and products with nothing undecided leave the working set.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tillwise.operators import billing
 from tillwise.plans.lineage import cut_lineage
-from tillwise.plans.running import chunked_running_sum
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables
 
@@ -44,8 +44,9 @@ def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame) -
                             F.col("request_ts").alias("_ts"), F.lit(1).alias("_kind"),
                             F.col("qty").alias("_add"))
     ev = ev_lines.unionByName(ev_rs)
-    run = chunked_running_sum(ev, "product_id", F.to_date("_ts"),
-                              [F.col("_ts"), F.col("_kind"), F.col("order_id").asc_nulls_first()],
+    order = [F.col("_ts"), F.col("_kind"), F.col("order_id").asc_nulls_first()]
+    ev = assign_range_chunks(ev, "product_id", order)
+    run = chunked_running_sum(ev, "product_id", F.col("_rchunk"), order,
                               {"_restocked": F.col("_add").cast("bigint")})
     return (run.filter(F.col("_kind") == 2).join(opening, "product_id", "left")
             .select("order_id", "product_id", "qty", "order_date",
@@ -67,14 +68,16 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
             .join(headers.select("order_id", "order_date"), "order_id"))
     work = (supply_per_line(work, opening, restocks)
             .withColumn("state", F.lit("U")).withColumn("decided_round", F.lit(None).cast("int")))
-    work = cut_lineage(work)
+    # Range chunks along (product, order time) are assigned once and kept:
+    # dropping decided lines later never breaks their contiguity.
+    seq = [F.col("order_date"), F.col("order_id")]
+    work = assign_range_chunks(work, "product_id", seq)
     retired = []  # lines whose product has nothing undecided left: final states
     rnd = 0
     while True:
         rnd += 1
         taken_a = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
-        sums = chunked_running_sum(work, "product_id", F.to_date("order_date"),
-                                   [F.col("order_date"), F.col("order_id")],
+        sums = chunked_running_sum(work, "product_id", F.col("_rchunk"), seq,
                                    {"lower": taken_a, "upper": F.col("qty").cast("bigint")},
                                    inclusive=False)
         verdict = (sums.filter(F.col("state") == "U").groupBy("order_id").agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tillwise.functions import scalar as S
 from tillwise.operators import billing
 from tillwise.plans.lookup import lookup_join
-from tillwise.plans.running import chunked_running_sum
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables, ntz
 
@@ -51,13 +51,16 @@ def stock_ledger(t: Tables, as_of: dt.date, sales: DataFrame | None = None) -> D
 
 
 def running_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None) -> DataFrame:
-    """Stock after every ledger row, per product in ledger order.  Chunked
-    by day so a hot product is spread over many tasks."""
+    """Stock after every ledger row, per product in ledger order.  The ledger
+    is cut into range chunks of the (product, ledger order) sequence, so a
+    hot product is spread over many tasks; the chunked ledger is written once
+    as a checkpoint and both branches of the running sum read it."""
     led = ledger if ledger is not None else stock_ledger(t, as_of)
     order = [F.col(c).asc_nulls_first() for c in LEDGER_ORDER]
-    return chunked_running_sum(led, "product_id", F.to_date("log_time"), order,
-                               {"stock_after": F.col("change_qty").cast("bigint")},
-                               materialize=ledger is None)
+    led = assign_range_chunks(led, "product_id", order)
+    out = chunked_running_sum(led, "product_id", F.col("_rchunk"), order,
+                              {"stock_after": F.col("change_qty").cast("bigint")})
+    return out.drop("_rchunk")
 
 
 def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None) -> DataFrame:

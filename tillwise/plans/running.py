@@ -11,7 +11,9 @@ the ordering, e.g. one calendar day) and the rows are shuffled once by
   a join on (key, chunk) adds back.  The window output is already sorted by
   (key, chunk), so a sort-merge join needs no further sort.
 
-A key holding a third of all rows is spread over all of its chunks.
+A key holding a third of all rows is spread over all of its chunks.  With
+:func:`assign_range_chunks` the chunks come from range partitioning of the
+full ordering, so even a single hot key-day is split evenly.
 """
 
 from __future__ import annotations
@@ -55,3 +57,22 @@ def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
         out = out.withColumn(n, F.col(f"_o_{n}") + F.col(f"_w_{n}"))
     drop = ["_chunk"] + [f"_{p}_{n}" for p in "vwo" for n in values]
     return out.drop(*drop)
+
+
+def assign_range_chunks(df: DataFrame, key: str | Sequence[str], order: Sequence[Column],
+                        name: str = "_rchunk", partitions: int | None = None) -> DataFrame:
+    """Tag rows with chunk ids that are contiguous along (key, order).
+
+    ``repartitionByRange`` samples the sort keys and cuts the total order
+    into ranges of similar size, so a key holding a third of all rows is
+    split across many ranges; the range's partition index is the chunk id.
+    The result is checkpointed, which fixes the ids: both branches of a
+    running sum (and every round of an iteration) see the same chunks.
+    Removing rows later never breaks contiguity.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order)
+              .withColumn(name, F.spark_partition_id()))
+    return cut_lineage(tagged)

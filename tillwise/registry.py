@@ -95,6 +95,7 @@ QUERIES = {
     "stream_daily_sales": (ST.stream_daily_sales, O.stream_daily_sales),
     "stream_low_stock": (lambda t: ST.stream_low_stock(t, AS_OF), O.stream_low_stock),
     "stream_category_revenue": (ST.stream_category_revenue, O.stream_category_revenue),
+    "stream_event_purchases": (ST.stream_event_purchases, O.stream_event_purchases),
 }
 
 

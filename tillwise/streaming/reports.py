@@ -149,3 +149,34 @@ def stream_category_revenue(t: Tables) -> DataFrame:
     last = latest_per_key(spark.read.parquet(sink), ["category_name"], ["units", "revenue"])
     return last.select("category_name", F.col("units").cast("bigint").alias("units"),
                        F.col("revenue").cast(SUM_MONEY).alias("revenue"))
+
+
+# -- ST-1 over the event log -------------------------------------------------------
+# --- fixed values: weekly replay slices of the event log ------------------------
+EVENT_BOUNDS = [dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 15), dt.datetime(2024, 1, 22)]
+
+
+def purchase_events_stream(events: DataFrame) -> DataFrame:
+    """Per (day, user): purchase events and their value in cents precision;
+    one-day tumbling windows on the event time with a one-day watermark."""
+    e = (events.filter(F.col("event_type") == "purchase")
+         .withColumn("_ts", F.col("ts").cast("timestamp"))
+         .withWatermark("_ts", WATERMARK))
+    return (e.groupBy(F.window("_ts", "1 day").alias("w"), "user_id")
+            .agg(F.count(F.lit(1)).alias("purchases"),
+                 F.sum(F.col("value").cast("decimal(12,2)")).alias("revenue"))
+            .select(F.to_date(F.col("w.start")).alias("day"), "user_id", "purchases", "revenue"))
+
+
+def stream_event_purchases(t: Tables) -> DataFrame:
+    spark = t.spark
+    src = t.events.select("event_id", "ts", "user_id", "event_type", "value")
+    sink = scratch_path_for(t, "purchases-sink")
+    run_as_feed(spark, src, "ts",
+                lambda s: purchase_events_stream(s).writeStream.outputMode("update")
+                .foreachBatch(batch_sink(sink)), "purchases", bounds=EVENT_BOUNDS)
+    per_user = latest_per_key(spark.read.parquet(sink), ["day", "user_id"], ["purchases", "revenue"])
+    return per_user.groupBy("day").agg(
+        F.sum("purchases").cast("bigint").alias("purchases"),
+        F.sum("revenue").cast(SUM_MONEY).alias("revenue"),
+        F.count(F.lit(1)).alias("unique_buyers"))

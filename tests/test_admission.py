@@ -67,3 +67,18 @@ def test_bill_batch_equals_sequential_replay(spark, sf):
     assert not diff, diff[:10]
     accepted = sum(1 for v in expected.values() if v[0] == "accepted")
     assert 0 < accepted < len(expected)
+
+
+def test_admitted_ledger_never_goes_negative(spark):
+    from pyspark.sql import functions as F
+
+    from tillwise.operators import ledger
+    t = Tables.from_dir(spark, "/root/testdata/sf0.001")
+    out = admission.bill_batch_outputs(t, dt.date(2001, 8, 1))
+    run = ledger.running_stock(t, dt.date(2001, 8, 1), out["ledger"])
+    assert run.filter(F.col("stock_after") < 0).count() == 0
+    sales = out["ledger"].filter(F.col("reason") == "sale").agg(F.sum("change_qty")).first()[0]
+    sold = out["items"].agg(F.sum("qty_sold")).first()[0]
+    assert sales == -sold
+    n_acc = out["orders"].count()
+    assert n_acc > 0 and n_acc + out["rejected"].count() == 1500

@@ -120,6 +120,27 @@ def admitted_sales(t: Tables, decisions: DataFrame, lines: DataFrame, headers: D
                     F.col("qty").alias("qty_sold"), "cashier_id", "order_date"))
 
 
+def bill_batch_outputs(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
+    """The checkout's four outputs for the whole batch: priced accepted
+    orders, their items at current prices, the stock ledger with the
+    admitted sales, and the rejected orders with reasons."""
+    from tillwise.operators import ledger as L
+    lines, heads = D.cart_lines(t), D.cart_headers(t)
+    decisions = bill_batch(t, lines, heads, D.opening_stock(t), billing.accepted_restocks(t, as_of))
+    accepted = decisions.filter(F.col("decision") == "accepted").select("order_id")
+    acc_lines = lines.join(accepted, "order_id", "left_semi")
+    price = t.product.select("product_id", F.col("price").alias("unit_price"))
+    items = acc_lines.join(price, "product_id").select(
+        "order_id", "product_id", F.col("pos").alias("line_no"), F.col("qty").alias("qty_sold"),
+        "unit_price", (F.col("unit_price") * F.col("qty")).cast("decimal(12,2)").alias("line_total"))
+    return {
+        "orders": billing.price_carts(t, acc_lines, heads),
+        "items": items,
+        "ledger": L.stock_ledger(t, as_of, sales=admitted_sales(t, decisions, lines, heads)),
+        "rejected": decisions.filter(F.col("decision") == "rejected"),
+    }
+
+
 def bill_fixture_batch(t: Tables, as_of: dt.date) -> DataFrame:
     """The registered batch: every order of the tables, opening stock
     p_size x 20 and the scheduled restocks."""

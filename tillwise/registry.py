@@ -91,6 +91,7 @@ QUERIES = {
     "data_quality": (lambda t: quality.data_quality(t, AS_OF), O.data_quality),
     # B-3: iterative fixpoint, checked against a sequential replay in tests
     "bill_batch": (lambda t: admission.bill_fixture_batch(t, AS_OF), None),
+    "admitted_ledger": (lambda t: admission.bill_batch_outputs(t, AS_OF)["ledger"], None),
     # 2.11 streaming re-aims (stream result == batch result)
     "stream_daily_sales": (ST.stream_daily_sales, O.stream_daily_sales),
     "stream_low_stock": (lambda t: ST.stream_low_stock(t, AS_OF), O.stream_low_stock),

@@ -58,7 +58,7 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
     """Decide every order: ``accepted`` or ``rejected`` with a reason.
     Stock-independent reasons (missing input, customer, unknown product,
     expired on the order date) come from :func:`billing.validate_carts`."""
-    spark = t.spark
+    lines = cut_lineage(lines)  # read by validation, the work set and the outputs
     static = billing.validate_carts(t, lines, headers, None, check_stock=False)
     static_rej = static.filter(F.col("status") == "rejected").select(
         "order_id", F.lit("rejected").alias("decision"), "reason", F.lit(0).alias("decided_round"))

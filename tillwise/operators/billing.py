@@ -81,15 +81,14 @@ def validate_carts(t: Tables, lines: DataFrame, headers: DataFrame, as_of: dt.da
         ref = F.col("_day")
     else:
         ref = as_of
-    bad = (line_checks(t, lines, ref, check_stock).filter(F.col("line_reason").isNotNull())
-           .groupBy("order_id")
-           .agg(F.min_by(F.struct(F.col("line_reason").alias("r"), F.col("product_id").alias("p")),
-                         F.col("pos")).alias("first_bad")))
-    has_lines = lines.select("order_id").distinct().withColumn("_has", F.lit(True))
+    # One pass over the lines: the order has lines, and its first failing one.
+    first_bad = F.min_by(F.struct(F.col("line_reason").alias("r"), F.col("product_id").alias("p")),
+                         F.when(F.col("line_reason").isNotNull(), F.col("pos")))
+    per_order = (line_checks(t, lines, ref, check_stock).groupBy("order_id")
+                 .agg(first_bad.alias("first_bad"), F.lit(True).alias("_has")))
     h = (headers.select("order_id", "customer_id")
          .join(customers, "customer_id", "left")
-         .join(has_lines, "order_id", "left")
-         .join(bad, "order_id", "left"))
+         .join(per_order, "order_id", "left"))
     reason = (F.when(F.col("customer_id").isNull() | F.col("_has").isNull(), "missing_input")
                .when(F.col("_cust").isNull(), "no_customer")
                .otherwise(F.col("first_bad.r")))

@@ -55,12 +55,17 @@ def running_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None) ->
     is cut into range chunks of the (product, ledger order) sequence, so a
     hot product is spread over many tasks; the chunked ledger is written once
     as a checkpoint and both branches of the running sum read it."""
+    memo = t.__dict__.setdefault("_running_stock", {})
+    if ledger is None and as_of in memo:
+        return memo[as_of]
     led = ledger if ledger is not None else stock_ledger(t, as_of)
     order = [F.col(c).asc_nulls_first() for c in LEDGER_ORDER]
     led = assign_range_chunks(led, "product_id", order)
     out = chunked_running_sum(led, "product_id", F.col("_rchunk"), order,
-                              {"stock_after": F.col("change_qty").cast("bigint")})
-    return out.drop("_rchunk")
+                              {"stock_after": F.col("change_qty").cast("bigint")}).drop("_rchunk")
+    if ledger is None:
+        memo[as_of] = out  # the chunked ledger is checkpointed: reuse it per bundle
+    return out
 
 
 def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.functions import scalar as S
+from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.lookup import lookup_join
 from tillwise.sources.tables import MONEY, Tables
 
@@ -205,6 +206,7 @@ def orders_list(t: Tables, customer_id=None, cashier_id=None, n: int = 100) -> D
         o = o.filter(F.col("cashier_id") == F.lit(cashier_id))
     top = (_named_orders(t, o).select(*ORDER_COLS, "customer_name", "cashier_name")
            .orderBy(F.col("order_date").desc(), F.col("order_id").desc()).limit(n))
+    top = cut_lineage(top)  # n rows, written once: both uses below read them
     ids = F.broadcast(top.select("order_id"))  # at most n rows
     counts = (t.order_items.select("order_id").join(ids, "order_id", "left_semi")
               .groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count")))

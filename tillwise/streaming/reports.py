@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tillwise.operators import ledger as L
+from tillwise.session import scratch_path
 from tillwise.sources.tables import Tables
 from tillwise.streaming.feed import batch_sink, latest_per_key, run_as_feed
 
@@ -46,7 +47,7 @@ def stream_daily_sales(t: Tables) -> DataFrame:
     spark = t.spark
     src = t.sales_orders.select("order_id", "customer_id", "order_date", "total_bill", "tax_amount",
                                 "discount", "status")
-    sink = scratch_path_for(t, "daily-sink")
+    sink = scratch_path(t.spark, "daily-sink")
     run_as_feed(spark, src, "order_date",
                 lambda s: daily_sales_stream(s).writeStream.outputMode("update")
                 .foreachBatch(batch_sink(sink)), "daily")
@@ -60,11 +61,6 @@ def stream_daily_sales(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("unique_customers_today"))
 
 
-def scratch_path_for(t: Tables, name: str) -> str:
-    from tillwise.session import scratch_path
-    return scratch_path(t.spark, name)
-
-
 # -- ST-2 ----------------------------------------------------------------------
 ALERT_SCHEMA = T.StructType([
     T.StructField("product_id", T.LongType()),
@@ -116,7 +112,7 @@ def stream_low_stock(t: Tables, as_of: dt.date) -> DataFrame:
     spark = t.spark
     src = L.stock_ledger(t, as_of).select("product_id", "change_qty", "log_time", "kind",
                                           "reference_id", "line_no")
-    sink = scratch_path_for(t, "lowstock-sink")
+    sink = scratch_path(t.spark, "lowstock-sink")
     run_as_feed(spark, src, "log_time",
                 lambda s: low_stock_stream(t, s).writeStream.outputMode("append")
                 .foreachBatch(batch_sink(sink)), "lowstock")
@@ -142,7 +138,7 @@ def stream_category_revenue(t: Tables) -> DataFrame:
     spark = t.spark
     heads = t.sales_orders.select("order_id", "order_date")
     src = t.order_items.select("order_id", "product_id", "qty_sold", "line_total").join(heads, "order_id")
-    sink = scratch_path_for(t, "category-sink")
+    sink = scratch_path(t.spark, "category-sink")
     run_as_feed(spark, src, "order_date",
                 lambda s: category_revenue_stream(t, s).writeStream.outputMode("update")
                 .foreachBatch(batch_sink(sink)), "category")
@@ -171,7 +167,7 @@ def purchase_events_stream(events: DataFrame) -> DataFrame:
 def stream_event_purchases(t: Tables) -> DataFrame:
     spark = t.spark
     src = t.events.select("event_id", "ts", "user_id", "event_type", "value")
-    sink = scratch_path_for(t, "purchases-sink")
+    sink = scratch_path(t.spark, "purchases-sink")
     run_as_feed(spark, src, "ts",
                 lambda s: purchase_events_stream(s).writeStream.outputMode("update")
                 .foreachBatch(batch_sink(sink)), "purchases", bounds=EVENT_BOUNDS)

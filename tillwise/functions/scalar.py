@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
+    "sum_money",
     "ROLE_RANK", "alert_severity", "category_icon", "contains_ci", "days_until",
     "display_date", "escape_like", "expiring_soon", "expiry_status",
     "first_token", "month_label", "role_rank", "stock_status", "add_months",
@@ -33,6 +34,16 @@ CATEGORY_ICONS = {
 DEFAULT_ICON = "\U0001F4E6"
 
 
+def sum_money(c: Column) -> Column:
+    """Exact sum of a money column (scale <= 2) as DECIMAL(22,2).
+
+    Sums integer cents in a ``bigint`` buffer (primitive arithmetic in
+    generated code, overflow checked under ANSI) instead of a wide decimal
+    buffer, which Spark keeps as BigDecimal once precision exceeds 18."""
+    cents = F.sum((c * 100).cast("bigint"))
+    return (cents.cast("decimal(22,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)")
+
+
 def escape_like(q: str) -> str:
     """Escape LIKE wildcards so user text matches literally."""
     return q.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

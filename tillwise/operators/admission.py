@@ -144,5 +144,5 @@ def bill_batch_outputs(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
 def bill_fixture_batch(t: Tables, as_of: dt.date) -> DataFrame:
     """The registered batch: every order of the tables, opening stock
     p_size x 20 and the scheduled restocks."""
-    return bill_batch(t, D.cart_lines(t), D.cart_headers(t), D.opening_stock(t),
+    return bill_batch(t, D.cart_demand(t), D.cart_headers(t), D.opening_stock(t),
                       billing.accepted_restocks(t, as_of))

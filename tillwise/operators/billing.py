@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.functions import scalar as S
 from tillwise.plans.broadcast import bounded_broadcast
 from tillwise.sources import derived as D
 from tillwise.sources.seeds import MAX_RULES
@@ -43,7 +44,7 @@ def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str =
     priced = lines.join(t.product.select("product_id", "price"), "product_id")
     per_order = priced.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.col("price") * F.col("qty")).cast(SUM_MONEY).alias("subtotal"))
+        S.sum_money(F.col("price") * F.col("qty")).alias("subtotal"))
     h = headers.select("order_id", "customer_id",
                        F.coalesce(F.col("discount"), F.lit(0).cast(MONEY)).alias("discount"),
                        F.coalesce(F.col("payment_mode"), F.lit("cash")).alias("payment_mode"))
@@ -82,8 +83,10 @@ def validate_carts(t: Tables, lines: DataFrame, headers: DataFrame, as_of: dt.da
     else:
         ref = as_of
     # One pass over the lines: the order has lines, and its first failing one.
+    # Cart order: ``pos`` when the lines carry it, else (first_line, product_id).
+    cart_order = F.struct(*[F.col(c) for c in ("pos", "first_line", "product_id") if c in lines.columns])
     first_bad = F.min_by(F.struct(F.col("line_reason").alias("r"), F.col("product_id").alias("p")),
-                         F.when(F.col("line_reason").isNotNull(), F.col("pos")))
+                         F.when(F.col("line_reason").isNotNull(), cart_order))
     per_order = (line_checks(t, lines, ref, check_stock).groupBy("order_id")
                  .agg(first_bad.alias("first_bad"), F.lit(True).alias("_has")))
     h = (headers.select("order_id", "customer_id")

@@ -42,7 +42,7 @@ def _date_window(o: DataFrame, from_date=None, to_date=None, month_of=None) -> D
 def _sales_by_product(items: DataFrame) -> DataFrame:
     return items.groupBy("product_id").agg(
         F.sum("qty_sold").alias("units"),
-        F.sum("line_total").alias("revenue"))
+        S.sum_money(F.col("line_total")).alias("revenue"))
 
 
 def _by_category(t: Tables, per_product: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def _by_category(t: Tables, per_product: DataFrame) -> DataFrame:
             .join(t.category, "category_id")
             .groupBy("category_name")
             .agg(F.sum("units").cast("bigint").alias("units"),
-                 F.sum("revenue").cast(SUM_MONEY).alias("revenue")))
+                 S.sum_money(F.col("revenue")).alias("revenue")))
 
 
 def revenue_by_category(t: Tables) -> DataFrame:
@@ -85,7 +85,7 @@ def category_revenue_month(t: Tables, as_of: dt.date) -> DataFrame:
 def _item_totals(t: Tables, with_orders: bool = False) -> DataFrame:
     """Σ units / revenue (and distinct orders) per product over all lines."""
     items = t.order_items
-    aggs = [F.sum("qty_sold").alias("units"), F.sum("line_total").alias("revenue")]
+    aggs = [F.sum("qty_sold").alias("units"), S.sum_money(F.col("line_total")).alias("revenue")]
     if with_orders:
         aggs.append(F.count_distinct("order_id").alias("orders"))
     return items.groupBy("product_id").agg(*aggs)
@@ -138,9 +138,9 @@ def daily_summary(t: Tables, as_of: dt.date) -> DataFrame:
     zero = F.lit(0).cast(MONEY)
     return o.agg(
         F.count_distinct("order_id").alias("orders_today"),
-        F.coalesce(F.sum("total_bill"), zero).cast(SUM_MONEY).alias("revenue_today"),
-        F.coalesce(F.sum("tax_amount"), zero).cast(SUM_MONEY).alias("tax_today"),
-        F.coalesce(F.sum("discount"), zero).cast(SUM_MONEY).alias("discount_today"),
+        F.coalesce(S.sum_money(F.col("total_bill")), zero).cast(SUM_MONEY).alias("revenue_today"),
+        F.coalesce(S.sum_money(F.col("tax_amount")), zero).cast(SUM_MONEY).alias("tax_today"),
+        F.coalesce(S.sum_money(F.col("discount")), zero).cast(SUM_MONEY).alias("discount_today"),
         F.count_distinct("customer_id").alias("unique_customers_today"))
 
 
@@ -150,7 +150,7 @@ def monthly_sales(t: Tables, as_of: dt.date, months: int = 6) -> DataFrame:
     since = S.add_months(as_of, -months)
     o = t.orders_in_status("completed").filter(F.col("order_date") >= F.lit(since))
     return (o.groupBy(F.date_format("order_date", "yyyy-MM").alias("month"))
-            .agg(F.sum("total_bill").cast(SUM_MONEY).alias("revenue"),
+            .agg(S.sum_money(F.col("total_bill")).alias("revenue"),
                  F.count(F.lit(1)).alias("orders"))
             .orderBy("month"))
 
@@ -168,7 +168,7 @@ def monthly_sales_scaled(t: Tables, as_of: dt.date, months: int = 6) -> DataFram
 def customer_summary(t: Tables) -> DataFrame:
     """Total spent, purchase count and last visit per customer, all orders."""
     return t.sales_orders.groupBy("customer_id").agg(
-        F.sum("total_bill").cast(SUM_MONEY).alias("total_spent"),
+        S.sum_money(F.col("total_bill")).alias("total_spent"),
         F.count(F.lit(1)).alias("purchases"),
         F.max("order_date").alias("last_visit"))
 

@@ -63,8 +63,8 @@ QUERIES = {
     "clearance_candidates": (lambda t: sales.clearance_candidates(t, AS_OF), O.clearance_candidates),
     # 2.9 billing
     "parse_carts": (lambda t: billing.parse_carts(D.cart_json(t)), O.parse_carts),
-    "price_carts": (lambda t: billing.price_carts(t, D.cart_lines(t), D.cart_headers(t)), O.price_carts),
-    "validate_carts": (lambda t: billing.validate_carts(t, D.cart_lines(t), D.cart_headers(t), AS_OF),
+    "price_carts": (lambda t: billing.price_carts(t, D.cart_demand(t), D.cart_headers(t)), O.price_carts),
+    "validate_carts": (lambda t: billing.validate_carts(t, D.cart_demand(t), D.cart_headers(t), AS_OF),
                        O.validate_carts),
     "discount_for_order": (lambda t: billing.discount_for_order(t, AS_OF), O.discount_for_order),
     "apply_restocks": (lambda t: billing.apply_restocks(t, D.restock_requests(t, AS_OF)), O.apply_restocks),

@@ -38,14 +38,20 @@ CART_RANK_BLOCK = 1024   # products per ranking chunk inside one (order, line)
 CART_PIECE = 1000        # items per JSON cart piece
 
 
+def cart_demand(t: Tables) -> DataFrame:
+    """Cart lines without positions: demand summed per (order, product) and
+    the product's first line number.  Cart order is (first_line,
+    product_id); checks that only need the order use this (one aggregate)."""
+    return (t.order_items.groupBy("order_id", "product_id")
+            .agg(F.sum("qty_sold").cast("int").alias("qty"), F.min("line_no").alias("first_line")))
+
+
 def cart_lines(t: Tables) -> DataFrame:
-    """Cart lines: demand summed per (order, product); ``pos`` is the 0-based
-    cart position, ordered by the product's first line number then id (line
-    numbers repeat within an order in the source).  The position is a running
-    count chunked by (first line, product-id block), not a window over the
-    whole order."""
-    agg = (t.order_items.groupBy("order_id", "product_id")
-           .agg(F.sum("qty_sold").cast("int").alias("qty"), F.min("line_no").alias("first_line")))
+    """Cart lines with ``pos``, the 0-based cart position in (first line,
+    product id) order (line numbers repeat within an order in the source).
+    The position is a running count chunked by (first line, product-id
+    block), not a window over the whole order."""
+    agg = cart_demand(t)
     chunk = F.struct(F.col("first_line"), F.floor(F.col("product_id") / CART_RANK_BLOCK))
     ranked = chunked_running_sum(agg, "order_id", chunk, [F.col("first_line"), F.col("product_id")],
                                  {"_before": F.lit(1).cast("bigint")}, inclusive=False)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tillwise.functions.scalar import sum_money
 from tillwise.operators import ledger as L
 from tillwise.session import scratch_path
 from tillwise.sources.tables import Tables
@@ -37,8 +38,8 @@ def daily_sales_stream(orders: DataFrame) -> DataFrame:
          .withColumn("_ts", F.col("order_date").cast("timestamp"))
          .withWatermark("_ts", WATERMARK))
     return (o.groupBy(F.window("_ts", "1 day").alias("w"), "customer_id")
-            .agg(F.count(F.lit(1)).alias("orders"), F.sum("total_bill").alias("revenue"),
-                 F.sum("tax_amount").alias("tax"), F.sum("discount").alias("discount"))
+            .agg(F.count(F.lit(1)).alias("orders"), sum_money(F.col("total_bill")).alias("revenue"),
+                 sum_money(F.col("tax_amount")).alias("tax"), sum_money(F.col("discount")).alias("discount"))
             .select(F.to_date(F.col("w.start")).alias("day"), "customer_id", "orders", "revenue",
                     "tax", "discount"))
 
@@ -55,9 +56,9 @@ def stream_daily_sales(t: Tables) -> DataFrame:
                                   ["orders", "revenue", "tax", "discount"])
     return per_customer.groupBy("day").agg(
         F.sum("orders").cast("bigint").alias("orders_today"),
-        F.sum("revenue").cast(SUM_MONEY).alias("revenue_today"),
-        F.sum("tax").cast(SUM_MONEY).alias("tax_today"),
-        F.sum("discount").cast(SUM_MONEY).alias("discount_today"),
+        sum_money(F.col("revenue")).alias("revenue_today"),
+        sum_money(F.col("tax")).alias("tax_today"),
+        sum_money(F.col("discount")).alias("discount_today"),
         F.count(F.lit(1)).alias("unique_customers_today"))
 
 
@@ -131,7 +132,7 @@ def category_revenue_stream(t: Tables, lines: DataFrame) -> DataFrame:
     dim = t.product.select("product_id", "category_id").join(t.category, "category_id")
     return (lines.join(completed, "order_id", "left_semi").join(dim, "product_id")
             .groupBy("category_name")
-            .agg(F.sum("qty_sold").alias("units"), F.sum("line_total").alias("revenue")))
+            .agg(F.sum("qty_sold").alias("units"), sum_money(F.col("line_total")).alias("revenue")))
 
 
 def stream_category_revenue(t: Tables) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tillwise.operators import billing
@@ -85,13 +85,15 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
             F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("fails_one"))
             .select("order_id", F.when(F.col("fits_all"), "A").when(F.col("fails_one"), "R").alias("new")))
         decided_now = (F.col("state") == "U") & F.col("new").isNotNull()
+        counter = Observation(f"admission-round-{rnd}")
         work = (work.join(verdict, "order_id", "left")
                 .withColumn("decided_round", F.when(decided_now, F.lit(rnd)).otherwise(F.col("decided_round")))
                 .withColumn("state", F.when(decided_now, F.col("new")).otherwise(F.col("state")))
-                .drop("new"))
-        work = cut_lineage(work)
+                .drop("new")
+                .observe(counter, F.count_if(F.col("state") == "U").alias("undecided")))
+        work = cut_lineage(work)  # the checkpoint job also fills the counter
         open_products = work.filter(F.col("state") == "U").select("product_id").distinct()
-        if open_products.isEmpty() or (max_rounds and rnd >= max_rounds):
+        if counter.get["undecided"] == 0 or (max_rounds and rnd >= max_rounds):
             retired.append(work)
             break
         flagged = work.join(open_products.withColumn("_open", F.lit(True)), "product_id", "left")

@@ -71,7 +71,16 @@ def main(argv):
     from tillwise import build_session
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     only = set(argv[2:])
-    spark = build_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("ORACLE_PLAIN_SESSION"):
+        # what a caller's own session may look like: no tillwise settings
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]")
+                 .config("spark.sql.shuffle.partitions", "8")
+                 .config("spark.ui.enabled", "false")
+                 .config("spark.sql.session.timeZone", os.environ["ORACLE_PLAIN_SESSION"])
+                 .getOrCreate())
+    else:
+        spark = build_session("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, oracle = E.queries(), E.oracle_sql()
     bad = 0

@@ -185,3 +185,18 @@ def test_range_chunks_split_a_hot_key_day(spark):
     cols = ["product_id", "seq", "run"]
     assert got.select(cols).exceptAll(want.select(cols)).count() == 0
     assert got.count() == want.count()
+
+
+def test_day_windows_do_not_depend_on_session_time_zone(spark):
+    from tillwise.functions.scalar import instant_day, wall_clock_instant
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ["UTC", "America/New_York", "Asia/Kolkata"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            df = spark.createDataFrame([("2001-01-05 00:00:00",), ("2001-01-05 23:59:59",)], "s string") \
+                      .select(F.col("s").cast("timestamp_ntz").alias("ts"))
+            w = df.select(F.window(wall_clock_instant(F.col("ts")), "1 day").alias("w"))
+            days = {r.d for r in w.select(instant_day(F.col("w.start")).alias("d")).collect()}
+            assert days == {dt.date(2001, 1, 5)}, tz
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "sum_money",
+    "sum_money", "wall_clock_instant", "instant_day",
     "ROLE_RANK", "alert_severity", "category_icon", "contains_ci", "days_until",
     "display_date", "escape_like", "expiring_soon", "expiry_status",
     "first_token", "month_label", "role_rank", "stock_status", "add_months",
@@ -34,6 +34,23 @@ CATEGORY_ICONS = {
 DEFAULT_ICON = "\U0001F4E6"
 
 
+_MICROS_PER_DAY = 86_400_000_000
+
+
+def wall_clock_instant(c: Column) -> Column:
+    """TIMESTAMP_NTZ -> TIMESTAMP with the same wall clock read as UTC.
+
+    Event-time operators (watermarks) need TIMESTAMP; a plain cast would
+    read the wall clock in the session time zone and shift day windows."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, c))
+
+
+def instant_day(c: Column) -> Column:
+    """The UTC calendar day of a TIMESTAMP (inverse of wall_clock_instant)."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(c) / _MICROS_PER_DAY).cast("int"))
+
+
 def sum_money(c: Column) -> Column:
     """Exact sum of a money column (scale <= 2) as DECIMAL(22,2).
 

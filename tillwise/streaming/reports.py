@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tillwise.functions.scalar import sum_money
+from tillwise.functions.scalar import instant_day, sum_money, wall_clock_instant
 from tillwise.operators import ledger as L
 from tillwise.session import scratch_path
 from tillwise.sources.tables import Tables
@@ -35,12 +35,12 @@ WATERMARK = "1 day"
 def daily_sales_stream(orders: DataFrame) -> DataFrame:
     """Per (day, customer): completed orders and their money columns."""
     o = (orders.filter(F.col("status") == "completed")
-         .withColumn("_ts", F.col("order_date").cast("timestamp"))
+         .withColumn("_ts", wall_clock_instant(F.col("order_date")))
          .withWatermark("_ts", WATERMARK))
     return (o.groupBy(F.window("_ts", "1 day").alias("w"), "customer_id")
             .agg(F.count(F.lit(1)).alias("orders"), sum_money(F.col("total_bill")).alias("revenue"),
                  sum_money(F.col("tax_amount")).alias("tax"), sum_money(F.col("discount")).alias("discount"))
-            .select(F.to_date(F.col("w.start")).alias("day"), "customer_id", "orders", "revenue",
+            .select(instant_day(F.col("w.start")).alias("day"), "customer_id", "orders", "revenue",
                     "tax", "discount"))
 
 
@@ -157,12 +157,12 @@ def purchase_events_stream(events: DataFrame) -> DataFrame:
     """Per (day, user): purchase events and their value in cents precision;
     one-day tumbling windows on the event time with a one-day watermark."""
     e = (events.filter(F.col("event_type") == "purchase")
-         .withColumn("_ts", F.col("ts").cast("timestamp"))
+         .withColumn("_ts", wall_clock_instant(F.col("ts")))
          .withWatermark("_ts", WATERMARK))
     return (e.groupBy(F.window("_ts", "1 day").alias("w"), "user_id")
             .agg(F.count(F.lit(1)).alias("purchases"),
                  F.sum(F.col("value").cast("decimal(12,2)")).alias("revenue"))
-            .select(F.to_date(F.col("w.start")).alias("day"), "user_id", "purchases", "revenue"))
+            .select(instant_day(F.col("w.start")).alias("day"), "user_id", "purchases", "revenue"))
 
 
 def stream_event_purchases(t: Tables) -> DataFrame:

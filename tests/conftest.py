@@ -12,8 +12,12 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from tillwise import build_session
-    s = build_session("local[4]", app_name="tillwise-tests", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="tillwise-warehouse-", dir="/tmp")
+    s = build_session("local[4]", app_name="tillwise-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": warehouse})
     yield s
 
 

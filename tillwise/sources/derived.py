@@ -10,7 +10,6 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillwise.plans.running import chunked_running_sum
 from tillwise.sources.tables import MONEY, Tables, ntz

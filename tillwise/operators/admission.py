@@ -99,7 +99,8 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
         flagged = work.join(open_products.withColumn("_open", F.lit(True)), "product_id", "left")
         leaving = F.col("_open").isNull() | (F.col("state") == "R")
         retired.append(flagged.filter(leaving).drop("_open"))
-        work = flagged.filter(~leaving).drop("_open")
+        # Written once: the next round reads it from three branches.
+        work = cut_lineage(flagged.filter(~leaving).drop("_open"))
     lines_final = retired[0]
     for r in retired[1:]:
         lines_final = lines_final.unionByName(r)

@@ -73,3 +73,13 @@ def test_lookup_join_same_rows_with_and_without_broadcast(spark, bound):
     out = lookup_join(fact, "cashier_id", dim, "user_id", ["name"], max_rows=bound)
     rows = {(r.order_id, r.name) for r in out.collect()}
     assert len(rows) == 100 and (4, "u-2") in rows
+
+
+def test_discount_rules_past_the_bound_use_sliced_passes(spark, tables_small):
+    from tillwise.operators import billing
+    as_of = dt.date(2001, 8, 1)
+    one = {r.order_id: r.discount_pct for r in billing.discount_for_order(tables_small, as_of).collect()}
+    sliced = {r.order_id: r.discount_pct
+              for r in billing.discount_for_order(tables_small, as_of, max_rules=1).collect()}
+    assert one == sliced and len(one) == 1500
+    assert {Decimal("0.00"), Decimal("5.00"), Decimal("10.00"), Decimal("15.00")} >= set(one.values())

@@ -136,3 +136,14 @@ def test_low_stock_alert_only_on_crossing(spark, cats):
     alerts = ledger.low_stock_alerts(t, AS_OF, run).collect()
     assert [(a.product_id, a.reference_id) for a in alerts] == [(1, 1)]
     assert alerts[0].message == 'Low stock alert: "p1" has only 10 units left. Reorder level: 10'
+
+
+def test_single_id_lookups_and_status_split(spark, tables_small):
+    p = catalog.product_by_id(tables_small, 42).collect()
+    assert len(p) == 1 and p[0].product_id == 42 and p[0].category_name
+    lines = sales.receipts(tables_small, 3).collect()
+    assert lines and {r.order_id for r in lines} == {3}
+    from tillwise.sources import derived
+    acc, rej = billing.split_status(billing.apply_restocks(tables_small,
+                                                           derived.restock_requests(tables_small, AS_OF)))
+    assert acc.count() > 0 and rej.filter(F.col("reason").isNull()).count() == 0

@@ -26,6 +26,12 @@ CART_SCHEMA = T.ArrayType(T.StructType([
 ]))
 
 
+def split_status(df: DataFrame, ok: str = "accepted", col: str = "status") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected-with-reason) from an action result carrying a
+    status column, the shape of the reference's OUT-status procedures."""
+    return df.filter(F.col(col) == ok), df.filter(F.col(col) != ok)
+
+
 def parse_carts(carts_json: DataFrame, piece_size: int = D.CART_PIECE) -> DataFrame:
     """JSON cart pieces -> one row per item with its 0-based cart position
     and the cart's item count (summed over pieces by an aggregate)."""

@@ -73,10 +73,13 @@ def expiry_alerts(t: Tables, as_of: dt.date, days: int = 30, n: int | None = Non
     return out.limit(n) if n else out
 
 
-def product_by_id(t: Tables, ids: DataFrame) -> DataFrame:
-    """Point lookups for a batch of ids (a DataFrame with ``product_id``)."""
-    wanted = ids.select("product_id").distinct()
-    p = t.product.join(wanted, "product_id", "left_semi")
+def product_by_id(t: Tables, ids: DataFrame | int) -> DataFrame:
+    """Point lookups: one id, or a batch of ids (a DataFrame with
+    ``product_id``) resolved with a semi join."""
+    if isinstance(ids, int):
+        p = t.product.filter(F.col("product_id") == F.lit(ids))
+    else:
+        p = t.product.join(ids.select("product_id").distinct(), "product_id", "left_semi")
     return _with_category(t, p).select(*PRODUCT_COLS, "category_name")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions import scalar as S
 from tillwise.operators import billing
+from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.lookup import lookup_join
 from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.sources import derived as D
@@ -144,18 +145,21 @@ def manager_reads(t: Tables, as_of: dt.date) -> DataFrame:
 
 
 def stock_log_feed(t: Tables, as_of: dt.date, product_id=None, n: int = 100) -> DataFrame:
-    """Newest ``n`` ledger rows with product and performer names."""
+    """Newest ``n`` ledger rows with product and performer names.  The
+    performer join is a left join (it never changes the row set), so it is
+    applied to the ``n`` rows kept, not to the whole ledger."""
     led = stock_ledger(t, as_of)
     if product_id is not None:
         led = led.filter(F.col("product_id") == F.lit(product_id))
     names = t.product.select("product_id", F.col("name").alias("product_name"))
+    order = [F.col("log_time").desc(), "product_id", "kind", F.col("reference_id").asc_nulls_first(),
+             "line_no", "change_qty"]
+    top = cut_lineage(led.join(names, "product_id").select(*LEDGER_COLS, "product_name")
+                      .orderBy(*order).limit(n))
     users = t.app_user.select(F.col("user_id").alias("performed_by"),
                               F.col("full_name").alias("performed_by_name"))
-    out = lookup_join(led.join(names, "product_id"), "performed_by", users, "performed_by",
-                      ["performed_by_name"], how="left")
-    return out.select(*LEDGER_COLS, "product_name", "performed_by_name").orderBy(
-        F.col("log_time").desc(), "product_id", "kind", F.col("reference_id").asc_nulls_first(),
-        "line_no", "change_qty").limit(n)
+    return lookup_join(top, "performed_by", users, "performed_by", ["performed_by_name"],
+                       how="left").orderBy(*order)
 
 
 def ledger_reconcile(t: Tables, as_of: dt.date) -> DataFrame:

@@ -225,12 +225,16 @@ def recent_orders(t: Tables, n: int = 5) -> DataFrame:
             .filter(F.col("recency") <= n))
 
 
-def receipts(t: Tables, order_ids: DataFrame | None = None) -> DataFrame:
+def receipts(t: Tables, order_ids: DataFrame | int | None = None) -> DataFrame:
     """Receipt lines: order header, customer and cashier, product name and
-    the line's snapshot price; one row per line (flat form)."""
+    the line's snapshot price; one row per line (flat form).  ``order_ids``:
+    one id, a DataFrame of ids, or None for every order."""
     o = t.sales_orders
     items = t.order_items
-    if order_ids is not None:
+    if isinstance(order_ids, int):
+        o = o.filter(F.col("order_id") == F.lit(order_ids))
+        items = items.filter(F.col("order_id") == F.lit(order_ids))
+    elif order_ids is not None:
         ids = order_ids.select("order_id").distinct()
         o = o.join(ids, "order_id", "left_semi")
         items = items.join(ids, "order_id", "left_semi")

@@ -95,9 +95,9 @@ def expiry_warnings(t: Tables, as_of: dt.date) -> DataFrame:
                     ntz(as_of).alias("created_at"))
 
 
-def all_alerts(t: Tables, as_of: dt.date) -> DataFrame:
+def all_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None) -> DataFrame:
     """Both alert writers in one table, with read flag and severity."""
-    a = low_stock_alerts(t, as_of).unionByName(expiry_warnings(t, as_of))
+    a = low_stock_alerts(t, as_of, running).unionByName(expiry_warnings(t, as_of))
     is_read = ((F.col("product_id") + F.coalesce(F.col("reference_id"), F.lit(0))) % 2 == 0)
     return a.select("type", "message", "product_id", "reference_id", "line_no", "created_at",
                     is_read.alias("is_read"), S.alert_severity(F.col("type")).alias("severity"))

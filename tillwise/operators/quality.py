@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillwise.operators import ledger
 from tillwise.operators.changes import PHONE_PATTERN, norm_key
+from tillwise.plans.lineage import cut_lineage
 from tillwise.sources.tables import Tables
 
 # --- fixed values: enum domains and column widths of the retail schema -------
@@ -57,8 +58,9 @@ def _too_long(c: str) -> Column:
 
 def data_quality(t: Tables, as_of: dt.date) -> DataFrame:
     p, u, o, i, c = t.product, t.app_user, t.sales_orders, t.order_items, t.category
-    led = ledger.stock_ledger(t, as_of)
-    alerts = ledger.all_alerts(t, as_of)
+    # The ledger feeds three checks and the alerts: write it once.
+    led = cut_lineage(ledger.stock_ledger(t, as_of))
+    alerts = ledger.all_alerts(t, as_of, ledger.running_stock(t, as_of, led))
     parts = [
         _row_rules(p, [
             ("DQ-2", "product.price >= 0", F.col("price") < 0),

@@ -72,6 +72,7 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
     # dropping decided lines later never breaks their contiguity.
     seq = [F.col("order_date"), F.col("order_id")]
     work = assign_range_chunks(work, "product_id", seq)
+    work = cut_lineage(work.repartition("product_id", "_rchunk"))
     retired = []  # lines whose product has nothing undecided left: final states
     rnd = 0
     while True:
@@ -79,7 +80,7 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
         taken_a = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
         sums = chunked_running_sum(work, "product_id", F.col("_rchunk"), seq,
                                    {"lower": taken_a, "upper": F.col("qty").cast("bigint")},
-                                   inclusive=False)
+                                   inclusive=False, prepartitioned=True)
         verdict = (sums.filter(F.col("state") == "U").groupBy("order_id").agg(
             F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("fits_all"),
             F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("fails_one"))
@@ -100,7 +101,7 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
         leaving = F.col("_open").isNull() | (F.col("state") == "R")
         retired.append(flagged.filter(leaving).drop("_open"))
         # Written once: the next round reads it from three branches.
-        work = cut_lineage(flagged.filter(~leaving).drop("_open"))
+        work = cut_lineage(flagged.filter(~leaving).drop("_open").repartition("product_id", "_rchunk"))
     lines_final = retired[0]
     for r in retired[1:]:
         lines_final = lines_final.unionByName(r)

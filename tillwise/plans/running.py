@@ -28,7 +28,8 @@ from tillwise.plans.lineage import cut_lineage
 
 def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
                         order: Sequence[Column], values: dict[str, Column],
-                        inclusive: bool = True, materialize: bool = False) -> DataFrame:
+                        inclusive: bool = True, materialize: bool = False,
+                        prepartitioned: bool = False) -> DataFrame:
     """Add one running-sum column per ``values`` entry.
 
     ``chunk`` must be non-decreasing along ``order`` within a key (it is the
@@ -36,6 +37,9 @@ def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
     otherwise the sum covers strictly earlier rows.  The input feeds two
     branches (rows and chunk totals); ``materialize`` writes it once as a
     reliable checkpoint first, for inputs that are expensive to recompute.
+    ``prepartitioned``: the input is already hash partitioned by (key,
+    chunk) (e.g. a checkpoint written that way), so no explicit repartition
+    is requested and the planner reuses that layout.
     """
     keys = [key] if isinstance(key, str) else list(key)
     d = df.withColumn("_chunk", chunk)
@@ -43,7 +47,8 @@ def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
         d = d.withColumn(f"_v_{name}", v)
     if materialize:
         d = cut_lineage(d)
-    d = d.repartition(*keys, "_chunk")
+    if not prepartitioned:
+        d = d.repartition(*keys, "_chunk")
     upto = 0 if inclusive else -1
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     within = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)).alias(f"_w_{n}")

@@ -73,3 +73,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory below the shared checkpoint root."""
     root = checkpoint_root(spark)
     return os.path.join(root, "tillwise", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20,
+               shuffle_ratio: float = 0.5) -> dict[str, str]:
+    """Shuffle/scan sizing for a cluster run.
+
+    Scan splits of ``partition_bytes``; the shuffle is sized so each
+    partition holds about that much of the expected shuffle volume
+    (``shuffle_ratio`` of the input after projection), rounded up to whole
+    waves of ``total_cores``.  AQE then coalesces small partitions and splits
+    skewed ones at runtime.  E.g. 100 TB on 8,000 cores -> 200,000 shuffle
+    partitions of ~256 MB.
+    """
+    target = max(1, int(input_bytes * shuffle_ratio // partition_bytes))
+    waves = -(-target // total_cores)
+    partitions = max(total_cores, waves * total_cores)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+    }

@@ -83,7 +83,7 @@ def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 <<
     partition holds about that much of the expected shuffle volume
     (``shuffle_ratio`` of the input after projection), rounded up to whole
     waves of ``total_cores``.  AQE then coalesces small partitions and splits
-    skewed ones at runtime.  E.g. 100 TB on 8,000 cores -> 200,000 shuffle
+    skewed ones at runtime.  E.g. 100 TB on 8,000 cores -> 192,000 shuffle
     partitions of ~256 MB.
     """
     target = max(1, int(input_bytes * shuffle_ratio // partition_bytes))

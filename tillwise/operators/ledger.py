@@ -125,22 +125,25 @@ def unread_alerts(t: Tables, as_of: dt.date, n: int = 20) -> DataFrame:
     return all_alerts(t, as_of).filter(~F.col("is_read")).orderBy(*_alert_order()).limit(n)
 
 
-def apply_alert_reads(t: Tables, as_of: dt.date, reads: DataFrame) -> DataFrame:
-    """Mark alerts read from a batch of read events keyed like the alert."""
+def apply_alert_reads(t: Tables, as_of: dt.date, reads: DataFrame,
+                      alerts: DataFrame | None = None) -> DataFrame:
+    """Mark alerts read from a batch of read events keyed like the alert.
+    ``alerts`` defaults to :func:`all_alerts`."""
     keys = ["type", "product_id", "reference_id", "line_no", "created_at"]
     r = (reads.select(*[F.col(k).alias(f"_r_{k}") for k in keys]).dropDuplicates()
          .withColumn("_read", F.lit(True)))
-    a = all_alerts(t, as_of)
+    a = alerts if alerts is not None else all_alerts(t, as_of)
     cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     j = a.join(r, cond, "left")
     return j.select(*[c for c in a.columns if c != "is_read"],
                     (F.col("is_read") | F.coalesce(F.col("_read"), F.lit(False))).alias("is_read"))
 
 
-def manager_reads(t: Tables, as_of: dt.date) -> DataFrame:
+def manager_reads(t: Tables, as_of: dt.date, alerts: DataFrame | None = None) -> DataFrame:
     """Read events derived from the alerts: a manager opened every alert of
     products with id % 3 = 0."""
-    return all_alerts(t, as_of).filter(F.col("product_id") % 3 == 0).select(
+    a = alerts if alerts is not None else all_alerts(t, as_of)
+    return a.filter(F.col("product_id") % 3 == 0).select(
         "type", "product_id", "reference_id", "line_no", "created_at")
 
 

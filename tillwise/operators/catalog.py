@@ -23,7 +23,7 @@ def list_categories(t: Tables) -> DataFrame:
 
 
 def _with_category(t: Tables, p: DataFrame) -> DataFrame:
-    return p.join(t.category, "category_id")
+    return p.join(t.category_lookup, "category_id")
 
 
 def product_catalog(t: Tables, as_of: dt.date, category=None, search: str | None = None,

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.plans.broadcast import BroadcastBoundExceeded, bounded_broadcast
 from tillwise.sources import seeds
 
 MONEY = T.DecimalType(12, 2)
+MAX_CATEGORY_ROWS = 100_000
 
 RAW_SCHEMAS = {
     "part": T.StructType([
@@ -129,6 +131,16 @@ class Tables:
             F.dense_rank().over(Window.orderBy("category_name")).cast("bigint").alias("category_id"),
             "category_name")
 
+    @cached_property
+    def category_lookup(self) -> DataFrame:
+        """The category dimension for joins: broadcast once its size is
+        checked (it is a small domain), so product rows are never shuffled
+        to meet it; past the bound, a plain join."""
+        try:
+            return bounded_broadcast(self.category, MAX_CATEGORY_ROWS)
+        except BroadcastBoundExceeded:
+            return self.category
+
     @cached_property
     def product(self) -> DataFrame:
         p = self.raw("part")
@@ -149,7 +161,8 @@ class Tables:
             F.col("p_type").alias("_type"),
             (k % 11 != 0).alias("is_active"),
         )
-        return (prod.join(self.category, prod["_type"] == self.category["category_name"])
+        cat = self.category_lookup
+        return (prod.join(cat, prod["_type"] == cat["category_name"])
                 .select("product_id", "barcode", "name", "price", "stock_qty",
                         "reorder_level", "expiry_date", "warning_label",
                         "category_id", "is_active"))

@@ -181,7 +181,8 @@ def _named_orders(t: Tables, o: DataFrame, phone: bool = False) -> DataFrame:
     cu = u.select(*cu_cols)
     ca = u.select(F.col("user_id").alias("cashier_id"), F.col("full_name").alias("cashier_name"))
     # Few cashiers serve all orders: broadcast the used ones, no shuffle by cashier.
-    return lookup_join(o.join(cu, "customer_id"), "cashier_id", ca, "cashier_id", ["cashier_name"])
+    return lookup_join(o.join(cu, "customer_id"), "cashier_id", ca, "cashier_id", ["cashier_name"],
+                       probe=o)
 
 
 ORDER_COLS = ["order_id", "customer_id", "cashier_id", "order_date", "subtotal", "discount",

@@ -22,10 +22,14 @@ MAX_LOOKUP_ROWS = 200_000
 
 
 def lookup_join(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str,
-                cols: Sequence[str], how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+                cols: Sequence[str], how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS,
+                probe: DataFrame | None = None) -> DataFrame:
     """``fact`` joined with ``dim[cols]`` on fact_key = dim_key; the result
-    carries ``cols`` (renamed by the caller beforehand if needed)."""
-    used = fact.select(F.col(fact_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct()
+    carries ``cols`` (renamed by the caller beforehand if needed).  ``probe``
+    (default ``fact``) supplies the used keys; a cheaper frame whose keys are
+    a superset of the fact's (e.g. the scan before other joins) may be given."""
+    src = probe if probe is not None else fact
+    used = src.select(F.col(fact_key).alias(dim_key)).filter(F.col(dim_key).isNotNull()).distinct()
     sub = dim.select(dim_key, *cols).join(used, dim_key, "left_semi")
     try:
         side = bounded_broadcast(sub, max_rows)

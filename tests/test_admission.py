@@ -82,3 +82,15 @@ def test_admitted_ledger_never_goes_negative(spark):
     assert sales == -sold
     n_acc = out["orders"].count()
     assert n_acc > 0 and n_acc + out["rejected"].count() == 1500
+
+
+def test_commit_outputs_appends_month_partitioned_facts(spark):
+    from tillwise.session import scratch_path
+    t = Tables.from_dir(spark, "/root/testdata/sf0.001")
+    out = admission.bill_batch_outputs(t, dt.date(2001, 8, 1))
+    paths = admission.commit_outputs(out, scratch_path(spark, "commit"))
+    for name in ("orders", "items", "ledger"):
+        back = spark.read.parquet(paths[name])
+        assert "month" in back.columns
+        assert back.count() == out[name].count()
+    assert spark.read.parquet(paths["rejected"]).count() == out["rejected"].count()

@@ -37,3 +37,21 @@ def test_views_answer_sql(spark, tables_small):
     assert n > 0
     top = spark.sql("SELECT name FROM vw_highest_ticket_items LIMIT 10").count()
     assert top == 10
+
+
+def test_report_views_equal_their_operators(spark, tables_small):
+    from tillwise.operators import catalog, sales
+    day = dt.date(2001, 7, 31)
+    register_views(tables_small, AS_OF, day)
+    pairs = {
+        "vw_cashier_products": catalog.sellable_products(tables_small, AS_OF),
+        "vw_product_sales_summary": sales.product_sales_summary(tables_small),
+        "vw_expiry_alerts": catalog.expiry_alerts(tables_small, AS_OF),
+        "vw_daily_summary": sales.daily_summary(tables_small, day),
+        "vw_highest_ticket_items": sales.highest_ticket_items(tables_small),
+        "vw_customer_history": sales.customer_history(tables_small),
+    }
+    for view, df in pairs.items():
+        via_sql = spark.sql(f"SELECT * FROM {view}")
+        assert via_sql.columns == df.columns, view
+        assert sorted(via_sql.collect()) == sorted(df.collect()), view

@@ -20,6 +20,7 @@ loss) and products with nothing undecided leave the working set.
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from tillwise.operators import billing
 from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.sources import derived as D
+from tillwise.sources import sinks
 from tillwise.sources.tables import Tables
 
 DECISION_COLS = ["order_id", "decision", "reason", "decided_round"]
@@ -137,9 +139,10 @@ def bill_batch_outputs(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
     items = acc_lines.join(price, "product_id").select(
         "order_id", "product_id", F.col("pos").alias("line_no"), F.col("qty").alias("qty_sold"),
         "unit_price", (F.col("unit_price") * F.col("qty")).cast("decimal(12,2)").alias("line_total"))
+    dated = heads.select("order_id", "order_date")
     return {
-        "orders": billing.price_carts(t, acc_lines, heads),
-        "items": items,
+        "orders": billing.price_carts(t, acc_lines, heads).join(dated, "order_id"),
+        "items": items.join(dated, "order_id"),
         "ledger": L.stock_ledger(t, as_of, sales=admitted_sales(t, decisions, lines, heads)),
         "rejected": decisions.filter(F.col("decision") == "rejected"),
     }
@@ -150,3 +153,21 @@ def bill_fixture_batch(t: Tables, as_of: dt.date) -> DataFrame:
     p_size x 20 and the scheduled restocks."""
     return bill_batch(t, D.cart_demand(t), D.cart_headers(t), D.opening_stock(t),
                       billing.accepted_restocks(t, as_of))
+
+
+def commit_outputs(outputs: dict[str, DataFrame], root: str) -> dict[str, str]:
+    """Append a batch's orders, items and ledger rows to month-partitioned
+    fact tables below ``root`` (the checkout's inserts, as one batch write
+    per table) and keep the rejected orders beside them."""
+    paths = {}
+    for name, time_col, sort_by in [("orders", "order_date", "order_id"),
+                                     ("items", "order_date", "order_id"),
+                                     ("ledger", "log_time", "product_id"),
+                                     ("rejected", None, None)]:
+        path = os.path.join(root, name)
+        if time_col is None:
+            outputs[name].write.mode("append").parquet(path)
+        else:
+            sinks.append_facts(outputs[name], path, time_col, sort_by=sort_by)
+        paths[name] = path
+    return paths

@@ -67,7 +67,8 @@ QUERIES = {
     "receipts": (lambda t: sales.receipts(t), O.receipts),
     "clearance_candidates": (lambda t: sales.clearance_candidates(t, AS_OF), O.clearance_candidates),
     # 2.9 billing
-    "parse_carts": (lambda t: billing.parse_carts(D.cart_json(t)), O.parse_carts),
+    # JSON carts are stored input in practice: write the derived ones once
+    "parse_carts": (lambda t: billing.parse_carts(cut_lineage(D.cart_json(t))), O.parse_carts),
     "price_carts": (lambda t: billing.price_carts(t, D.cart_demand(t), D.cart_headers(t)), O.price_carts),
     "validate_carts": (lambda t: billing.validate_carts(t, D.cart_demand(t), D.cart_headers(t), AS_OF),
                        O.validate_carts),

@@ -83,3 +83,11 @@ def test_discount_rules_past_the_bound_use_sliced_passes(spark, tables_small):
               for r in billing.discount_for_order(tables_small, as_of, max_rules=1).collect()}
     assert one == sliced and len(one) == 1500
     assert {Decimal("0.00"), Decimal("5.00"), Decimal("10.00"), Decimal("15.00")} >= set(one.values())
+
+
+def test_scale_conf_sizes_partitions_in_core_waves():
+    from tillwise.session import scale_conf
+    c = scale_conf(100 * 10**12, 8000)
+    n = int(c["spark.sql.shuffle.partitions"])
+    assert n % 8000 == 0 and 150_000 <= n <= 250_000
+    assert int(scale_conf(1, 8)["spark.sql.shuffle.partitions"]) == 8

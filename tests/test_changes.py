@@ -91,3 +91,13 @@ def test_scale_conf_sizes_partitions_in_core_waves():
     n = int(c["spark.sql.shuffle.partitions"])
     assert n % 8000 == 0 and 150_000 <= n <= 250_000
     assert int(scale_conf(1, 8)["spark.sql.shuffle.partitions"]) == 8
+
+
+def test_orphan_check_counts_rows_not_keys(spark):
+    from tillwise.operators.quality import _orphans
+    child = spark.createDataFrame([(1,), (2,), (2,), (3,), (None,)], "k long")
+    parent = spark.createDataFrame([(1,)], "id long")
+    row = _orphans("DQ-6", "x", child, "k", parent, "id").first()
+    assert row.violations == 3   # two rows with key 2, one with key 3; NULL is not an orphan
+    none = _orphans("DQ-6", "x", child.filter("k = 1"), "k", parent, "id").first()
+    assert none.violations == 0

@@ -86,7 +86,7 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: Seq
     firsts = (incoming.withColumn("_k", norm_key(F.col(key)))
               .groupBy("_k")
               .agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_row")))
-    have = existing.select(norm_key(F.col(key)).alias("_k"))
+    have = existing.select(norm_key(F.col(key)).alias("_k")).distinct()
     return firsts.join(have, "_k", "left_anti").select("_k", "_row.*")
 
 

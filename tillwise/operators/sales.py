@@ -253,7 +253,8 @@ def clearance_candidates(t: Tables, as_of: dt.date, days: int = 30, n: int | Non
     recent_orders_ = t.sales_orders.filter(F.col("order_date") >= F.lit(since)).select("order_id")
     sold = t.order_items.select("order_id", "product_id").join(recent_orders_, "order_id", "left_semi")
     p = (t.product.filter(F.col("stock_qty") > 0).filter(F.col("is_active"))
-         .join(sold.select("product_id"), "product_id", "left_anti")
+         # distinct: the anti join then shuffles sold product ids, not lines
+         .join(sold.select("product_id").distinct(), "product_id", "left_anti")
          .join(t.category_lookup, "category_id")
          .select("product_id", "name", "stock_qty", "price", "expiry_date", "category_name")
          .orderBy(F.col("expiry_date").asc_nulls_first(), "product_id"))

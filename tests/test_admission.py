@@ -94,3 +94,13 @@ def test_commit_outputs_appends_month_partitioned_facts(spark):
         assert "month" in back.columns
         assert back.count() == out[name].count()
     assert spark.read.parquet(paths["rejected"]).count() == out["rejected"].count()
+
+
+def test_round_cap_reports_open_orders_instead_of_dropping(spark):
+    from tillwise.operators import billing
+    from tillwise.sources import derived as D
+    t = Tables.from_dir(spark, "/root/testdata/sf0.001")
+    d = admission.bill_batch(t, D.cart_demand(t), D.cart_headers(t), D.opening_stock(t),
+                             billing.accepted_restocks(t, dt.date(2001, 8, 1)), max_rounds=1)
+    counts = dict(d.groupBy("decision").count().collect())
+    assert sum(counts.values()) == 1500 and counts.get("undecided", 0) > 0

@@ -107,11 +107,14 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
     lines_final = retired[0]
     for r in retired[1:]:
         lines_final = lines_final.unionByName(r)
-    decided = (lines_final.filter(F.col("state") != "U")
+    # Every candidate order gets a row; with a round cap, orders still open
+    # are reported as undecided rather than dropped.
+    decided = (lines_final
                .groupBy("order_id").agg(F.first("state").alias("state"),
                                         F.first("decided_round").alias("decided_round"))
                .select("order_id",
-                       F.when(F.col("state") == "A", "accepted").otherwise("rejected").alias("decision"),
+                       F.when(F.col("state") == "A", "accepted").when(F.col("state") == "R", "rejected")
+                       .otherwise("undecided").alias("decision"),
                        F.when(F.col("state") == "R", "short_stock").alias("reason"),
                        "decided_round"))
     return decided.unionByName(static_rej).select(*DECISION_COLS)

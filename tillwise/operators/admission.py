@@ -138,7 +138,7 @@ def bill_batch_outputs(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
     decisions = bill_batch(t, lines, heads, D.opening_stock(t), billing.accepted_restocks(t, as_of))
     accepted = decisions.filter(F.col("decision") == "accepted").select("order_id")
     acc_lines = lines.join(accepted, "order_id", "left_semi")
-    price = t.product.select("product_id", F.col("price").alias("unit_price"))
+    price = t.product_base.select("product_id", F.col("price").alias("unit_price"))
     items = acc_lines.join(price, "product_id").select(
         "order_id", "product_id", F.col("pos").alias("line_no"), F.col("qty").alias("qty_sold"),
         "unit_price", (F.col("unit_price") * F.col("qty")).cast("decimal(12,2)").alias("line_total"))

@@ -48,7 +48,7 @@ def parse_carts(carts_json: DataFrame, piece_size: int = D.CART_PIECE) -> DataFr
 def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str = "0.18") -> DataFrame:
     """Price every cart at current product prices: subtotal, discount,
     tax rounded to the cent, total; payment mode defaults to cash."""
-    priced = lines.join(t.product.select("product_id", "price"), "product_id")
+    priced = lines.join(t.product_base.select("product_id", "price"), "product_id")
     per_order = priced.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         S.sum_money(F.col("price") * F.col("qty")).alias("subtotal"))
@@ -67,7 +67,7 @@ def line_checks(t: Tables, lines: DataFrame, as_of, check_stock: bool = True) ->
     """Per cart line, the first failing check: unknown product, expired,
     short stock against the shelf ``stock_qty``.  ``as_of`` is a date, or a
     column (e.g. each order's own date) present on ``lines``."""
-    p = t.product.select("product_id", "expiry_date", "stock_qty").withColumn("_known", F.lit(True))
+    p = t.product_base.select("product_id", "expiry_date", "stock_qty").withColumn("_known", F.lit(True))
     j = lines.join(p, "product_id", "left")
     ref = as_of if isinstance(as_of, Column) else F.lit(as_of)
     reason = (F.when(F.col("_known").isNull(), "unknown_product")
@@ -175,7 +175,7 @@ def discount_for_order(t: Tables, as_of: dt.date, max_rules: int = MAX_RULES) ->
 def apply_restocks(t: Tables, requests: DataFrame) -> DataFrame:
     """Accept restock requests for existing active products with qty > 0;
     rejected requests keep their reason (product check first)."""
-    active = t.product.filter(F.col("is_active")).select("product_id", F.lit(True).alias("_ok"))
+    active = t.product_base.filter(F.col("is_active")).select("product_id", F.lit(True).alias("_ok"))
     j = requests.join(active, "product_id", "left")
     reason = F.when(F.col("_ok").isNull(), "not_found").when(F.col("qty") <= 0, "bad_qty")
     return j.select(*requests.columns,

@@ -84,14 +84,14 @@ def product_by_id(t: Tables, ids: DataFrame | int) -> DataFrame:
 
 
 def stock_status(t: Tables) -> DataFrame:
-    p = t.product
+    p = t.product_base
     return p.select("product_id", "stock_qty", "reorder_level",
                     S.stock_status(F.col("stock_qty"), F.col("reorder_level")).alias("stock_status"),
                     F.when(F.col("stock_qty") <= 0, "out").otherwise("ok").alias("stock_flag"))
 
 
 def expiry_status(t: Tables, as_of: dt.date) -> DataFrame:
-    p = t.product.filter(F.col("expiry_date").isNotNull())
+    p = t.product_base.filter(F.col("expiry_date").isNotNull())
     days = S.days_until(F.col("expiry_date"), as_of)
     return p.select("product_id", "expiry_date", days.alias("days_to_expiry"),
                     S.expiry_status(days).alias("expiry_status"),

@@ -73,7 +73,7 @@ def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None
     """An alert whenever an update takes stock from above the reorder level
     to at or below it (the product insert itself never alerts)."""
     r = running if running is not None else running_stock(t, as_of)
-    p = t.product.select("product_id", "name", "reorder_level")
+    p = t.product_base.select("product_id", "name", "reorder_level")
     before = F.col("stock_after") - F.col("change_qty")
     hit = (r.filter(F.col("kind") > 0).join(p, "product_id")
            .filter((F.col("stock_after") <= F.col("reorder_level")) & (before > F.col("reorder_level"))))
@@ -87,7 +87,7 @@ def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None
 def expiry_warnings(t: Tables, as_of: dt.date) -> DataFrame:
     """Warnings for products created on ``as_of`` that expire within 30 days."""
     days = S.days_until(F.col("expiry_date"), as_of)
-    p = t.product.filter(F.col("expiry_date").isNotNull()).filter(days.between(0, 30))
+    p = t.product_base.filter(F.col("expiry_date").isNotNull()).filter(days.between(0, 30))
     msg = F.concat(F.lit('Expiry warning: "'), F.col("name"), F.lit('" expires on '),
                    F.col("expiry_date").cast("string"), F.lit(" ("), days.cast("string"), F.lit(" days)"))
     return p.select(F.lit("expiry_warning").alias("type"), msg.alias("message"), "product_id",
@@ -117,7 +117,7 @@ def _alert_order():
 def alerts_feed(t: Tables, as_of: dt.date, n: int = 50) -> DataFrame:
     """Newest ``n`` alerts with the product name (alerts kept if the
     product is gone)."""
-    names = t.product.select("product_id", F.col("name").alias("product_name"))
+    names = t.product_base.select("product_id", F.col("name").alias("product_name"))
     return all_alerts(t, as_of).join(names, "product_id", "left").orderBy(*_alert_order()).limit(n)
 
 
@@ -154,7 +154,7 @@ def stock_log_feed(t: Tables, as_of: dt.date, product_id=None, n: int = 100) ->
     led = stock_ledger(t, as_of)
     if product_id is not None:
         led = led.filter(F.col("product_id") == F.lit(product_id))
-    names = t.product.select("product_id", F.col("name").alias("product_name"))
+    names = t.product_base.select("product_id", F.col("name").alias("product_name"))
     order = [F.col("log_time").desc(), "product_id", "kind", F.col("reference_id").asc_nulls_first(),
              "line_no", "change_qty"]
     top = cut_lineage(led.join(names, "product_id").select(*LEDGER_COLS, "product_name")
@@ -168,7 +168,7 @@ def stock_log_feed(t: Tables, as_of: dt.date, product_id=None, n: int = 100) ->
 def ledger_reconcile(t: Tables, as_of: dt.date) -> DataFrame:
     """Σ ledger per product against the product's stock_qty."""
     led = stock_ledger(t, as_of).groupBy("product_id").agg(F.sum("change_qty").alias("ledger_qty"))
-    p = t.product.select("product_id", "stock_qty")
+    p = t.product_base.select("product_id", "stock_qty")
     j = led.join(p, "product_id", "full")
     return j.select("product_id", F.coalesce("ledger_qty", F.lit(0)).cast("bigint").alias("ledger_qty"),
                     F.col("stock_qty"),
@@ -181,7 +181,7 @@ def blocked_lines(t: Tables, as_of: dt.date) -> DataFrame:
     """Stored sale lines the insert guard would have blocked: product
     expired on the sale day, or stock before the sale below the quantity."""
     r = running_stock(t, as_of).filter(F.col("kind") == 2)
-    p = t.product.select("product_id", "expiry_date")
+    p = t.product_base.select("product_id", "expiry_date")
     j = r.join(p, "product_id", "left")
     before = F.col("stock_after") - F.col("change_qty")
     reason = (F.when(F.col("expiry_date") < F.to_date("log_time"), "expired")

@@ -107,7 +107,7 @@ def product_sales_summary(t: Tables) -> DataFrame:
 
 def highest_ticket_items(t: Tables) -> DataFrame:
     """Units, revenue and ticket value (current price x units) per product."""
-    p = t.product.select("product_id", "name", "price")
+    p = t.product_base.select("product_id", "name", "price")
     units = F.coalesce(F.col("units"), F.lit(0)).cast("bigint")
     out = p.join(_item_totals(t), "product_id", "left").select(
         "product_id", "name", "price", units.alias("units_sold"),
@@ -240,7 +240,7 @@ def receipts(t: Tables, order_ids: DataFrame | int | None = None) -> DataFrame:
         o = o.join(ids, "order_id", "left_semi")
         items = items.join(ids, "order_id", "left_semi")
     head = _named_orders(t, o, phone=True)
-    lines = items.join(t.product.select("product_id", F.col("name").alias("product_name")), "product_id")
+    lines = items.join(t.product_base.select("product_id", F.col("name").alias("product_name")), "product_id")
     return head.join(lines, "order_id").select(
         *ORDER_COLS, "customer_name", "customer_phone", "cashier_name",
         "line_no", "product_id", "product_name", "qty_sold", "unit_price", "line_total")

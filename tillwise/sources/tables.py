@@ -105,6 +105,8 @@ class Tables:
         t._raw_overrides = dict(raw or {})
         for name, df in frames.items():
             t.__dict__[name] = df  # pre-fills the cached_property slot
+        if "product" in frames and "product_base" not in frames:
+            t.__dict__["product_base"] = frames["product"].drop("category_id")
         return t
 
     # -- raw driver tables ---------------------------------------------------
@@ -143,6 +145,21 @@ class Tables:
 
     @cached_property
     def product(self) -> DataFrame:
+        """Products with their category id (every product type is a category)."""
+        prod = self._product_rows()
+        cat = self.category_lookup
+        return (prod.join(cat, prod["_type"] == cat["category_name"])
+                .select("product_id", "barcode", "name", "price", "stock_qty",
+                        "reorder_level", "expiry_date", "warning_label",
+                        "category_id", "is_active"))
+
+    @cached_property
+    def product_base(self) -> DataFrame:
+        """Product columns without the category id, for operators that never
+        look at the category: no category join at all."""
+        return self._product_rows().drop("_type")
+
+    def _product_rows(self) -> DataFrame:
         p = self.raw("part")
         k = F.col("p_partkey")
         label = F.when(k % 9 == 0, F.lit(WARNING_LABELS[0])).when(k % 9 == 1, F.lit(WARNING_LABELS[1]))
@@ -161,11 +178,7 @@ class Tables:
             F.col("p_type").alias("_type"),
             (k % 11 != 0).alias("is_active"),
         )
-        cat = self.category_lookup
-        return (prod.join(cat, prod["_type"] == cat["category_name"])
-                .select("product_id", "barcode", "name", "price", "stock_qty",
-                        "reorder_level", "expiry_date", "warning_label",
-                        "category_id", "is_active"))
+        return prod
 
     @cached_property
     def app_user(self) -> DataFrame:

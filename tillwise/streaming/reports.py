@@ -121,7 +121,7 @@ def _crossings(key, batches, state):
 
 
 def low_stock_stream(t: Tables, ledger_rows: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
-    p = t.product.select("product_id", "reorder_level")
+    p = t.product_base.select("product_id", "reorder_level")
     return (ledger_rows.join(p, "product_id")
             .withColumn("_bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets)))
             .groupBy("_bucket")
@@ -137,7 +137,7 @@ def stream_low_stock(t: Tables, as_of: dt.date) -> DataFrame:
     run_as_feed(spark, src, "log_time",
                 lambda s: low_stock_stream(t, s).writeStream.outputMode("append")
                 .foreachBatch(batch_sink(sink)), "lowstock")
-    names = t.product.select("product_id", "name")
+    names = t.product_base.select("product_id", "name")
     a = spark.read.parquet(sink).drop("batch_id").join(names, "product_id")
     msg = F.concat(F.lit('Low stock alert: "'), F.col("name"), F.lit('" has only '),
                    F.col("stock_after").cast("string"), F.lit(" units left. Reorder level: "),

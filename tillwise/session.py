@@ -24,6 +24,10 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Checkpoints of DataFrames that are no longer referenced (earlier
+    # iteration rounds, finished queries) are removed by Spark's cleaner, so
+    # iterative jobs do not keep every round on the shared folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -101,3 +101,13 @@ def test_orphan_check_counts_rows_not_keys(spark):
     assert row.violations == 3   # two rows with key 2, one with key 3; NULL is not an orphan
     none = _orphans("DQ-6", "x", child.filter("k = 1"), "k", parent, "id").first()
     assert none.violations == 0
+
+
+def test_grouped_orphan_checks_share_one_parent_pass(spark):
+    from tillwise.operators.quality import _orphans_by_parent
+    parent = spark.createDataFrame([(1,), (2,)], "id long")
+    a = spark.createDataFrame([(1,), (3,), (3,)], "k long")
+    b = spark.createDataFrame([(2,), (None,)], "k long")
+    rows = {r.check_name: r.violations
+            for r in _orphans_by_parent("DQ-6", [("a", a, "k"), ("b", b, "k")], parent, "id").collect()}
+    assert rows == {"a": 2, "b": 0}

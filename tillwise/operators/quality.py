@@ -46,17 +46,29 @@ def _duplicates(rule: str, name: str, df: DataFrame, key: Column) -> DataFrame:
     return _one(rule, name, keys.groupBy("_k").count().filter(F.col("count") > 1))
 
 
+def _orphans_by_parent(rule: str, checks: list[tuple[str, DataFrame, str]], parent: DataFrame,
+                       pk: str) -> DataFrame:
+    """Foreign-key checks that share a parent, in one anti join: child rows
+    are counted per (check, key) (partial aggregation, so distinct keys are
+    shuffled, not rows, and hot keys combine map-side), the parent is
+    shuffled once for all of them, and orphan counts are summed per check.
+    One row per check, zero when nothing is orphaned."""
+    per_key = None
+    for name, child, fk in checks:
+        part = (child.select(F.lit(name).alias("_check"), F.col(fk).alias("_fk"))
+                .filter(F.col("_fk").isNotNull()))
+        per_key = part if per_key is None else per_key.unionByName(part)
+    counted = per_key.groupBy("_check", "_fk").agg(F.count(F.lit(1)).alias("_n"))
+    orphans = counted.join(parent.select(F.col(pk).alias("_fk")), "_fk", "left_anti")
+    sums = orphans.groupBy("_check").agg(F.sum("_n").alias("_v"))
+    names = parent.sparkSession.createDataFrame([(n,) for n, _, _ in checks], "_check string")
+    return names.join(F.broadcast(sums), "_check", "left").select(
+        F.lit(rule).alias("rule"), F.col("_check").alias("check_name"),
+        F.coalesce(F.col("_v"), F.lit(0)).cast("bigint").alias("violations"))
+
+
 def _orphans(rule: str, name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Child rows whose key has no parent.  Rows are first counted per key
-    (partial aggregation, so the anti join shuffles distinct keys, not
-    rows, and a hot key is combined map-side); the orphan keys' counts are
-    then summed."""
-    per_key = (child.select(F.col(fk).alias("_fk")).filter(F.col("_fk").isNotNull())
-               .groupBy("_fk").agg(F.count(F.lit(1)).alias("_n")))
-    p = parent.select(F.col(pk).alias("_fk"))
-    orphans = per_key.join(p, "_fk", "left_anti")
-    return orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("violations")).select(
-        F.lit(rule).alias("rule"), F.lit(name).alias("check_name"), "violations")
+    return _orphans_by_parent(rule, [(name, child, fk)], parent, pk)
 
 
 def _too_long(c: str) -> Column:
@@ -107,12 +119,12 @@ def data_quality(t: Tables, as_of: dt.date) -> DataFrame:
         _duplicates("DQ-5", "user.username unique", u, norm_key(F.col("username"))),
         _duplicates("DQ-5", "product.barcode unique", p, norm_key(F.col("barcode"))),
         _orphans("DQ-6", "product -> category", p, "category_id", c, "category_id"),
-        _orphans("DQ-6", "orders -> customer", o, "customer_id", u, "user_id"),
-        _orphans("DQ-6", "orders -> cashier", o, "cashier_id", u, "user_id"),
+        _orphans_by_parent("DQ-6", [("orders -> customer", o, "customer_id"),
+                                    ("orders -> cashier", o, "cashier_id")], u, "user_id"),
         _orphans("DQ-6", "order_items -> orders", i, "order_id", o, "order_id"),
-        _orphans("DQ-6", "order_items -> product", i, "product_id", p, "product_id"),
-        _orphans("DQ-6", "stock_log -> product", led, "product_id", p, "product_id"),
-        _orphans("DQ-6", "notification -> product", alerts, "product_id", p, "product_id"),
+        _orphans_by_parent("DQ-6", [("order_items -> product", i, "product_id"),
+                                    ("stock_log -> product", led, "product_id"),
+                                    ("notification -> product", alerts, "product_id")], p, "product_id"),
         _one("DQ-9", "orders have items",
              o.select("order_id").join(i.select("order_id").distinct(), "order_id", "left_anti")),
     ]

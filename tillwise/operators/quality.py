@@ -60,11 +60,10 @@ def _orphans_by_parent(rule: str, checks: list[tuple[str, DataFrame, str]], pare
         per_key = part if per_key is None else per_key.unionByName(part)
     counted = per_key.groupBy("_check", "_fk").agg(F.count(F.lit(1)).alias("_n"))
     orphans = counted.join(parent.select(F.col(pk).alias("_fk")), "_fk", "left_anti")
-    sums = orphans.groupBy("_check").agg(F.sum("_n").alias("_v"))
-    names = parent.sparkSession.createDataFrame([(n,) for n, _, _ in checks], "_check string")
-    return names.join(F.broadcast(sums), "_check", "left").select(
-        F.lit(rule).alias("rule"), F.col("_check").alias("check_name"),
-        F.coalesce(F.col("_v"), F.lit(0)).cast("bigint").alias("violations"))
+    zeros = parent.sparkSession.createDataFrame([(n, 0) for n, _, _ in checks], "_check string, _n long")
+    return (orphans.select("_check", "_n").unionByName(zeros)
+            .groupBy("_check").agg(F.sum("_n").cast("bigint").alias("violations"))
+            .select(F.lit(rule).alias("rule"), F.col("_check").alias("check_name"), "violations"))
 
 
 def _orphans(rule: str, name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:

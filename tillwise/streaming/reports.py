@@ -14,8 +14,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,11 @@ from tillwise.session import scratch_path
 from tillwise.sources.tables import Tables
 from tillwise.streaming.feed import batch_sink, latest_per_key, run_as_feed
 
+# The stateful function runs in executors' Python workers: ship its code
+# with the job (it needs only numpy and pandas there), so executors do not
+# need this package installed or on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SUM_MONEY = T.DecimalType(22, 2)
 WATERMARK = "1 day"
 

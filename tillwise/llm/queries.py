@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import oracle_sql as O
-from tillwise.llm import chat, mixing, quality_rules, sharding
+from tillwise.llm import chat, mixing, quality_rules, sharding, simhash
 from tillwise.llm.words import word_count
 from tillwise.plans.lineage import cut_lineage
 from tillwise.session import scratch_path
@@ -40,6 +40,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFr
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select(
+        "doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(
@@ -63,5 +68,7 @@ QUERIES = {
     "op2_mixing": (op2_mixing, None),
     # the slots hang on Spark's hash: checked by its law in tests
     "op5_sharding": (op5_sharding, None),
+    # XXH64 fingerprints have no SQL form: checked against brute force in tests
+    "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op10_chat_formatting": (op10_chat_formatting, O.OP10_CHAT_FORMATTING),
 }

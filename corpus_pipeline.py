@@ -1,10 +1,17 @@
-"""Training-data pipeline over ``documents``: an ordered list of stages."""
+"""Training-data pipeline over ``documents``: an ordered list of stages.
+
+Each stage takes what its predecessor kept and calls one operator of
+``tillwise.llm``; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillwise.llm import quality_rules
+from tillwise.llm import mixing, packing, quality_rules, simhash
+from tillwise.llm.words import word_count
+from tillwise.session import scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +19,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: 4-word shingles,
+    fingerprints within 4 bits."""
+    return simhash.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The draw of the sources' target weights: a document comes as often as
+    it is drawn (up to twice), or not at all."""
+    return mixing.draws(mixing.mix(docs, word_count(F.col("text"))))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences along the curve, one row per piece, ids included."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_duplicates), ("mixing", mixture),
+          ("packing", pack)]
 
-# Later stages depend on seeded draws and on a public vocabulary: no SQL form.
+# Seeded draws, XXH64 fingerprints and a public vocabulary have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the
+    shared scratch folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

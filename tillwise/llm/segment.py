@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # --- fixed values: the ASCII blanks ----------------------------------------------
 _BLANK = np.zeros(256, dtype=bool)
@@ -47,7 +48,7 @@ class Words:
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of up to ``most`` bytes together (one text at least)."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     ends = np.cumsum(size.astype(np.int64))
     at = 0
     while at < len(texts):
@@ -58,7 +59,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
 
 def split(texts: pa.Array, lower: bool = False) -> Words:
     """Words of the texts (null: none), in order."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = np.frombuffer(data, dtype=np.uint8)[at[0]:at[-1]] if data is not None else np.array([], np.uint8)

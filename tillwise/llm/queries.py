@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import oracle_sql as O
-from tillwise.llm import chat, mixing, packing, quality_rules, sharding, simhash
+from tillwise.llm import chat, lm_score, mixing, packing, quality_rules, sharding, simhash
 from tillwise.llm.words import word_count
 from tillwise.plans.lineage import cut_lineage
 from tillwise.session import scratch_path
@@ -45,6 +45,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFr
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents").select("doc_id", "text"),
+                          lm_score.held_out(F.col("doc_id")))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select(
         "doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -75,6 +80,8 @@ QUERIES = {
     "op4_packing": (op4_packing, None),
     # the slots hang on Spark's hash: checked by its law in tests
     "op5_sharding": (op5_sharding, None),
+    # filter probes have no SQL form: base checked exactly, the model against exact counts in tests
+    "op6_lm_scoring": (op6_lm_scoring, None),
     # XXH64 fingerprints have no SQL form: checked against brute force in tests
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
     "op10_chat_formatting": (op10_chat_formatting, O.OP10_CHAT_FORMATTING),

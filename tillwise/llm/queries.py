@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import oracle_sql as O
-from tillwise.llm import chat, lm_score, mixing, packing, quality_rules, sharding, simhash
+from tillwise.llm import ann, chat, lm_score, mixing, packing, quality_rules, sharding, simhash
 from tillwise.llm.words import word_count
 from tillwise.plans.lineage import cut_lineage
 from tillwise.session import scratch_path
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("size") * F.size("shards")).cast("bigint").alias("taken"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_quality_rules": (op1_quality_rules, O.OP1_QUALITY_RULES),
     # seeded draws have no SQL form: checked against quotas and targets in tests
     "op2_mixing": (op2_mixing, None),
+    "op3_nearest_neighbours": (op3_nearest_neighbours, O.OP3_NEAREST_NEIGHBOURS),
     # public vocabulary: checked by an exact round trip in tests
     "op4_packing": (op4_packing, None),
     # the slots hang on Spark's hash: checked by its law in tests

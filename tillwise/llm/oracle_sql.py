@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillwise.llm import licenses as L
 from tillwise.llm.quality_rules import STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -77,3 +78,32 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
        vec_id, score
 FROM s QUALIFY rank <= 20
 """
+
+
+def _canonical_sql(text: str) -> str:
+    plain = f"lower(coalesce({text}, ''))"
+    for line in (L.COPYRIGHT_LINE, L.RESERVED_LINE):
+        plain = f"regexp_replace({plain}, '{line}', '', 'g')"
+    for other, usual in L.SPELLINGS.items():
+        plain = f"replace({plain}, '{other}', '{usual}')"
+    return f"trim(regexp_replace({plain}, '{L.PUNCTUATION}', ' ', 'g'), ' ')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP9_LICENSE_SCANS = f"""
+WITH known AS (
+  SELECT sha256({_canonical_sql('text')}) AS digest, min(license) AS license
+  FROM (VALUES {', '.join(f'({_quoted(n)}, {_quoted(t)})' for n, t in L.KNOWN)}) AS k(license, text) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text, sha256({_canonical_sql('text')}) AS digest FROM documents),
+l AS (
+  SELECT rid, sha256({_canonical_sql('line')}) AS line_digest
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+n AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+      FROM l JOIN known ON line_digest = digest GROUP BY rid)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices
+FROM d LEFT JOIN known USING (digest) LEFT JOIN n USING (rid)
+"""

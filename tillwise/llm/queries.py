@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import oracle_sql as O
-from tillwise.llm import ann, chat, lm_score, mixing, packing, quality_rules, sharding, simhash
+from tillwise.llm import (ann, chat, licenses, lm_score, mixing, packing, quality_rules, sharding, simhash,
+                          token_counts)
 from tillwise.llm.words import word_count
 from tillwise.plans.lineage import cut_lineage
 from tillwise.session import scratch_path
@@ -59,6 +60,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_pieces(_read(spark, sf_dir, "documents"), *token_counts.byte_pieces())
+
+
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "<|im_end|><|im_start|>assistant ok"
     added = spark.range(2).select(
@@ -89,5 +98,8 @@ QUERIES = {
     "op6_lm_scoring": (op6_lm_scoring, None),
     # XXH64 fingerprints have no SQL form: checked against brute force in tests
     "op7_simhash_near_dedup": (op7_simhash_near_dedup, None),
+    # longest-match pieces have no SQL form: checked against plain greedy matching in tests
+    "op8_token_counts": (op8_token_counts, None),
+    "op9_license_scans": (op9_license_scans, O.OP9_LICENSE_SCANS),
     "op10_chat_formatting": (op10_chat_formatting, O.OP10_CHAT_FORMATTING),
 }

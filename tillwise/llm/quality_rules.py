@@ -99,9 +99,12 @@ def repeat_words(hashes: Column) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``_m`` holding all counts and ratios."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    split = docs.withColumn("_w", words(F.col(text_col)))
+    """Each row of ``docs`` as struct ``_row`` and a struct ``_m`` with all
+    counts and ratios of its text."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                       F.col(f"`{text_col}`").alias("_text"))
+    split = rows.withColumn("_w", words(F.col("_text")))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" \t\n\x0b\f\r")) != "")
     counts = split.select(
         "*",
@@ -124,7 +127,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.col("_bangs") / n).alias("exclamations_per_word"), (F.col("_capitals") / chars).alias("capital_ratio"),
         (F.col("_stops") / n).alias("stop_word_ratio"),
         (F.col("_lines.dup") / F.greatest(F.col("_lines.n"), F.lit(1))).alias("duplicate_line_ratio"))
-    return counts.select(*docs.columns, m.alias("_m"))
+    return counts.select("_row", m.alias("_m"))
 
 
 def _fails(rule: Rule) -> Column:
@@ -142,19 +145,19 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     ``base_failed``: under 50 words, or more than half of the words in
     repeated 3-word windows.  ``kept``: the base holds and no rule fails.
     """
-    carried = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in OUTPUT])
-    m = measures(carried, text_col)
+    m = measures(docs, text_col)
     base = (F.col("_m.n_words") < MIN_WORDS) | (
         100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_m.n_words"))
     failed = F.array_compact(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in rules]))
-    judged = m.select(*carried.columns, "_m", base.alias("base_failed"), failed.alias("failed_rules"))
+    judged = m.select("_row", "_m", base.alias("base_failed"), failed.alias("failed_rules"))
+    carried = [F.col(f"_row.`{c}`") for c in docs.columns if c not in OUTPUT]
     return judged.select(
-        *carried.columns, *[F.col(f"_m.{c}").alias(c) for c in OUTPUT[:5]], "base_failed",
+        *carried, *[F.col(f"_m.{c}").alias(c) for c in OUTPUT[:5]], "base_failed",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    judged = apply_rules(row.select("_row", F.col(f"_row.{text_col}").alias("_text")), rules, "_text")
-    return judged.filter("kept").select("_row.*")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept_row"),
+                      F.col(f"`{text_col}`").alias("_kept_text"))
+    return apply_rules(row, rules, "_kept_text").filter("kept").select("_kept_row.*")

@@ -30,7 +30,8 @@ def write_layout(t: Tables, root: str, buckets: int, prefix: str = "tw_") -> dic
     names = {}
     for table, key in BUCKET_KEYS.items():
         name = f"{prefix}{table}"
-        (t.raw(table).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        # dealt by the bucket key first: one file per bucket, not one per task and bucket
+        (t.raw(table).repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
          .option("path", os.path.join(root, table)).saveAsTable(name))
         names[table] = name
     return names

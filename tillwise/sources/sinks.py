@@ -14,14 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def append_facts(df: DataFrame, path: str, time_col: str, sort_by: str | None = None) -> None:
-    """Append rows partitioned by ``yyyy-MM`` of ``time_col``; rows are
-    clustered by (month[, sort_by]) inside each task so every month folder
-    gets few files with tight Parquet statistics."""
+def append_facts(df: DataFrame, path: str, time_col: str, sort_by: str | None = None,
+                 batch_id: int | str | None = None) -> None:
+    """Append rows partitioned by ``yyyy-MM`` of ``time_col``.
+
+    Rows are range-partitioned by (month, ``sort_by``), so a large month is
+    written by several tasks with tight Parquet statistics each, and small
+    months share one.  With ``batch_id`` the rows go to that batch's own
+    folder, replacing what an earlier attempt left there; without it they are
+    appended, and a repeated call repeats them."""
     out = df.withColumn("month", F.date_format(F.col(time_col), "yyyy-MM"))
     order = ["month"] + ([sort_by] if sort_by else [])
-    (out.repartition("month").sortWithinPartitions(*order)
-     .write.mode("append").partitionBy("month").parquet(path))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    if batch_id is not None:
+        path = os.path.join(path, f"batch_id={batch_id}")
+    out.write.mode("append" if batch_id is None else "overwrite").partitionBy("month").parquet(path)
 
 
 def write_snapshot(df: DataFrame, base: str, version: int) -> str:

@@ -22,22 +22,25 @@ def list_categories(t: Tables) -> DataFrame:
     return t.category.select("category_id", "category_name").orderBy("category_name")
 
 
-def _with_category(t: Tables, p: DataFrame) -> DataFrame:
-    return p.join(t.category_lookup, "category_id")
+def _category_name(t: Tables, category_id: int):
+    """The name of a category id (a lookup in the small stored table), so the
+    filter can go to the product type and with it to the scan."""
+    row = t.category_lookup.filter(F.col("category_id") == F.lit(category_id)).first()
+    return row.category_name if row else None
 
 
 def product_catalog(t: Tables, as_of: dt.date, category=None, search: str | None = None,
                     sellable: bool = False) -> DataFrame:
     """Active products with category name and days to expiry, by name."""
-    p = t.product.filter(F.col("is_active"))
+    p = t.product_named.filter(F.col("is_active"))
     if sellable:
         p = p.filter(F.col("stock_qty") > 0).filter(
             F.col("expiry_date").isNull() | (F.col("expiry_date") >= F.lit(as_of)))
     if category is not None:
-        p = p.filter(F.col("category_id") == F.lit(category))
+        p = p.filter(F.col("category_name") == F.lit(_category_name(t, category)))
     if search:
         p = p.filter(S.contains_ci(F.col("name"), search) | S.contains_ci(F.col("barcode"), search))
-    out = _with_category(t, p).select(
+    out = p.select(
         *PRODUCT_COLS, "category_name",
         S.days_until(F.col("expiry_date"), as_of).alias("days_to_expiry"))
     return out.orderBy("name", "product_id")
@@ -45,9 +48,9 @@ def product_catalog(t: Tables, as_of: dt.date, category=None, search: str | None
 
 def sellable_products(t: Tables, as_of: dt.date) -> DataFrame:
     """The cashier's view: active, in stock, not expired."""
-    p = (t.product.filter(F.col("is_active")).filter(F.col("stock_qty") > 0)
+    p = (t.product_typed.filter(F.col("is_active")).filter(F.col("stock_qty") > 0)
          .filter(F.col("expiry_date").isNull() | (F.col("expiry_date") >= F.lit(as_of))))
-    return _with_category(t, p).select(
+    return p.select(
         "product_id", "barcode", "name", "price", "stock_qty", "warning_label",
         "category_name", S.days_until(F.col("expiry_date"), as_of).alias("days_to_expiry"))
 
@@ -62,25 +65,25 @@ def expiring_products(t: Tables, as_of: dt.date, days: int = 30) -> DataFrame:
 
 def expiry_alerts(t: Tables, as_of: dt.date, days: int = 30, n: int | None = None) -> DataFrame:
     """In-stock products expiring within ``days`` days, soonest first."""
-    p = (t.product.filter(F.col("expiry_date").isNotNull())
+    p = (t.product_typed.filter(F.col("expiry_date").isNotNull())
          .filter(F.col("expiry_date") >= F.lit(as_of))
          .filter(F.col("expiry_date") <= F.lit(as_of + dt.timedelta(days=days)))
          .filter(F.col("stock_qty") > 0))
-    out = _with_category(t, p).select(
+    out = p.select(
         "product_id", "name", "stock_qty", "expiry_date",
         S.days_until(F.col("expiry_date"), as_of).alias("days_remaining"), "category_name")
     out = out.orderBy("days_remaining", "product_id")
-    return out.limit(n) if n else out
+    return out if n is None else out.limit(n)
 
 
 def product_by_id(t: Tables, ids: DataFrame | int) -> DataFrame:
     """Point lookups: one id, or a batch of ids (a DataFrame with
     ``product_id``) resolved with a semi join."""
     if isinstance(ids, int):
-        p = t.product.filter(F.col("product_id") == F.lit(ids))
+        p = t.product_named.filter(F.col("product_id") == F.lit(ids))
     else:
-        p = t.product.join(ids.select("product_id").distinct(), "product_id", "left_semi")
-    return _with_category(t, p).select(*PRODUCT_COLS, "category_name")
+        p = t.product_named.join(ids.select("product_id").distinct(), "product_id", "left_semi")
+    return p.select(*PRODUCT_COLS, "category_name")
 
 
 def stock_status(t: Tables) -> DataFrame:
@@ -122,7 +125,7 @@ def search_customers(t: Tables, search: str | None, n: int = 20) -> DataFrame:
 
 def scalar_functions(t: Tables, as_of: dt.date) -> DataFrame:
     """The reference's scalar function surface applied to every product."""
-    p = _with_category(t, t.product)
+    p = t.product_typed
     days = S.days_until(F.col("expiry_date"), as_of)
     return p.select(
         "product_id",

@@ -46,9 +46,8 @@ def _sales_by_product(items: DataFrame) -> DataFrame:
 
 
 def _by_category(t: Tables, per_product: DataFrame) -> DataFrame:
-    prod = t.product.select("product_id", "category_id")
+    prod = t.product_typed.select("product_id", "category_name")
     return (per_product.join(prod, "product_id")
-            .join(t.category_lookup, "category_id")
             .groupBy("category_name")
             .agg(F.sum("units").cast("bigint").alias("units"),
                  S.sum_money(F.col("revenue")).alias("revenue")))
@@ -94,7 +93,7 @@ def _item_totals(t: Tables, with_orders: bool = False) -> DataFrame:
 def product_sales_summary(t: Tables) -> DataFrame:
     """Every product with lifetime units, revenue and distinct orders
     (unsold products report zeros), by revenue."""
-    p = t.product.join(t.category_lookup, "category_id").select(
+    p = t.product_typed.select(
         "product_id", F.col("name").alias("product_name"), "category_name",
         F.col("price").alias("current_price"), F.col("stock_qty").alias("current_stock"))
     out = p.join(_item_totals(t, with_orders=True), "product_id", "left").select(
@@ -252,10 +251,9 @@ def clearance_candidates(t: Tables, as_of: dt.date, days: int = 30, n: int | Non
     since = as_of - dt.timedelta(days=days)
     recent_orders_ = t.sales_orders.filter(F.col("order_date") >= F.lit(since)).select("order_id")
     sold = t.order_items.select("order_id", "product_id").join(recent_orders_, "order_id", "left_semi")
-    p = (t.product.filter(F.col("stock_qty") > 0).filter(F.col("is_active"))
+    p = (t.product_typed.filter(F.col("stock_qty") > 0).filter(F.col("is_active"))
          # distinct: the anti join then shuffles sold product ids, not lines
          .join(sold.select("product_id").distinct(), "product_id", "left_anti")
-         .join(t.category_lookup, "category_id")
          .select("product_id", "name", "stock_qty", "price", "expiry_date", "category_name")
          .orderBy(F.col("expiry_date").asc_nulls_first(), "product_id"))
-    return p.limit(n) if n else p
+    return p if n is None else p.limit(n)

@@ -12,10 +12,10 @@ class BroadcastBoundExceeded(ValueError):
 
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Return ``broadcast(df)`` after proving it holds at most ``max_rows``
-    rows.  The probe reads at most ``max_rows + 1`` rows.  Callers that have
+    rows (a plain count: partial counts are all that is sent to one task).  Callers that have
     an exact shuffle-based alternative catch :class:`BroadcastBoundExceeded`
     and take it."""
-    n = df.limit(max_rows + 1).count()
+    n = df.count()
     if n > max_rows:
         raise BroadcastBoundExceeded(f"{n} rows exceed broadcast bound {max_rows}")
     return F.broadcast(df)

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.plans.broadcast import BroadcastBoundExceeded, bounded_broadcast
+from tillwise.plans.lineage import cut_lineage
 from tillwise.sources import seeds
 
 MONEY = T.DecimalType(12, 2)
 MAX_CATEGORY_ROWS = 100_000
+ORDER_STATUSES = ("completed", "pending", "cancelled")
 
 RAW_SCHEMAS = {
     "part": T.StructType([
@@ -103,12 +105,21 @@ class Tables:
         DataFrames, e.g. inline fixtures in tests; the rest derive as usual."""
         t = cls(spark, root or "")
         t._raw_overrides = dict(raw or {})
+        t._given = frozenset(frames)
         for name, df in frames.items():
             t.__dict__[name] = df  # pre-fills the cached_property slot
         if "product" in frames and "product_base" not in frames:
             t.__dict__["product_base"] = frames["product"].drop("category_id")
         return t
 
+    def is_given(self, name: str) -> bool:
+        """Whether retail table ``name`` was handed in (see from_frames)."""
+        return name in getattr(self, "_given", ())
+
+    def is_stored(self) -> bool:
+        """Whether every table comes from the directory."""
+        return bool(self.root) and not getattr(self, "_given", ()) and not getattr(self, "_raw_overrides", {})
+
     # -- raw driver tables ---------------------------------------------------
     def raw(self, name: str) -> DataFrame:
         overrides = getattr(self, "_raw_overrides", {})
@@ -135,23 +146,40 @@ class Tables:
 
     @cached_property
     def category_lookup(self) -> DataFrame:
-        """The category dimension for joins: broadcast once its size is
-        checked (it is a small domain), so product rows are never shuffled
-        to meet it; past the bound, a plain join."""
+        """The category dimension for joins, written once per bundle and
+        broadcast once its size is checked (it is a small domain), so product
+        rows are never shuffled to meet it; past the bound, a plain join."""
+        category = cut_lineage(self.category)
         try:
-            return bounded_broadcast(self.category, MAX_CATEGORY_ROWS)
+            return bounded_broadcast(category, MAX_CATEGORY_ROWS)
         except BroadcastBoundExceeded:
-            return self.category
+            return category
 
     @cached_property
-    def product(self) -> DataFrame:
-        """Products with their category id (every product type is a category)."""
-        prod = self._product_rows()
+    def product_named(self) -> DataFrame:
+        """Products with category id and name: one scan, one small join.  A
+        filter on the name reaches the scan."""
         cat = self.category_lookup
+        if self.is_given("product"):
+            return self.product.join(cat, "category_id")
+        prod = self._product_rows()
         return (prod.join(cat, prod["_type"] == cat["category_name"])
                 .select("product_id", "barcode", "name", "price", "stock_qty",
                         "reorder_level", "expiry_date", "warning_label",
-                        "category_id", "is_active"))
+                        "category_id", "is_active", prod["_type"].alias("category_name")))
+
+    @cached_property
+    def product(self) -> DataFrame:
+        """Products with their category id (every product type is a category)."""
+        return self.product_named.drop("category_name")
+
+    @cached_property
+    def product_typed(self) -> DataFrame:
+        """Products with their category name, for operators that never show
+        the id: the name stands in the product row, so nothing is joined."""
+        if self.is_given("product"):
+            return self.product_named.drop("category_id")
+        return self._product_rows().withColumnRenamed("_type", "category_name")
 
     @cached_property
     def product_base(self) -> DataFrame:
@@ -220,6 +248,11 @@ class Tables:
     def orders_in_status(self, *statuses: str) -> DataFrame:
         """Orders restricted to the given statuses, with the restriction
         stated on the raw status code so Parquet can skip row groups."""
+        unknown = set(statuses) - set(ORDER_STATUSES)
+        if unknown or not statuses:
+            raise ValueError(f"order status must be one of {ORDER_STATUSES}, not {sorted(unknown)}")
+        if self.is_given("sales_orders"):
+            return self.sales_orders.filter(F.col("status").isin(*statuses))
         codes = {"completed": ["F"], "pending": ["O"]}
         raw = self.raw("orders")
         code = F.col("o_orderstatus")

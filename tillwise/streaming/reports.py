@@ -157,7 +157,7 @@ def stream_low_stock(t: Tables, as_of: dt.date) -> DataFrame:
 # -- ST-3 ----------------------------------------------------------------------
 def category_revenue_stream(t: Tables, lines: DataFrame) -> DataFrame:
     completed = t.orders_in_status("completed").select("order_id")
-    dim = t.product.select("product_id", "category_id").join(t.category_lookup, "category_id")
+    dim = t.product_typed.select("product_id", "category_name")
     return (lines.join(completed, "order_id", "left_semi").join(dim, "product_id")
             .groupBy("category_name")
             .agg(F.sum("qty_sold").alias("units"), sum_money(F.col("line_total")).alias("revenue")))

@@ -138,7 +138,8 @@ def test_hot_cart_round_trips_through_bounded_pieces(spark):
         F.lit(7).cast("long").alias("order_id"), (F.col("id") * 3 + 1).alias("product_id"),
         (F.col("id") % 4 + 1).cast("int").alias("line_no"), F.lit(2).alias("qty_sold"),
         F.lit(Decimal("1.00")).alias("unit_price"), F.lit(Decimal("2.00")).alias("line_total"))
-    t = Tables.from_frames(spark, order_items=items)
+    orders = spark.createDataFrame([(7,)], "order_id long")
+    t = Tables.from_frames(spark, order_items=items, sales_orders=orders)
     js = derived.cart_json(t)
     assert js.count() == -(-n // derived.CART_PIECE)
     parsed = {(r.pos, r.product_id) for r in billing.parse_carts(js).collect()}

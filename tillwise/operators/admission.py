@@ -5,16 +5,21 @@ by every later order sharing a product.  Instead of replaying orders one by
 one, each round bounds, for every undecided order line, the quantity of the
 same product already taken by earlier orders:
 
-* ``lower`` = Σ qty of earlier *accepted* lines,
-* ``upper`` = Σ qty of earlier accepted *and undecided* lines.
+* ``lower`` = sum of the quantities of earlier *accepted* lines,
+* ``upper`` = that sum over earlier accepted *and undecided* lines.
 
 An order is accepted when every line fits even at ``upper`` and rejected when
 some line does not fit even at ``lower``.  Since lower <= truth <= upper the
 decisions equal the sequential replay; the earliest undecided order always has
 lower == upper, so every round decides at least one order (in practice a
-large share).  Prefix sums use range-chunked running sums, each round's state
-is checkpointed under ``spark.checkpoint.dir`` (reliable, survives executor
-loss) and products with nothing undecided leave the working set.
+large share).  The number of rounds follows the longest chain of orders that
+share products, so a round is kept cheap: lines lie in range chunks along
+(product, time) and stay hash-partitioned by (product, chunk) in every round;
+one aggregate per chunk gives both the chunk's offsets and whether anything
+is still undecided from it on, and chunks without such lines leave the work.
+A hot product is spread over its chunks and nothing is joined by the product
+alone.  Each round writes one reliable checkpoint under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tillwise.operators import billing
@@ -32,17 +37,18 @@ from tillwise.sources import derived as D
 from tillwise.sources import sinks
 from tillwise.sources.tables import Tables
 
-DECISION_COLS = ["order_id", "decision", "reason", "decided_round"]
+DECISION_COLS = ["order_id", "decision", "reason", "failing_product_id", "available", "decided_round"]
 
 
 def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame) -> DataFrame:
     """Opening stock plus every accepted restock at or before the order's
     time (restocks sort before sales at the same instant)."""
-    ev_lines = lines.select("order_id", "product_id", "qty", "order_date",
+    ev_lines = lines.select("order_id", "product_id", "qty", "_cart", "order_date",
                             F.col("order_date").alias("_ts"), F.lit(2).alias("_kind"),
                             F.lit(0).alias("_add"))
     ev_rs = restocks.select(F.lit(None).cast("bigint").alias("order_id"), "product_id",
-                            F.lit(0).alias("qty"), F.lit(None).cast("timestamp_ntz").alias("order_date"),
+                            F.lit(0).alias("qty"), F.lit(0).cast("bigint").alias("_cart"),
+                            F.lit(None).cast("timestamp_ntz").alias("order_date"),
                             F.col("request_ts").alias("_ts"), F.lit(1).alias("_kind"),
                             F.col("qty").alias("_add"))
     ev = ev_lines.unionByName(ev_rs)
@@ -51,73 +57,101 @@ def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame) -
     run = chunked_running_sum(ev, "product_id", F.col("_rchunk"), order,
                               {"_restocked": F.col("_add").cast("bigint")})
     return (run.filter(F.col("_kind") == 2).join(opening, "product_id", "left")
-            .select("order_id", "product_id", "qty", "order_date",
+            .select("order_id", "product_id", "qty", "_cart", "order_date",
                     (F.coalesce(F.col("opening_qty"), F.lit(0)) + F.col("_restocked")).alias("supply")))
 
 
+def _open_lines(work: DataFrame, seq: list) -> DataFrame:
+    """The round's lines with ``lower`` and ``upper``, without the chunks
+    from which on nothing is undecided.  ``work`` is partitioned by
+    (product, chunk)."""
+    taken = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
+    rows = work.withColumn("_a", taken).withColumn("_q", F.col("qty").cast("bigint"))
+    totals = rows.groupBy("product_id", "_rchunk").agg(
+        F.sum("_a").alias("_a"), F.sum("_q").alias("_q"),
+        F.count_if(F.col("state") == "U").alias("_u"))
+    by_chunk = Window.partitionBy("product_id").orderBy("_rchunk")
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "product_id", "_rchunk", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_oa"),
+        F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_oq"),
+        F.sum("_u").over(by_chunk.rowsBetween(0, Window.unboundedFollowing)).alias("_open"))
+    inner = Window.partitionBy("product_id", "_rchunk").orderBy(*seq).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.select("*", F.coalesce(F.sum("_a").over(inner), F.lit(0)).alias("_wa"),
+                         F.coalesce(F.sum("_q").over(inner), F.lit(0)).alias("_wq"))
+    return within.join(offsets.filter("_open > 0"), ["product_id", "_rchunk"]).select(
+        *work.columns, (F.col("_oa") + F.col("_wa")).alias("lower"), (F.col("_oq") + F.col("_wq")).alias("upper"))
+
+
+def _reject_detail(lines: DataFrame, decisions: DataFrame, seq: list) -> DataFrame:
+    """For orders short of stock: the first failing line in cart order and
+    the quantity that was available to it."""
+    d = lines.join(decisions.select("order_id", "decision"), "order_id")
+    taken = F.when(F.col("decision") == "accepted", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
+    sums = chunked_running_sum(d, "product_id", F.col("_rchunk"), seq, {"_taken": taken}, inclusive=False)
+    left = F.col("supply") - F.col("_taken")
+    short = sums.filter((F.col("decision") == "rejected") & (left < F.col("qty")))
+    return short.groupBy("order_id").agg(F.min_by(
+        F.struct("product_id", left.alias("available")), F.struct("_cart", "product_id")).alias("_f")).select(
+        "order_id", F.col("_f.product_id").alias("failing_product_id"), F.col("_f.available").alias("available"))
+
+
 def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame,
-               restocks: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Decide every order: ``accepted`` or ``rejected`` with a reason.
-    Stock-independent reasons (missing input, customer, unknown product,
-    expired on the order date) come from :func:`billing.validate_carts`."""
-    lines = cut_lineage(lines)  # read by validation, the work set and the outputs
-    static = billing.validate_carts(t, lines, headers, None, check_stock=False)
-    static_rej = static.filter(F.col("status") == "rejected").select(
-        "order_id", F.lit("rejected").alias("decision"), "reason", F.lit(0).alias("decided_round"))
+               restocks: DataFrame) -> DataFrame:
+    """Decide every order: ``accepted``, or ``rejected`` with a reason, the
+    first failing product in cart order and (for short stock) the quantity
+    available to it.  Stock-independent reasons (missing input, customer,
+    unknown product, expired on the order date) come from
+    :func:`billing.validate_carts`.  ``lines`` should be materialised; the
+    rounds run, as jobs, while the result is being built."""
+    static = cut_lineage(billing.validate_carts(t, lines, headers, None, check_stock=False))
     ok = static.filter(F.col("status") == "ok").select("order_id")
-    work = (lines.select("order_id", "product_id", "qty")
+    cart_order = F.col("pos") if "pos" in lines.columns else F.col("first_line")
+    work = (lines.select("order_id", "product_id", "qty", cart_order.cast("bigint").alias("_cart"))
             .join(ok, "order_id", "left_semi")
             .join(headers.select("order_id", "order_date"), "order_id"))
-    work = (supply_per_line(work, opening, restocks)
-            .withColumn("state", F.lit("U")).withColumn("decided_round", F.lit(None).cast("int")))
+    work = supply_per_line(work, opening, restocks)
     # Range chunks along (product, order time) are assigned once and kept:
     # dropping decided lines later never breaks their contiguity.
     seq = [F.col("order_date"), F.col("order_id")]
     work = assign_range_chunks(work, "product_id", seq)
-    work = cut_lineage(work.repartition("product_id", "_rchunk"))
-    retired = []  # lines whose product has nothing undecided left: final states
-    rnd = 0
-    while True:
+    every_line = work = cut_lineage(
+        work.withColumn("state", F.lit("U")).withColumn("decided_round", F.lit(None).cast("int"))
+        .repartition("product_id", "_rchunk"))
+    decided = every_line.filter("false").select("order_id", "state", "decided_round")
+    rnd, undecided = 0, None
+    while undecided != 0:
         rnd += 1
-        taken_a = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
-        sums = chunked_running_sum(work, "product_id", F.col("_rchunk"), seq,
-                                   {"lower": taken_a, "upper": F.col("qty").cast("bigint")},
-                                   inclusive=False, prepartitioned=True)
+        sums = _open_lines(work, seq)
         verdict = (sums.filter(F.col("state") == "U").groupBy("order_id").agg(
             F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("fits_all"),
             F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("fails_one"))
-            .select("order_id", F.when(F.col("fits_all"), "A").when(F.col("fails_one"), "R").alias("new")))
-        decided_now = (F.col("state") == "U") & F.col("new").isNotNull()
+            .select(F.col("order_id").alias("_o"),
+                    F.when(F.col("fits_all"), "A").when(F.col("fails_one"), "R").alias("new")))
         counter = Observation(f"admission-round-{rnd}")
-        work = (work.join(verdict, "order_id", "left")
-                .withColumn("decided_round", F.when(decided_now, F.lit(rnd)).otherwise(F.col("decided_round")))
-                .withColumn("state", F.when(decided_now, F.col("new")).otherwise(F.col("state")))
-                .drop("new")
+        # rejected lines take nothing and leave; accepted ones still count
+        work = (sums.filter(F.col("state") != "R").drop("lower", "upper")
+                .join(verdict, (F.col("order_id") == F.col("_o")) & (F.col("state") == "U"), "left")
+                .withColumn("decided_round", F.when(F.col("new").isNotNull(), F.lit(rnd))
+                            .otherwise(F.col("decided_round")))
+                .withColumn("state", F.coalesce("new", "state")).drop("new", "_o")
                 .observe(counter, F.count_if(F.col("state") == "U").alias("undecided")))
-        work = cut_lineage(work)  # the checkpoint job also fills the counter
-        open_products = work.filter(F.col("state") == "U").select("product_id").distinct()
-        if counter.get["undecided"] == 0 or (max_rounds and rnd >= max_rounds):
-            retired.append(work)
-            break
-        flagged = work.join(open_products.withColumn("_open", F.lit(True)), "product_id", "left")
-        leaving = F.col("_open").isNull() | (F.col("state") == "R")
-        retired.append(flagged.filter(leaving).drop("_open"))
-        # Written once: the next round reads it from three branches.
-        work = cut_lineage(flagged.filter(~leaving).drop("_open").repartition("product_id", "_rchunk"))
-    lines_final = retired[0]
-    for r in retired[1:]:
-        lines_final = lines_final.unionByName(r)
-    # Every candidate order gets a row; with a round cap, orders still open
-    # are reported as undecided rather than dropped.
-    decided = (lines_final
-               .groupBy("order_id").agg(F.first("state").alias("state"),
-                                        F.first("decided_round").alias("decided_round"))
-               .select("order_id",
-                       F.when(F.col("state") == "A", "accepted").when(F.col("state") == "R", "rejected")
-                       .otherwise("undecided").alias("decision"),
-                       F.when(F.col("state") == "R", "short_stock").alias("reason"),
-                       "decided_round"))
-    return decided.unionByName(static_rej).select(*DECISION_COLS)
+        work = cut_lineage(work.repartition("product_id", "_rchunk"))  # also fills the counter
+        undecided = counter.get["undecided"]
+        decided = decided.unionByName(work.filter(F.col("decided_round") == rnd)
+                                      .select("order_id", "state", "decided_round"))
+    # an order's lines are all decided in the same round
+    decisions = cut_lineage(decided.groupBy("order_id").agg(
+        F.first("state").alias("_s"), F.first("decided_round").alias("decided_round")).select(
+        "order_id", F.when(F.col("_s") == "A", "accepted").otherwise("rejected").alias("decision"), "decided_round"))
+    detail = _reject_detail(every_line.drop("state", "decided_round"), decisions, seq)
+    by_stock = decisions.join(detail, "order_id", "left").select(
+        "order_id", "decision", F.when(F.col("decision") == "rejected", "short_stock").alias("reason"),
+        "failing_product_id", "available", "decided_round")
+    by_input = static.filter(F.col("status") == "rejected").select(
+        "order_id", F.lit("rejected").alias("decision"), "reason", "failing_product_id",
+        F.lit(None).cast("bigint").alias("available"), F.lit(0).alias("decided_round"))
+    return by_stock.unionByName(by_input).select(*DECISION_COLS)
 
 
 def admitted_sales(t: Tables, decisions: DataFrame, lines: DataFrame, headers: DataFrame) -> DataFrame:
@@ -129,39 +163,99 @@ def admitted_sales(t: Tables, decisions: DataFrame, lines: DataFrame, headers: D
                     F.col("qty").alias("qty_sold"), "cashier_id", "order_date"))
 
 
+#: Decided batches by (application, directory, date); see :func:`fixture_batch`.
+_DECIDED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def decide_fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
+    """(decisions, cart lines) of the registered batch, both checkpoints:
+    every order of the tables, opening stock p_size x 20 and the scheduled
+    restocks."""
+    lines = cut_lineage(D.cart_lines(t))
+    decisions = bill_batch(t, lines, D.cart_headers(t), D.opening_stock(t), billing.accepted_restocks(t, as_of))
+    return cut_lineage(decisions), lines
+
+
+def fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, cart lines, headers) of the registered batch.
+
+    A checkout is decided once and its outcome stored; the ledger, the alerts
+    and the reports read that.  So the outcome is kept for the session, per
+    directory and date (for bundles with given frames, per bundle).
+    :func:`forget` drops it after the directory's files have changed."""
+    memo = t.__dict__.setdefault("_batch", {}) if not t.is_stored() else _DECIDED
+    key = (t.spark.sparkContext.applicationId, t.root, as_of)
+    if key not in memo:
+        memo[key] = decide_fixture_batch(t, as_of)
+    return *memo[key], D.cart_headers(t)
+
+
+def forget(t: Tables) -> None:
+    for key in [k for k in _DECIDED if k[1] == t.root]:
+        del _DECIDED[key]
+
+
+def bill_fixture_batch(t: Tables, as_of: dt.date) -> DataFrame:
+    """Decisions of the registered batch, decided anew."""
+    return decide_fixture_batch(t, as_of)[0]
+
+
+def fixture_sales(t: Tables, as_of: dt.date) -> DataFrame:
+    """Sale rows of the registered batch: the accepted orders' lines."""
+    decisions, lines, heads = fixture_batch(t, as_of)
+    return admitted_sales(t, decisions, lines, heads)
+
+
+def admitted_items(t: Tables, as_of: dt.date) -> DataFrame:
+    """Lines of the accepted orders at current prices."""
+    sales = fixture_sales(t, as_of)
+    price = t.product_base.select("product_id", F.col("price").alias("unit_price"))
+    return sales.join(price, "product_id").select(
+        "order_id", "product_id", "line_no", "qty_sold", "unit_price",
+        (F.col("unit_price") * F.col("qty_sold")).cast("decimal(12,2)").alias("line_total"), "order_date")
+
+
+def admitted_orders(t: Tables, as_of: dt.date) -> DataFrame:
+    """Priced headers of the accepted orders."""
+    decisions, lines, heads = fixture_batch(t, as_of)
+    accepted = decisions.filter(F.col("decision") == "accepted").select("order_id")
+    priced = billing.price_carts(t, lines.join(accepted, "order_id", "left_semi"),
+                                 heads.join(accepted, "order_id", "left_semi"))
+    return priced.drop("status", "reason", "failing_product_id").join(heads.select("order_id", "order_date"), "order_id")
+
+
+def rejected_carts(t: Tables, as_of: dt.date) -> DataFrame:
+    """Rejected orders: reason, failing product, quantity available to it."""
+    return fixture_batch(t, as_of)[0].filter(F.col("decision") == "rejected").select(
+        "order_id", "reason", "failing_product_id", "available")
+
+
+def product_stock(t: Tables, as_of: dt.date) -> DataFrame:
+    """Products with the stock that the batch leaves: opening stock plus
+    accepted restocks minus admitted sales, from those inputs (not from the
+    ledger), one aggregate each."""
+    added = billing.accepted_restocks(t, as_of).groupBy("product_id").agg(F.sum("qty").alias("_in"))
+    sold = fixture_sales(t, as_of).groupBy("product_id").agg(F.sum("qty_sold").alias("_out"))
+    p = t.product_base.drop("stock_qty").join(D.opening_stock(t), "product_id").join(
+        added, "product_id", "left").join(sold, "product_id", "left")
+    stock = F.col("opening_qty") + F.coalesce("_in", F.lit(0)) - F.coalesce("_out", F.lit(0))
+    return p.select(*[c for c in t.product_base.columns if c != "stock_qty"], stock.cast("bigint").alias("stock_qty"))
+
+
 def bill_batch_outputs(t: Tables, as_of: dt.date) -> dict[str, DataFrame]:
     """The checkout's four outputs for the whole batch: priced accepted
     orders, their items at current prices, the stock ledger with the
     admitted sales, and the rejected orders with reasons."""
     from tillwise.operators import ledger as L
-    lines, heads = D.cart_lines(t), D.cart_headers(t)
-    decisions = bill_batch(t, lines, heads, D.opening_stock(t), billing.accepted_restocks(t, as_of))
-    accepted = decisions.filter(F.col("decision") == "accepted").select("order_id")
-    acc_lines = lines.join(accepted, "order_id", "left_semi")
-    price = t.product_base.select("product_id", F.col("price").alias("unit_price"))
-    items = acc_lines.join(price, "product_id").select(
-        "order_id", "product_id", F.col("pos").alias("line_no"), F.col("qty").alias("qty_sold"),
-        "unit_price", (F.col("unit_price") * F.col("qty")).cast("decimal(12,2)").alias("line_total"))
-    dated = heads.select("order_id", "order_date")
-    return {
-        "orders": billing.price_carts(t, acc_lines, heads).join(dated, "order_id"),
-        "items": items.join(dated, "order_id"),
-        "ledger": L.stock_ledger(t, as_of, sales=admitted_sales(t, decisions, lines, heads)),
-        "rejected": decisions.filter(F.col("decision") == "rejected"),
-    }
-
-
-def bill_fixture_batch(t: Tables, as_of: dt.date) -> DataFrame:
-    """The registered batch: every order of the tables, opening stock
-    p_size x 20 and the scheduled restocks."""
-    return bill_batch(t, D.cart_demand(t), D.cart_headers(t), D.opening_stock(t),
-                      billing.accepted_restocks(t, as_of))
+    return {"orders": admitted_orders(t, as_of), "items": admitted_items(t, as_of),
+            "ledger": L.stock_ledger(t, as_of), "rejected": rejected_carts(t, as_of)}
 
 
-def commit_outputs(outputs: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Append a batch's orders, items and ledger rows to month-partitioned
-    fact tables below ``root`` (the checkout's inserts, as one batch write
-    per table) and keep the rejected orders beside them."""
+def commit_outputs(outputs: dict[str, DataFrame], root: str, batch_id: int = 0) -> dict[str, str]:
+    """Write a batch's orders, items and ledger rows to month-partitioned
+    fact tables below ``root``, and the rejected orders beside them.  Every
+    table has one folder per batch, written with overwrite: a repeated
+    commit of the same batch replaces its rows and never doubles them."""
     paths = {}
     for name, time_col, sort_by in [("orders", "order_date", "order_id"),
                                      ("items", "order_date", "order_id"),
@@ -169,8 +263,8 @@ def commit_outputs(outputs: dict[str, DataFrame], root: str) -> dict[str, str]:
                                      ("rejected", None, None)]:
         path = os.path.join(root, name)
         if time_col is None:
-            outputs[name].write.mode("append").parquet(path)
+            outputs[name].write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
         else:
-            sinks.append_facts(outputs[name], path, time_col, sort_by=sort_by)
+            sinks.append_facts(outputs[name], path, time_col, sort_by=sort_by, batch_id=batch_id)
         paths[name] = path
     return paths

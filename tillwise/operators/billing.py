@@ -34,33 +34,42 @@ def split_status(df: DataFrame, ok: str = "accepted", col: str = "status") -> tu
 
 def parse_carts(carts_json: DataFrame, piece_size: int = D.CART_PIECE) -> DataFrame:
     """JSON cart pieces -> one row per item with its 0-based cart position
-    and the cart's item count (summed over pieces by an aggregate)."""
+    and the cart's item count (summed over pieces by an aggregate).  A null
+    or empty piece gives one row with reason ``missing_input``, one that is
+    not a JSON array a row with ``malformed``; no piece vanishes."""
+    length = F.json_array_length("items_json")
+    reason = F.when(F.col("items_json").isNull() | (length == 0), "missing_input").when(length.isNull(), "malformed")
     parsed = carts_json.select(
-        "order_id", "piece",
-        F.posexplode(F.from_json("items_json", CART_SCHEMA)).alias("local_pos", "item"))
-    sizes = carts_json.groupBy("order_id").agg(
-        F.sum(F.json_array_length("items_json")).cast("int").alias("n_items"))
+        "order_id", "piece", reason.alias("reason"),
+        F.posexplode_outer(F.when(reason.isNull(), F.from_json("items_json", CART_SCHEMA)))
+        .alias("local_pos", "item"))
+    sizes = carts_json.groupBy("order_id").agg(F.sum(F.coalesce(length, F.lit(0))).cast("int").alias("n_items"))
     return parsed.join(sizes, "order_id").select(
         "order_id", "n_items", (F.col("piece") * piece_size + F.col("local_pos")).cast("int").alias("pos"),
-        F.col("item.product_id").alias("product_id"), F.col("item.qty").alias("qty"))
+        F.col("item.product_id").alias("product_id"), F.col("item.qty").alias("qty"), "reason")
 
 
 def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str = "0.18") -> DataFrame:
     """Price every cart at current product prices: subtotal, discount,
-    tax rounded to the cent, total; payment mode defaults to cash."""
-    priced = lines.join(t.product_base.select("product_id", "price"), "product_id")
+    tax rounded to the cent, total; payment mode defaults to cash.  A cart
+    without lines (``missing_input``) or with a product that has no price
+    (``unknown_product``) is rejected and gets no total."""
+    priced = lines.join(t.product_base.select("product_id", "price"), "product_id", "left")
     per_order = priced.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        S.sum_money(F.col("price") * F.col("qty")).alias("subtotal"))
+        F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("price").isNull()).alias("_unknown"),
+        S.sum_money(F.col("price") * F.col("qty")).alias("_subtotal"))
     h = headers.select("order_id", "customer_id",
                        F.coalesce(F.col("discount"), F.lit(0).cast(MONEY)).alias("discount"),
                        F.coalesce(F.col("payment_mode"), F.lit("cash")).alias("payment_mode"))
+    reason = F.when(F.col("n_lines").isNull(), "missing_input").when(F.col("_unknown") > 0, "unknown_product")
+    j = h.join(per_order, "order_id", "left").withColumn("reason", reason).withColumn(
+        "subtotal", F.when(reason.isNull(), F.col("_subtotal")))
     net = F.col("subtotal") - F.col("discount")
     tax = F.round(net * F.lit(tax_rate).cast("decimal(4,2)"), 2)
-    return per_order.join(h, "order_id").select(
-        "order_id", "customer_id", "n_lines", "subtotal", "discount",
-        tax.cast(SUM_MONEY).alias("tax_amount"), (net + tax).cast(SUM_MONEY).alias("total_bill"),
-        "payment_mode")
+    return j.select(
+        "order_id", "customer_id", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), "subtotal",
+        "discount", tax.cast(SUM_MONEY).alias("tax_amount"), (net + tax).cast(SUM_MONEY).alias("total_bill"),
+        "payment_mode", F.when(F.col("reason").isNull(), "ok").otherwise("rejected").alias("status"), "reason")
 
 
 def line_checks(t: Tables, lines: DataFrame, as_of, check_stock: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import scalar as S
-from tillwise.operators import billing
+from tillwise.operators import admission, billing
 from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.lookup import lookup_join
 from tillwise.plans.running import assign_range_chunks, chunked_running_sum
@@ -36,7 +36,8 @@ def _ledger_rows(df, change, reason, ref, by, ts, notes, kind, line) -> DataFram
 
 def stock_ledger(t: Tables, as_of: dt.date, sales: DataFrame | None = None) -> DataFrame:
     """Initial stock + accepted restocks + sales as one signed ledger.
-    ``sales`` defaults to every recorded order line."""
+    ``sales`` defaults to the lines that the checkout admitted
+    (:func:`admission.fixture_sales`): only those ever took stock."""
     null = F.lit(None)
     init = _ledger_rows(D.opening_stock(t), F.col("opening_qty"), "restock", null, null,
                         ntz(D.LEDGER_START), F.lit("Initial stock on product creation"), 0, F.lit(0))
@@ -44,8 +45,7 @@ def stock_ledger(t: Tables, as_of: dt.date, sales: DataFrame | None = None) -> D
     restock = _ledger_rows(rs, F.col("qty"), "restock", null, F.col("performed_by"),
                            F.col("request_ts"), F.col("notes"), 1, F.lit(0))
     if sales is None:
-        heads = t.sales_orders.select("order_id", "cashier_id", "order_date")
-        sales = t.order_items.select("order_id", "product_id", "line_no", "qty_sold").join(heads, "order_id")
+        sales = admission.fixture_sales(t, as_of)
     sale = _ledger_rows(sales, -F.col("qty_sold"), "sale", F.col("order_id"), F.col("cashier_id"),
                         F.col("order_date"), null, 2, F.col("line_no"))
     return init.unionByName(restock).unionByName(sale)
@@ -165,10 +165,12 @@ def stock_log_feed(t: Tables, as_of: dt.date, product_id=None, n: int = 100) ->
                        how="left").orderBy(*order)
 
 
-def ledger_reconcile(t: Tables, as_of: dt.date) -> DataFrame:
-    """Σ ledger per product against the product's stock_qty."""
+def ledger_reconcile(t: Tables, as_of: dt.date, counted: DataFrame | None = None) -> DataFrame:
+    """Sum of the ledger per product against the counted stock (``product_id,
+    stock_qty``), by default :func:`derived.shelf_counts`: the stock after the
+    batch with a few miscounts."""
     led = stock_ledger(t, as_of).groupBy("product_id").agg(F.sum("change_qty").alias("ledger_qty"))
-    p = t.product_base.select("product_id", "stock_qty")
+    p = counted if counted is not None else D.shelf_counts(admission.product_stock(t, as_of))
     j = led.join(p, "product_id", "full")
     return j.select("product_id", F.coalesce("ledger_qty", F.lit(0)).cast("bigint").alias("ledger_qty"),
                     F.col("stock_qty"),
@@ -177,10 +179,18 @@ def ledger_reconcile(t: Tables, as_of: dt.date) -> DataFrame:
                     (F.coalesce("stock_qty", F.lit(0)) == F.coalesce("ledger_qty", F.lit(0))).alias("matches"))
 
 
+def recorded_sales(t: Tables) -> DataFrame:
+    """Every recorded order line as an attempted sale."""
+    heads = t.sales_orders.select("order_id", "cashier_id", "order_date")
+    return t.order_items.select("order_id", "product_id", "line_no", "qty_sold").join(heads, "order_id")
+
+
 def blocked_lines(t: Tables, as_of: dt.date) -> DataFrame:
-    """Stored sale lines the insert guard would have blocked: product
-    expired on the sale day, or stock before the sale below the quantity."""
-    r = running_stock(t, as_of).filter(F.col("kind") == 2)
+    """Recorded sale lines the insert guard would have blocked: product
+    expired on the sale day, or stock before the sale below the quantity.
+    Recorded lines are attempts; admitted ones never fail the guard."""
+    attempts = stock_ledger(t, as_of, recorded_sales(t))
+    r = running_stock(t, as_of, attempts).filter(F.col("kind") == 2)
     p = t.product_base.select("product_id", "expiry_date")
     j = r.join(p, "product_id", "left")
     before = F.col("stock_after") - F.col("change_qty")

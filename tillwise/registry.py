@@ -46,7 +46,7 @@ QUERIES = {
     "stock_status": (catalog.stock_status, O.stock_status),
     "expiry_status": (lambda t: catalog.expiry_status(t, AS_OF), O.expiry_status),
     "list_users": (lambda t: catalog.users_by_role(t), O.list_users),
-    "users_by_role": (lambda t: catalog.users_by_role(t, "cashier"), O.users_by_role),
+    "users_by_role": (lambda t: catalog.users_by_role(t, "customer"), O.users_by_role),
     "search_customers": (lambda t: catalog.search_customers(t, "00001"), O.search_customers),
     "scalar_functions": (lambda t: catalog.scalar_functions(t, AS_OF), O.scalar_functions),
     # 2.4 / 2.6 sales aggregates and top-k
@@ -94,9 +94,13 @@ QUERIES = {
                            O.register_customers),
     "insert_ignore": (changes.insert_categories, O.insert_ignore),
     "data_quality": (lambda t: quality.data_quality(t, AS_OF), O.data_quality),
-    # B-3: iterative fixpoint, checked against a sequential replay in tests
-    "bill_batch": (lambda t: admission.bill_fixture_batch(t, AS_OF), None),
-    "admitted_ledger": (lambda t: admission.bill_batch_outputs(t, AS_OF)["ledger"], None),
+    # B-3 / B-4: the checkout of the whole batch and its outputs (oracle: one order at a time)
+    "bill_batch": (lambda t: admission.bill_fixture_batch(t, AS_OF).drop("decided_round"), O.bill_batch),
+    "admitted_ledger": (lambda t: admission.bill_batch_outputs(t, AS_OF)["ledger"], O.stock_ledger),
+    "admitted_orders": (lambda t: admission.admitted_orders(t, AS_OF), O.admitted_orders),
+    "admitted_items": (lambda t: admission.admitted_items(t, AS_OF), O.admitted_items),
+    "rejected_carts": (lambda t: admission.rejected_carts(t, AS_OF), O.rejected_carts),
+    "product_stock": (lambda t: admission.product_stock(t, AS_OF), O.product_stock),
     # 2.11 streaming re-aims (stream result == batch result)
     "stream_daily_sales": (ST.stream_daily_sales, O.stream_daily_sales),
     "stream_low_stock": (lambda t: ST.stream_low_stock(t, AS_OF), O.stream_low_stock),

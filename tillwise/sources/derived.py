@@ -35,6 +35,7 @@ def restock_count(as_of: dt.date) -> int:
 # order never lands whole in one task.
 CART_RANK_BLOCK = 1024   # products per ranking chunk inside one (order, line)
 CART_PIECE = 1000        # items per JSON cart piece
+BROKEN_MODULUS = 500     # fixed value: every 500th order has a broken upload too
 
 
 def cart_demand(t: Tables) -> DataFrame:
@@ -66,26 +67,53 @@ def cart_headers(t: Tables) -> DataFrame:
 def cart_json(t: Tables) -> DataFrame:
     """JSON carts in the checkout argument's format
     ``[{"product_id":1,"qty":2}, ...]``, in cart order, cut into pieces of
-    at most CART_PIECE items: one row per (order_id, piece)."""
+    at most CART_PIECE items: one row per (order_id, piece).  An order
+    without lines has an empty cart, and every 500th order has a second,
+    broken upload under the number ``-1 - order_id``."""
+    orders = t.sales_orders.select("order_id")
+    empty = orders.join(t.order_items.select("order_id").distinct(), "order_id", "left_anti").select(
+        "order_id", F.lit(0).alias("piece"), F.lit("[]").alias("items_json"))
+    broken = orders.filter(F.col("order_id") % BROKEN_MODULUS == 0).select(
+        (-1 - F.col("order_id")).alias("order_id"), F.lit(0).alias("piece"), F.lit('[{"product_id":').alias("items_json"))
     lines = cart_lines(t).withColumn("piece", F.floor(F.col("pos") / CART_PIECE).cast("int"))
     items = F.sort_array(F.collect_list(F.struct("pos", "product_id", "qty")))
-    return lines.groupBy("order_id", "piece").agg(
+    full = lines.groupBy("order_id", "piece").agg(
         F.to_json(F.transform(items, lambda x: F.struct(x["product_id"].alias("product_id"),
                                                         x["qty"].alias("qty")))).alias("items_json"))
+    return full.unionByName(empty).unionByName(broken)
+
+
+def _sized(t: Tables) -> DataFrame:
+    """Products with the size that stock quantities derive from; of given
+    products, their stock."""
+    if t.is_given("product"):
+        return t.product.select(F.col("product_id").alias("pid"), F.col("stock_qty").alias("p_size"))
+    return t.raw("part").select(F.col("p_partkey").alias("pid"), "p_size")
 
 
 def opening_stock(t: Tables) -> DataFrame:
-    return t.raw("part").select(F.col("p_partkey").alias("product_id"),
-                                (F.col("p_size") * OPENING_STOCK_FACTOR).cast("int").alias("opening_qty"))
+    return _sized(t).select(F.col("pid").alias("product_id"),
+                            (F.col("p_size") * OPENING_STOCK_FACTOR).cast("int").alias("opening_qty"))
+
+
+# --- fixed values: shelf counts -----------------------------------------------
+MISCOUNT_MODULUS = 97      # one unit is missing from the count of every 97th product
+
+
+def shelf_counts(stock: DataFrame) -> DataFrame:
+    """A stock take: the given stock, with planted miscounts."""
+    lost = F.when(F.col("product_id") % MISCOUNT_MODULUS == 0, F.lit(1)).otherwise(F.lit(0))
+    return stock.select("product_id", (F.col("stock_qty") - lost).cast("bigint").alias("stock_qty"))
 
 
 def restock_requests(t: Tables, as_of: dt.date) -> DataFrame:
-    """Scheduled restocks every 90 days for every third product, plus one
-    request for an unknown product id per 300 products."""
-    p = t.raw("part").select(F.col("p_partkey").alias("pid"), "p_size")
-    n = restock_count(as_of)
-    sched = (p.filter(F.col("pid") % RESTOCK_MODULUS == 0)
-             .select("pid", "p_size", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("k")))
+    """Scheduled restocks of every product: each third one every 90 days,
+    the others in one of those slots; plus one request for an unknown product
+    id per 300 products."""
+    p, n = _sized(t), restock_count(as_of)
+    slots = F.when(F.col("pid") % RESTOCK_MODULUS == 0, F.sequence(F.lit(1), F.lit(n))).otherwise(
+        F.array((F.col("pid") % n + 1).cast("int")))
+    sched = p.select("pid", "p_size", F.explode(slots).alias("k"))
     sched = sched.select(
         F.col("pid").alias("product_id"),
         F.when(F.col("pid") % RESTOCK_ZERO_MODULUS == 0, F.lit(0))
@@ -144,7 +172,12 @@ REG_MODULUS = 50   # customers with key % 50 = 0 re-register (taken), = 1 new
 
 
 def registration_requests(t: Tables) -> DataFrame:
-    c = t.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("full_name"))
+    """One or two requests of every customer, by the key's residue: a taken
+    name, a new name twice, a bad phone, else a new member."""
+    if t.is_given("app_user"):
+        c = t.app_user.filter("role = 'customer'").select(F.col("user_id").alias("k"), "full_name")
+    else:
+        c = t.raw("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("full_name"))
     taken = c.filter(F.col("k") % REG_MODULUS == 0).select(
         (F.col("k") * 10).alias("request_id"),
         F.concat(F.lit("CUST_"), F.col("k").cast("string")).alias("username"), "full_name",
@@ -160,4 +193,8 @@ def registration_requests(t: Tables) -> DataFrame:
         (F.col("k") * 10 + 3).alias("request_id"),
         F.concat(F.lit("shop_"), F.col("k").cast("string")).alias("username"), "full_name",
         F.concat(F.lit("+91"), F.col("k").cast("string")).alias("phone_no"))
-    return taken.unionByName(first).unionByName(again).unionByName(bad_phone)
+    member = c.filter(F.col("k") % REG_MODULUS > 2).select(
+        (F.col("k") * 10 + 4).alias("request_id"),
+        F.concat(F.lit("member_"), F.col("k").cast("string")).alias("username"), "full_name",
+        F.lpad(F.col("k").cast("string"), 10, "6").alias("phone_no"))
+    return taken.unionByName(first).unionByName(again).unionByName(bad_phone).unionByName(member)

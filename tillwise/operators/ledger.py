@@ -116,9 +116,10 @@ def _alert_order():
 
 def alerts_feed(t: Tables, as_of: dt.date, n: int = 50) -> DataFrame:
     """Newest ``n`` alerts with the product name (alerts kept if the
-    product is gone)."""
+    product is gone).  The names join only the ``n`` rows kept."""
     names = t.product_base.select("product_id", F.col("name").alias("product_name"))
-    return all_alerts(t, as_of).join(names, "product_id", "left").orderBy(*_alert_order()).limit(n)
+    top = all_alerts(t, as_of).orderBy(*_alert_order()).limit(n)
+    return top.join(names, "product_id", "left").orderBy(*_alert_order())
 
 
 def unread_alerts(t: Tables, as_of: dt.date, n: int = 20) -> DataFrame:
@@ -148,21 +149,21 @@ def manager_reads(t: Tables, as_of: dt.date, alerts: DataFrame | None = None) ->
 
 
 def stock_log_feed(t: Tables, as_of: dt.date, product_id=None, n: int = 100) -> DataFrame:
-    """Newest ``n`` ledger rows with product and performer names.  The
-    performer join is a left join (it never changes the row set), so it is
-    applied to the ``n`` rows kept, not to the whole ledger."""
+    """Newest ``n`` ledger rows with product and performer names.  The ``n``
+    rows are taken first and named after: every ledger row has its product
+    (checked by DQ-6), so the names never change the row set."""
     led = stock_ledger(t, as_of)
     if product_id is not None:
         led = led.filter(F.col("product_id") == F.lit(product_id))
-    names = t.product_base.select("product_id", F.col("name").alias("product_name"))
     order = [F.col("log_time").desc(), "product_id", "kind", F.col("reference_id").asc_nulls_first(),
              "line_no", "change_qty"]
-    top = cut_lineage(led.join(names, "product_id").select(*LEDGER_COLS, "product_name")
-                      .orderBy(*order).limit(n))
+    top = cut_lineage(led.select(*LEDGER_COLS).orderBy(*order).limit(n))
+    names = t.product_base.select("product_id", F.col("name").alias("product_name"))
     users = t.app_user.select(F.col("user_id").alias("performed_by"),
                               F.col("full_name").alias("performed_by_name"))
-    return lookup_join(top, "performed_by", users, "performed_by", ["performed_by_name"],
-                       how="left").orderBy(*order)
+    named = top.join(names, "product_id", "left").select(*LEDGER_COLS, "product_name")
+    return lookup_join(named, "performed_by", users, "performed_by", ["performed_by_name"],
+                       how="left", probe=top).orderBy(*order)
 
 
 def ledger_reconcile(t: Tables, as_of: dt.date, counted: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwise import oracle as O
 from tillwise.operators import admission, billing, catalog, changes, ledger, quality, sales
@@ -21,6 +22,11 @@ from tillwise.streaming import reports as ST
 AS_OF = dt.date(2001, 8, 1)
 DAY_AS_OF = dt.date(2001, 7, 31)
 
+def _first_customer(t: Tables) -> int:
+    """The customer whose orders the point query lists."""
+    return t.sales_orders.agg(F.min("customer_id")).first()[0]
+
+
 def _alert_reads(t: Tables) -> DataFrame:
     # the read events come from the same alerts: compute the alerts once
     alerts = cut_lineage(ledger.all_alerts(t, AS_OF))
@@ -42,6 +48,7 @@ QUERIES = {
     "low_stock_products": (lambda t: catalog.low_stock_products(t, AS_OF), O.low_stock_products),
     "expiring_products": (lambda t: catalog.expiring_products(t, AS_OF), O.expiring_products),
     "expiry_alerts": (lambda t: catalog.expiry_alerts(t, AS_OF, n=10), O.expiry_alerts),
+    "expiry_alerts_all": (lambda t: catalog.expiry_alerts(t, AS_OF), O.expiry_alerts_all),
     "product_by_id": (lambda t: catalog.product_by_id(t, t.order_items), O.product_by_id),
     "stock_status": (catalog.stock_status, O.stock_status),
     "expiry_status": (lambda t: catalog.expiry_status(t, AS_OF), O.expiry_status),
@@ -63,6 +70,7 @@ QUERIES = {
     "customer_summary": (sales.customer_summary, O.customer_summary),
     "customer_history": (sales.customer_history, O.customer_history),
     "orders_list": (lambda t: sales.orders_list(t, n=100), O.orders_list),
+    "customer_orders": (lambda t: sales.orders_list(t, customer_id=_first_customer(t)), O.customer_orders),
     "recent_orders": (lambda t: sales.recent_orders(t, 5), O.recent_orders),
     "receipts": (lambda t: sales.receipts(t), O.receipts),
     "clearance_candidates": (lambda t: sales.clearance_candidates(t, AS_OF), O.clearance_candidates),

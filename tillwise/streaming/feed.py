@@ -45,15 +45,30 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 def run_as_feed(spark: SparkSession, table: DataFrame, time_col: str,
                 build: Callable[[DataFrame], DataStreamWriter], name: str,
-                bounds: Sequence[dt.datetime] = DEFAULT_BOUNDS) -> str:
+                bounds: Sequence[dt.datetime] = DEFAULT_BOUNDS) -> None:
     """Replay ``table`` slice by slice through the streaming query that
-    ``build`` sets up (everything but checkpoint, trigger and start).
-    Returns the sink directory."""
+    ``build`` sets up (everything but checkpoint, trigger and start).  The
+    staged copy, the feed and the checkpoint are removed at the end; the sink
+    is the caller's."""
     staged = scratch_path(spark, f"{name}-staged")
     feed = scratch_path(spark, f"{name}-feed")
     ckpt = scratch_path(spark, f"{name}-checkpoint")
     # Materialise the source once; every slice is then a pushed-down range
     # read of the staged copy instead of a re-run of the source plan.
+    try:
+        _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt)
+    finally:
+        for path in (staged, feed, ckpt):
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this library's own, on whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt) -> None:
     table.write.parquet(staged)
     table = spark.read.parquet(staged)
     for cond in _slices(F.col(time_col), bounds):
@@ -64,7 +79,6 @@ def run_as_feed(spark: SparkSession, table: DataFrame, time_col: str,
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(f"streaming query {name} failed: {q.exception()}")
-    return feed
 
 
 def latest_per_key(sink: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

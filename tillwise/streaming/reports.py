@@ -3,9 +3,9 @@
 ST-1 daily sales: tumbling one-day windows with a one-day watermark on the
 order time; distinct customers come from a first stage keyed by
 (day, customer), because exact distinct counts are not available on streams.
-ST-2 low-stock alerts: a stateful operator keyed by product whose state is
-the running stock; it emits an alert whenever stock crosses down to the
-reorder level.
+ST-2 low-stock alerts: each micro-batch runs the stock of its products on
+from its earliest row; an alert stands whenever stock crosses down to the
+reorder level, and a late row corrects the alerts after it.
 ST-3 category revenue: a stream-static join of order lines with completed
 orders and the product dimension, aggregated by category in update mode.
 """
@@ -14,27 +14,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tillwise.functions.scalar import instant_day, sum_money, wall_clock_instant
 from tillwise.operators import ledger as L
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.session import scratch_path
 from tillwise.sources.tables import Tables
 from tillwise.streaming.feed import batch_sink, latest_per_key, run_as_feed
 
-# The stateful function runs in executors' Python workers: ship its code
-# with the job (it needs only numpy and pandas there), so executors do not
-# need this package installed or on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 SUM_MONEY = T.DecimalType(22, 2)
 WATERMARK = "1 day"
 
@@ -71,87 +61,70 @@ def stream_daily_sales(t: Tables) -> DataFrame:
 
 
 # -- ST-2 ----------------------------------------------------------------------
-ALERT_SCHEMA = T.StructType([
-    T.StructField("product_id", T.LongType()),
-    T.StructField("reference_id", T.LongType()),
-    T.StructField("line_no", T.IntegerType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("stock_after", T.LongType()),
-    T.StructField("reorder_level", T.IntegerType()),
-])
-# State per bucket of products: parallel arrays product_id -> running stock.
-BUCKET_STATE = T.StructType([
-    T.StructField("product_ids", T.ArrayType(T.LongType())),
-    T.StructField("stocks", T.ArrayType(T.LongType())),
-])
-# Products are grouped into hash buckets so one Python call advances many
-# products (the per-group call, not the arithmetic, dominates the cost).
-STATE_BUCKETS = 256
-
-
-def _crossings(key, batches, state):
-    """One micro-batch of one product bucket: advance every product's running
-    stock in ledger order; emit rows whose update crosses down to the
-    reorder level.  Vectorised: one sort, one cumulative sum."""
-    parts = list(batches)
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    known = {}
-    if state.exists:
-        ids, stocks = state.get
-        known = dict(zip(ids, stocks))
-    pid = rows["product_id"].to_numpy(dtype="int64")
-    ref = rows["reference_id"].to_numpy(dtype="float64", na_value=-1.0)
-    order = np.lexsort((rows["change_qty"].to_numpy(), rows["line_no"].to_numpy(), ref,
-                        rows["kind"].to_numpy(), rows["log_time"].to_numpy(), pid))
-    pid = pid[order]
-    change = rows["change_qty"].to_numpy(dtype="int64")[order]
-    starts = np.flatnonzero(np.r_[True, pid[1:] != pid[:-1]])
-    total = np.cumsum(change)
-    base = np.repeat(np.r_[0, total[starts[1:] - 1]], np.diff(np.r_[starts, len(pid)]))
-    opening = np.array([known.get(int(p), 0) for p in pid[starts]], dtype="int64")
-    after = total - base + np.repeat(opening, np.diff(np.r_[starts, len(pid)]))
-    ends = np.r_[starts[1:] - 1, len(pid) - 1]
-    known.update(zip(pid[ends].tolist(), after[ends].tolist()))
-    state.update((list(known.keys()), list(known.values())))
-    level = rows["reorder_level"].to_numpy(dtype="int64")[order]
-    hit = (rows["kind"].to_numpy()[order] > 0) & (after <= level) & (after - change > level)
-    if not hit.any():
-        return
-    sel = order[hit]
-    yield pd.DataFrame({
-        "product_id": pid[hit],
-        "reference_id": pd.array(np.where(ref[sel] < 0, pd.NA, ref[sel]), dtype="Int64"),
-        "line_no": rows["line_no"].to_numpy()[sel],
-        "created_at": rows["log_time"].to_numpy()[sel],
-        "stock_after": after[hit],
-        "reorder_level": level[hit],
-    })
-
-
-def low_stock_stream(t: Tables, ledger_rows: DataFrame, buckets: int = STATE_BUCKETS) -> DataFrame:
-    p = t.product_base.select("product_id", "reorder_level")
-    return (ledger_rows.join(p, "product_id")
-            .withColumn("_bucket", F.pmod(F.xxhash64("product_id"), F.lit(buckets)))
-            .groupBy("_bucket")
-            .applyInPandasWithState(_crossings, ALERT_SCHEMA, BUCKET_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
-
-
-def stream_low_stock(t: Tables, as_of: dt.date) -> DataFrame:
+def low_stock_sink(t: Tables, root: str):
+    """The micro-batch function of the low-stock stream.
+
+    Ledger rows are kept below ``root`` as they arrive.  For every product of
+    a batch the stock is taken from the rows before the batch's earliest one
+    and run on from there, through what is already stored and the batch; the
+    crossings found replace earlier ones from that row on.  A late row thus
+    corrects the alerts after it.  Each batch writes folders of its own with
+    overwrite, so a replay changes nothing.  All of it is DataFrame work; a hot
+    product's rows lie in several range chunks."""
+    levels = t.product_base.select("product_id", "reorder_level")
+    order = [F.col(c).asc_nulls_first() for c in L.LEDGER_ORDER]
+    at = F.struct(*L.LEDGER_ORDER)
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mine = {name: f"{root}/{name}/batch_id={batch_id}" for name in ("rows", "first", "alerts")}
+        batch.select("product_id", *L.LEDGER_ORDER).write.mode("overwrite").parquet(mine["rows"])
+        new = spark.read.parquet(mine["rows"])
+        new.groupBy("product_id").agg(F.min(at).alias("from")).write.mode("overwrite").parquet(mine["first"])
+        first = spark.read.parquet(mine["first"])
+        held = (spark.read.parquet(f"{root}/rows").filter(F.col("batch_id") < batch_id).drop("batch_id")
+                .join(first, "product_id"))
+        base = held.filter(at < F.col("from")).groupBy("product_id").agg(F.sum("change_qty").alias("base"))
+        tail = held.filter(at >= F.col("from")).drop("from").unionByName(new)
+        run = chunked_running_sum(assign_range_chunks(tail, "product_id", order), "product_id", F.col("_rchunk"),
+                                  order, {"_run": F.col("change_qty").cast("bigint")})
+        after = F.col("_run") + F.coalesce("base", F.lit(0))
+        stock = (run.join(base, "product_id", "left").join(levels, "product_id")
+                 .withColumn("stock_after", after.cast("bigint")))
+        crossed = (F.col("kind") > 0) & (F.col("stock_after") <= F.col("reorder_level")) & (
+            F.col("stock_after") - F.col("change_qty") > F.col("reorder_level"))
+        stock.filter(crossed).select("product_id", *L.LEDGER_ORDER, "stock_after", "reorder_level") \
+            .write.mode("overwrite").parquet(mine["alerts"])
+
+    return advance
+
+
+def standing_alerts(spark, root: str) -> DataFrame:
+    """Alerts that no later batch has worked over again."""
+    a = spark.read.parquet(f"{root}/alerts").alias("a")
+    f = spark.read.parquet(f"{root}/first").alias("f")
+    at = F.struct(*[F.col(f"a.{c}") for c in L.LEDGER_ORDER])
+    later = ((F.col("a.product_id") == F.col("f.product_id")) & (F.col("f.batch_id") > F.col("a.batch_id"))
+             & (F.col("f.from") <= at))
+    return a.join(f, later, "left_anti").drop("batch_id")
+
+
+def stream_low_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None, arrival: str = "log_time") -> DataFrame:
+    """Low-stock alerts of a ledger stream (by default the stored ledger,
+    arriving in order of time); equal to the batch alerts in any order of
+    arrival."""
     spark = t.spark
-    src = L.stock_ledger(t, as_of).select("product_id", "change_qty", "log_time", "kind",
-                                          "reference_id", "line_no")
-    sink = scratch_path(t.spark, "lowstock-sink")
-    run_as_feed(spark, src, "log_time",
-                lambda s: low_stock_stream(t, s).writeStream.outputMode("append")
-                .foreachBatch(batch_sink(sink)), "lowstock")
+    led = ledger if ledger is not None else L.stock_ledger(t, as_of)
+    root = scratch_path(spark, "lowstock")
+    run_as_feed(spark, led.select("product_id", *dict.fromkeys([*L.LEDGER_ORDER, arrival])), arrival,
+                lambda s: s.writeStream.outputMode("append").foreachBatch(low_stock_sink(t, root)), "lowstock")
     names = t.product_base.select("product_id", "name")
-    a = spark.read.parquet(sink).drop("batch_id").join(names, "product_id")
+    a = standing_alerts(spark, root).join(names, "product_id")
     msg = F.concat(F.lit('Low stock alert: "'), F.col("name"), F.lit('" has only '),
                    F.col("stock_after").cast("string"), F.lit(" units left. Reorder level: "),
                    F.col("reorder_level").cast("string"))
     return a.select(F.lit("low_stock").alias("type"), msg.alias("message"), "product_id",
-                    "reference_id", "line_no", "created_at")
+                    "reference_id", "line_no", F.col("log_time").alias("created_at"))
 
 
 # -- ST-3 ----------------------------------------------------------------------

@@ -94,7 +94,8 @@ def exact(x: np.ndarray, xi: np.ndarray, q: np.ndarray, qi: np.ndarray) -> np.nd
 
 
 def _products(x: np.ndarray, xi: np.ndarray, q: np.ndarray, qi: np.ndarray, step: int = 1 << 16) -> np.ndarray:
-    """The same up to rounding, faster: whole rows at a time."""
+    """The same up to rounding, faster: whole rows at a time, in the
+    precision of ``x`` and ``q``."""
     return np.concatenate([np.einsum("ij,ij->i", x[xi[i:i + step]], q[qi[i:i + step]])
                            for i in range(0, max(1, len(xi)), step)])
 
@@ -120,9 +121,11 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes, length, aligned, q_ids:
     left, right = _factors(q, codes, length, aligned, centre, turn, epsilon)
     own_q, own_x = _same_ids(ids, q_ids)
     sample = 5 * k
-    rounding = 1e-12 * np.sqrt((x * x).sum(axis=1).max(initial=0) * (q * q).sum(axis=1))
+    # candidates are told apart in single precision first; this is what that may be off
+    rounding = 2e-7 * x.shape[1] * np.sqrt((x * x).sum(axis=1).max(initial=0) * (q * q).sum(axis=1))
+    x_short, q_short = x.astype(np.float32), q.astype(np.float32)
     for at in range(0, len(q), step := max(1, _CHUNK // max(1, len(ids)))):
-        part, slack = q[at:at + step], rounding[at:at + step]
+        part, short, slack = q[at:at + step], q_short[at:at + step], rounding[at:at + step]
         bound = left[at:at + step] @ right
         mine = (own_q >= at) & (own_q < at + step)
         bound[own_q[mine] - at, own_x[mine]] = -np.inf
@@ -130,12 +133,12 @@ def search_block(ids: np.ndarray, x: np.ndarray, codes, length, aligned, q_ids:
         if len(ids) > sample:
             best = np.argpartition(bound, -sample, axis=1)[:, -sample:]
             rows = np.repeat(np.arange(len(part)), sample)
-            scores = np.where(np.isfinite(bound[rows, best.ravel()]), _products(x, best.ravel(), part, rows), -np.inf)
+            scores = np.where(np.isfinite(bound[rows, best.ravel()]), _products(x_short, best.ravel(), short, rows), -np.inf)
             least = np.partition(scores.reshape(-1, sample), -k, axis=1)[:, -k] - slack
         qi, xi = np.nonzero(bound >= np.nextafter(least.astype(np.float32), np.float32(-np.inf))[:, None])
         there = np.isfinite(bound[qi, xi])
         qi, xi = qi[there], xi[there]
-        keep = _products(x, xi, part, qi) >= (least - slack)[qi]
+        keep = _products(x_short, xi, short, qi) >= (least - slack)[qi]
         qi, xi = qi[keep], xi[keep]
         scores = exact(x, xi, part, qi)
         order = np.lexsort((ids[xi], -scores, qi))

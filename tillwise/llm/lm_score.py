@@ -42,10 +42,12 @@ BITS_PER_ENTRY = 8
 #: Most filter bytes broadcast at once.
 FILTER_BYTES = 128 << 20
 #: Text bytes for each filter segment, and the least number of segments.
-SEGMENT_TEXT = 24 << 20
+SEGMENT_TEXT = 16 << 20
 LEAST_SEGMENTS = 16
 #: Tokens (and documents) gathered before their n-grams are counted and sent.
 PACKET_TOKENS = 1_500_000
+#: Text bytes hashed at once (the hash needs about 30 times as much memory).
+SLICE_BYTES = 1 << 20
 PACKET_DOCS = 1 << 16
 
 _END, _START = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x2545F4914F6CDD1D)
@@ -181,6 +183,7 @@ def _packets(n_segments: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
+        S.steady_memory()
         number = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         n_tokens = n_docs = 0
@@ -193,7 +196,7 @@ def _packets(n_segments: int):
         for batch in batches:
             texts, keys = batch.column("text"), batch.column("key").to_numpy()
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in S.slices(texts):
+            for a, b in S.slices(texts, SLICE_BYTES):
                 for a, b in ((x, min(x + PACKET_DOCS // 2, b)) for x in range(a, b, PACKET_DOCS // 2)):
                     token, doc, pair = token_stream(texts.slice(a, b - a))
                     held.append((token, doc + n_docs, pair, keys[a:b], train[a:b]))
@@ -218,6 +221,7 @@ def _joined(column: pd.Series, dtype: str) -> np.ndarray:
 def _count_segment(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Exact counts of one segment's n-grams, its filter bits, and for each
     packet the sums of log10(count + 1) and the known tokens per document."""
+    S.steady_memory()
     rows = rows.sort_values("packet")
     words, which = np.unique(_joined(rows["words"], "<u8"), return_inverse=True)
     doc, times = _joined(rows["doc"], "<u4"), _joined(rows["times"], "<u4").astype(np.int64)
@@ -278,11 +282,12 @@ def _probe(filter_, stats: tuple[int, int, int], weight: float, last: bool):
     """Partition function of one pass: adds the levels found in its segments,
     and at the last pass turns them into scores."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.steady_memory()
         f = filter_.value
         for batch in batches:
             texts = batch.column("text")
             earlier = batch.column("levels") if "levels" in batch.schema.names else None
-            for a, b in S.slices(texts):
+            for a, b in S.slices(texts, SLICE_BYTES):
                 token, doc, pair = token_stream(texts.slice(a, b - a))
                 found = np.concatenate([f.levels(token), f.levels(pair)])
                 firsts = np.flatnonzero(np.diff(doc, prepend=-1))

@@ -8,6 +8,8 @@ byte values.  Two different words collide with a chance of about 2**-58.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,23 @@ _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, size=256, dtype=np.
 _powers: dict[str, np.ndarray] = {}
 
 
+_steady = False
+
+
+def steady_memory() -> None:
+    """Let this worker give large arrays back as soon as they are freed: by
+    default the C library and Arrow keep them for later, which adds up in
+    workers that live through many stages."""
+    global _steady
+    if _steady:
+        return
+    _steady = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        m_mmap_threshold = -3
+        ctypes.CDLL("libc.so.6").mallopt(m_mmap_threshold, 1 << 20)
+
+
 @dataclass
 class Words:
     """Words of a run of texts: ``data[start:end]`` each, ``doc`` the text's

@@ -236,7 +236,7 @@ def _count_segment(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         upto = at + len(raw) // 4
         docs, place = np.unique(doc[at:upto] >> 1, return_inverse=True)
         out.append((0, packet, key[0], _bytes(docs, "<u4"), _bytes(np.bincount(place, log[at:upto]), "<f8"),
-                    _bytes(np.bincount(place, known[at:upto]), "<i8"), info, None, None, None))
+                    _bytes(np.bincount(place, known[at:upto]), "<u4"), info, None, None, None))
         at = upto
     pairs, pair_of = np.unique(_joined(rows["pairs"], "<u8"), return_inverse=True)
     pair_counts = np.bincount(pair_of, weights=_joined(rows["pair_times"], "<u4"), minlength=len(pairs))
@@ -255,7 +255,7 @@ def _combine(rows: pd.DataFrame) -> pd.DataFrame:
     doc = _joined(rows["doc"], "<u4")
     return pd.DataFrame({
         "key": info["key"], "n_tokens": info["n"],
-        "n_known": np.bincount(doc, _joined(rows["known"], "<i8"), minlength=len(info)).astype(np.int64),
+        "n_known": np.bincount(doc, _joined(rows["known"], "<u4"), minlength=len(info)).astype(np.int64),
         "log_counts": np.bincount(doc, _joined(rows["sums"], "<f8"), minlength=len(info))})
 
 

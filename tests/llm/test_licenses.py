@@ -32,3 +32,47 @@ def test_odd_rows(docs_of):
     rows = licenses.scan(docs).collect()
     assert len(rows) == len(ODD) and all(r.license is None and r.notices == "" for r in rows)
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, known=()).count() == len(ODD)
+
+
+def duck_scan(docs):
+    import duckdb
+    con, documents = duckdb.connect(), docs.toPandas()
+    con.register("documents", documents)
+    return con.sql(queries.QUERIES["op9_license_scans"][1]).fetchall()
+
+
+def test_whole_texts_of_common_licenses(docs_of):
+    """Texts as a project ships them: other wrapping, a holder's line, no appendix."""
+    import textwrap
+    from importlib import resources
+    stored = {n: resources.files("tillwise.llm").joinpath(f"license_texts/{n}.txt").read_text() for n in licenses.TEXTS}
+    wrapped = {n: "\n\n".join(textwrap.fill(p, 60, break_on_hyphens=False) for p in t.split("\n\n")) for n, t in stored.items()
+               if not t.startswith(("Copyright", " ")) and n.startswith(("Unl", "BSL", "CC0"))}
+    bsd = next(t for n, t in licenses.KNOWN if n == "BSD-2-Clause" and t.startswith("Redis"))
+    texts = [*stored.items(), *wrapped.items(),
+             ("Apache-2.0", stored["Apache-2.0"].split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS\n"),
+             ("BSD-2-Clause", "Copyright 2020 A. Body\nAll rights reserved.\n\n" + textwrap.fill(bsd.replace("\n", " "), 70, break_on_hyphens=False)),
+             ("BSD-3-Clause", stored["BSD-3-Clause"]), (None, stored["GPL-3.0"].replace("freedom", "free beer"))]
+    docs = docs_of([t for _, t in texts])
+    rows = licenses.scan(docs).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == [n for n, _ in texts]
+    assert sorted(map(tuple, rows), key=lambda r: r[0]) == sorted(duck_scan(docs), key=lambda r: r[0])
+
+
+def test_holder_lines_and_prose(docs_of):
+    held = ["Copyright The Foo Authors", "Copyright Foo Inc. and others", "copyright: Ann Lawson", "Copyright Lawrence Lab",
+            "Copyright Ärger GmbH", "Copyright the Notables"]
+    # wrapped lines that begin with the word are part of the text
+    wrapped = MIT.replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT")
+    texts = [f"MIT License\n\n{h}\n\n" + MIT.split("\n", 1)[1] for h in held] + [wrapped]
+    docs = docs_of([*texts, "Copyright notice of it\n" + MIT])
+    rows = licenses.scan(docs).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == ["MIT"] * len(texts) + [None]
+    assert sorted(map(tuple, rows)) == sorted(duck_scan(docs))
+
+
+def test_notice_lines_not_planted(docs_of):
+    texts = ["a\nSPDX-License-Identifier: LGPL-2.1-or-later\nb", "// SPDX-License-Identifier: MPL-2.0",
+             'x\n * Licensed under the Apache License, Version 2.0 (the "License");\ny', "Licensed under the GNU GPL v2."]
+    rows = licenses.scan(docs_of(texts)).orderBy("doc_id").collect()
+    assert [r.notices for r in rows] == ["LGPL-2.1", "MPL-2.0", "Apache-2.0", "GPL-2.0"]

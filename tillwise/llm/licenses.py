@@ -12,6 +12,10 @@ gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import pkgutil
+import re
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +28,36 @@ SPELLINGS = {
     "fulfilment": "fulfillment", "wilful": "willful", "whilst": "while", "per cent": "percent",
     "non-commercial": "noncommercial", "copyright owner": "copyright holder", "https://": "http://",
 }
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]|by |<|\[)[^\n]*$"
+#: Words after "copyright" that make a line part of a license's prose, not a notice with a name.
+PROSE = ("act and are as assignment be can claim claims date disclaimer disclaimers doctrine doctrines does exception "
+         "exceptions for from grant grants has have header headers holder holders if in info information infringe "
+         "infringement interest interests is law laws licence license licensed licenses limitations line lines material "
+         "materials may not notice notices of on or owner owners ownership patent permission permissions protected "
+         "protection right rights shall statement statements status term terms text that the to trademark treaties "
+         "treaty under was were will with work works year").split()
+#: The same after "copyright the".
+PROSE_THE = ("code document documentation file files library material materials modified original program programs "
+             "resulting software source text work works").split()
+
+
+def _other_word(words) -> str:
+    """Pattern of any word but ``words``, without lookahead (DuckDB has none)."""
+    def node(heads: list[str], root: bool) -> str:
+        ends, nexts = "" in heads, sorted({h[0] for h in heads if h})
+        branches = [c + node([h[1:] for h in heads if h[:1] == c], False) for c in nexts]
+        if root:
+            branches.append(rf"[^\P{{L}}{''.join(nexts)}][^ \t\n]*")
+        elif ends:  # a listed word: only more letters make another of it
+            branches.append(f"[{''.join(c for c in string.ascii_lowercase if c not in nexts)}][^ \\t\\n]*")
+        else:
+            branches += [rf"[^{''.join(nexts)} \t\n][^ \t\n]*", ""]
+        return f"(?:{'|'.join(branches)})"
+    return node(list(words), True)
+
+
+COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright|\(c\)|©)[ \t]*(?:\(c\)|©|[0-9]|by |<|\[)[^\n]*"
+    rf"|copyright:?[ \t]+(?:the[ \t]+{_other_word(PROSE_THE)}|{_other_word(PROSE)})(?:[ \t][^\n]*)?)$")
 RESERVED_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
@@ -48,6 +81,98 @@ _ISC_END = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WAR
             "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
 _ZERO = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
          "granted.\n")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met:\n",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.\n",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution.\n",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.\n")
+_BSD_END = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+            "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+            "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+            "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+            "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+            "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+            "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+            "POSSIBILITY OF SUCH DAMAGE.")
+#: Whole texts in ``license_texts/``, and the line that ends the terms where an appendix may be left off.
+TEXTS = {
+    "Apache-2.0": "END OF TERMS AND CONDITIONS", "Artistic-1.0-Perl": None, "BSD-3-Clause": None, "BSL-1.0": None,
+    "CC0-1.0": None, "GFDL-1.2": "ADDENDUM: How to use", "GFDL-1.3": "ADDENDUM: How to use",
+    "GPL-1.0": "END OF TERMS AND CONDITIONS", "GPL-2.0": "END OF TERMS AND CONDITIONS",
+    "GPL-3.0": "END OF TERMS AND CONDITIONS", "LGPL-2.0": "END OF TERMS AND CONDITIONS",
+    "LGPL-2.1": "END OF TERMS AND CONDITIONS", "LGPL-3.0": None, "MPL-1.1": None,
+    "MPL-2.0": "Exhibit A - Source Code Form License Notice\n", "Unlicense": None,
+}
+#: Names that notice lines use.
+NAMES = {
+    "MIT": ("MIT License",), "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"), "BSL-1.0": ("Boost Software License, Version 1.0",),
+    **{f"{k}GPL-{v}.0": (f"GNU {n}General Public License, version {v}", f"GNU {n}General Public License v{v}",
+                         f"GNU {n}General Public License v{v}.0", f"GNU {k}GPL v{v}", f"{k}GPLv{v}")
+       for k, n, v in (("", "", 1), ("", "", 2), ("", "", 3), ("L", "Library ", 2), ("L", "Lesser ", 3),
+                       ("A", "Affero ", 3))},
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1",
+                 "GNU LGPL v2.1", "LGPLv2.1"),
+    "GFDL-1.2": ("GNU Free Documentation License, Version 1.2",),
+    "GFDL-1.3": ("GNU Free Documentation License, Version 1.3",),
+    "MPL-1.1": ("Mozilla Public License, version 1.1", "Mozilla Public License 1.1"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"), "Unlicense": ("Unlicense",),
+    "Artistic-1.0-Perl": ("Artistic License",),
+    **{f"CC-{k}-{v}": (f"CC {k} {v}", f"CC-{k}-{v}", f"Creative Commons {n} {v} International License",
+                       f"Creative Commons {n} {v} License")
+       for k, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+                    ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("3.0", "4.0")},
+}
+_FRANKLIN = re.compile(r"51 Franklin Street, Fifth Floor,(\s+)Boston, MA(\s+)02110-1301")
+
+
+def _stored():
+    """Each text of ``license_texts``: whole, without its appendix, with the
+    address that the foundation had before."""
+    for name, end in TEXTS.items():
+        text = pkgutil.get_data("tillwise.llm", f"license_texts/{name}.txt").decode("utf-8")
+        cuts = [text]
+        if end:
+            at = text.index(end)
+            cuts.append(text[:at + len(end)] if end.startswith("END") else text[:at])
+            if end.startswith("END"):
+                cuts.append(text[:at])
+        for cut in cuts:
+            yield name, cut
+            older = _FRANKLIN.sub(r"59 Temple Place, Suite 330,\1Boston, MA\g<2>02111-1307", cut)
+            if older != cut:
+                yield name, older
+
+
+def _bsd():
+    """BSD texts with two and three clauses, with numbers, letters or bullets, with and without title."""
+    for name, n, titles in (("BSD-2-Clause", 2, ("BSD 2-Clause License\n", "Simplified BSD License\n")),
+                            ("BSD-3-Clause", 3, ("BSD 3-Clause License\n", "New BSD License\n"))):
+        for title in ("", *titles):
+            for marks in ("123", "abc", "***"):
+                yield name, title + _BSD[0] + "".join(f"{m}. {x}" for m, x in zip(marks, _BSD[1:n + 1])) + _BSD_END
+
+
+def _notices():
+    for name, names in NAMES.items():
+        yield name, f"SPDX-License-Identifier: {name}"
+        if "GPL-" in name or "GFDL-" in name:
+            for tail in ("-only", "-or-later", "+"):
+                yield name, f"SPDX-License-Identifier: {name}{tail}"
+        for n in names:
+            for lead in ("Licensed under", "Released under", "Distributed under", "This work is licensed under"):
+                for article in ("", "the "):
+                    yield name, f"{lead} {article}{n}."
+    yield "Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");"
+
+
 KNOWN = (
     ("MIT", "MIT License\n" + _GRANT), ("MIT", _GRANT), ("MIT", "The MIT License (MIT)\n" + _GRANT),
     ("ISC", "ISC License\n" + _ISC + _ISC_END), ("ISC", _ISC + _ISC_END),
@@ -56,6 +181,7 @@ KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    *_stored(), *_bsd(), *_notices(),
 )
 #: Most digests that the line lookup takes as a set and the join broadcasts.
 MOST_KNOWN = 100_000
@@ -91,8 +217,8 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     empty = F.array().cast("array<string>")
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
     found = F.filter(F.transform(lines, digest), lambda d: d.isin(*names)) if names else empty
-    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None).cast(
-        "map<string,string>")
+    lookup = F.map_from_arrays(*[F.split(F.lit("\n".join(x)), "\n") for x in zip(*names.items())]) if names else F.lit(
+        None).cast("map<string,string>")
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), found.alias("_found"))
     # bounded: MOST_KNOWN rows
     return rows.join(F.broadcast(table), "digest", "left").select(

@@ -93,3 +93,23 @@ def test_odd_rows(spark, docs_of):
     assert lm_score.score(docs_of([]).select("doc_id", "text"), F.lit(False)).count() == 0
     none = lm_score.score(docs_of(["a b"]).select("doc_id", "text"), F.lit(True)).first()
     assert (none.train_tokens, none.n_known, none.base_score) == (0, 0, 0.0)
+
+
+def test_hot_words_are_one_entry_a_packet(spark):
+    """What a segment gets does not grow with the documents that share a word."""
+    def most(n):
+        docs = spark.range(n, numPartitions=2).select(
+            F.col("id").alias("key"), F.lit(True).alias("train"), F.lit("the cat and the dog").alias("text"))
+        packets = docs.mapInArrow(lm_score._packets(16), lm_score._PACKET)
+        blobs = [c for c, kind in packets.dtypes if kind == "binary"]
+        size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in blobs), F.lit(0))
+        return packets.filter("seg >= 0").groupBy("seg").agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0]
+    assert most(20_000) <= most(200) + 2 * 4 * 16
+
+
+def test_counts_of_many_packets(spark):
+    """Exact counts reach every packet, whatever the number of packets and segments."""
+    docs = [(i, " ".join(f"w{(i * k) % 37} the" for k in range(i % 9))) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
+    rows = sorted(lm_score.score(frame, lm_score.held_out(F.col("doc_id"))).collect(), key=lambda r: r.doc_id)
+    check(rows, docs)

@@ -8,9 +8,11 @@ frequency, the rest the add-one word probability; after a word that was never
 seen, the word probability alone.
 
 The filter is cut into segments by hash.  Every segment is counted and built
-in a task of its own from packed arrays of n-grams, never rows; the same
-segments hold the exact counts and answer every document's base score, so no
-vocabulary is sent around.  Segments are broadcast while they fit
+in a task of its own from packed arrays of n-grams, never rows: a packet of
+documents sends each n-gram once, with its count in the packet, so a token
+that stands in every document is one entry a packet.  The exact counts go
+back to the packets, which hold the documents' own counts and give the base
+scores; no vocabulary is sent around.  Segments are broadcast while they fit
 ``FILTER_BYTES``; a larger filter is probed in several passes of that size,
 with the same result.
 
@@ -141,17 +143,28 @@ class Filter:
 
 # --- counting ----------------------------------------------------------------------
 
-_PACKET = ("seg int, packet bigint, words binary, n_docs binary, doc binary, times binary, pairs binary, "
-           "pair_times binary, info binary")
+#: A segment's n-grams of a packet, or (segment below 0) the packet's documents by word.
+_PACKET = ("seg bigint, packet bigint, words binary, word_times binary, pairs binary, pair_times binary, n_docs binary, "
+           "doc binary, times binary, info binary")
 
 
 def _bytes(x: np.ndarray, dtype: str) -> bytes:
     return np.ascontiguousarray(x, dtype=dtype).tobytes()
 
 
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold the largest, after a byte that tells how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + _bytes(x, f"<u{width}")
+
+
+def _wide(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1).astype(np.int64)
+
+
 def _packets(n_segments: int):
     """Partition function over (key, train, text): packets of counted n-grams,
-    one row per packet and segment."""
+    one row per packet and segment, and one per packet with its documents."""
     def packed(number: int, token, doc, pair, key, train) -> pa.RecordBatch:
         order = np.argsort(token, kind="stable")  # a token's documents stay in order
         t, d = token[order], doc[order]
@@ -163,21 +176,18 @@ def _packets(n_segments: int):
         two, two_times = np.unique(pair[train[doc]], return_counts=True)
         word_cut = np.searchsorted(segment_of(t[word], n_segments), np.arange(n_segments + 1))
         pair_cut = np.searchsorted(segment_of(two, n_segments), np.arange(n_segments + 1))
-        at = np.append(word, len(t))
+        word_times = np.add.reduceat(times * train[d], word)
         info = np.zeros(len(key), dtype=[("key", "<i8"), ("n", "<i8")])
         info["key"], info["n"] = key, np.bincount(doc, minlength=len(key))
-        rows = []
+        rows = [(-1 - number, number, None, None, None, None, _small(n_docs), _small(d), _small(times), info.tobytes())]
         for s in range(n_segments):
             a, b = word_cut[s], word_cut[s + 1]
             p, q = pair_cut[s], pair_cut[s + 1]
-            mine = s == number % n_segments
-            if a == b and p == q and not mine:
+            if a == b and p == q:
                 continue
-            i, j = at[a], at[b]
-            rows.append((s, number, _bytes(t[word[a:b]], "<u8"), _bytes(n_docs[a:b], "<u4"),
-                         _bytes(d[i:j] * 2 + train[d[i:j]], "<u4"), _bytes(times[i:j], "<u4"),
-                         _bytes(two[p:q], "<u8"), _bytes(two_times[p:q], "<u4"), info.tobytes() if mine else None))
-        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 7
+            rows.append((s, number, _bytes(t[word[a:b]], "<u8"), _small(word_times[a:b]), _bytes(two[p:q], "<u8"),
+                         _small(two_times[p:q]), None, None, None, None))
+        kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 8
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                           names=[c.split()[0] for c in _PACKET.split(", ")])
 
@@ -210,53 +220,53 @@ def _packets(n_segments: int):
     return run
 
 
-_REPLY = ("kind int, packet bigint, seg int, doc binary, sums binary, known binary, info binary, "
+#: kind 0: counts of a packet's words in one segment; 1: a segment's filter; 2: a packet's documents.
+_REPLY = ("kind int, packet bigint, seg bigint, body binary, n_docs binary, doc binary, times binary, info binary, "
           "n_tokens bigint, n_words bigint, n_train bigint")
 
 
-def _joined(column: pd.Series, dtype: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=dtype)
-
-
 def _count_segment(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Exact counts of one segment's n-grams, its filter bits, and for each
-    packet the sums of log10(count + 1) and the known tokens per document."""
+    """Exact counts of one segment's n-grams: its filter bits, and for each
+    packet the counts of its words; a packet's documents go through as they are."""
     S.steady_memory()
-    rows = rows.sort_values("packet")
-    words, which = np.unique(_joined(rows["words"], "<u8"), return_inverse=True)
-    doc, times = _joined(rows["doc"], "<u4"), _joined(rows["times"], "<u4").astype(np.int64)
-    word = np.repeat(which, _joined(rows["n_docs"], "<u4"))
-    training = times * (doc & 1)
-    counts = np.bincount(word, weights=training, minlength=len(words)).astype(np.int64)
-    log = np.log10(counts + 1.0)[word] * times
-    known = (counts > 0)[word] * times
     out = []
-    at = 0
-    for packet, raw, info in zip(rows["packet"], rows["doc"], rows["info"]):
-        upto = at + len(raw) // 4
-        docs, place = np.unique(doc[at:upto] >> 1, return_inverse=True)
-        out.append((0, packet, key[0], _bytes(docs, "<u4"), _bytes(np.bincount(place, log[at:upto]), "<f8"),
-                    _bytes(np.bincount(place, known[at:upto]), "<u4"), info, None, None, None))
-        at = upto
-    pairs, pair_of = np.unique(_joined(rows["pairs"], "<u8"), return_inverse=True)
-    pair_counts = np.bincount(pair_of, weights=_joined(rows["pair_times"], "<u4"), minlength=len(pairs))
-    seen = counts > 0
-    bits = build_bits(np.concatenate([words[seen], pairs]),
-                      np.concatenate([levels_of(counts[seen]), levels_of(pair_counts)]))
-    ends = int(counts[words == _END].sum())
-    out.append((1, None, key[0], bits, None, None, None, int(counts.sum()), int(seen.sum()), ends))
+    if key[0] < 0:
+        out = [(2, r.packet, r.seg, None, r.n_docs, r.doc, r.times, r.info, None, None, None) for r in rows.itertuples()]
+    else:
+        words, which = np.unique(np.frombuffer(b"".join(rows["words"]), "<u8"), return_inverse=True)
+        word_times = np.concatenate([_wide(x) for x in rows["word_times"]])
+        counts = np.bincount(which, weights=word_times, minlength=len(words)).astype(np.int64)
+        at = 0
+        for packet, raw in zip(rows["packet"], rows["words"]):
+            upto = at + len(raw) // 8
+            out.append((0, packet, key[0], _small(counts[which[at:upto]]), *[None] * 7))
+            at = upto
+        pairs, pair_of = np.unique(np.frombuffer(b"".join(rows["pairs"]), "<u8"), return_inverse=True)
+        pair_times = np.concatenate([_wide(x) for x in rows["pair_times"]])
+        pair_counts = np.bincount(pair_of, weights=pair_times, minlength=len(pairs))
+        seen = counts > 0
+        bits = build_bits(np.concatenate([words[seen], pairs]),
+                          np.concatenate([levels_of(counts[seen]), levels_of(pair_counts)]))
+        ends = int(counts[words == _END].sum())
+        out.append((1, None, key[0], bits, None, None, None, None, int(counts.sum()), int(seen.sum()), ends))
     return pd.DataFrame(out, columns=[c.split()[0] for c in _REPLY.split(", ")]).astype(
         {"packet": "Int64", "n_tokens": "Int64", "n_words": "Int64", "n_train": "Int64"})
 
 
 def _combine(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums of one packet's documents over all segments."""
-    info = np.frombuffer(rows["info"].dropna().iloc[0], dtype=[("key", "<i8"), ("n", "<i8")])
-    doc = _joined(rows["doc"], "<u4")
+    """Sums of log10(count + 1) and the known tokens of one packet's documents."""
+    S.steady_memory()
+    own = rows[rows["kind"] == 2].iloc[0]
+    replies = rows[rows["kind"] == 0].sort_values("seg")  # a packet's words are in the order of the segments
+    counts = np.concatenate([_wide(x) for x in replies["body"]])
+    info = np.frombuffer(own["info"], dtype=[("key", "<i8"), ("n", "<i8")])
+    n_docs, doc, times = _wide(own["n_docs"]), _wide(own["doc"]), _wide(own["times"])
+    log = np.repeat(np.log10(counts + 1.0), n_docs) * times
+    known = np.repeat(counts > 0, n_docs) * times
     return pd.DataFrame({
         "key": info["key"], "n_tokens": info["n"],
-        "n_known": np.bincount(doc, _joined(rows["known"], "<u4"), minlength=len(info)).astype(np.int64),
-        "log_counts": np.bincount(doc, _joined(rows["sums"], "<f8"), minlength=len(info))})
+        "n_known": np.bincount(doc, known, minlength=len(info)).astype(np.int64),
+        "log_counts": np.bincount(doc, log, minlength=len(info))})
 
 
 _CARRIED = ("key", "doc_id", "held_out")
@@ -325,10 +335,11 @@ def score(docs: DataFrame, held: Column, weight: float = PAIR_WEIGHT,
     told = cut_lineage(packets.groupBy("seg").applyInPandas(_count_segment, _REPLY))
     built = told.filter("kind = 1")
     stats = tuple(built.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "n_train")]).first())
-    base = told.filter("kind = 0").groupBy("packet").applyInPandas(
+    base = told.filter("kind <> 1").select("kind", "packet", "seg", "body", "n_docs", "doc", "times", "info").groupBy(
+        "packet").applyInPandas(
         _combine, "key bigint, n_tokens bigint, n_known bigint, log_counts double")
     # passes: runs of segments within the bound
-    sizes = dict(built.select("seg", F.octet_length("doc")).collect())
+    sizes = dict(built.select("seg", F.octet_length("body")).collect())
     passes, room = [[0, 0]], filter_bytes
     for s in range(n_segments):
         if sizes.get(s, 0) > room and passes[-1][1] > passes[-1][0]:
@@ -340,7 +351,7 @@ def score(docs: DataFrame, held: Column, weight: float = PAIR_WEIGHT,
     state = rows
     for first, upto in passes:
         parts = {r[0]: bytes(r[1]) for r in built.filter(F.col("seg").between(first, upto - 1))
-                 .select("seg", "doc").toLocalIterator()}
+                 .select("seg", "body").toLocalIterator()}
         sent = docs.sparkSession.sparkContext.broadcast(
             Filter.of(n_segments, first, [parts.get(s, bytes(8)) for s in range(first, upto)]))
         last = upto == n_segments

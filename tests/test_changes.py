@@ -111,3 +111,28 @@ def test_grouped_orphan_checks_share_one_parent_pass(spark):
     rows = {r.check_name: r.violations
             for r in _orphans_by_parent("DQ-6", [("a", a, "k"), ("b", b, "k")], parent, "id").collect()}
     assert rows == {"a": 2, "b": 0}
+
+
+def test_added_products_keep_their_stock_and_get_ledger_rows_and_warnings(spark):
+    from tillwise.operators import ledger
+    prod = spark.createDataFrame([(1, "b1", "milk", Decimal("2.00"), 5, 3, None, "cold", 1, True)], PRODUCT_SCHEMA)
+    new, soon = (1, TS, "n"), dt.date(2001, 8, 20)
+    feed = spark.createDataFrame([
+        (1, 1, TS, None, None, None, None, None, None, None, None, 77),          # known: its stock stays
+        (9, *new, Decimal("1.00"), None, soon, None, 1, None, None, 40),
+        (9, 2, TS + dt.timedelta(hours=1), "m", None, None, None, None, None, None, None, 99),  # an update sets no stock
+        (10, *new, Decimal("1.00"), None, dt.date(2001, 9, 1), None, 1, None, None, None),
+        (11, *new, Decimal("1.00"), None, None, None, 1, None, None, 3),
+    ], CHANGE_SCHEMA + ", stock_qty int")
+    t = Tables.from_frames(spark, product=prod)
+    got = {r.product_id: (r.change, r.stock_qty, r.name) for r in changes.apply_product_changes(t, feed).collect()}
+    assert got == {1: ("update", 5, "milk"), 9: ("insert", 40, "m"), 10: ("insert", 0, "n"), 11: ("insert", 3, "n")}
+    rows = ledger.created_ledger(t, feed)
+    assert rows.columns == ledger.LEDGER_COLS
+    assert sorted((r.product_id, r.change_qty, r.reason, r.notes, r.kind, r.log_time) for r in rows.collect()) == [
+        (i, q, "restock", "Initial stock on product creation", 0, TS) for i, q in ((9, 40), (10, 0), (11, 3))]
+    warned = [(r.product_id, r.message, r.created_at) for r in ledger.created_expiry_warnings(t, feed).collect()]
+    assert warned == [(9, 'Expiry warning: "n" expires on 2001-08-20 (19 days)', TS)]
+    # a feed without stock: 0, and the ledger says so
+    plain = feed.drop("stock_qty")
+    assert {r.change_qty for r in ledger.created_ledger(t, plain).collect()} == {0}

@@ -27,19 +27,26 @@ def norm_key(c: Column) -> Column:
 
 
 def latest_fields(changes: DataFrame, key: str, fields: Sequence[str],
-                  version: str = "version") -> DataFrame:
+                  version: str = "version", first: Sequence[str] = ()) -> DataFrame:
     """Per key: for each field, its value in the highest version that set
-    it (NULL = "not changed"), plus the last version and change time."""
+    it (NULL = "not changed"), plus the last version and change time.  Of the
+    ``first`` fields, the value in the lowest version (no such column: NULL)."""
+    starts = [(F.min_by(F.col(f), F.col(version)) if f in changes.columns else F.max(F.lit(None))).alias(f)
+              for f in first]
     aggs = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(version))).alias(f) for f in fields]
     return changes.groupBy(key).agg(F.max(version).alias("version"),
-                                    F.max("changed_at").alias("updated_at"), *aggs)
+                                    F.max("changed_at").alias("updated_at"), *aggs, *starts)
 
 
 def apply_product_changes(t: Tables, changes: DataFrame) -> DataFrame:
     """Upsert a product change feed into a new product snapshot.  Unchanged
-    products pass through; new ids are inserted with the defaults."""
-    latest = latest_fields(changes, "product_id", CHANGE_FIELDS)
-    c = latest.select("product_id", "updated_at", *[F.col(f).alias(f"_c_{f}") for f in CHANGE_FIELDS])
+    products pass through; new ids are inserted with the defaults.  The feed
+    may have a ``stock_qty``: a new product gets that of its first version
+    (none: 0); for a known product it is ignored, as only sales and restocks
+    move its stock."""
+    latest = latest_fields(changes, "product_id", CHANGE_FIELDS, first=["stock_qty"])
+    c = latest.select("product_id", "updated_at", F.col("stock_qty").cast("int").alias("_c_stock_qty"),
+                      *[F.col(f).alias(f"_c_{f}") for f in CHANGE_FIELDS])
     p = t.product
     j = p.join(c, "product_id", "full")
     cols = {f: F.coalesce(F.col(f"_c_{f}"), F.col(f)) for f in CHANGE_FIELDS}
@@ -49,12 +56,22 @@ def apply_product_changes(t: Tables, changes: DataFrame) -> DataFrame:
                .when(F.col("stock_qty").isNull(), "insert").otherwise("update"))
     return j.select("product_id", cols["barcode"].alias("barcode"), cols["name"].alias("name"),
                     cols["price"].alias("price"),
-                    F.coalesce(F.col("stock_qty"), F.lit(0)).alias("stock_qty"),
+                    F.coalesce(F.col("stock_qty"), F.col("_c_stock_qty"), F.lit(0)).alias("stock_qty"),
                     cols["reorder_level"].alias("reorder_level"), cols["expiry_date"].alias("expiry_date"),
                     cols["warning_label"].alias("warning_label"), cols["category_id"].alias("category_id"),
                     cols["is_active"].alias("is_active"), "updated_at", change.alias("change"))
 
 
+def created_products(t: Tables, changes: DataFrame) -> DataFrame:
+    """The new products of a change feed as their first version gave them:
+    what the triggers on a product insert see."""
+    row = F.struct("name", "expiry_date", "changed_at",
+                   (F.col("stock_qty") if "stock_qty" in changes.columns else F.lit(None)).cast("int").alias("stock_qty"))
+    first = changes.groupBy("product_id").agg(F.min_by(row, F.col("version")).alias("_row"))
+    return (first.join(t.product.select("product_id"), "product_id", "left_anti")
+            .select("product_id", "_row.*").fillna(0, ["stock_qty"]))
+
+
 def register_customers(t: Tables, requests: DataFrame) -> DataFrame:
     """Register a batch of customers in request order.  A request is
     refused when input is missing, when its username (case-insensitive) is

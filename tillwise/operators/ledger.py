@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.functions import scalar as S
-from tillwise.operators import admission, billing
+from tillwise.operators import admission, billing, changes
 from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.lookup import lookup_join
 from tillwise.plans.running import assign_range_chunks, chunked_running_sum
@@ -86,13 +86,29 @@ def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None
 
 def expiry_warnings(t: Tables, as_of: dt.date) -> DataFrame:
     """Warnings for products created on ``as_of`` that expire within 30 days."""
-    days = S.days_until(F.col("expiry_date"), as_of)
-    p = t.product_base.filter(F.col("expiry_date").isNotNull()).filter(days.between(0, 30))
+    return _expiry_rows(t.product_base, S.days_until(F.col("expiry_date"), as_of), ntz(as_of))
+
+
+def _expiry_rows(products: DataFrame, days: Column, created_at: Column) -> DataFrame:
+    p = products.filter(F.col("expiry_date").isNotNull()).filter(days.between(0, 30))
     msg = F.concat(F.lit('Expiry warning: "'), F.col("name"), F.lit('" expires on '),
                    F.col("expiry_date").cast("string"), F.lit(" ("), days.cast("string"), F.lit(" days)"))
     return p.select(F.lit("expiry_warning").alias("type"), msg.alias("message"), "product_id",
                     F.lit(None).cast("bigint").alias("reference_id"), F.lit(0).alias("line_no"),
-                    ntz(as_of).alias("created_at"))
+                    created_at.alias("created_at"))
+
+
+def created_ledger(t: Tables, feed: DataFrame) -> DataFrame:
+    """Initial ledger rows of the products that a change feed adds."""
+    null = F.lit(None)
+    return _ledger_rows(changes.created_products(t, feed), F.col("stock_qty"), "restock", null, null,
+                        F.col("changed_at"), F.lit("Initial stock on product creation"), 0, F.lit(0))
+
+
+def created_expiry_warnings(t: Tables, feed: DataFrame) -> DataFrame:
+    """Warnings for the products that a change feed adds within 30 days of their expiry."""
+    made = changes.created_products(t, feed)
+    return _expiry_rows(made, F.datediff("expiry_date", F.to_date("changed_at")), F.col("changed_at"))
 
 
 def all_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None) -> DataFrame:

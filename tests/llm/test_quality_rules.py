@@ -59,3 +59,19 @@ def test_query_equals_oracle(spark):
 def test_plan_has_no_shuffle_and_no_python(spark, docs_of):
     plan = Q.apply_rules(docs_of(["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_languages_without_a_list(spark):
+    ru = " ".join(f"дом{i} и сад{i} стоят у реки" for i in range(20))
+    el = " ".join(f"το σπίτι{i} και ο κήπος{i} είναι εδώ" for i in range(20))
+    hi = " ".join(f"यह घर{i} और बगीचा{i} नदी{i} के पास है" for i in range(20))
+    bare = " ".join(f"house{i}" for i in range(80))
+    rows = [(ru, "ru"), (el, "el-GR"), (hi, "hin"), (bare, "en"), (bare, " EN-us"), (bare, "deu"), (bare, "enm"),
+            (ru, None), (ru, ""), (ru + "! # " * 200, "ru")]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    kept = [True, True, True, False, False, False, True, True, True, False]
+    judged = Q.apply_rules(docs).orderBy("doc_id").collect()
+    assert [r.kept for r in judged] == kept and all(r.failed_rules == ["stop_words"] for r in judged[3:6])
+    assert sorted(r.doc_id for r in Q.keep_good(docs).collect()) == [i for i, k in enumerate(kept) if k]
+    # no language column: as of a listed language
+    assert [r.kept for r in Q.apply_rules(docs.drop("lang")).orderBy("doc_id").collect()[:3]] == [False] * 3

@@ -5,8 +5,14 @@ turns the table into one Spark projection over the text: length, symbol,
 stop-word and line ratios, evaluated inside the JVM without user functions
 and without a shuffle.
 
+Stop words are listed for four languages (:data:`STOP_WORDS_OF`).  The rule
+on them judges documents labelled with one of these, by the words of all four
+(texts mix languages); where no list exists, the other rules alone decide.
+Without a language column every row counts as of a listed language.
+
 Defined results for odd input: a null or blank text has no words, all its
-counts are 0 and it fails; repeated rows are judged one by one; an empty
+counts are 0 and it fails; a text whose language is null or blank has no list
+of stop words; repeated rows are judged one by one; an empty
 table gives an empty result.  Every other column passes through, unless it
 has the name of an output column, which then replaces it.
 """
@@ -26,20 +32,26 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 # --- fixed values: frequent function words of the corpus languages -----------
-STOP_WORDS = (
-    "a an and are as at be by for from have he in is it not of on or that the they this to was with "
-    "das dem der des die ein eine für im ist mit nicht sich und von zu den auf "
-    "au dans de est et la le les par pas pour que qui sur un une du en "
-    "al con como el las los para por se su una y del").split()
+STOP_WORDS_OF = {
+    "en": "a an and are as at be by for from have he in is it not of on or that the they this to was with",
+    "de": "das dem der des die ein eine für im ist mit nicht sich und von zu den auf",
+    "fr": "au dans de est et la le les par pas pour que qui sur un une du en",
+    "es": "al con como el las los para por se su una y del",
+}
+STOP_WORDS = " ".join(STOP_WORDS_OF.values()).split()
+#: Three-letter codes of the listed languages.
+LONG_CODES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es"}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``smallest <= measure <= largest`` (None: no bound on that side)."""
+    """``smallest <= measure <= largest`` (None: no bound on that side);
+    ``listed``: only for languages with a list of stop words."""
     name: str
     measure: str
     smallest: float | None = None
     largest: float | None = None
+    listed: bool = False
 
 
 RULES = (
@@ -48,7 +60,7 @@ RULES = (
     Rule("symbols", "symbol_ratio", largest=0.05),
     Rule("exclamations", "exclamations_per_word", largest=0.3),
     Rule("capitals", "capital_ratio", largest=0.3),
-    Rule("stop_words", "stop_word_ratio", smallest=0.05),
+    Rule("stop_words", "stop_word_ratio", smallest=0.05, listed=True),
     Rule("duplicate_lines", "duplicate_line_ratio", largest=0.4),
 )
 
@@ -98,12 +110,20 @@ def repeat_words(hashes: Column) -> Column:
     return _bind(_windows(hashes), count)
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _listed(docs: DataFrame, lang_col: str) -> Column:
+    """Whether a row's language (a code like ``en``, ``en-GB`` or ``eng``) has a list of stop words."""
+    if lang_col not in docs.columns:
+        return F.lit(True)
+    code = F.regexp_extract(F.lower(F.col(f"`{lang_col}`").cast("string")), "^\\s*([a-z]+)(?:[-_.@\\s]|$)", 1)
+    return F.coalesce(code.isin(*STOP_WORDS_OF, *LONG_CODES), F.lit(False))
+
+
+def measures(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each row of ``docs`` as struct ``_row`` and a struct ``_m`` with all
     counts and ratios of its text."""
     text = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-                       F.col(f"`{text_col}`").alias("_text"))
+                       F.col(f"`{text_col}`").alias("_text"), _listed(docs, lang_col).alias("_listed"))
     split = rows.withColumn("_w", words(F.col("_text")))
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(" \t\n\x0b\f\r")) != "")
     counts = split.select(
@@ -125,7 +145,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("_lines.dup").alias("n_dup_lines"), F.col("_repeat").alias("n_repeat_words"),
         (F.col("_chars") / n).alias("mean_word_length"), (F.col("_symbols") / chars).alias("symbol_ratio"),
         (F.col("_bangs") / n).alias("exclamations_per_word"), (F.col("_capitals") / chars).alias("capital_ratio"),
-        (F.col("_stops") / n).alias("stop_word_ratio"),
+        (F.col("_stops") / n).alias("stop_word_ratio"), F.col("_listed").alias("listed"),
         (F.col("_lines.dup") / F.greatest(F.col("_lines.n"), F.lit(1))).alias("duplicate_line_ratio"))
     return counts.select("_row", m.alias("_m"))
 
@@ -136,16 +156,17 @@ def _fails(rule: Rule) -> Column:
         fails = fails | (value < F.lit(rule.smallest))
     if rule.largest is not None:
         fails = fails | (value > F.lit(rule.largest))
-    return fails
+    return fails & F.col("_m.listed") if rule.listed else fails
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
+                lang_col: str = "lang") -> DataFrame:
     """Counts, ``base_failed``, ``kept`` and ``failed_rules`` for every row.
 
     ``base_failed``: under 50 words, or more than half of the words in
     repeated 3-word windows.  ``kept``: the base holds and no rule fails.
     """
-    m = measures(docs, text_col)
+    m = measures(docs, text_col, lang_col)
     base = (F.col("_m.n_words") < MIN_WORDS) | (
         100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_m.n_words"))
     failed = F.array_compact(F.array(*[F.when(_fails(r), F.lit(r.name)) for r in rules]))
@@ -156,8 +177,10 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), "failed_rules")
 
 
-def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
+              lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept_row"),
-                      F.col(f"`{text_col}`").alias("_kept_text"))
-    return apply_rules(row, rules, "_kept_text").filter("kept").select("_kept_row.*")
+                      F.col(f"`{text_col}`").alias("_kept_text"),
+                      *[F.col(f"`{c}`").alias("_kept_lang") for c in docs.columns if c == lang_col])
+    return apply_rules(row, rules, "_kept_text", "_kept_lang").filter("kept").select("_kept_row.*")

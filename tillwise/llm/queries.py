@@ -18,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.apply_rules(docs).select(
         "doc_id", *quality_rules.OUTPUT[:7])
 

@@ -107,3 +107,111 @@ n AS (SELECT rid, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN known USING (digest) LEFT JOIN n USING (rid)
 """
+
+OP11_HARD_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+  SELECT a.rid AS anchor, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.x) = len(b.x)),
+p AS (
+  SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same
+  AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+# CRC-32 from its generator polynomial; DuckDB has no such function
+_CRC32 = """
+crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(
+    [n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS steps)
+"""
+
+OP12_CONVERSATION_REPAIR = f"""
+WITH RECURSIVE {_CRC32},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(4294967295, list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(
+             string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+             lambda c: CAST(ord(c) AS BIGINT))),
+           lambda crc32, b: xor(steps[(xor(crc32, b) & 255) + 1], crc32 >> 8))) % 20 AS kind
+  FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM keyed, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault,
+         coalesce(lag(role[1]) OVER (PARTITION BY c ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au'), false) AS misfit
+  FROM placed),
+r AS (
+  SELECT c, i, role, text, role[1] AS a, max(i) OVER (PARTITION BY c) - i AS later,
+         CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS stay
+  FROM faulty),
+-- least cost of row i and all after it, from: nothing yet (n), a system row (s), a user row (u), an assistant row (a)
+back AS (
+  SELECT c, max(i) + 1 AS i, 0::BIGINT AS n, 10::BIGINT AS s, 5::BIGINT AS u, 0::BIGINT AS a FROM r GROUP BY c
+  UNION ALL
+  SELECT c, i, least(n0, 5 + u1), least(s0, 5 + u1), u1, least(a0, 5 + u0)
+  FROM (
+    SELECT *, least(u0, 5 + a0) AS u1
+    FROM (
+      SELECT r.c, r.i,
+             least(2 + b.n, stay + 1 + b.u, CASE r.a WHEN 's' THEN stay + b.s WHEN 'u' THEN stay + b.u END) AS n0,
+             least(2 + b.s, stay + 1 + b.u, CASE r.a WHEN 'u' THEN stay + b.u END) AS s0,
+             least(2 + b.u, stay + 1 + b.a, CASE r.a WHEN 'a' THEN stay + b.a END) AS u0,
+             least(2 + b.a, stay + 1 + b.u, CASE r.a WHEN 'u' THEN stay + b.u END) AS a0
+      FROM back b JOIN r ON r.c = b.c AND r.i = b.i - 1))),
+costs AS (SELECT b.*, r.a AS initial, r.stay, r.role, r.text FROM back b LEFT JOIN r USING (c, i)),
+-- the edits from the front: state, letters and repaired lines so far
+walk AS (
+  SELECT c, 1::BIGINT AS i, 'n' AS state, '' AS audit, []::VARCHAR[] AS lines, true AS going FROM costs WHERE i = 1
+  UNION ALL
+  SELECT c, CASE WHEN edit IN ('D', 'K', 'R') THEN i + 1 ELSE i END,
+         CASE edit WHEN 'K' THEN initial WHEN 'D' THEN state WHEN '' THEN state ELSE added END, audit || edit,
+         CASE WHEN edit = 'K' THEN list_append(lines, role || ':' || text)
+              WHEN edit IN ('R', 'I') THEN list_append(
+                lines, CASE added WHEN 'u' THEN 'user:' ELSE 'assistant:' END || CASE edit WHEN 'R' THEN text ELSE '' END)
+              ELSE lines END, edit <> ''
+  FROM (
+    SELECT w.*, k.initial, k.role, k.text, CASE state WHEN 'u' THEN 'a' ELSE 'u' END AS added,
+           CASE state WHEN 'n' THEN k.n WHEN 's' THEN k.s WHEN 'u' THEN k.u ELSE k.a END AS least_cost,
+           CASE WHEN k.initial IS NULL AND state IN ('n', 'a') THEN ''
+                WHEN k.initial IS NOT NULL AND least_cost =
+                  2 + CASE state WHEN 'n' THEN x.n WHEN 's' THEN x.s WHEN 'u' THEN x.u ELSE x.a END THEN 'D'
+                WHEN least_cost = 5 + CASE state WHEN 'u' THEN k.a ELSE k.u END THEN 'I'
+                WHEN (state || k.initial IN ('ns', 'nu', 'su', 'ua', 'au')) AND least_cost =
+                  k.stay + CASE k.initial WHEN 's' THEN x.s WHEN 'u' THEN x.u ELSE x.a END THEN 'K'
+                ELSE 'R' END AS edit
+    FROM walk w JOIN costs k ON k.c = w.c AND k.i = w.i LEFT JOIN costs x ON x.c = w.c AND x.i = w.i + 1
+    WHERE going)),
+told AS (
+  SELECT conv_id, c, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (misfit) AS illegal,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM faulty GROUP BY ALL),
+done AS (
+  SELECT told.*, b.n AS cost, w.audit, sha256(array_to_string(w.lines, chr(10))) AS repaired_sha256
+  FROM told JOIN back b ON b.c = told.c AND b.i = 1 JOIN walk w ON w.c = told.c AND NOT w.going)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

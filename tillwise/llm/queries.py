@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import oracle_sql as O
-from tillwise.llm import (ann, chat, licenses, lm_score, mixing, packing, quality_rules, sharding, simhash,
-                          token_counts)
+from tillwise.llm import (ann, chat, hard_negatives, licenses, lm_score, mixing, packing, quality_rules, repair,
+                          sharding, simhash, token_counts, toxicity)
 from tillwise.llm.words import word_count
 from tillwise.plans.lineage import cut_lineage
 from tillwise.session import scratch_path
@@ -85,6 +85,55 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("bigint")
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(noisy, F.col("vec_id") % 100 == 0)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The contract's damage, by crc32(conv_id:turn) % 20; nulls are one space."""
+    def of(c: str):
+        return F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(of("conv_id"), F.lit(":"), of("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", of("role").alias("role"), of("text").alias("text"), kind.alias("kind"))
+    copies = F.when(F.col("kind") == 3, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", ""))
+        .otherwise(F.col("text")).alias("text"), F.explode(copies).alias("_copy")).drop("_copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations")
+    rows = damaged(turns)
+    audited = cut_lineage(repair.audits(rows))
+    found = audited.select("conv_id", "audit", "cost", *[c.alias(n) for n, c in
+                                                         repair.row_faults(F.col("codes")).items()])
+    out = turns.select("conv_id").distinct()
+    for side in (found, repair.turn_gaps(rows), repair.digests(repair.repaired(rows, audited))):
+        side = side.withColumnRenamed("conv_id", "_c")
+        out = out.join(side, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+                     for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lm_score.held_out(F.col("doc_id"), 3, 1)
+    labels = _read(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    worst = F.get(F.sort_array("sentences", asc=False), F.lit(0))
+    return scored.select("doc_id", held_out.alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"),
+                         F.size("sentences").cast("bigint").alias("n_offending"),
+                         worst["start"].alias("worst_start"), worst["length"].alias("worst_length"))
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, O.OP1_QUALITY_RULES),
     # seeded draws have no SQL form: checked against quotas and targets in tests
@@ -102,4 +151,8 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_license_scans": (op9_license_scans, O.OP9_LICENSE_SCANS),
     "op10_chat_formatting": (op10_chat_formatting, O.OP10_CHAT_FORMATTING),
+    "op11_hard_negatives": (op11_hard_negatives, O.OP11_HARD_NEGATIVES),
+    "op12_conversation_repair": (op12_conversation_repair, O.OP12_CONVERSATION_REPAIR),
+    # a trained model has no SQL form: checked by held-out accuracy and a plain noisy-or in tests
+    "op13_toxicity": (op13_toxicity, None),
 }

@@ -15,6 +15,7 @@ spread over the ranges by a salt); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +33,25 @@ END_ID = 2
 DIMENSIONS = 3
 BITS = 16
 SEED = 11
-#: Entries of a worker's word cache (about 200 bytes each); a full one is emptied.
-CACHE = 600_000
-# --- fixed values: ASCII marks that the vocabulary's rule keeps in one run -----
-_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~".decode()
+#: Entries of a worker's table of word parts (about 35 bytes each); a full one is emptied.
+CACHE = 1_000_000
+# --- fixed values: ASCII marks that the vocabulary's rule keeps in one run; letters and the bytes of others ---
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 class Encoder:
-    """Token ids by the public tokenizer, through a cache of word parts.
+    """Token ids by the public tokenizer, through a table of word parts.
 
     The tokenizer drops blanks and never joins characters across them, so a
-    text's ids are those of its words.  A word of letters followed by marks
-    is two parts; new letter parts are encoded together, separated by blanks,
-    and cut after the ids that end a word.
+    text's ids are those of its words.  A word of letters and then marks is
+    two parts, unless the letters, composed and lower-cased as the tokenizer
+    does it, are no longer letters throughout (a dotted capital I ends in a
+    combining mark, which runs on into the marks): such a word is one part,
+    as all others are.  Parts are found by their hashes, many at a time; only
+    new ones are spelled out and encoded.
     """
 
     def __init__(self, vocabulary: str):
@@ -62,49 +69,110 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.ends_word = np.zeros(self.size, dtype=bool)
         self.ends_word[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def _alone(self, parts: list[str]) -> None:
-        for part, got in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.cache[part] = self._bytes(got.ids)
-
-    def _learn(self, letters: list[str], other: list[str]) -> None:
-        if letters:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(letters):
-                raw, item = self._bytes(ids), self.dtype.itemsize
-                for part, a, b in zip(letters, [0, *(ends[:-1] * item).tolist()], (ends * item).tolist()):
-                    self.cache[part] = raw[a:b]
-            else:  # a letter that the tokenizer's rules split further
-                self._alone(letters)
-        if other:
-            self._alone(other)
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids (little-endian) of each blank-free word."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache, parts, letters, other = self.cache, [], {}, {}
-        for word in words:
-            head = word.rstrip(_MARKS)
-            if head.isalpha():
-                low = head.lower() if head.isascii() else head
-                tail = word[len(head):]
-                parts.append((low, tail))
-                if low not in cache:
-                    letters[low] = None
-                if tail and tail not in cache:
-                    other[tail] = None
+        self._clear()
+
+    def _clear(self) -> None:
+        """Known parts: sorted hashes and the row of each; by row, where its
+        ids begin and how many there are (-1: letters that must not be parted
+        from their marks)."""
+        self.keys, self.row = np.array([], dtype=np.uint64), np.array([], dtype=np.int64)
+        self.begin, self.count = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        self.pool = np.array([], dtype=self.dtype)
+
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [got.ids for got in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return (np.array([i for x in ids for i in x], dtype=self.dtype),
+                np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+
+    def _together(self, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``n`` words of letters, encoded as one text and cut after
+        the ids that end a word."""
+        if not n:
+            return self.pool[:0], self.count[:0]
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == n else self._alone(text.split(" "))
+
+    def _look_up(self, part: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray,
+                 letters: bool) -> np.ndarray:
+        """Rows of the parts ``data[start:end]``, whose hashes are ``part``."""
+        distinct, first, which = np.unique(part, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, b = start[first[new]], end[first[new]]
+            if letters:
+                high = np.concatenate([[0], np.cumsum(data >= 0x80)])
+                ascii_only = np.flatnonzero(high[b] == high[a])
+                other = np.flatnonzero(high[b] > high[a])
+                words = _joined(data, a[other], b[other]).split(" ") if len(other) else []
+                fine = np.fromiter(map(_letters_throughout, words), dtype=bool, count=len(words))
+                texts = [" ".join(w for w, ok in zip(words, fine) if ok)] if fine.any() else []
+                texts += [_joined(data, a[ascii_only], b[ascii_only])] if len(ascii_only) else []
+                ids, size = self._together(" ".join(texts), int(fine.sum()) + len(ascii_only))
+                count = np.full(len(new), -1, dtype=np.int64)
+                order = np.concatenate([other[fine], ascii_only])
+                count[order] = size
+                begin = np.zeros(len(new), dtype=np.int64)
+                begin[order] = np.cumsum(size) - size
             else:
-                parts.append((word, ""))
-                if word not in cache:
-                    other[word] = None
-        self._learn(list(letters), list(other))
-        return [cache[a] + cache[b] if b else cache[a] for a, b in parts]
+                ids, count = self._alone(_joined(data, a, b).split(" "))
+                begin = np.cumsum(count) - count
+            rows = len(self.begin) + np.arange(len(new))
+            self.begin = np.append(self.begin, begin + len(self.pool))
+            self.count, self.pool = np.append(self.count, count), np.append(self.pool, ids)
+            self.keys, self.row = np.insert(self.keys, at[new], distinct[new]), np.insert(self.row, at[new], rows)
+        return self.row[np.searchsorted(self.keys, distinct)][which]
+
+    def encode(self, words: segment.Words) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each word has."""
+        if len(self.keys) > CACHE:
+            self._clear()
+        data, start, end = words.data, words.start, words.end
+        plain = segment.lowered(data)
+        last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data)))) if len(data) else data
+        cut = np.maximum(last[end - 1] + 1, start)
+        others = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+        letters = np.flatnonzero((cut > start) & (others[cut] == others[start]))
+        head = self._look_up(_part_hashes(words, plain, start[letters], cut[letters], 1), plain,
+                             start[letters], cut[letters], True)
+        split = self.count[head] >= 0
+        letters, head = letters[split], head[split]
+        whole = np.ones(len(start), dtype=bool)
+        whole[letters] = False
+        whole = np.flatnonzero(whole)
+        # first the head or the whole word, then what may follow a head
+        tail = letters[end[letters] > cut[letters]]
+        a, b = np.concatenate([start[whole], cut[tail]]), np.concatenate([end[whole], end[tail]])
+        rest = self._look_up(_part_hashes(words, data, a, b, 2), data, a, b, False)
+        begin, count = np.zeros((2, len(start), 2), dtype=np.int64)
+        for which, column, rows in ((letters, 0, head), (whole, 0, rest[:len(whole)]), (tail, 1, rest[len(whole):])):
+            begin[which, column], count[which, column] = self.begin[rows], self.count[rows]
+        size = count.ravel()
+        before = np.cumsum(size) - size
+        return self.pool[np.repeat(begin.ravel() - before, size) + np.arange(int(size.sum()))], count.sum(axis=1)
+
+
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+    """The parts with a blank between each two."""
+    size = end - start + 1
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))
+    out = data[np.minimum(at, len(data) - 1)]
+    out[ends - 1] = 0x20
+    return out[:-1].tobytes().decode()
+
+
+def _letters_throughout(word: str) -> bool:
+    """Whether the tokenizer keeps the word in one run of letters."""
+    return word.isascii() or word.isalpha() and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
+def _part_hashes(words: segment.Words, data: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
+    return segment.mix(segment.hashes(segment.Words(data, start, end, words.doc, words.n_docs)) ^ np.uint64(kind))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -117,22 +185,21 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-def encode_texts(texts: pa.Array, enc: Encoder, end_id: int | None = END_ID) -> list[np.ndarray]:
-    """Ids of each text, closed by ``end_id``."""
-    w = segment.split(texts)
-    _, first, which = np.unique(segment.hashes(w), return_index=True, return_inverse=True)
-    spelled = [w.text(i).decode() for i in first.tolist()]
-    ids = enc.words(spelled)
-    pool = np.frombuffer(b"".join(ids), dtype=enc.dtype)
-    size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // enc.dtype.itemsize
-    begin = np.cumsum(size) - size
-    size, begin = size[which], begin[which]
-    before = np.cumsum(size) - size
-    flat = pool[np.repeat(begin - before, size) + np.arange(int(size.sum()))]
-    per_doc = w.per_doc(size).astype(np.int64)
+def encode_texts(texts: pa.Array, enc: Encoder, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts one after another, each closed by ``end_id``, and how
+    many each text has."""
+    words = segment.split(texts)
+    flat, size = enc.encode(words)
+    per_doc = words.per_doc(size).astype(np.int64)
+    if end_id is None:
+        return flat, per_doc
+    per_doc += 1
     ends = np.cumsum(per_doc)
-    closing = np.array([] if end_id is None else [end_id], dtype=enc.dtype)
-    return [np.concatenate([flat[e - n:e], closing]) for e, n in zip(ends.tolist(), per_doc.tolist())]
+    out = np.full(int(per_doc.sum()), end_id, dtype=enc.dtype)
+    own = np.ones(len(out), dtype=bool)
+    own[ends - 1] = False
+    out[own] = flat
+    return out, per_doc
 
 
 def hilbert_key(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -166,30 +233,49 @@ def projector(size: int, seed: int = SEED, dimensions: int = DIMENSIONS) -> np.n
     return np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int32), size=(size, dimensions))
 
 
-def cells_of(documents: list[np.ndarray], signs: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Grid cells of documents: the unit vector of a document's token set under
-    random signs is about normal; its distribution function fills the grid."""
-    place = np.empty((len(documents), signs.shape[1]))
-    for i, ids in enumerate(documents):
-        distinct = np.unique(ids)
-        place[i] = signs[distinct].sum(axis=0) / np.sqrt(len(distinct))
+def cells_of(flat: np.ndarray, sizes: np.ndarray, signs: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Grid cells of documents (``sizes`` of the ids each): the unit vector of
+    a document's token set under random signs is about normal; its
+    distribution function fills the grid."""
+    small = len(sizes) <= 1 << 16 and len(signs) <= 1 << 16
+    kind, shift = (np.uint32, 16) if small else (np.uint64, 32)
+    pairs = np.repeat(np.arange(len(sizes), dtype=kind) << kind(shift), sizes) | flat
+    pairs.sort()
+    distinct = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    doc = (distinct >> kind(shift)).astype(np.int64)
+    count = np.bincount(doc, minlength=len(sizes))
+    total = np.zeros((len(sizes), signs.shape[1]))
+    full = count > 0
+    if full.any():
+        total[full] = np.add.reduceat(signs[distinct & kind((1 << shift) - 1)], (np.cumsum(count) - count)[full])
+    place = total / np.sqrt(np.maximum(count, 1))[:, None]
     return np.minimum(((1 << bits) / (1 + np.exp(-1.702 * place))).astype(np.int64), (1 << bits) - 1)
 
 
+def _binaries(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The bytes of ``flat`` cut at ``bounds``."""
+    cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1,
+                                           [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(flat)])
+    return cut.cast(pa.binary())
+
+
 def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
     """``doc_id, ids`` (little-endian integers of ``item`` bytes), ``curve``
     (place on the curve) and ``salt``, materialised."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment.steady_memory()
         enc = encoder(vocabulary)
         signs = projector(enc.size, seed)
         for batch in batches:
             texts = batch.column("text")
             for a, b in segment.slices(texts):
-                ids = encode_texts(texts.slice(a, b - a), enc)
+                flat, sizes = encode_texts(texts.slice(a, b - a), enc)
+                item = enc.dtype.itemsize
+                bounds = np.concatenate([[0], np.cumsum(sizes) * item])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([x.tobytes() for x in ids], pa.binary()),
-                     pa.array(hilbert_key(cells_of(ids, signs))),
-                     pa.array(np.full(len(ids), enc.dtype.itemsize, dtype=np.int32))],
+                    [batch.column("doc_id").slice(a, b - a), _binaries(flat, bounds),
+                     pa.array(hilbert_key(cells_of(flat, sizes, signs))),
+                     pa.array(np.full(b - a, item, dtype=np.int32))],
                     names=["doc_id", "ids", "curve", "item"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

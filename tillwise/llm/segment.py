@@ -97,6 +97,11 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     return Words(raw, start, end, np.searchsorted(at, start, side="right") - 1, len(texts))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
     got = _powers.get(name)
     if got is None or len(got) < n:

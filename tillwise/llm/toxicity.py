@@ -14,8 +14,9 @@ once per document.  Sentences end at ``. ! ?`` before a blank and at line ends.
 
 Sentences of labelled documents are cut and hashed where the documents lie;
 the fit itself sees a bounded sample, at most ``FIT_DOCS`` documents and
-``FIT_FEATURES`` word features, drawn by a hash of the text: one task trains
-on them and returns ``2 ** BITS`` weights.  Scoring reads every whole text.
+``FIT_FEATURES`` word features, drawn by a hash of the text (a document of
+more than a twentieth of them is left to the others): one task trains on them
+and returns ``2 ** BITS`` weights.  Scoring reads every whole text.
 
 Defined results for odd input: null, empty and blank texts have no sentence
 and score 0; without a toxic document in the sample every score is 0; labels
@@ -39,11 +40,13 @@ from tillwise.llm import segment as S
 from tillwise.plans.lineage import cut_lineage
 
 #: Bound of the sample that the weights are fitted on.
-FIT_DOCS, FIT_FEATURES = 20_000, 10_000_000
+FIT_DOCS, FIT_FEATURES = 12_000, 8_000_000
 #: Only features whose log odds ratio between toxic and other documents of the
 #: sample reaches this, and this many of its standard errors, get a weight.
 LEAST_ODDS, LEAST_ERRORS = 1.1, 3.0
 BITS = 20
+#: Bytes of text handled at once.
+SLICE_BYTES = 2 << 20
 ROUNDS, RATE, SHRINK = 150, 0.2, 1e-3
 #: Sentences of at least this chance are reported.
 OFFENDING = 0.5
@@ -128,9 +131,10 @@ def _chance(z: np.ndarray) -> np.ndarray:
 # -- the fit -------------------------------------------------------------------------
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: feature numbers of its words, and words per sentence."""
+    S.steady_memory()
     for batch in batches:
         texts = batch.column("text")
-        for a, b in S.slices(texts):
+        for a, b in S.slices(texts, SLICE_BYTES):
             found = Sentences(texts.slice(a, b - a))
             kept = found.first[found.of_word]
             features, of_word = found.features[kept].astype("<i4"), found.of_word[kept]
@@ -164,19 +168,20 @@ def train(documents: list[tuple[int, np.ndarray, np.ndarray]], size: int = 1 <<
         return weights, -40.0
     width = sum(len(d[1]) for d in documents) // sum(int(d[2].sum()) for d in documents)
     features = np.concatenate([d[1] for d in documents])
-    doc_of = np.repeat(np.arange(len(documents)), [len(d[1]) for d in documents])
+    doc_of = np.repeat(np.arange(len(documents), dtype=np.int32), [len(d[1]) for d in documents])
     sentences = np.array([len(d[2]) for d in documents])
-    word_sentence = np.repeat(np.arange(int(sentences.sum())), np.concatenate([d[2] for d in documents]))
-    sentence_of = np.repeat(word_sentence, width)
     # features that say little go; the others are numbered anew
     present = np.unique(features.astype(np.int64) * len(documents) + doc_of)
+    del doc_of
     with_label = np.bincount(present // len(documents), weights=y[present % len(documents)], minlength=size)
     without = np.bincount(present // len(documents), minlength=size) - with_label
     known = np.flatnonzero(_telling(with_label, without, int(y.sum()), int((~y).sum())))
     place = np.full(size, -1, dtype=np.int32)
     place[known] = np.arange(len(known))
     own = place[features]
-    own, sentence_of = own[own >= 0], sentence_of[own >= 0]
+    kept = np.flatnonzero(own >= 0)
+    word_sentence = np.repeat(np.arange(int(sentences.sum()), dtype=np.int32), np.concatenate([d[2] for d in documents]))
+    own, sentence_of = own[kept], word_sentence[kept // width]
     bag = np.repeat(np.arange(len(documents)), sentences)
     rate = y.mean() if not y.all() else 0.99
     bias = float(np.log(rate / sentences.mean()))
@@ -199,6 +204,7 @@ def train(documents: list[tuple[int, np.ndarray, np.ndarray]], size: int = 1 <<
 
 
 def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    S.steady_memory()
     rows, room = [], FIT_FEATURES
     for batch in batches:  # in the order of the draw
         for row in batch.select(["toxic", "features", "sizes", "n"]).to_pylist():
@@ -229,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[n
     if share < 1:
         drawn = drawn.filter(F.col("draw") < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
     bags = cut_lineage(drawn.mapInArrow(_bags, "toxic int, draw bigint, features binary, sizes binary, n bigint"))
-    sample = bags.orderBy("draw", "n").limit(fit_docs)
+    sample = bags.filter(F.col("n") <= FIT_FEATURES // 20).orderBy("draw", "n").limit(fit_docs)
     row = sample.coalesce(1).sortWithinPartitions("draw", "n").mapInArrow(
         _trainer, "weights binary, bias double").first()
     if row is None:
@@ -240,9 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[n
 # -- scoring --------------------------------------------------------------------------
 def _scored(weights: np.ndarray, bias: float, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        S.steady_memory()
         for batch in batches:
             texts = batch.column("text")
-            for a, b in S.slices(texts):
+            for a, b in S.slices(texts, SLICE_BYTES):
                 found = Sentences(texts.slice(a, b - a))
                 chances = found.chances(weights, bias)
                 bad = np.flatnonzero(chances >= OFFENDING)

@@ -59,13 +59,39 @@ def test_shards_hold_each_draw_once(spark):
     mixed = mixing.mix(docs, word_count(F.col("text")), shard_words=20_000).cache()
     drawn = mixed.select(F.sum(F.size("shards")), F.sum("copies")).first()
     assert drawn[0] == drawn[1] > 0
-    dealt = mixing.shuffled_shards(mixed, 4)
-    assert dealt.columns == [*docs.columns, "copy", "shard"] and dealt.count() == drawn[0]
+    dealt = mixing.shuffled_shards(mixed)
+    assert dealt.columns == ["row", "copy", "shard"] and dealt.count() == drawn[0]
     per = dealt.groupBy("shard").count().collect()
-    assert len(per) > 10
+    assert len(per) > mixing.LEAST_SHARDS
     assert mixing.draws(mixed).columns == docs.columns and mixing.draws(mixed).count() == drawn[0]
 
 
+def test_shards_come_from_the_tree(spark):
+    """On the given tables as they are: 16 shards of equally many blocks, the
+    blocks of each source as the tree deals them, whole blocks together."""
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    rows = docs.select(F.col("source"), mixing.block_of(F.col("doc_id")).alias("block"), word_count(F.col("text")).alias("size"))
+    plan = mixing.block_plan(rows).collect()
+    held = {}
+    for r in plan:
+        assert len(r.shards) == r.copies
+        for s in r.shards:
+            held.setdefault(r.source, np.zeros(16, dtype=int))[s] += 1
+    names = sorted(held)
+    quotas = np.array([held[s].sum() for s in names])
+    assert (np.array([held[s] for s in names]).T == mixing.split_quotas(quotas, 16, mixing.SEED)).all()
+    assert np.ptp(sum(held.values())) <= 1
+    by_block = {(r.source, r.block): r.shards for r in plan}
+    blocks = {r.doc_id: (r.source, r.block) for r in docs.select(
+        "doc_id", "source", mixing.block_of(F.col("doc_id")).alias("block")).collect()}
+    got = queries.op2_mixing(spark, SF_MID).collect()
+    assert {r.doc_id: r.shards for r in got} == {d: by_block[b] for d, b in blocks.items()}
+    order = [(r.shard, r.row.doc_id) for r in mixing.shuffled_shards(mixing.mix(docs, word_count(F.col("text")))).collect()]
+    first = [d for s, d in order if s == order[0][0]]
+    assert len(first) > 20 and first != sorted(first) and sorted(first) == sorted(
+        d for d, b in blocks.items() for s in by_block[b] if s == order[0][0])
+
+
 def test_odd_rows(spark, docs_of):
     docs = docs_of([(i, t, None) for i, t in enumerate(ODD)] + [(None, "a b", "z"), (None, "a b", "z"), (3, None, "q")])
     docs = docs.selectExpr("*", "1 as size", "2 as row", "3 as copies", "4 as block")

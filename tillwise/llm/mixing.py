@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tillwise.plans.lineage import cut_lineage
 
 N_BLOCKS = 4096
-SHARD_WORDS = 1 << 24
+#: Words of an output shard; there are at least LEAST_SHARDS shards.
+SHARD_WORDS, LEAST_SHARDS = 1 << 24, 16
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_PASSES = 2
@@ -74,7 +75,7 @@ def _permuted(source, blocks: np.ndarray, seed: int) -> np.ndarray:
     return np.lexsort((blocks, keys[blocks]))
 
 
-def select_blocks(words: np.ndarray, target: float) -> np.ndarray:
+def select_blocks(words: np.ndarray, target: float, most: int = MOST_PASSES) -> np.ndarray:
     """Copies of each block (in its permuted order): whole passes, then blocks
     from the front while they fit, then any later ones that still fit; at last
     one block is added or exchanged if that ends nearer to the target."""
@@ -91,7 +92,7 @@ def select_blocks(words: np.ndarray, target: float) -> np.ndarray:
             room -= size
     # nearest end: one more block, or one drawn block given up for another
     drawn, left = np.flatnonzero(copies > whole), np.flatnonzero((copies == whole) & (words > 0))
-    if whole < MOST_PASSES and len(left):
+    if whole < most and len(left):
         given = np.concatenate([[0], words[drawn]])
         by_size = np.argsort(given, kind="stable")
         wanted = words[left] - room
@@ -142,7 +143,7 @@ def split_quotas(quotas: np.ndarray, n_shards: int, seed: int) -> np.ndarray:
 def _tree(shard_words: int, seed: int):
     def tree(sources: pd.DataFrame) -> pd.DataFrame:
         sources = sources.sort_values("source", na_position="last", ignore_index=True)
-        n_shards = max(1, int(np.ceil(sources["taken"].sum() / shard_words)))
+        n_shards = max(LEAST_SHARDS, int(np.ceil(sources["taken"].sum() / shard_words)))
         counts = split_quotas(sources["quota"].to_numpy(), n_shards, seed)
         ends = counts.cumsum(axis=0)
         return pd.DataFrame({"source": sources["source"], "ends": [ends[:, i].tolist() for i in range(len(sources))]})
@@ -213,9 +214,10 @@ def draws(mixed: DataFrame) -> DataFrame:
     return mixed.select("row", F.explode("shards").alias("_shard")).select("row.*")
 
 
-def shuffled_shards(mixed: DataFrame, n_partitions: int, key_col: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """The mixture dealt by shard and shuffled inside each shard, with the
-    columns ``shard`` and ``copy`` added: for writing the shards out."""
+def shuffled_shards(mixed: DataFrame, key_col: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """The mixture dealt by shard and shuffled inside each shard: one row per
+    drawn copy, the documents' columns as struct ``row`` with ``copy`` and
+    ``shard``.  Written as it comes, a shard's rows lie in their drawn order."""
     rows = mixed.select("row", F.posexplode("shards").alias("copy", "shard"))
-    return rows.repartition(n_partitions, "shard").sortWithinPartitions(
-        "shard", F.xxhash64(f"row.{key_col}", "copy", F.lit(seed + 1))).select("row.*", "copy", "shard")
+    return rows.repartition("shard").sortWithinPartitions(
+        "shard", F.xxhash64(f"row.{key_col}", "copy", F.lit(seed + 1)))

@@ -183,4 +183,8 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept_row"),
                       F.col(f"`{text_col}`").alias("_kept_text"),
                       *[F.col(f"`{c}`").alias("_kept_lang") for c in docs.columns if c == lang_col])
-    return apply_rules(row, rules, "_kept_text", "_kept_lang").filter("kept").select("_kept_row.*")
+    # a verdict that counts as non-deterministic is not moved below its own
+    # projection, where the filter would compute every measure again
+    verdict = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return apply_rules(row, rules, "_kept_text", "_kept_lang").select(
+        "_kept_row", verdict.alias("_verdict")).filter("_verdict").select("_kept_row.*")

@@ -27,7 +27,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("size"))
     return mixed.select("row.doc_id", "size", "source_size", "target",
-                        (F.col("size") * F.size("shards")).cast("bigint").alias("taken"))
+                        (F.col("size") * F.size("shards")).cast("bigint").alias("taken"), "shards")
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "tillwise", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this library's own, on whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20,
                shuffle_ratio: float = 0.5) -> dict[str, str]:
     """Shuffle/scan sizing for a cluster run.

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tillwise.session import scratch_path
+from tillwise.session import remove_path, scratch_path
 
 # --- fixed values: slice boundaries of the replayed feeds ---------------------
 DEFAULT_BOUNDS = [dt.datetime(1997, 1, 1), dt.datetime(1999, 1, 1), dt.datetime(2001, 1, 1)]
@@ -59,13 +59,7 @@ def run_as_feed(spark: SparkSession, table: DataFrame, time_col: str,
         _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt)
     finally:
         for path in (staged, feed, ckpt):
-            remove(spark, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder of this library's own, on whatever store it is."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove_path(spark, path)
 
 
 def _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt) -> None:

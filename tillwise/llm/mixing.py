@@ -217,7 +217,12 @@ def draws(mixed: DataFrame) -> DataFrame:
 def shuffled_shards(mixed: DataFrame, key_col: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The mixture dealt by shard and shuffled inside each shard: one row per
     drawn copy, the documents' columns as struct ``row`` with ``copy`` and
-    ``shard``.  Written as it comes, a shard's rows lie in their drawn order."""
-    rows = mixed.select("row", F.posexplode("shards").alias("copy", "shard"))
-    return rows.repartition("shard").sortWithinPartitions(
-        "shard", F.xxhash64(f"row.{key_col}", "copy", F.lit(seed + 1)))
+    ``shard``.  A shard's order is that of a seeded hash; its rows come in
+    pieces, each a range of that order, so a shard is written by several tasks."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    piece_bits = max(0, (-(-n // LEAST_SHARDS) - 1).bit_length())
+    place = F.xxhash64(f"row.{key_col}", "copy", F.lit(seed + 1))
+    rows = mixed.select("row", F.posexplode("shards").alias("copy", "shard")).withColumn("_place", place)
+    piece = F.shiftright("_place", 64 - piece_bits) if piece_bits else F.lit(0)
+    rows = rows.withColumn("_piece", piece)
+    return rows.repartition("shard", "_piece").sortWithinPartitions("shard", "_place").drop("_place", "_piece")

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillwise.operators import admission, billing, ledger
+from tests.conftest import SF_SMALL
+from tillwise.operators import admission, billing, ledger, sales
 from tillwise.plans.running import chunked_running_sum
 from tillwise.sources import Tables
 from tillwise.streaming import reports
@@ -188,6 +189,39 @@ def test_daily_watermark_drops_late_orders(spark):
     assert out.select("day").distinct().count() == 6
 
 
+def test_daily_counts_late_and_timeless_orders(spark):
+    base, arrived = dt.datetime(1998, 6, 1), dt.datetime(2001, 2, 1)
+    money = (Decimal("10.00"), Decimal("1.00"), Decimal("0.00"))
+    rows = [(i, 1, base + dt.timedelta(days=i), *money, "completed", base + dt.timedelta(days=i)) for i in range(6)]
+    rows += [(99, 2, base, *money, "completed", arrived), (98, 2, base, *money, "pending", arrived)]
+    rows += [(100 + i, 3, None, *money, "completed", None if i else arrived) for i in range(2)]
+    orders = spark.createDataFrame(rows, "order_id long, customer_id long, order_date timestamp_ntz, "
+                                         "total_bill decimal(12,2), tax_amount decimal(12,2), discount decimal(12,2), "
+                                         "status string, arrival timestamp_ntz")
+    t = Tables.from_frames(spark, sales_orders=orders)
+    got = reports.stream_daily_counts(t, "arrival").first().asDict()
+    assert got == {"rows_in": 9, "counted": 6, "late": 1, "without_time": 2}
+    assert reports.stream_daily_sales(t, "arrival").agg(F.sum("orders_today")).first()[0] == 6
+
+
+def test_streams_keep_rows_without_a_time(spark):
+    orders = Tables.from_dir(spark, SF_SMALL).raw("orders")
+    orders = orders.withColumn("o_orderdate", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")))
+    t = Tables.from_frames(spark, root=SF_SMALL, raw={"orders": orders})
+    stream, batch = reports.stream_category_revenue(t), sales.revenue_by_category(t)
+    assert sorted(stream.select("category_name", "units").collect()) == sorted(batch.select("category_name", "units").collect())
+    rows = [(1, 30, None, 0, None, 0), (1, -15, None, 2, 5, 0), (1, -6, dt.datetime(2000, 1, 1), 2, 6, 0),
+            (1, 20, dt.datetime(2000, 5, 1), 1, None, 0), (1, -25, dt.datetime(2000, 5, 2), 2, 7, 0)]
+    led = spark.createDataFrame(rows, "product_id long, change_qty int, log_time timestamp_ntz, kind int, "
+                                      "reference_id long, line_no int")
+    products = spark.createDataFrame([(1, "p", 10)], "product_id long, name string, reorder_level int")
+    one = Tables.from_frames(spark, product_base=products)
+    from tillwise.operators import ledger as L
+    want = L.low_stock_alerts(one, AS_OF, L.running_stock(one, AS_OF, led))
+    got = reports.stream_low_stock(one, AS_OF, led)
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.count() == 2
+
+
 def test_range_chunks_split_a_hot_key_day(spark):
     from tillwise.plans.running import assign_range_chunks
     # product 1 holds ~90 % of the rows, all at the same instant

@@ -111,6 +111,7 @@ QUERIES = {
     "product_stock": (lambda t: admission.product_stock(t, AS_OF), O.product_stock),
     # 2.11 streaming re-aims (stream result == batch result)
     "stream_daily_sales": (ST.stream_daily_sales, O.stream_daily_sales),
+    "stream_daily_counts": (ST.stream_daily_counts, O.stream_daily_counts),
     "stream_low_stock": (lambda t: ST.stream_low_stock(t, AS_OF), O.stream_low_stock),
     "stream_category_revenue": (ST.stream_category_revenue, O.stream_category_revenue),
     "stream_event_purchases": (ST.stream_event_purchases, O.stream_event_purchases),

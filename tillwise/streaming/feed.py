@@ -14,7 +14,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -25,8 +25,9 @@ DEFAULT_BOUNDS = [dt.datetime(1997, 1, 1), dt.datetime(1999, 1, 1), dt.datetime(
 
 
 def _slices(time_col: Column, bounds: Sequence[dt.datetime]) -> list[Column]:
+    # rows without a time come first: they belong to no span of time, but to the feed
     edges = [None, *[F.lit(b.isoformat(sep=" ")).cast("timestamp_ntz") for b in bounds], None]
-    out = []
+    out = [time_col.isNull()]
     for lo, hi in zip(edges[:-1], edges[1:]):
         c = F.lit(True)
         if lo is not None:
@@ -45,24 +46,27 @@ def batch_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 def run_as_feed(spark: SparkSession, table: DataFrame, time_col: str,
                 build: Callable[[DataFrame], DataStreamWriter], name: str,
-                bounds: Sequence[dt.datetime] = DEFAULT_BOUNDS) -> None:
+                bounds: Sequence[dt.datetime] = DEFAULT_BOUNDS) -> list[Row]:
     """Replay ``table`` slice by slice through the streaming query that
-    ``build`` sets up (everything but checkpoint, trigger and start).  The
-    staged copy, the feed and the checkpoint are removed at the end; the sink
-    is the caller's."""
+    ``build`` sets up (everything but checkpoint, trigger and start); rows
+    without a time are the first slice.  Returns what the query observed in
+    its micro-batches (``DataFrame.observe`` under ``name``).  The staged copy,
+    the feed and the checkpoint are removed at the end; the sink is the
+    caller's."""
     staged = scratch_path(spark, f"{name}-staged")
     feed = scratch_path(spark, f"{name}-feed")
     ckpt = scratch_path(spark, f"{name}-checkpoint")
     # Materialise the source once; every slice is then a pushed-down range
     # read of the staged copy instead of a re-run of the source plan.
     try:
-        _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt)
+        return _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt)
     finally:
         for path in (staged, feed, ckpt):
             remove_path(spark, path)
 
 
-def _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt) -> None:
+def _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt) -> list[Row]:
+    observed = []
     table.write.parquet(staged)
     table = spark.read.parquet(staged)
     for cond in _slices(F.col(time_col), bounds):
@@ -73,6 +77,8 @@ def _replay(spark, table, time_col, build, name, bounds, staged, feed, ckpt) ->
         q.awaitTermination()
         if q.exception() is not None:
             raise RuntimeError(f"streaming query {name} failed: {q.exception()}")
+        observed += [p.observedMetrics[name] for p in q.recentProgress if name in p.observedMetrics]
+    return observed
 
 
 def latest_per_key(sink: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -3,9 +3,10 @@
 ST-1 daily sales: tumbling one-day windows with a one-day watermark on the
 order time; distinct customers come from a first stage keyed by
 (day, customer), because exact distinct counts are not available on streams.
-ST-2 low-stock alerts: each micro-batch runs the stock of its products on
-from its earliest row; an alert stands whenever stock crosses down to the
-reorder level, and a late row corrects the alerts after it.
+Rows behind the watermark and rows without a time are in no day; both are
+counted.  ST-2 low-stock alerts: keyed state per product; an alert stands
+whenever stock crosses down to the reorder level, and a late row corrects the
+alerts after it.
 ST-3 category revenue: a stream-static join of order lines with completed
 orders and the product dimension, aggregated by category in update mode.
 """
@@ -20,7 +21,6 @@ from pyspark.sql import types as T
 
 from tillwise.functions.scalar import instant_day, sum_money, wall_clock_instant
 from tillwise.operators import ledger as L
-from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.session import scratch_path
 from tillwise.sources.tables import Tables
 from tillwise.streaming.feed import batch_sink, latest_per_key, run_as_feed
@@ -31,8 +31,11 @@ WATERMARK = "1 day"
 
 # -- ST-1 ----------------------------------------------------------------------
 def daily_sales_stream(orders: DataFrame) -> DataFrame:
-    """Per (day, customer): completed orders and their money columns."""
+    """Per (day, customer): completed orders and their money columns.  The
+    rows that come in are observed, under ``daily``."""
     o = (orders.filter(F.col("status") == "completed")
+         .observe("daily", F.count(F.lit(1)).alias("rows_in"),
+                  F.count_if(F.col("order_date").isNull()).alias("without_time"))
          .withColumn("_ts", wall_clock_instant(F.col("order_date")))
          .withWatermark("_ts", WATERMARK))
     return (o.groupBy(F.window("_ts", "1 day").alias("w"), "customer_id")
@@ -42,17 +45,21 @@ def daily_sales_stream(orders: DataFrame) -> DataFrame:
                     "tax", "discount"))
 
 
-def stream_daily_sales(t: Tables) -> DataFrame:
+def _daily_stages(t: Tables, arrival: str = "order_date") -> tuple[DataFrame, list]:
+    """(rows per day and customer, what the micro-batches observed)."""
     spark = t.spark
-    src = t.sales_orders.select("order_id", "customer_id", "order_date", "total_bill", "tax_amount",
-                                "discount", "status")
-    sink = scratch_path(t.spark, "daily-sink")
-    run_as_feed(spark, src, "order_date",
-                lambda s: daily_sales_stream(s).writeStream.outputMode("update")
-                .foreachBatch(batch_sink(sink)), "daily")
-    per_customer = latest_per_key(spark.read.parquet(sink), ["day", "customer_id"],
-                                  ["orders", "revenue", "tax", "discount"])
-    return per_customer.groupBy("day").agg(
+    columns = ["order_id", "customer_id", "order_date", "total_bill", "tax_amount", "discount", "status"]
+    src = t.sales_orders.select(*dict.fromkeys([*columns, arrival]))
+    sink = scratch_path(spark, "daily-sink")
+    seen = run_as_feed(spark, src, arrival,
+                       lambda s: daily_sales_stream(s).writeStream.outputMode("update")
+                       .foreachBatch(batch_sink(sink)), "daily")
+    return latest_per_key(spark.read.parquet(sink), ["day", "customer_id"],
+                          ["orders", "revenue", "tax", "discount"]), seen
+
+
+def stream_daily_sales(t: Tables, arrival: str = "order_date") -> DataFrame:
+    return _daily_stages(t, arrival)[0].groupBy("day").agg(
         F.sum("orders").cast("bigint").alias("orders_today"),
         sum_money(F.col("revenue")).alias("revenue_today"),
         sum_money(F.col("tax")).alias("tax_today"),
@@ -60,53 +67,93 @@ def stream_daily_sales(t: Tables) -> DataFrame:
         F.count(F.lit(1)).alias("unique_customers_today"))
 
 
+def stream_daily_counts(t: Tables, arrival: str = "order_date") -> DataFrame:
+    """What became of the completed orders that came in: counted in a day,
+    late (behind the watermark, so in no day), or without a time."""
+    per_customer, seen = _daily_stages(t, arrival)
+    came = {k: sum(r[k] or 0 for r in seen) for k in ("rows_in", "without_time")}
+    return per_customer.agg(F.coalesce(F.sum("orders"), F.lit(0)).cast("bigint").alias("counted")).select(
+        F.lit(came["rows_in"]).cast("bigint").alias("rows_in"), "counted",
+        (F.lit(came["rows_in"] - came["without_time"]) - F.col("counted")).cast("bigint").alias("late"),
+        F.lit(came["without_time"]).cast("bigint").alias("without_time"))
+
+
 # -- ST-2 ----------------------------------------------------------------------
-def low_stock_sink(t: Tables, root: str):
-    """The micro-batch function of the low-stock stream.
-
-    Ledger rows are kept below ``root`` as they arrive.  For every product of
-    a batch the stock is taken from the rows before the batch's earliest one
-    and run on from there, through what is already stored and the batch; the
-    crossings found replace earlier ones from that row on.  A late row thus
-    corrects the alerts after it.  Each batch writes folders of its own with
-    overwrite, so a replay changes nothing.  All of it is DataFrame work; a hot
-    product's rows lie in several range chunks."""
-    levels = t.product_base.select("product_id", "reorder_level")
-    order = [F.col(c).asc_nulls_first() for c in L.LEDGER_ORDER]
-    at = F.struct(*L.LEDGER_ORDER)
-
-    def advance(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        mine = {name: f"{root}/{name}/batch_id={batch_id}" for name in ("rows", "first", "alerts")}
-        batch.select("product_id", *L.LEDGER_ORDER).write.mode("overwrite").parquet(mine["rows"])
-        new = spark.read.parquet(mine["rows"])
-        new.groupBy("product_id").agg(F.min(at).alias("from")).write.mode("overwrite").parquet(mine["first"])
-        first = spark.read.parquet(mine["first"])
-        held = (spark.read.parquet(f"{root}/rows").filter(F.col("batch_id") < batch_id).drop("batch_id")
-                .join(first, "product_id"))
-        base = held.filter(at < F.col("from")).groupBy("product_id").agg(F.sum("change_qty").alias("base"))
-        tail = held.filter(at >= F.col("from")).drop("from").unionByName(new)
-        run = chunked_running_sum(assign_range_chunks(tail, "product_id", order), "product_id", F.col("_rchunk"),
-                                  order, {"_run": F.col("change_qty").cast("bigint")})
-        after = F.col("_run") + F.coalesce("base", F.lit(0))
-        stock = (run.join(base, "product_id", "left").join(levels, "product_id")
-                 .withColumn("stock_after", after.cast("bigint")))
-        crossed = (F.col("kind") > 0) & (F.col("stock_after") <= F.col("reorder_level")) & (
-            F.col("stock_after") - F.col("change_qty") > F.col("reorder_level"))
-        stock.filter(crossed).select("product_id", *L.LEDGER_ORDER, "stock_after", "reorder_level") \
-            .write.mode("overwrite").parquet(mine["alerts"])
+# --- fixed values: the value that sorts null times first -------------------------
+NO_TIME = -(1 << 62)
+EPOCH = "TIMESTAMP_NTZ '1970-01-01'"
+ALERT_ROW = ("product_id bigint, micros bigint, kind int, no_ref boolean, reference_id bigint, line_no int, "
+             "stock_after bigint, reorder_level int")
+SHELF = 64               # products whose state is one entry
+MARK = -1                # ``kind`` of the row that says: this product was worked over
+
+
+def _ledger_events(rows: DataFrame) -> DataFrame:
+    """Ledger rows with an order of plain numbers (nulls first)."""
+    micros = F.coalesce(F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, log_time)"), F.lit(NO_TIME))
+    return rows.select("product_id", micros.alias("micros"), F.col("kind").cast("int").alias("kind"),
+                       F.col("reference_id").isNull().alias("no_ref"),
+                       F.coalesce(F.col("reference_id"), F.lit(0)).cast("bigint").alias("reference_id"),
+                       F.col("line_no").cast("int").alias("line_no"),
+                       F.col("change_qty").cast("bigint").alias("change_qty"), "reorder_level")
+
+
+def stock_state():
+    """The stateful part of the low-stock stream: a function of the new rows
+    of ``SHELF`` neighbouring products and their state, which is their ledger
+    rows so far, packed in order of product and ledger (seven numbers a row).
+    The stock of the products that have new rows is run over all their rows,
+    so a late row corrects the alerts after it; their crossings come out anew,
+    after a mark.  Only state of the micro-batch's products and their
+    neighbours is touched; a task holds one such state at a time."""
+    import numpy as np
+    import pandas as pd
+
+    columns = [c.split()[0] for c in ALERT_ROW.split(", ")]
+
+    def advance(key, frames, state):
+        fresh = [np.column_stack([f["product_id"], f["micros"], f["kind"], ~f["no_ref"].to_numpy(dtype=bool),
+                                  f["reference_id"], f["line_no"], f["change_qty"], f["reorder_level"]]).astype("<i8")
+                 for f in frames]
+        fresh = np.concatenate(fresh)
+        held = np.frombuffer(state.get[0] if state.exists else b"", dtype="<i8").reshape(-1, 7)
+        rows = np.concatenate([held, fresh[:, :7]])
+        rows = rows[np.lexsort(rows.T[::-1])]
+        state.update((rows.tobytes(),))
+        products, at = np.unique(fresh[:, 0], return_index=True)
+        rows = rows[np.isin(rows[:, 0], products)]
+        which = np.searchsorted(products, rows[:, 0])
+        total = np.cumsum(rows[:, 6])
+        begin = np.searchsorted(which, np.arange(len(products)))
+        after = total - (total[begin] - rows[begin, 6])[which]
+        level = fresh[at, 7][which]
+        hit = (rows[:, 2] > 0) & (after <= level) & (after - rows[:, 6] > level)
+        found = rows[hit]
+        alerts = np.column_stack([found[:, :3], 1 - found[:, 3], found[:, 4:6], after[hit], level[hit]])
+        marks = np.zeros((len(products), 8), dtype=np.int64)
+        marks[:, 0], marks[:, 2], marks[:, 3] = products, MARK, 1
+        out = pd.DataFrame(np.concatenate([marks, alerts]), columns=columns)
+        yield out.assign(no_ref=out["no_ref"] == 1)
 
     return advance
 
 
-def standing_alerts(spark, root: str) -> DataFrame:
-    """Alerts that no later batch has worked over again."""
-    a = spark.read.parquet(f"{root}/alerts").alias("a")
-    f = spark.read.parquet(f"{root}/first").alias("f")
-    at = F.struct(*[F.col(f"a.{c}") for c in L.LEDGER_ORDER])
-    later = ((F.col("a.product_id") == F.col("f.product_id")) & (F.col("f.batch_id") > F.col("a.batch_id"))
-             & (F.col("f.from") <= at))
-    return a.join(f, later, "left_anti").drop("batch_id")
+def low_stock_stream(levels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Crossings (and marks) of a stream of ledger rows; ``levels`` is the
+    static ``product_id, reorder_level``."""
+    shelf = F.floor(F.col("product_id") / SHELF).cast("bigint")
+    return _ledger_events(rows.join(levels, "product_id")).withColumn("shelf", shelf).groupBy(
+        "shelf").applyInPandasWithState(
+        stock_state(), ALERT_ROW, "rows binary", "update", "NoTimeout")
+
+
+def standing_alerts(sink: DataFrame) -> DataFrame:
+    """Alerts of the micro-batch that worked last over their product."""
+    last = sink.filter(F.col("kind") == MARK).groupBy("product_id").agg(F.max("batch_id").alias("batch_id"))
+    return sink.filter(F.col("kind") != MARK).join(last, ["product_id", "batch_id"]).select(
+        "product_id", "kind", F.when(F.col("micros") != NO_TIME, F.expr(f"timestampadd(MICROSECOND, micros, {EPOCH})"))
+        .alias("log_time"), F.when(~F.col("no_ref"), F.col("reference_id")).alias("reference_id"), "line_no",
+        "stock_after", "reorder_level")
 
 
 def stream_low_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None, arrival: str = "log_time") -> DataFrame:
@@ -115,11 +162,13 @@ def stream_low_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None,
     arrival."""
     spark = t.spark
     led = ledger if ledger is not None else L.stock_ledger(t, as_of)
-    root = scratch_path(spark, "lowstock")
+    levels = t.product_base.select("product_id", "reorder_level")
+    sink = scratch_path(spark, "lowstock-sink")
     run_as_feed(spark, led.select("product_id", *dict.fromkeys([*L.LEDGER_ORDER, arrival])), arrival,
-                lambda s: s.writeStream.outputMode("append").foreachBatch(low_stock_sink(t, root)), "lowstock")
+                lambda s: low_stock_stream(levels, s).writeStream.outputMode("update")
+                .foreachBatch(batch_sink(sink)), "lowstock")
     names = t.product_base.select("product_id", "name")
-    a = standing_alerts(spark, root).join(names, "product_id")
+    a = standing_alerts(spark.read.parquet(sink)).join(names, "product_id")
     msg = F.concat(F.lit('Low stock alert: "'), F.col("name"), F.lit('" has only '),
                    F.col("stock_after").cast("string"), F.lit(" units left. Reorder level: "),
                    F.col("reorder_level").cast("string"))

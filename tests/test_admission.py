@@ -55,9 +55,12 @@ def replay(con):
     return out
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_bill_batch_equals_sequential_replay(spark, sf):
+@pytest.mark.parametrize("sf,few", [("/root/testdata/sf0.001", 400_000), ("/root/testdata/sf0.001", 1500),
+                                    ("/root/testdata/sf0.01", 20_000)])
+def test_bill_batch_equals_sequential_replay(spark, sf, few, monkeypatch):
+    """With the residue replayed at once, and with rounds until few lines are left."""
     from tests.oracle_compare import duck
+    monkeypatch.setattr(admission, "REPLAY_LINES", few)
     expected = replay(duck(sf))
     t = Tables.from_dir(spark, sf)
     got = {r.order_id: (r.decision, r.reason)
@@ -123,6 +126,56 @@ def test_chain_of_orders_equals_replay(spark):
     assert [(got[o].failing_product_id, got[o].available) for o in (1, 3, 5)] == [(1, 4), (3, 4), (5, 4)]
 
 
+def chains(spark, n_chains, length):
+    """Chains of orders, each sharing one product with the next: a round
+    decides one order of each chain."""
+    from decimal import Decimal
+    orders = [(c * length + i, c * (length + 1) + i) for c in range(n_chains) for i in range(length)]
+    n = len(orders)
+    users = spark.range(n).selectExpr("id as user_id", "concat('c', id) as username", "'customer' as role",
+                                      "'C' as full_name", "cast(null as string) as phone_no", "true as is_active")
+    products = spark.range(n_chains * (length + 1)).selectExpr(
+        "id as product_id", "cast(null as date) as expiry_date", "'p' as name", "0 as stock_qty", "1L as category_id")
+    t = Tables.from_frames(spark, product=products, app_user=users)
+    lines = spark.createDataFrame([(o, p + k, 6, k) for o, p in orders for k in (0, 1)],
+                                  "order_id long, product_id long, qty int, pos int")
+    start = dt.datetime(2001, 1, 1)
+    heads = spark.createDataFrame([(o, o, -1, start + dt.timedelta(minutes=o % length), "cash", Decimal(0)) for o, _ in orders],
+                                  "order_id long, customer_id long, cashier_id long, order_date timestamp_ntz, "
+                                  "payment_mode string, discount decimal(12,2)")
+    opening = spark.range(n_chains * (length + 1)).selectExpr("id as product_id", "10 as opening_qty")
+    none = spark.createDataFrame([], "product_id long, qty int, request_ts timestamp_ntz")
+    return {r.order_id: r for r in admission.bill_batch(t, lines, heads, opening, none).collect()}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """40 chains of 30 orders, more lines than one task may replay: label
+    spreading closes every chain, and the chains are replayed side by side."""
+    monkeypatch.setattr(admission, "REPLAY_LINES", 100)
+    got = chains(spark, 40, 30)
+    assert [got[o].decision for o in range(1200)] == ["accepted", "rejected"] * 600
+    assert max(r.decided_round for r in got.values()) <= 4
+
+
+def test_a_changed_table_is_decided_anew(spark, tmp_path):
+    """The stored outcome belongs to the files' version: the same session
+    gives new answers once a table is written again."""
+    from tillwise.operators import ledger
+    day, root = dt.date(2001, 8, 1), str(tmp_path / "sf")
+    raw = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in admission.BATCH_TABLES}
+    for name, frame in raw.items():
+        frame.write.parquet(f"{root}/{name}.parquet")
+    sale = "reason = 'sale'"
+    first = ledger.stock_ledger(Tables.from_dir(spark, root), day).filter(sale).count()
+    again = admission.store_batch(Tables.from_dir(spark, root), day)
+    assert again == admission.store_batch(Tables.from_dir(spark, root), day)
+    raw["lineitem"].filter("l_orderkey % 4 = 0").write.mode("overwrite").parquet(f"{root}/lineitem.parquet")
+    later = ledger.stock_ledger(Tables.from_dir(spark, root), day).filter(sale)
+    assert 0 < later.count() < first / 2
+    assert later.filter("reference_id % 4 <> 0").count() == 0
+    assert admission.store_batch(Tables.from_dir(spark, root), day) != again
+
+
 def test_hot_product_is_spread_over_tasks(spark):
     """A product with 90 % of the lines lies in many chunks, and the round
     neither joins nor windows by the product alone over its lines."""

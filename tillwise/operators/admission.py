@@ -12,8 +12,16 @@ An order is accepted when every line fits even at ``upper`` and rejected when
 some line does not fit even at ``lower``.  Since lower <= truth <= upper the
 decisions equal the sequential replay; the earliest undecided order always has
 lower == upper, so every round decides at least one order (in practice a
-large share).  The number of rounds follows the longest chain of orders that
-share products, so a round is kept cheap: lines lie in range chunks along
+large share).
+
+What is left after a round is mostly small: orders that are linked through
+products on which they still compete form components.  As soon as all open
+lines are few they are replayed order by order in one task of bounded size;
+before that, whenever a round has decided little, the components that a few
+steps of label spreading close, and that are bounded too, are replayed side by
+side, and only a larger one goes on in rounds.
+
+A round is kept cheap: lines lie in range chunks along
 (product, time) and stay hash-partitioned by (product, chunk) in every round;
 one aggregate per chunk gives both the chunk's offsets and whether anything
 is still undecided from it on, and chunks without such lines leave the work.
@@ -27,22 +35,30 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tillwise.operators import billing
-from tillwise.plans.lineage import cut_lineage
+from tillwise.plans.lineage import cut_lineage, write_out
 from tillwise.plans.running import assign_range_chunks, chunked_running_sum
+from tillwise.session import checkpoint_root, path_exists
 from tillwise.sources import derived as D
 from tillwise.sources import sinks
 from tillwise.sources.tables import Tables
 
+#: Open lines that one task replays; each component's bound, and that of all together.
+REPLAY_LINES = 400_000
+#: A round that decides a smaller share of the open lines is followed by a look
+#: for components, with so many steps of label spreading.
+SLOW_ROUND, SPREAD_STEPS = 0.05, 4
 DECISION_COLS = ["order_id", "decision", "reason", "failing_product_id", "available", "decided_round"]
 
 
 def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame) -> DataFrame:
     """Opening stock plus every accepted restock at or before the order's
-    time (restocks sort before sales at the same instant)."""
+    time (restocks sort before sales at the same instant).  ``_rchunk``: the
+    line's range chunk along (product, order time, order)."""
     ev_lines = lines.select("order_id", "product_id", "qty", "_cart", "order_date",
                             F.col("order_date").alias("_ts"), F.lit(2).alias("_kind"),
                             F.lit(0).alias("_add"))
@@ -57,7 +73,7 @@ def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame) -
     run = chunked_running_sum(ev, "product_id", F.col("_rchunk"), order,
                               {"_restocked": F.col("_add").cast("bigint")})
     return (run.filter(F.col("_kind") == 2).join(opening, "product_id", "left")
-            .select("order_id", "product_id", "qty", "_cart", "order_date",
+            .select("order_id", "product_id", "qty", "_cart", "order_date", "_rchunk",
                     (F.coalesce(F.col("opening_qty"), F.lit(0)) + F.col("_restocked")).alias("supply")))
 
 
@@ -83,6 +99,67 @@ def _open_lines(work: DataFrame, seq: list) -> DataFrame:
         *work.columns, (F.col("_oa") + F.col("_wa")).alias("lower"), (F.col("_oq") + F.col("_wq")).alias("upper"))
 
 
+def _replayer():
+    """The replay as a local function, which travels to the executors by value."""
+    def replay_orders(lines: pd.DataFrame) -> pd.DataFrame:
+        """One component's open orders, one at a time: ``lower`` has what earlier
+        accepted orders of all the batch took; the replay adds what its own take."""
+        lines = lines.sort_values(["order_date", "order_id"], na_position="first", kind="stable")
+        taken: dict[int, int] = {}
+        states: dict[int, str] = {}
+        rows: list[tuple[int, int]] = []
+        fits, order = True, None
+
+        def close() -> None:
+            if order is not None:
+                states[order] = "A" if fits else "R"
+                if fits:
+                    for product, qty in rows:
+                        taken[product] = taken.get(product, 0) + qty
+
+        for this, product, qty, lower, supply in zip(*(lines[c].tolist() for c in (
+                "order_id", "product_id", "qty", "lower", "supply"))):
+            if this != order:
+                close()
+                order, rows, fits = this, [], True
+            rows.append((product, qty))
+            fits = fits and lower + taken.get(product, 0) + qty <= supply
+        close()
+        return pd.DataFrame({"order_id": list(states), "state": list(states.values())})
+
+    return replay_orders
+
+
+def _replay(open_lines: DataFrame, rnd: int) -> DataFrame:
+    """``order_id, state, decided_round`` of the orders of open lines, replayed
+    by ``_label``: each label's orders share no product with any other's."""
+    return open_lines.select("_label", "order_id", "order_date", "product_id", "qty", "lower", "supply").groupBy(
+        "_label").applyInPandas(_replayer(), "order_id bigint, state string").withColumn(
+        "decided_round", F.lit(rnd))
+
+
+def _closed_components(open_lines: DataFrame) -> DataFrame:
+    """The open lines, with a ``_label``, of the components that label
+    spreading has closed and that one task can replay.  Orders and products
+    take the smallest label next to them; a label is closed when none of its
+    products carries another."""
+    links = write_out(open_lines, "open-lines")
+    labels = links.select("order_id", F.col("order_id").alias("_label")).distinct()
+    for _ in range(SPREAD_STEPS):
+        near = links.select("order_id", "product_id").join(labels, "order_id")
+        by_product = near.groupBy("product_id").agg(F.min("_label").alias("_label"))
+        labels = write_out(links.select("order_id", "product_id").join(by_product, "product_id")
+                           .groupBy("order_id").agg(F.min("_label").alias("_label")), "labels")
+        # a label is an order too: take on its label, which triples the reach of a step
+        further = labels.select(F.col("order_id").alias("_label"), F.col("_label").alias("_next"))
+        labels = labels.join(further, "_label").select("order_id", F.col("_next").alias("_label"))
+    labelled = links.join(labels, "order_id")
+    split = labelled.groupBy("product_id").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b")).filter("_a < _b")
+    unclosed = labelled.join(split.select("product_id"), "product_id", "left_semi").select("_label")
+    large = labelled.groupBy("_label").count().filter(F.col("count") > REPLAY_LINES).select("_label")
+    return labelled.join(unclosed.unionByName(large).distinct(), "_label", "left_anti")
+
+
 def _reject_detail(lines: DataFrame, decisions: DataFrame, seq: list) -> DataFrame:
     """For orders short of stock: the first failing line in cart order and
     the quantity that was available to it."""
@@ -110,24 +187,31 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
     work = (lines.select("order_id", "product_id", "qty", cart_order.cast("bigint").alias("_cart"))
             .join(ok, "order_id", "left_semi")
             .join(headers.select("order_id", "order_date"), "order_id"))
+    # The range chunks along (product, order time) are assigned once and kept:
+    # dropping restocks and decided lines never breaks their contiguity.
     work = supply_per_line(work, opening, restocks)
-    # Range chunks along (product, order time) are assigned once and kept:
-    # dropping decided lines later never breaks their contiguity.
     seq = [F.col("order_date"), F.col("order_id")]
-    work = assign_range_chunks(work, "product_id", seq)
     every_line = work = cut_lineage(
         work.withColumn("state", F.lit("U")).withColumn("decided_round", F.lit(None).cast("int"))
         .repartition("product_id", "_rchunk"))
     decided = every_line.filter("false").select("order_id", "state", "decided_round")
-    rnd, undecided = 0, None
+    rnd, undecided, slow = 0, None, False
     while undecided != 0:
         rnd += 1
         sums = _open_lines(work, seq)
-        verdict = (sums.filter(F.col("state") == "U").groupBy("order_id").agg(
-            F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("fits_all"),
-            F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("fails_one"))
-            .select(F.col("order_id").alias("_o"),
-                    F.when(F.col("fits_all"), "A").when(F.col("fails_one"), "R").alias("new")))
+        if undecided is not None and undecided <= REPLAY_LINES:
+            open_lines = sums.filter(F.col("state") == "U").withColumn("_label", F.lit(0).cast("bigint"))
+            decided = decided.unionByName(cut_lineage(_replay(open_lines, rnd)))
+            break
+        if looked := slow:
+            replayed = write_out(_replay(_closed_components(sums.filter(F.col("state") == "U")), rnd), "replayed")
+            verdict = replayed.select(F.col("order_id").alias("_o"), F.col("state").alias("new"))
+        else:
+            verdict = (sums.filter(F.col("state") == "U").groupBy("order_id").agg(
+                F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("fits_all"),
+                F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("fails_one"))
+                .select(F.col("order_id").alias("_o"),
+                        F.when(F.col("fits_all"), "A").when(F.col("fails_one"), "R").alias("new")))
         counter = Observation(f"admission-round-{rnd}")
         # rejected lines take nothing and leave; accepted ones still count
         work = (sums.filter(F.col("state") != "R").drop("lower", "upper")
@@ -137,7 +221,8 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
                 .withColumn("state", F.coalesce("new", "state")).drop("new", "_o")
                 .observe(counter, F.count_if(F.col("state") == "U").alias("undecided")))
         work = cut_lineage(work.repartition("product_id", "_rchunk"))  # also fills the counter
-        undecided = counter.get["undecided"]
+        before, undecided = undecided, counter.get["undecided"]
+        slow = not looked and before is not None and before - undecided < SLOW_ROUND * before
         decided = decided.unionByName(work.filter(F.col("decided_round") == rnd)
                                       .select("order_id", "state", "decided_round"))
     # an order's lines are all decided in the same round
@@ -163,10 +248,6 @@ def admitted_sales(t: Tables, decisions: DataFrame, lines: DataFrame, headers: D
                     F.col("qty").alias("qty_sold"), "cashier_id", "order_date"))
 
 
-#: Decided batches by (application, directory, date); see :func:`fixture_batch`.
-_DECIDED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
-
-
 def decide_fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
     """(decisions, cart lines) of the registered batch, both checkpoints:
     every order of the tables, opening stock p_size x 20 and the scheduled
@@ -176,23 +257,40 @@ def decide_fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFram
     return cut_lineage(decisions), lines
 
 
-def fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(decisions, cart lines, headers) of the registered batch.
+#: The tables that the registered batch is decided from.
+BATCH_TABLES = ("part", "customer", "orders", "lineitem")
+
 
-    A checkout is decided once and its outcome stored; the ledger, the alerts
-    and the reports read that.  So the outcome is kept for the session, per
-    directory and date (for bundles with given frames, per bundle).
-    :func:`forget` drops it after the directory's files have changed."""
-    memo = t.__dict__.setdefault("_batch", {}) if not t.is_stored() else _DECIDED
-    key = (t.spark.sparkContext.applicationId, t.root, as_of)
-    if key not in memo:
-        memo[key] = decide_fixture_batch(t, as_of)
-    return *memo[key], D.cart_headers(t)
+def store_batch(t: Tables, as_of: dt.date) -> str:
+    """Decide the registered batch and store its outcome for the present
+    version of the tables' files; a version that is stored is left as it is.
+    Returns the folder (``decisions`` and ``lines`` below it)."""
+    root = os.path.join(checkpoint_root(t.spark), "tillwise", "batches", f"{t.version(BATCH_TABLES)}-{as_of}")
+    if not path_exists(t.spark, os.path.join(root, "decisions", "_SUCCESS")):
+        decisions, lines = decide_fixture_batch(t, as_of)
+        lines.write.mode("overwrite").parquet(os.path.join(root, "lines"))
+        decisions.write.mode("overwrite").parquet(os.path.join(root, "decisions"))  # last: it marks the outcome whole
+    return root
 
 
-def forget(t: Tables) -> None:
-    for key in [k for k in _DECIDED if k[1] == t.root]:
-        del _DECIDED[key]
+def fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(decisions, cart lines, headers) of the registered batch.
+
+    A checkout is decided once and its outcome stored (:func:`store_batch`);
+    the ledger, the alerts and the reports read that.  The outcome belongs to
+    a version of the input files: once a file has changed, the batch is
+    decided anew.  A bundle of given frames keeps its own."""
+    if t.is_stored():
+        if (root := t.__dict__.get("_batch_root", {}).get(as_of)) is None:
+            # a bundle reads one version from beginning to end
+            root = t.__dict__.setdefault("_batch_root", {})[as_of] = store_batch(t, as_of)
+        decisions, lines = (t.spark.read.parquet(os.path.join(root, x)) for x in ("decisions", "lines"))
+    else:
+        memo = t.__dict__.setdefault("_batch", {})
+        if as_of not in memo:
+            memo[as_of] = decide_fixture_batch(t, as_of)
+        decisions, lines = memo[as_of]
+    return decisions, lines, D.cart_headers(t)
 
 
 def bill_fixture_batch(t: Tables, as_of: dt.date) -> DataFrame:

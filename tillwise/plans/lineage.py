@@ -9,9 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tillwise.session import checkpoint_root
+from tillwise.session import checkpoint_root, scratch_path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_out(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the scratch folder.  Unlike a checkpoint, which
+    hands on the planner's size estimates, the table is planned by its real
+    size: an iteration that joins its own results would otherwise multiply
+    the estimates in every step, until they are numbers of millions of digits."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -79,6 +79,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(root, "tillwise", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of this library's own, on whatever store it is."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

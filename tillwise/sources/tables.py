@@ -9,8 +9,10 @@ pruning and filter pushdown reach the Parquet scan through every operator.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
-from functools import cached_property
+from collections.abc import Sequence
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,6 +122,18 @@ class Tables:
         """Whether every table comes from the directory."""
         return bool(self.root) and not getattr(self, "_given", ()) and not getattr(self, "_raw_overrides", {})
 
+    def version(self, names: Sequence[str]) -> str:
+        """A digest of the files of the named raw tables (path, size, time of
+        change): it changes whenever a file is written, added or removed."""
+        files = [self.raw(name).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("n"),
+                                       F.col("_metadata.file_modification_time").cast("double").alias("t"))
+                 for name in names]
+        found = reduce(DataFrame.unionByName, files).distinct()
+        # an empty table still has its folder's path
+        row = found.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("p", "n", "t")), F.sum("n")).first()
+        path = hashlib.sha256(os.path.normpath(self.root).encode()).hexdigest()[:16]
+        return f"{path}-{row[0]}-{(row[1] or 0) & (1 << 64) - 1:016x}-{row[2] or 0}"
+
     # -- raw driver tables ---------------------------------------------------
     def raw(self, name: str) -> DataFrame:
         overrides = getattr(self, "_raw_overrides", {})

@@ -34,7 +34,9 @@ DIMENSIONS = 3
 BITS = 16
 SEED = 11
 #: Entries of a worker's table of word parts (about 35 bytes each); a full one is emptied.
-CACHE = 1_000_000
+CACHE = 600_000
+#: Bytes of text handled at once.
+SLICE_BYTES = 2 << 20
 # --- fixed values: ASCII marks that the vocabulary's rule keeps in one run; letters and the bytes of others ---
 _MARK = np.zeros(256, dtype=bool)
 _MARK[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
@@ -268,7 +270,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED) ->
         signs = projector(enc.size, seed)
         for batch in batches:
             texts = batch.column("text")
-            for a, b in segment.slices(texts):
+            for a, b in segment.slices(texts, SLICE_BYTES):
                 flat, sizes = encode_texts(texts.slice(a, b - a), enc)
                 item = enc.dtype.itemsize
                 bounds = np.concatenate([[0], np.cumsum(sizes) * item])

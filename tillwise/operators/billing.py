@@ -7,14 +7,13 @@ whole batch of carts (or requests) and decides all of them in one job.
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.functions import scalar as S
-from tillwise.plans.broadcast import BroadcastBoundExceeded, bounded_broadcast
+from tillwise.plans.thresholds import with_best
 from tillwise.sources import derived as D
 from tillwise.sources.seeds import MAX_RULES
 from tillwise.sources.tables import MONEY, Tables
@@ -125,46 +124,16 @@ def applicable_rules(t: Tables, as_of: dt.date) -> DataFrame:
             .select("min_qty", "min_amount", "discount_pct"))
 
 
-def _rule_match(o: DataFrame, rules: DataFrame) -> Column:
-    return (o["units"] >= rules["min_qty"]) & (o["subtotal"] >= rules["min_amount"])
-
-
 def best_rule_pct(o: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
     """Per order (``order_id``, ``units``, ``subtotal``): the largest
-    ``discount_pct`` among matching rules, 0 when none matches.
-
-    The threshold test is a non-equi join, so the rule side is broadcast to a
-    nested loop join, but only after its size is checked.  A rule table past
-    the bound is cut into hash slices that each pass the check; every slice
-    is its own bounded broadcast pass and the per-order maxima are combined
-    (max is order independent, so the answer is exact)."""
-    zero = F.lit(0).cast("decimal(5,2)")
-    try:
-        r = bounded_broadcast(rules, max_rules)
-        return (o.join(r, _rule_match(o, r), "left")
-                .groupBy("order_id", "units", "subtotal")
-                .agg(F.coalesce(F.max("discount_pct"), zero).alias("discount_pct")))
-    except BroadcastBoundExceeded:
-        pass
-    slices = 2 * math.ceil(rules.count() / max_rules)
-    while True:
-        try:
-            parts = []
-            for i in range(slices):
-                r = bounded_broadcast(
-                    rules.filter(F.pmod(F.xxhash64(*rules.columns), F.lit(slices)) == i), max_rules)
-                parts.append(o.select("order_id", "units", "subtotal").join(r, _rule_match(o, r))
-                             .select("order_id", "discount_pct"))
-            break
-        except BroadcastBoundExceeded:
-            slices *= 2
-    best = parts[0]
-    for p in parts[1:]:
-        best = best.unionByName(p)
-    best = best.groupBy("order_id").agg(F.max("discount_pct").alias("discount_pct"))
-    return (o.join(best, "order_id", "left")
-            .select("order_id", "units", "subtotal",
-                    F.coalesce(F.col("discount_pct"), zero).alias("discount_pct")))
+    ``discount_pct`` among matching rules, 0 when none matches.  Each order is
+    looked up in the rules' staircases, so no order is ever joined to a rule."""
+    cents = (F.col("subtotal") * 100).cast("bigint")
+    r = rules.select(F.col("min_qty").cast("bigint").alias("a"), (F.col("min_amount") * 100).cast("bigint").alias("b"),
+                     (F.col("discount_pct") * 100).cast("bigint").alias("value"))
+    found = with_best(o, F.col("units"), cents, r, max_rules, "_pct")
+    pct = (F.coalesce(F.col("_pct"), F.lit(0)).cast("decimal(7,0)") * F.lit("0.01").cast("decimal(3,2)"))
+    return found.select("order_id", "units", "subtotal", pct.cast("decimal(5,2)").alias("discount_pct"))
 
 
 def discount_for_order(t: Tables, as_of: dt.date, max_rules: int = MAX_RULES) -> DataFrame:

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.sources.tables import Tables
 
 PHONE_PATTERN = "^[0-9]{10}$"
@@ -47,16 +48,17 @@ def apply_product_changes(t: Tables, changes: DataFrame) -> DataFrame:
     latest = latest_fields(changes, "product_id", CHANGE_FIELDS, first=["stock_qty"])
     c = latest.select("product_id", "updated_at", F.col("stock_qty").cast("int").alias("_c_stock_qty"),
                       *[F.col(f).alias(f"_c_{f}") for f in CHANGE_FIELDS])
-    p = t.product
+    p = t.product.withColumn("_known", F.lit(True))
     j = p.join(c, "product_id", "full")
     cols = {f: F.coalesce(F.col(f"_c_{f}"), F.col(f)) for f in CHANGE_FIELDS}
     cols["reorder_level"] = F.coalesce(cols["reorder_level"], F.lit(DEFAULT_REORDER_LEVEL))
     cols["is_active"] = F.coalesce(cols["is_active"], F.lit(True))
     change = (F.when(F.col("updated_at").isNull(), "none")
-               .when(F.col("stock_qty").isNull(), "insert").otherwise("update"))
+               .when(F.col("_known").isNull(), "insert").otherwise("update"))
     return j.select("product_id", cols["barcode"].alias("barcode"), cols["name"].alias("name"),
                     cols["price"].alias("price"),
-                    F.coalesce(F.col("stock_qty"), F.col("_c_stock_qty"), F.lit(0)).alias("stock_qty"),
+                    F.when(F.col("_known"), F.col("stock_qty"))
+                     .otherwise(F.coalesce(F.col("_c_stock_qty"), F.lit(0))).alias("stock_qty"),
                     cols["reorder_level"].alias("reorder_level"), cols["expiry_date"].alias("expiry_date"),
                     cols["warning_label"].alias("warning_label"), cols["category_id"].alias("category_id"),
                     cols["is_active"].alias("is_active"), "updated_at", change.alias("change"))
@@ -110,18 +112,17 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str, order: Seq
 def insert_categories(t: Tables) -> DataFrame:
     """Categories after inserting brand names (new) and upper-cased type
     names (already present, ignored).  New ids continue after the largest
-    existing id, in name order; the ranking runs over the new names only."""
+    existing id, in name order."""
     part = t.raw("part")
     incoming = (part.select(F.upper("p_type").alias("category_name"), F.lit(0).alias("seq"))
                 .unionByName(part.select(F.col("p_brand").alias("category_name"), F.lit(1).alias("seq")))
                 .unionByName(part.select(F.lower("p_brand").alias("category_name"), F.lit(2).alias("seq"))))
     fresh = insert_ignore(t.category, incoming, "category_name", ["seq", "category_name"])
-    rows = (t.category.select("category_id", "category_name", F.lit(False).alias("inserted"),
-                              norm_key(F.col("category_name")).alias("_k"))
-            .unionByName(fresh.select(F.lit(None).cast("bigint").alias("category_id"), "category_name",
-                                      F.lit(True).alias("inserted"), "_k")))
-    # Both windows run over the category dimension (existing + new names).
-    new_id = (F.max("category_id").over(Window.partitionBy())
-              + F.row_number().over(Window.partitionBy("inserted").orderBy("_k")))
-    return rows.select(F.coalesce(F.col("category_id"), new_id).cast("bigint").alias("category_id"),
-                       "category_name", "inserted")
+    # new names are counted by ranges of their order; one row holds the largest id
+    counted = chunked_running_sum(assign_range_chunks(fresh.withColumn("_all", F.lit(0)), "_all", [F.col("_k")]),
+                                  "_all", F.col("_rchunk"), [F.col("_k")], {"_nth": F.lit(1)}, prepartitioned=True)
+    largest = t.category.agg(F.coalesce(F.max("category_id"), F.lit(0)).alias("_largest"))
+    added = counted.join(F.broadcast(largest))
+    return (t.category.select("category_id", "category_name", F.lit(False).alias("inserted"))
+            .unionByName(added.select((F.col("_largest") + F.col("_nth")).cast("bigint").alias("category_id"),
+                                      "category_name", F.lit(True).alias("inserted"))))

@@ -98,6 +98,9 @@ QUERIES = {
     # change feeds, insert-if-absent, data quality
     "apply_product_changes": (lambda t: changes.apply_product_changes(t, D.product_changes(t, AS_OF)),
                               O.apply_product_changes),
+    "created_ledger": (lambda t: ledger.created_ledger(t, D.product_changes(t, AS_OF)), O.created_ledger),
+    "created_expiry_warnings": (lambda t: ledger.created_expiry_warnings(t, D.product_changes(t, AS_OF)),
+                                O.created_expiry_warnings),
     "register_customers": (lambda t: changes.register_customers(t, D.registration_requests(t)),
                            O.register_customers),
     "insert_ignore": (changes.insert_categories, O.insert_ignore),

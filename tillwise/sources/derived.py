@@ -131,13 +131,17 @@ def restock_requests(t: Tables, as_of: dt.date) -> DataFrame:
 
 # --- fixed values: change-feed rules ------------------------------------------
 CHANGE_MODULUS = 10        # products with product_id % 10 = 0 get two versions
-NEW_PRODUCT_MODULUS = 500  # one new product per 500 (id + 1e6)
+NEW_PRODUCT_MODULUS = 500  # one new product per 500 (id + 1e6),
+NEW_EXPIRING = 50          # and one per 50, some of which expire soon
+GIVEN_STOCK = 77           # stated for known products, which must not take it
 PRICE_UP = "1.10"
 
 
 def product_changes(t: Tables, as_of: dt.date) -> DataFrame:
     """Change feed: version 1 raises the price 10 %, version 2 deactivates;
-    new products arrive as full rows.  A NULL field means "keep"."""
+    new products arrive as full rows.  A NULL field means "keep".  Every row
+    of a known product states a stock, which such a product must not take;
+    every third new product states none."""
     p = t.product
     ts = dt.datetime.combine(as_of, dt.time(9, 0))
     base = p.filter(F.col("product_id") % CHANGE_MODULUS == 0)
@@ -151,15 +155,17 @@ def product_changes(t: Tables, as_of: dt.date) -> DataFrame:
 
     def row(src, version, hours, **over):
         cols = dict(nulls, **over)
-        return src.select("product_id", F.lit(version).alias("version"),
+        return src.select("product_id", F.lit(GIVEN_STOCK).alias("stock_qty"), F.lit(version).alias("version"),
                           ntz(ts + dt.timedelta(hours=hours)).alias("changed_at"),
                           *[cols[c].alias(c) for c in order])
 
     v1 = row(base, 1, 0, price=F.round(F.col("price") * F.lit(PRICE_UP).cast("decimal(3,2)"), 2).cast(MONEY))
     v2 = row(base, 2, 1, is_active=F.lit(False))
-    fresh = p.filter(F.col("product_id") % NEW_PRODUCT_MODULUS == 0).select(
-        (F.col("product_id") + UNKNOWN_OFFSET).alias("product_id"), F.lit(1).alias("version"),
-        ntz(ts).alias("changed_at"),
+    fresh = p.filter((F.col("product_id") % NEW_PRODUCT_MODULUS == 0)
+                     | (F.col("product_id") % NEW_EXPIRING == 1)).select(
+        (F.col("product_id") + UNKNOWN_OFFSET).alias("product_id"),
+        F.when(F.col("product_id") % 3 != 0, F.col("product_id") % 37).cast("int").alias("stock_qty"),
+        F.lit(1).alias("version"), ntz(ts).alias("changed_at"),
         F.concat(F.lit("new "), F.col("name")).alias("name"), F.col("price"),
         F.lit(None).cast("int").alias("reorder_level"), F.col("expiry_date"),
         F.lit(None).cast("string").alias("warning_label"), F.col("category_id"),

@@ -147,3 +147,28 @@ def test_single_id_lookups_and_status_split(spark, tables_small):
     acc, rej = billing.split_status(billing.apply_restocks(tables_small,
                                                            derived.restock_requests(tables_small, AS_OF)))
     assert acc.count() > 0 and rej.filter(F.col("reason").isNull()).count() == 0
+
+
+def test_search_ignores_case_and_accents(spark, cats):
+    prod = spark.createDataFrame(
+        [(i, None, n, D("1.00"), 5, 10, None, None, 1, True)
+         for i, n in enumerate(["Caf\u00e9 au lait", "CAFE noir", "cafe\u0301 latte", "tea 100%", "tea 1000", "a_b", "axb"])],
+        PRODUCT_SCHEMA)
+    t = Tables.from_frames(spark, product=prod, category=cats)
+    found = lambda q: {r.product_id for r in catalog.product_catalog(t, AS_OF, search=q).collect()}
+    assert found("cafe") == found("CAF\u00c9") == {0, 1, 2}
+    assert found("100%") == {3} and found("a_b") == {5}   # wildcards are text
+
+
+def test_nested_receipts_in_bounded_pieces(spark, tables_small):
+    flat = [r.asDict() for r in sales.receipts(tables_small).collect()]
+    cols = ["line_no", "product_id", "product_name", "qty_sold", "unit_price", "line_total"]
+    want = {}
+    for r in flat:
+        want.setdefault(r["order_id"], []).append(tuple(r[c] for c in cols))
+    got = {}
+    for r in sorted(sales.nested_receipts(tables_small, piece_lines=2).collect(), key=lambda r: (r.order_id, r.piece)):
+        assert 1 <= len(r.lines) <= 2
+        got.setdefault(r.order_id, []).extend(r.lines)
+    assert {k: sorted(v) for k, v in want.items()} == {k: [tuple(x[c] for c in cols) for x in v] for k, v in got.items()}
+    assert all([x.line_seq for x in v] == list(range(1, len(v) + 1)) for v in got.values())

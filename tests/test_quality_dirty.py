@@ -23,12 +23,12 @@ def dirty_tables(spark):
     ok = ("c", Decimal("1.00"), 50, 10, None, None, 1, True)
     products = [(1, "b1", "good", Decimal("1.00"), 50, 10, None, None, 1, True),
                 (2, "B1 ", None, Decimal("-1.00"), -5, 10, None, None, 1, True),
-                (3, "b" * 51, "n" * 151, *ok[1:6], None, True), (4, None, "orphan", *ok[1:6], 99, True)]
+                (3, "b" * 51, "n" * 151, None, *ok[2:6], None, True), (4, None, "orphan", *ok[1:6], 99, True)]
     product = spark.createDataFrame(
         products, "product_id long, barcode string, name string, price decimal(12,2), stock_qty int, "
                   "reorder_level int, expiry_date date, warning_label string, category_id long, is_active boolean")
     money = [Decimal("5.00")] * 4
-    orders = [(1, 1, 5, DAY, *money, "cash", "completed"), (2, None, 5, DAY, *money, "gold", "lost"),
+    orders = [(1, 1, 5, DAY, *money, "cash", "completed"), (2, None, None, DAY, *money, "gold", "lost"),
               (3, 77, 5, DAY, Decimal("5.00"), Decimal("9.00"), *money[:2], "card", "pending"),
               (4, 1, 88, DAY, *money, None, None)]
     order = spark.createDataFrame(
@@ -36,11 +36,18 @@ def dirty_tables(spark):
                 "discount decimal(12,2), tax_amount decimal(12,2), total_bill decimal(12,2), payment_mode string, "
                 "status string")
     items = [(1, 1, 1, 2), (2, 1, 1, 0), (3, 66, 1, 1), (55, 1, 1, -1)]
+    rows = [(*i, Decimal("1.00"), Decimal("1.00")) for i in items] + [(56, 1, 2, None, None, None)]
+    rules = spark.createDataFrame(
+        [(1, "ok", 1, Decimal("1.00"), Decimal("1.00"), True, None, None),
+         (2, None, 1, Decimal("1.00"), None, True, None, None),
+         (3, "r" * 101, 1, Decimal("1.00"), Decimal("1.00"), False, None, None)],
+        "rule_id int, rule_name string, min_qty int, min_amount decimal(12,2), discount_pct decimal(5,2), "
+        "is_active boolean, valid_from date, valid_to date")
     item = spark.createDataFrame(
-        [(*i, Decimal("1.00"), Decimal("1.00")) for i in items],
+        rows,
         "order_id long, product_id long, line_no int, qty_sold int, unit_price decimal(12,2), line_total decimal(12,2)")
     return Tables.from_frames(spark, category=category, app_user=user, product=product, sales_orders=order,
-                              order_items=item)
+                              order_items=item, discount_rules=rules)
 
 
 def test_planted_violations_are_counted(spark):
@@ -53,7 +60,10 @@ def test_planted_violations_are_counted(spark):
         "orders.status domain": 2, "orders.discount <= subtotal": 1, "orders.customer_id present": 1,
         "order_items.qty_sold > 0": 2, "category.name not null": 1, "category.name length": 1,
         "category.name unique": 1, "user.username unique": 1, "product.barcode unique": 1, "product -> category": 1,
-        "orders -> customer": 1, "orders -> cashier": 1, "order_items -> orders": 1, "order_items -> product": 1,
-        "orders have items": 1}
+        "orders -> customer": 1, "orders -> cashier": 1, "order_items -> orders": 2, "order_items -> product": 1,
+        "orders have items": 1, "product.price not null": 1, "product.name present": 1, "user.username present": 1,
+        "user.full_name present": 1, "orders.cashier_id not null": 1, "order_items.qty_sold not null": 1,
+        "order_items.unit_price not null": 1, "rule.name not null": 1, "rule.name length": 1,
+        "rule.discount_pct not null": 1}
     assert {n: v for n, v in got.items() if n not in OWN_OUTPUT} == want
     assert set(got) == set(want) | OWN_OUTPUT and all(got[n] == 0 for n in OWN_OUTPUT)

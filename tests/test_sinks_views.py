@@ -55,3 +55,17 @@ def test_report_views_equal_their_operators(spark, tables_small):
         via_sql = spark.sql(f"SELECT * FROM {view}")
         assert via_sql.columns == df.columns, view
         assert sorted(via_sql.collect()) == sorted(df.collect()), view
+
+
+def test_sql_functions_equal_the_operators(spark, tables_small):
+    from tillwise.operators import sales
+    from tillwise.sources.views import register_functions
+    assert register_functions(tables_small, AS_OF) == ["category_report", "best_discount"]
+    a, b = dt.date(2000, 1, 1), dt.date(2000, 12, 31)
+    via_sql = spark.sql("SELECT * FROM category_report(DATE'2000-01-01', DATE'2000-12-31')")
+    want = sales.category_report(tables_small, a, b)
+    assert via_sql.columns == want.columns and via_sql.dtypes == want.dtypes
+    assert sorted(via_sql.collect()) == sorted(want.collect()) and want.count() > 0
+    got = spark.sql("SELECT best_discount(10, 5), best_discount(1, 50000), best_discount(1, 49999.99), "
+                    "best_discount(12, 200000), best_discount(0, 0)").first()
+    assert [str(v) for v in got] == ["5.00", "10.00", "0.00", "15.00", "0.00"]

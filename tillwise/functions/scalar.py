@@ -36,6 +36,8 @@ DEFAULT_ICON = "\U0001F4E6"
 
 _MICROS_PER_DAY = 86_400_000_000
 
+SEARCH_COLLATION = "UNICODE_CI_AI"
+
 
 def wall_clock_instant(c: Column) -> Column:
     """TIMESTAMP_NTZ -> TIMESTAMP with the same wall clock read as UTC.
@@ -67,8 +69,9 @@ def escape_like(q: str) -> str:
 
 
 def contains_ci(c: Column, q: str) -> Column:
-    """Case-insensitive substring test (the database's _ci collation)."""
-    return c.ilike(f"%{escape_like(q)}%")
+    """Substring test that ignores case and accents (the database's _ci
+    collation); the text of ``q`` is taken literally."""
+    return F.contains(F.collate(c, SEARCH_COLLATION), F.collate(F.lit(q), SEARCH_COLLATION))
 
 
 def days_until(d: Column, as_of: dt.date) -> Column:

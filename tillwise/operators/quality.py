@@ -25,7 +25,7 @@ ORDER_STATUSES = ["pending", "completed", "cancelled"]
 LEDGER_REASONS = ["sale", "restock", "adjustment", "expired_removal"]
 ALERT_TYPES = ["low_stock", "expiry_warning", "expired", "info"]
 MAX_LEN = {"category_name": 100, "username": 50, "full_name": 100, "name": 150,
-           "barcode": 50, "phone_no": 15}
+           "barcode": 50, "phone_no": 15, "rule_name": 100}
 
 
 def _row_rules(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
@@ -74,6 +74,10 @@ def _too_long(c: str) -> Column:
     return F.length(F.col(c)) > MAX_LEN[c]
 
 
+def _blank(c: str) -> Column:
+    return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+
+
 def data_quality(t: Tables, as_of: dt.date) -> DataFrame:
     p, u, o, i, c = t.product, t.app_user, t.sales_orders, t.order_items, t.category
     # The ledger feeds three checks and the alerts: write it once.
@@ -87,6 +91,8 @@ def data_quality(t: Tables, as_of: dt.date) -> DataFrame:
             ("DQ-8", "product.name length", _too_long("name")),
             ("DQ-8", "product.barcode length", _too_long("barcode")),
             ("DQ-8", "product.category_id not null", F.col("category_id").isNull()),
+            ("DQ-8", "product.price not null", F.col("price").isNull()),
+            ("DQ-9", "product.name present", _blank("name")),
         ]),
         _row_rules(u, [
             ("DQ-1", "user.phone_no ten digits", F.col("phone_no").isNotNull()
@@ -97,6 +103,8 @@ def data_quality(t: Tables, as_of: dt.date) -> DataFrame:
             ("DQ-8", "user.full_name not null", F.col("full_name").isNull()),
             ("DQ-8", "user.full_name length", _too_long("full_name")),
             ("DQ-8", "user.phone_no length", _too_long("phone_no")),
+            ("DQ-9", "user.username present", _blank("username")),
+            ("DQ-9", "user.full_name present", _blank("full_name")),
         ]),
         _row_rules(o, [
             ("DQ-7", "orders.payment_mode domain",
@@ -104,8 +112,18 @@ def data_quality(t: Tables, as_of: dt.date) -> DataFrame:
             ("DQ-7", "orders.status domain", ~F.coalesce(F.col("status").isin(ORDER_STATUSES), F.lit(False))),
             ("DQ-9", "orders.discount <= subtotal", F.col("discount") > F.col("subtotal")),
             ("DQ-9", "orders.customer_id present", F.col("customer_id").isNull()),
+            ("DQ-8", "orders.cashier_id not null", F.col("cashier_id").isNull()),
+        ]),
+        _row_rules(i, [
+            ("DQ-4", "order_items.qty_sold > 0", F.col("qty_sold") <= 0),
+            ("DQ-8", "order_items.qty_sold not null", F.col("qty_sold").isNull()),
+            ("DQ-8", "order_items.unit_price not null", F.col("unit_price").isNull()),
+        ]),
+        _row_rules(t.discount_rules, [
+            ("DQ-8", "rule.name not null", F.col("rule_name").isNull()),
+            ("DQ-8", "rule.name length", _too_long("rule_name")),
+            ("DQ-8", "rule.discount_pct not null", F.col("discount_pct").isNull()),
         ]),
-        _row_rules(i, [("DQ-4", "order_items.qty_sold > 0", F.col("qty_sold") <= 0)]),
         _row_rules(c, [
             ("DQ-8", "category.name not null", F.col("category_name").isNull()),
             ("DQ-8", "category.name length", _too_long("category_name")),

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tillwise.functions import scalar as S
 from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.lookup import MAX_LOOKUP_ROWS, lookup_join
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum
 from tillwise.sources.tables import MONEY, Tables
 
 SUM_MONEY = T.DecimalType(22, 2)
@@ -248,6 +249,27 @@ def receipts(t: Tables, order_ids: DataFrame | int | None = None) -> DataFrame:
         "line_no", "product_id", "product_name", "qty_sold", "unit_price", "line_total")
 
 
+def nested_receipts(t: Tables, order_ids: DataFrame | int | None = None, piece_lines: int = 1000) -> DataFrame:
+    """Receipts with their lines nested: order header, names, ``piece`` and
+    ``lines`` (array of structs by line number).  A piece holds at most
+    ``piece_lines`` lines, so an order of any size stays in bounded values;
+    almost every order is one piece.  Places in an order come from range
+    chunks of (order, line), so a huge order is numbered by many tasks."""
+    cols = ["line_no", "product_id", "product_name", "qty_sold", "unit_price", "line_total"]
+    order = [F.col(c).asc_nulls_first() for c in cols]
+    flat = receipts(t, order_ids)
+    head = [c for c in flat.columns if c not in cols]
+    tagged = assign_range_chunks(flat, "order_id", order)
+    numbered = chunked_running_sum(tagged, "order_id", F.col("_rchunk"), order, {"line_seq": F.lit(1)})
+    piece = F.floor((F.col("line_seq") - 1) / F.lit(piece_lines)).cast("int")
+    line = F.struct(F.col("line_seq").cast("int").alias("line_seq"), *cols)
+    return (numbered.groupBy("order_id", piece.alias("piece"))
+            .agg(F.sort_array(F.collect_list(line)).alias("lines"),
+                 # an order's header is the same on all of its lines
+                 *[F.first(c).alias(c) for c in head if c != "order_id"])
+            .select(*head, "piece", "lines"))
+
+
 def clearance_candidates(t: Tables, as_of: dt.date, days: int = 30, n: int | None = 50) -> DataFrame:
     """Active in-stock products with no sale in the last ``days`` days,
     earliest expiry first (no expiry first of all)."""

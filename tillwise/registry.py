@@ -27,6 +27,23 @@ def _first_customer(t: Tables) -> int:
     return t.sales_orders.agg(F.min("customer_id")).first()[0]
 
 
+def _first_product(t: Tables) -> int:
+    return t.product_base.agg(F.min("product_id")).first()[0]
+
+
+def _last_order(t: Tables) -> int:
+    """The newest order number that has lines."""
+    return t.order_items.agg(F.max("order_id")).first()[0]
+
+
+def _nested_receipts(t: Tables) -> DataFrame:
+    # the nested lines as text, which every engine compares alike
+    fields = ["line_no", "product_id", "product_name", "qty_sold", "unit_price", "line_total"]
+    text = F.transform("lines", lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields]))
+    return (sales.nested_receipts(t).withColumn("n_lines", F.size("lines").cast("bigint"))
+            .withColumn("lines", F.array_join(text, ";")))
+
+
 def _alert_reads(t: Tables) -> DataFrame:
     # the read events come from the same alerts: compute the alerts once
     alerts = cut_lineage(ledger.all_alerts(t, AS_OF))
@@ -73,6 +90,10 @@ QUERIES = {
     "customer_orders": (lambda t: sales.orders_list(t, customer_id=_first_customer(t)), O.customer_orders),
     "recent_orders": (lambda t: sales.recent_orders(t, 5), O.recent_orders),
     "receipts": (lambda t: sales.receipts(t), O.receipts),
+    "receipts_nested": (_nested_receipts, O.receipts_nested),
+    # point reads by key
+    "product_point": (lambda t: catalog.product_by_id(t, _first_product(t)), O.product_point),
+    "receipt_point": (lambda t: sales.receipts(t, _last_order(t)), O.receipt_point),
     "clearance_candidates": (lambda t: sales.clearance_candidates(t, AS_OF), O.clearance_candidates),
     # 2.9 billing
     # JSON carts are stored input in practice: write the derived ones once
@@ -93,6 +114,8 @@ QUERIES = {
     "unread_alerts": (lambda t: ledger.unread_alerts(t, AS_OF, 20), O.unread_alerts),
     "apply_alert_reads": (lambda t: _alert_reads(t), O.apply_alert_reads),
     "stock_log_feed": (lambda t: ledger.stock_log_feed(t, AS_OF, n=100), O.stock_log_feed),
+    "stock_log_product": (lambda t: ledger.stock_log_feed(t, AS_OF, product_id=_first_product(t), n=100),
+                          O.stock_log_product),
     "ledger_reconcile": (lambda t: ledger.ledger_reconcile(t, AS_OF), O.ledger_reconcile),
     "blocked_lines": (lambda t: ledger.blocked_lines(t, AS_OF), O.blocked_lines),
     # change feeds, insert-if-absent, data quality

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from tillwise.operators import catalog, ledger, sales
+from tillwise.operators import billing, catalog, ledger, sales
 from tillwise.sources.tables import Tables
 
 
@@ -32,3 +32,30 @@ def register_views(t: Tables, as_of: dt.date, day: dt.date | None = None) -> lis
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return list(views)
+
+
+def register_functions(t: Tables, as_of: dt.date) -> list[str]:
+    """Temporary SQL functions over the registered tables:
+    ``category_report(from_day, to_day)``, a table of units and revenue per
+    category, and ``best_discount(qty, amount)``, the largest rate in percent
+    of the rules that hold on ``as_of``, 0 if none does."""
+    spark = t.spark
+    for name in ("category", "product", "order_items", "sales_orders"):
+        getattr(t, name).createOrReplaceTempView(name)
+    billing.applicable_rules(t, as_of).createOrReplaceTempView("applicable_rules")
+    spark.sql("""
+CREATE OR REPLACE TEMPORARY FUNCTION category_report(from_day DATE, to_day DATE)
+RETURNS TABLE (category_name STRING, units_sold BIGINT, revenue DECIMAL(22,2))
+RETURN
+  SELECT c.category_name, CAST(sum(s.units) AS BIGINT), CAST(sum(s.revenue) AS DECIMAL(22,2))
+  FROM (SELECT i.product_id, sum(i.qty_sold) AS units, sum(i.line_total) AS revenue
+        FROM order_items i JOIN sales_orders o ON i.order_id = o.order_id
+        WHERE o.status = 'completed' AND o.order_date >= from_day AND o.order_date < date_add(to_day, 1)
+        GROUP BY i.product_id) s
+  JOIN product p ON s.product_id = p.product_id JOIN category c ON p.category_id = c.category_id
+  GROUP BY c.category_name""")
+    spark.sql("""
+CREATE OR REPLACE TEMPORARY FUNCTION best_discount(qty BIGINT, amount DECIMAL(12,2))
+RETURNS DECIMAL(5,2)
+RETURN (SELECT coalesce(max(discount_pct), 0) FROM applicable_rules WHERE qty >= min_qty AND amount >= min_amount)""")
+    return ["category_report", "best_discount"]

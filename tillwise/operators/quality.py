@@ -1,8 +1,9 @@
 """Data-quality checks: the schema's constraints evaluated as one Spark job.
 
-Each table is scanned once for all of its row-level rules (``count_if`` per
-rule in a single aggregate); key uniqueness is a grouped count and foreign
-keys are anti joins.  The result is one row per (rule, check) with the
+Each table is read once and its rows become events: the rules a row breaks and
+the keys it holds, as a parent or as a child.  One aggregate over the events of
+all tables counts them per key; uniqueness, foreign keys and row rules are all
+read off those counts.  The result is one row per (rule, check) with the
 number of violating rows or keys.
 """
 
@@ -28,46 +29,88 @@ MAX_LEN = {"category_name": 100, "username": 50, "full_name": 100, "name": 150,
            "barcode": 50, "phone_no": 15, "rule_name": 100}
 
 
-def _row_rules(df: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
-    agg = df.agg(*[F.count_if(cond).alias(f"c{i}") for i, (_, _, cond) in enumerate(rules)])
-    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("check_name"),
-                              F.col(f"c{i}").cast("bigint").alias("violations"))
-                     for i, (rule, name, _) in enumerate(rules)])
-    return agg.select(F.inline(rows))
-
-
-def _one(rule: str, name: str, df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
-        F.lit(rule).alias("rule"), F.lit(name).alias("check_name"), "violations")
-
-
-def _duplicates(rule: str, name: str, df: DataFrame, key: Column) -> DataFrame:
-    keys = df.select(key.alias("_k")).filter(F.col("_k").isNotNull())
-    return _one(rule, name, keys.groupBy("_k").count().filter(F.col("count") > 1))
-
-
-def _orphans_by_parent(rule: str, checks: list[tuple[str, DataFrame, str]], parent: DataFrame,
-                       pk: str) -> DataFrame:
-    """Foreign-key checks that share a parent, in one anti join: child rows
-    are counted per (check, key) (partial aggregation, so distinct keys are
-    shuffled, not rows, and hot keys combine map-side), the parent is
-    shuffled once for all of them, and orphan counts are summed per check.
-    One row per check, zero when nothing is orphaned."""
-    per_key = None
-    for name, child, fk in checks:
-        part = (child.select(F.lit(name).alias("_check"), F.col(fk).alias("_fk"))
-                .filter(F.col("_fk").isNotNull()))
-        per_key = part if per_key is None else per_key.unionByName(part)
-    counted = per_key.groupBy("_check", "_fk").agg(F.count(F.lit(1)).alias("_n"))
-    orphans = counted.join(parent.select(F.col(pk).alias("_fk")), "_fk", "left_anti")
-    zeros = parent.sparkSession.createDataFrame([(n, 0) for n, _, _ in checks], "_check string, _n long")
-    return (orphans.select("_check", "_n").unionByName(zeros)
-            .groupBy("_check").agg(F.sum("_n").cast("bigint").alias("violations"))
-            .select(F.lit(rule).alias("rule"), F.col("_check").alias("check_name"), "violations"))
-
-
-def _orphans(rule: str, name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    return _orphans_by_parent(rule, [(name, child, fk)], parent, pk)
+#: What one row says: its table breaks rule ``slot`` of topic ``rule``; or it holds key
+#: (``id`` or ``word``) of a topic, in the part that ``slot`` numbers.
+EVENT = "struct<topic:string,id:bigint,word:string,slot:int>"
+SLOTS = 5
+
+
+def _event(topic: str, slot: int, id: Column | None = None, word: Column | None = None) -> Column:
+    return F.struct(F.lit(topic).alias("topic"), (F.lit(None) if id is None else id).cast("bigint").alias("id"),
+                    (F.lit(None) if word is None else word).cast("string").alias("word"),
+                    F.lit(slot).alias("slot"))
+
+
+class _Checks:
+    """The checks, and every table's rows as events.
+
+    A table is read once: each row becomes the keys it holds and the rules it
+    breaks.  All events are counted per key in one aggregate, map-side first,
+    and every check is read off those counts: a rule's violations, a key seen
+    twice, a child key without a parent, a parent without a child."""
+
+    def __init__(self):
+        self.names: list[tuple[str, str]] = []     # (rule, check) by number
+        self.unique: dict[str, int] = {}           # topic -> check
+        self.children: dict[str, dict[int, int]] = {}   # parent topic -> slot -> check
+        self.childless: dict[str, tuple[int, int]] = {}  # parent topic -> (child slot, check)
+        self.events: list[DataFrame] = []
+
+    def _number(self, rule: str, name: str) -> int:
+        self.names.append((rule, name))
+        return len(self.names) - 1
+
+    def child(self, parent: str, name: str, key: str, childless: str | None = None) -> Column:
+        """A foreign key's event; slot 0 of the topic is the parent's own key."""
+        slots = self.children.setdefault(parent, {})
+        slot = len(slots) + 1
+        assert slot < SLOTS
+        slots[slot] = self._number("DQ-6", name)
+        if childless is not None:
+            self.childless[parent] = (slot, self._number("DQ-9", childless))
+        return F.when(F.col(key).isNotNull(), _event(parent, slot, id=F.col(key)))
+
+    def parent(self, topic: str, key: str) -> Column:
+        return F.when(F.col(key).isNotNull(), _event(topic, 0, id=F.col(key)))
+
+    def distinct(self, name: str, key: Column) -> Column:
+        topic = f"unique {name}"
+        self.unique[topic] = self._number("DQ-5", name)
+        return F.when(key.isNotNull(), _event(topic, 0, word=key))
+
+    def table(self, df: DataFrame, rules: list[tuple[str, str, Column]], keys: list[Column] = ()) -> None:
+        """Add a table: ``rules`` hold for the rows that break them."""
+        broken = [F.when(cond, _event("rule", 0, id=F.lit(self._number(rule, name)))) for rule, name, cond in rules]
+        said = F.filter(F.array(*broken, *keys), lambda e: e.isNotNull())
+        self.events.append(df.select(F.inline(said.cast(f"array<{EVENT}>"))))
+
+    def result(self) -> DataFrame:
+        """One row per (rule, check), zero where nothing is wrong."""
+        every = self.events[0]
+        for part in self.events[1:]:
+            every = every.unionByName(part)
+        n = [F.col(f"n{i}") for i in range(SLOTS)]
+        counted = every.groupBy("topic", "id", "word").agg(
+            *[F.count_if(F.col("slot") == i).alias(f"n{i}") for i in range(SLOTS)])
+
+        def found(check: Column | int, cond: Column, violations: Column) -> Column:
+            number = F.lit(check) if isinstance(check, int) else check
+            return F.when(cond & (violations > 0), F.struct(number.cast("int").alias("check"),
+                                                            violations.cast("bigint").alias("violations")))
+
+        topic = F.col("topic")
+        out = [found(F.col("id"), topic == "rule", n[0])]
+        out += [found(check, (topic == t) & (n[0] > 1), F.lit(1)) for t, check in self.unique.items()]
+        out += [found(check, (topic == t) & (n[0] == 0), n[slot])
+                for t, slots in self.children.items() for slot, check in slots.items()]
+        out += [found(check, (topic == t) & (n[slot] == 0), n[0]) for t, (slot, check) in self.childless.items()]
+        wrong = counted.select(F.inline(F.filter(F.array(*out), lambda x: x.isNotNull())))
+        spark = counted.sparkSession
+        zeros = spark.createDataFrame([(i, 0) for i in range(len(self.names))], "check int, violations long")
+        rules, names = (F.array(*[F.lit(x[k]) for x in self.names]) for k in (0, 1))
+        return (wrong.unionByName(zeros).groupBy("check").agg(F.sum("violations").cast("bigint").alias("violations"))
+                .select(F.get(rules, F.col("check")).alias("rule"), F.get(names, F.col("check")).alias("check_name"),
+                        "violations"))
 
 
 def _too_long(c: str) -> Column:
@@ -83,69 +126,58 @@ def data_quality(t: Tables, as_of: dt.date) -> DataFrame:
     # The ledger feeds three checks and the alerts: write it once.
     led = cut_lineage(ledger.stock_ledger(t, as_of))
     alerts = ledger.all_alerts(t, as_of, ledger.running_stock(t, as_of, led))
-    parts = [
-        _row_rules(p, [
-            ("DQ-2", "product.price >= 0", F.col("price") < 0),
-            ("DQ-3", "product.stock_qty >= 0", F.col("stock_qty") < 0),
-            ("DQ-8", "product.name not null", F.col("name").isNull()),
-            ("DQ-8", "product.name length", _too_long("name")),
-            ("DQ-8", "product.barcode length", _too_long("barcode")),
-            ("DQ-8", "product.category_id not null", F.col("category_id").isNull()),
-            ("DQ-8", "product.price not null", F.col("price").isNull()),
-            ("DQ-9", "product.name present", _blank("name")),
-        ]),
-        _row_rules(u, [
-            ("DQ-1", "user.phone_no ten digits", F.col("phone_no").isNotNull()
-             & ~F.col("phone_no").rlike(PHONE_PATTERN)),
-            ("DQ-7", "user.role domain", ~F.coalesce(F.col("role").isin(ROLES), F.lit(False))),
-            ("DQ-8", "user.username not null", F.col("username").isNull()),
-            ("DQ-8", "user.username length", _too_long("username")),
-            ("DQ-8", "user.full_name not null", F.col("full_name").isNull()),
-            ("DQ-8", "user.full_name length", _too_long("full_name")),
-            ("DQ-8", "user.phone_no length", _too_long("phone_no")),
-            ("DQ-9", "user.username present", _blank("username")),
-            ("DQ-9", "user.full_name present", _blank("full_name")),
-        ]),
-        _row_rules(o, [
-            ("DQ-7", "orders.payment_mode domain",
-             ~F.coalesce(F.col("payment_mode").isin(PAYMENT_MODES), F.lit(False))),
-            ("DQ-7", "orders.status domain", ~F.coalesce(F.col("status").isin(ORDER_STATUSES), F.lit(False))),
-            ("DQ-9", "orders.discount <= subtotal", F.col("discount") > F.col("subtotal")),
-            ("DQ-9", "orders.customer_id present", F.col("customer_id").isNull()),
-            ("DQ-8", "orders.cashier_id not null", F.col("cashier_id").isNull()),
-        ]),
-        _row_rules(i, [
-            ("DQ-4", "order_items.qty_sold > 0", F.col("qty_sold") <= 0),
-            ("DQ-8", "order_items.qty_sold not null", F.col("qty_sold").isNull()),
-            ("DQ-8", "order_items.unit_price not null", F.col("unit_price").isNull()),
-        ]),
-        _row_rules(t.discount_rules, [
-            ("DQ-8", "rule.name not null", F.col("rule_name").isNull()),
-            ("DQ-8", "rule.name length", _too_long("rule_name")),
-            ("DQ-8", "rule.discount_pct not null", F.col("discount_pct").isNull()),
-        ]),
-        _row_rules(c, [
-            ("DQ-8", "category.name not null", F.col("category_name").isNull()),
-            ("DQ-8", "category.name length", _too_long("category_name")),
-        ]),
-        _row_rules(led, [("DQ-7", "stock_log.reason domain",
-                          ~F.coalesce(F.col("reason").isin(LEDGER_REASONS), F.lit(False)))]),
-        _row_rules(alerts, [("DQ-7", "notification.type domain",
-                             ~F.coalesce(F.col("type").isin(ALERT_TYPES), F.lit(False)))]),
-        _duplicates("DQ-5", "category.name unique", c, norm_key(F.col("category_name"))),
-        _duplicates("DQ-5", "user.username unique", u, norm_key(F.col("username"))),
-        _duplicates("DQ-5", "product.barcode unique", p, norm_key(F.col("barcode"))),
-        _orphans("DQ-6", "product -> category", p, "category_id", c, "category_id"),
-        _orphans_by_parent("DQ-6", [("orders -> customer", o, "customer_id"),
-                                    ("orders -> cashier", o, "cashier_id")], u, "user_id"),
-        _orphans("DQ-6", "order_items -> orders", i, "order_id", o, "order_id"),
-        _orphans_by_parent("DQ-6", [("order_items -> product", i, "product_id"),
-                                    ("stock_log -> product", led, "product_id"),
-                                    ("notification -> product", alerts, "product_id")], p, "product_id"),
-        _one("DQ-9", "orders have items",
-             o.select("order_id").join(i.select("order_id").distinct(), "order_id", "left_anti")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    k = _Checks()
+    k.table(p, [
+        ("DQ-2", "product.price >= 0", F.col("price") < 0),
+        ("DQ-3", "product.stock_qty >= 0", F.col("stock_qty") < 0),
+        ("DQ-8", "product.name not null", F.col("name").isNull()),
+        ("DQ-8", "product.name length", _too_long("name")),
+        ("DQ-8", "product.barcode length", _too_long("barcode")),
+        ("DQ-8", "product.category_id not null", F.col("category_id").isNull()),
+        ("DQ-8", "product.price not null", F.col("price").isNull()),
+        ("DQ-9", "product.name present", _blank("name")),
+    ], [k.parent("product", "product_id"), k.child("category", "product -> category", "category_id"),
+        k.distinct("product.barcode unique", norm_key(F.col("barcode")))])
+    k.table(u, [
+        ("DQ-1", "user.phone_no ten digits", F.col("phone_no").isNotNull()
+         & ~F.col("phone_no").rlike(PHONE_PATTERN)),
+        ("DQ-7", "user.role domain", ~F.coalesce(F.col("role").isin(ROLES), F.lit(False))),
+        ("DQ-8", "user.username not null", F.col("username").isNull()),
+        ("DQ-8", "user.username length", _too_long("username")),
+        ("DQ-8", "user.full_name not null", F.col("full_name").isNull()),
+        ("DQ-8", "user.full_name length", _too_long("full_name")),
+        ("DQ-8", "user.phone_no length", _too_long("phone_no")),
+        ("DQ-9", "user.username present", _blank("username")),
+        ("DQ-9", "user.full_name present", _blank("full_name")),
+    ], [k.parent("user", "user_id"), k.distinct("user.username unique", norm_key(F.col("username")))])
+    k.table(o, [
+        ("DQ-7", "orders.payment_mode domain",
+         ~F.coalesce(F.col("payment_mode").isin(PAYMENT_MODES), F.lit(False))),
+        ("DQ-7", "orders.status domain", ~F.coalesce(F.col("status").isin(ORDER_STATUSES), F.lit(False))),
+        ("DQ-9", "orders.discount <= subtotal", F.col("discount") > F.col("subtotal")),
+        ("DQ-9", "orders.customer_id present", F.col("customer_id").isNull()),
+        ("DQ-8", "orders.cashier_id not null", F.col("cashier_id").isNull()),
+    ], [k.parent("orders", "order_id"), k.child("user", "orders -> customer", "customer_id"),
+        k.child("user", "orders -> cashier", "cashier_id")])
+    k.table(i, [
+        ("DQ-4", "order_items.qty_sold > 0", F.col("qty_sold") <= 0),
+        ("DQ-8", "order_items.qty_sold not null", F.col("qty_sold").isNull()),
+        ("DQ-8", "order_items.unit_price not null", F.col("unit_price").isNull()),
+    ], [k.child("orders", "order_items -> orders", "order_id", childless="orders have items"),
+        k.child("product", "order_items -> product", "product_id")])
+    k.table(t.discount_rules, [
+        ("DQ-8", "rule.name not null", F.col("rule_name").isNull()),
+        ("DQ-8", "rule.name length", _too_long("rule_name")),
+        ("DQ-8", "rule.discount_pct not null", F.col("discount_pct").isNull()),
+    ])
+    k.table(c, [
+        ("DQ-8", "category.name not null", F.col("category_name").isNull()),
+        ("DQ-8", "category.name length", _too_long("category_name")),
+    ], [k.parent("category", "category_id"), k.distinct("category.name unique", norm_key(F.col("category_name")))])
+    k.table(led, [("DQ-7", "stock_log.reason domain",
+                   ~F.coalesce(F.col("reason").isin(LEDGER_REASONS), F.lit(False)))],
+            [k.child("product", "stock_log -> product", "product_id")])
+    k.table(alerts, [("DQ-7", "notification.type domain",
+                      ~F.coalesce(F.col("type").isin(ALERT_TYPES), F.lit(False)))],
+            [k.child("product", "notification -> product", "product_id")])
+    return k.result()

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise import oracle as O
-from tillwise.operators import admission, billing, catalog, changes, ledger, quality, sales
+from tillwise.operators import admission, billing, carry, catalog, changes, ledger, quality, sales
 from tillwise.plans.lineage import cut_lineage
+from tillwise.session import scratch_path
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables
 from tillwise.streaming import reports as ST
@@ -21,6 +22,8 @@ from tillwise.streaming import reports as ST
 # --- fixed values: fixture parameters ---------------------------------------
 AS_OF = dt.date(2001, 8, 1)
 DAY_AS_OF = dt.date(2001, 7, 31)
+#: Orders from this time on are the second batch of the carried checkout.
+SECOND_BATCH = dt.datetime(1998, 7, 1)
 
 def _first_customer(t: Tables) -> int:
     """The customer whose orders the point query lists."""
@@ -44,6 +47,21 @@ def _nested_receipts(t: Tables) -> DataFrame:
             .withColumn("lines", F.array_join(text, ";")))
 
 
+def _carried_store(t: Tables) -> str:
+    """A store of the tables' orders, decided in two batches along their time."""
+    base, heads = scratch_path(t.spark, "carried"), D.cart_headers(t)
+    lines = cut_lineage(D.cart_lines(t))
+    restocks = cut_lineage(billing.accepted_restocks(t, AS_OF))
+    for batch, late in enumerate([False, True]):
+        def part(df: DataFrame, time: str) -> DataFrame:
+            from_then = F.coalesce(F.col(time) >= F.lit(SECOND_BATCH).cast("timestamp_ntz"), F.lit(False))
+            return df.filter(from_then == F.lit(late))
+        orders = part(heads, "order_date")
+        own = cut_lineage(lines.join(orders.select("order_id"), "order_id", "left_semi"))
+        carry.commit_batch(t, base, batch, own, orders, D.opening_stock(t), part(restocks, "request_ts"))
+    return base
+
+
 def _alert_reads(t: Tables) -> DataFrame:
     # the read events come from the same alerts: compute the alerts once
     alerts = cut_lineage(ledger.all_alerts(t, AS_OF))
@@ -135,8 +153,13 @@ QUERIES = {
     "admitted_items": (lambda t: admission.admitted_items(t, AS_OF), O.admitted_items),
     "rejected_carts": (lambda t: admission.rejected_carts(t, AS_OF), O.rejected_carts),
     "product_stock": (lambda t: admission.product_stock(t, AS_OF), O.product_stock),
+    # B-3 in two batches, the second against the stock that the first left
+    "bill_batches_carried": (lambda t: carry.all_decisions(t.spark, _carried_store(t)).drop("decided_round", "batch"),
+                             O.bill_batch),
+    "carried_stock": (lambda t: carry.stock_on_hand(t.spark, _carried_store(t)), O.carried_stock),
     # 2.11 streaming re-aims (stream result == batch result)
     "stream_daily_sales": (ST.stream_daily_sales, O.stream_daily_sales),
+    "stream_daily_rows": (ST.stream_daily_rows, O.stream_daily_rows),
     "stream_daily_counts": (ST.stream_daily_counts, O.stream_daily_counts),
     "stream_low_stock": (lambda t: ST.stream_low_stock(t, AS_OF), O.stream_low_stock),
     "stream_category_revenue": (ST.stream_category_revenue, O.stream_category_revenue),

@@ -78,6 +78,38 @@ def stream_daily_counts(t: Tables, arrival: str = "order_date") -> DataFrame:
         F.lit(came["without_time"]).cast("bigint").alias("without_time"))
 
 
+CLOSING = "interval 3 days"   # after the last order: beyond the watermark's day and the day it closes
+
+
+def daily_rows_stream(orders: DataFrame) -> DataFrame:
+    """The day rows themselves, in one query: orders are summed per (day,
+    customer), and those sums per day, each in its turn once the watermark has
+    passed the day.  A day comes out once, whole and final."""
+    o = (orders.filter(F.col("status") == "completed")
+         .withColumn("_ts", wall_clock_instant(F.col("order_date"))).withWatermark("_ts", WATERMARK))
+    per_customer = o.groupBy(F.window("_ts", "1 day").alias("w"), "customer_id").agg(
+        F.count(F.lit(1)).alias("orders"), *[sum_money(F.col(c)).alias(c) for c in ("total_bill", "tax_amount", "discount")])
+    per_day = per_customer.groupBy(F.window(F.window_time("w"), "1 day").alias("d")).agg(
+        F.sum("orders").cast("bigint").alias("orders_today"), sum_money(F.col("total_bill")).alias("revenue_today"),
+        sum_money(F.col("tax_amount")).alias("tax_today"), sum_money(F.col("discount")).alias("discount_today"),
+        F.count("customer_id").cast("bigint").alias("unique_customers_today"))
+    return per_day.select(instant_day(F.col("d.start")).alias("day"), *per_day.columns[1:])
+
+
+def stream_daily_rows(t: Tables, arrival: str = "order_date") -> DataFrame:
+    """ST-1 as the stream emits it.  A last row, dated after all others, closes
+    the feed: it lets the watermark pass the last day, and its own day stays open."""
+    spark, sink = t.spark, scratch_path(t.spark, "daily-rows-sink")
+    columns = ["order_id", "customer_id", "order_date", "total_bill", "tax_amount", "discount", "status"]
+    src = t.sales_orders.select(*dict.fromkeys([*columns, arrival]))
+    times = dict.fromkeys(["order_date", arrival])
+    last = src.agg(*[(F.max(c) + F.expr(CLOSING)).alias(c) for c in times], F.lit("completed").alias("status"))
+    feed = src.unionByName(last.filter(F.col("order_date").isNotNull()), allowMissingColumns=True)
+    run_as_feed(spark, feed, arrival, lambda s: daily_rows_stream(s).writeStream.outputMode("append")
+                .foreachBatch(batch_sink(sink)), "daily-rows")
+    return spark.read.parquet(sink).drop("batch_id")
+
+
 # -- ST-2 ----------------------------------------------------------------------
 # --- fixed values: the value that sorts null times first -------------------------
 NO_TIME = -(1 << 62)

@@ -41,6 +41,23 @@ def test_map_versions_and_few_moves(spark, tmp_path):
     assert len(per) == 9 and max(per) < 1.02 * sum(per) / 9
 
 
+def test_a_hot_key_is_spread(spark):
+    """A third of all rows without an id, and another fifth under one id."""
+    from tillwise.plans.lineage import cut_lineage
+    docs = spark.range(30_000).selectExpr(
+        "if(id % 3 = 0, null, if(id % 5 = 0, 7, id)) as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    records = cut_lineage(sharding.records_of(docs))
+    even = sharding.spread_hot(records, sharding.slot_loads(records))
+    loads = cut_lineage(sharding.slot_loads(even))
+    assert loads.agg(F.max("rows")).first()[0] < 100 and loads.agg(F.sum("rows")).first()[0] == 30_000
+    cold = even.join(records.select("row", F.col("vslot").alias("before")), "row").filter("doc_id <> 7")
+    assert cold.filter("vslot <> before").count() < 100  # only those that shared a hot slot
+    out = sharding.assign(even, sharding.rebalance(sharding.first_map(spark, 16), loads, 16), loads)
+    per = out.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("last")).collect()
+    assert len(per) == 16 and max(r.b for r in per) < 1.01 * sum(r.b for r in per) / 16
+    assert all(r.last == r.n - 1 for r in per)
+
+
 def test_odd_rows(spark, docs_of):
     docs = docs_of([(None, t, None) for t in ODD] + [(1, t, "b") for t in ODD]).selectExpr("*", "1 as shard", "2 as size")
     records = sharding.records_of(docs)

@@ -41,6 +41,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str, n_shards: int = 16) -> DataFrame:
     records = cut_lineage(sharding.records_of(_read(spark, sf_dir, "documents")))
+    records = sharding.spread_hot(records, sharding.slot_loads(records))
     loads = cut_lineage(sharding.slot_loads(records))
     path = scratch_path(spark, "slot-map")
     sharding.save_map(sharding.first_map(spark, n_shards), path)

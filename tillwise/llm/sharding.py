@@ -12,8 +12,10 @@ rows, which bounds its broadcast and the one-row fold that edits it.
 Defined results for odd input: a null text has size 1 and checksum 0; rows
 with a null key hash like any other key; repeated rows are separate records
 of one slot and each gets its own place; an empty table gives an empty
-result.  All rows of one key share a slot, so sizes are near equal as long as
-no single key holds more than a shard's share.
+result.  Rows of one key share a slot unless the slot is hot: rows of a slot
+that holds several times the mean are hashed again with their row number, so a
+key (or null) with a third of all rows is spread over all slots, and neither a
+shard nor a numbering task is left with it.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 N_SLOTS = 4096
 SLACK = 0.001
+#: A slot with so many times the mean bytes or rows is hot.
+HOT = 4
 
 
 def slot_of(key: Column, n_slots: int = N_SLOTS) -> Column:
@@ -34,6 +38,19 @@ def slot_loads(records: DataFrame, slot: str = "vslot", size: str = "size") -> D
     return records.groupBy(slot).agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
 
+def spread_hot(records: DataFrame, loads: DataFrame, n_slots: int = N_SLOTS, hot: float = HOT) -> DataFrame:
+    """``records`` with the rows of hot slots dealt to all slots by their row
+    number ``row``, which must be stored with them, so that every reading of
+    them gives the same slots."""
+    limits = loads.agg(*[(F.sum(c) * F.lit(hot / n_slots)).alias(f"most_{c}") for c in ("bytes", "rows")])
+    # bounded: one row per virtual slot, and one row of limits
+    over = loads.join(F.broadcast(limits), (F.col("bytes") > F.col("most_bytes")) | (F.col("rows") > F.col("most_rows")))
+    marked = records.join(F.broadcast(over.select("vslot", F.lit(True).alias("_hot"))), "vslot", "left")
+    return marked.select(*[
+        F.when(F.col("_hot"), F.pmod(F.xxhash64("vslot", "row"), F.lit(n_slots)).cast("int"))
+        .otherwise(F.col("vslot")).alias("vslot") if c == "vslot" else F.col(c) for c in records.columns])
+
+
 def first_map(spark: SparkSession, n_shards: int, n_slots: int = N_SLOTS) -> DataFrame:
     """Version 0: slots dealt to shards in turn."""
     return spark.range(n_slots).select(
@@ -106,9 +123,10 @@ def assign(records: DataFrame, slot_map: DataFrame, loads: DataFrame) -> DataFra
 
 
 def records_of(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """Key, size, checksum and slot of every document; texts stay behind."""
+    """Key, size, checksum, slot and row number of every document; texts stay
+    behind.  Store the result before use: row numbers follow the partitions."""
     text = F.col("text").cast("binary")
     return docs.select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("bigint").alias("text_crc32"),
-        slot_of(F.col("doc_id"), n_slots).alias("vslot"))
+        slot_of(F.col("doc_id"), n_slots).alias("vslot"), F.monotonically_increasing_id().alias("row"))

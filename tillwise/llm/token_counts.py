@@ -4,7 +4,9 @@ The vocabulary is a trie with two roots: pieces that begin a word and pieces
 that continue one.  Each node has a failure link, the node to go on from when
 no child fits, and the number of pieces popped on the way.  A word's piece
 count is then found in one pass over its bytes; no piece is ever built.  All
-distinct words of a batch walk the automaton together, one byte a step.
+distinct words of a batch walk the automaton together, one byte a step, until
+few are left; those long ones (text without blanks, encoded data) go on one by
+one, so a word of many megabytes costs a table lookup a byte.
 
 Defined results for odd input: a null or blank text has no words and no
 pieces; a word that the vocabulary cannot spell counts as one unknown piece;
@@ -16,6 +18,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ from tillwise.llm import segment
 
 VOCABULARY = "byte_bpe_50k.json"
 BEGIN, CONTINUE = 0, 1
+#: So few words left are walked one by one: a step of arrays costs more.
+FEW = 64
 
 
 def byte_pieces(vocabulary: str = VOCABULARY) -> tuple[list[bytes], list[bytes]]:
@@ -116,6 +121,23 @@ class Automaton:
             at[todo] = (at[todo] + 1) & len(self.keys) - 1
         return out
 
+    @cached_property
+    def _plain(self) -> tuple[dict[int, int], list[int], list[int]]:
+        """Transitions, links and pops for the walk of single words."""
+        held = self.keys >= 0
+        return dict(zip(self.keys[held].tolist(), self.values[held].tolist())), self.fail.tolist(), self.pops.tolist()
+
+    def _walk(self, word: bytes, node: int, pieces: int) -> tuple[int, int]:
+        """(node, pieces) after the bytes of ``word``; node -1: it cannot be spelled."""
+        children, fail, pops = self._plain
+        for b in word:
+            while (child := children.get(node * 256 + b)) is None:
+                if fail[node] < 0:
+                    return -1, pieces
+                pieces, node = pieces + pops[node], fail[node]
+            node = child
+        return node, pieces
+
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Pieces of each word ``data[start:end]``."""
         n = len(start)
@@ -125,6 +147,12 @@ class Automaton:
         live = n
         for p in range(int(size[0]) if n else 0):
             live = int(np.searchsorted(-size[:live], -p, side="left"))
+            if live <= FEW:
+                for w in order[:live][known[order[:live]]].tolist():
+                    rest = data[start[w] + p:end[w]].tobytes()
+                    node[w], pieces[w] = self._walk(rest, int(node[w]), int(pieces[w]))
+                    known[w] = node[w] >= 0
+                break
             todo = order[:live][known[order[:live]]]
             byte = data[start[todo] + p]
             while len(todo):

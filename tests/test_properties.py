@@ -254,3 +254,25 @@ def test_day_windows_do_not_depend_on_session_time_zone(spark):
             assert days == {dt.date(2001, 1, 5)}, tz
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
+
+
+def test_chained_daily_rows_come_once_and_whole(spark):
+    """The chained stream closes every day once: late orders and orders without
+    a time are in none, and the row that closes the feed makes no day."""
+    base, arrived = dt.datetime(1998, 6, 1, 23, 59), dt.datetime(2001, 2, 1)
+    money = (Decimal("10.00"), Decimal("1.00"), Decimal("0.50"))
+    rows = [(10 * i + k, 1 + k % 2, base + dt.timedelta(days=2 * i), *money, "completed", base + dt.timedelta(days=2 * i))
+            for i in range(6) for k in range(3)]
+    rows += [(99, 9, base, *money, "completed", arrived), (98, 9, base, *money, "pending", arrived),
+             (97, None, base + dt.timedelta(days=10), *money, "completed", arrived), (96, 3, None, *money, "completed", None)]
+    orders = spark.createDataFrame(rows, "order_id long, customer_id long, order_date timestamp_ntz, "
+                                         "total_bill decimal(12,2), tax_amount decimal(12,2), discount decimal(12,2), "
+                                         "status string, arrival timestamp_ntz")
+    got = reports.stream_daily_rows(Tables.from_frames(spark, sales_orders=orders), "arrival").collect()
+    days = [(base + dt.timedelta(days=2 * i)).date() for i in range(6)]
+    assert sorted(r.day for r in got) == days
+    # the last day also has an order without a customer
+    assert {r.day: (r.orders_today, r.revenue_today, r.unique_customers_today) for r in got} == {
+        d: (3 + (d == days[-1]), Decimal("30.00") + 10 * (d == days[-1]), 2) for d in days}
+    none = Tables.from_frames(spark, sales_orders=orders.filter("false"))
+    assert reports.stream_daily_rows(none).count() == 0

@@ -67,3 +67,15 @@ def test_planted_violations_are_counted(spark):
         "rule.discount_pct not null": 1}
     assert {n: v for n, v in got.items() if n not in OWN_OUTPUT} == want
     assert set(got) == set(want) | OWN_OUTPUT and all(got[n] == 0 for n in OWN_OUTPUT)
+
+
+def test_all_checks_are_read_off_one_aggregate(spark, monkeypatch):
+    """No check reads a table of its own: no join, and two exchanges in all
+    beyond those that make the ledger, the alerts and the categories."""
+    t = dirty_tables(spark)
+    empty = spark.createDataFrame([], "product_id long, reason string, type string")
+    monkeypatch.setattr(quality.ledger, "stock_ledger", lambda *a: empty)
+    monkeypatch.setattr(quality.ledger, "running_stock", lambda *a: empty)
+    monkeypatch.setattr(quality.ledger, "all_alerts", lambda *a: empty)
+    plan = quality.data_quality(t, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2

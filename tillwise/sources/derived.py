@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.plans.broadcast import BroadcastBoundExceeded, bounded_broadcast
+from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.running import chunked_running_sum
 from tillwise.sources.tables import MONEY, Tables, ntz
 
@@ -35,6 +37,7 @@ def restock_count(as_of: dt.date) -> int:
 # order never lands whole in one task.
 CART_RANK_BLOCK = 1024   # products per ranking chunk inside one (order, line)
 CART_PIECE = 1000        # items per JSON cart piece
+MAX_LARGE_ORDERS = 100_000  # larger orders' numbers are broadcast up to so many
 BROKEN_MODULUS = 500     # fixed value: every 500th order has a broken upload too
 
 
@@ -42,21 +45,36 @@ def cart_demand(t: Tables) -> DataFrame:
     """Cart lines without positions: demand summed per (order, product) and
     the product's first line number.  Cart order is (first_line,
     product_id); checks that only need the order use this (one aggregate)."""
-    return (t.order_items.groupBy("order_id", "product_id")
+    return _demand(t.order_items)
+
+
+def _demand(items: DataFrame) -> DataFrame:
+    return (items.groupBy("order_id", "product_id")
             .agg(F.sum("qty_sold").cast("int").alias("qty"), F.min("line_no").alias("first_line")))
 
 
 def cart_lines(t: Tables) -> DataFrame:
     """Cart lines with ``pos``, the 0-based cart position in (first line,
     product id) order (line numbers repeat within an order in the source).
-    The position is a running count chunked by (first line, product-id
-    block), not a window over the whole order."""
-    agg = cart_demand(t)
+    An order of at most CART_PIECE lines is shuffled once, whole, and numbered
+    there; a larger one is never in one task: its position is a running count
+    chunked by (first line, product-id block)."""
+    items = t.order_items.filter(F.col("order_id").isNotNull())
+    large = items.groupBy("order_id").count().filter(F.col("count") > CART_PIECE).select("order_id")
+    try:
+        large = bounded_broadcast(cut_lineage(large), MAX_LARGE_ORDERS)
+        small = items.join(large, "order_id", "left_anti")
+        items = items.join(large, "order_id", "left_semi")
+    except BroadcastBoundExceeded:
+        small = items.filter("false")
+    agg = _demand(items)
     chunk = F.struct(F.col("first_line"), F.floor(F.col("product_id") / CART_RANK_BLOCK))
     ranked = chunked_running_sum(agg, "order_id", chunk, [F.col("first_line"), F.col("product_id")],
                                  {"_before": F.lit(1).cast("bigint")}, inclusive=False)
-    return ranked.select("order_id", "product_id", "qty", "first_line",
-                         F.col("_before").cast("int").alias("pos"))
+    order = Window.partitionBy("order_id").orderBy("first_line", "product_id")
+    numbered = _demand(small.repartition("order_id")).withColumn("_before", F.row_number().over(order) - 1)
+    cols = ["order_id", "product_id", "qty", "first_line", F.col("_before").cast("int").alias("pos")]
+    return numbered.select(*cols).unionByName(ranked.select(*cols))
 
 
 def cart_headers(t: Tables) -> DataFrame:

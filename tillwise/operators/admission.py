@@ -21,13 +21,13 @@ before that, whenever a round has decided little, the components that a few
 steps of label spreading close, and that are bounded too, are replayed side by
 side, and only a larger one goes on in rounds.
 
-A round is kept cheap: lines lie in range chunks along
-(product, time) and stay hash-partitioned by (product, chunk) in every round;
-one aggregate per chunk gives both the chunk's offsets and whether anything
-is still undecided from it on, and chunks without such lines leave the work.
-A hot product is spread over its chunks and nothing is joined by the product
-alone.  Each round writes one reliable checkpoint under
-``spark.checkpoint.dir``.
+A round is kept cheap: a line carries what the accepted lines before it took,
+so a decided line leaves the work one round later, and the rounds read and
+write the open lines only.  Lines lie in range chunks along (product, time): a
+hot product is spread over its chunks, nothing is joined by the product alone,
+and only the few products that span chunks need offsets.  A large batch is
+decided in a fixed number of slices of time, each against what the earlier
+ones took.  Rounds are tables below ``spark.checkpoint.dir``, removed at the end.
 """
 
 from __future__ import annotations
@@ -36,67 +36,68 @@ import datetime as dt
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tillwise.operators import billing
-from tillwise.plans.lineage import cut_lineage, write_out
-from tillwise.plans.running import assign_range_chunks, chunked_running_sum
-from tillwise.session import checkpoint_root, path_exists
+from tillwise.plans.lineage import cut_lineage
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum, spanning_keys
+from tillwise.session import checkpoint_root, path_exists, remove_path, scratch_path
 from tillwise.sources import derived as D
 from tillwise.sources import sinks
-from tillwise.sources.tables import Tables
+from tillwise.sources.tables import Tables, ntz
 
 #: Open lines that one task replays; each component's bound, and that of all together.
 REPLAY_LINES = 400_000
 #: A round that decides a smaller share of the open lines is followed by a look
 #: for components, with so many steps of label spreading.
 SLOW_ROUND, SPREAD_STEPS = 0.05, 4
+#: A batch of more lines than this is decided in slices of time, the earlier
+#: first, as few of a short span's orders are still in doubt after a round; at most so many.
+SLICE_LINES, MAX_SLICES = 4_000_000, 16
+LINE_COLS = ["order_id", "product_id", "qty", "_cart", "order_date", "_rchunk", "supply"]
 DECISION_COLS = ["order_id", "decision", "reason", "failing_product_id", "available", "decided_round"]
 
 
-def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame) -> DataFrame:
+def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame, root: str) -> DataFrame:
     """Opening stock plus every accepted restock at or before the order's
     time (restocks sort before sales at the same instant).  ``_rchunk``: the
-    line's range chunk along (product, order time, order)."""
-    ev_lines = lines.select("order_id", "product_id", "qty", "_cart", "order_date",
-                            F.col("order_date").alias("_ts"), F.lit(2).alias("_kind"),
-                            F.lit(0).alias("_add"))
+    line's range chunk along (product, order time, order).  Tables written
+    below ``root``: the chunked events, the products that span chunks and the
+    (product, chunk) pairs."""
+    ev_lines = lines.select("order_id", "product_id", "qty", "_cart", "_slice", F.col("order_date").alias("_ts"),
+                            F.lit(2).alias("_kind"), F.lit(0).alias("_add"))
     ev_rs = restocks.select(F.lit(None).cast("bigint").alias("order_id"), "product_id",
-                            F.lit(0).alias("qty"), F.lit(0).cast("bigint").alias("_cart"),
-                            F.lit(None).cast("timestamp_ntz").alias("order_date"),
-                            F.col("request_ts").alias("_ts"), F.lit(1).alias("_kind"),
-                            F.col("qty").alias("_add"))
+                            F.lit(0).alias("qty"), F.lit(0).cast("bigint").alias("_cart"), F.lit(0).alias("_slice"),
+                            F.col("request_ts").alias("_ts"), F.lit(1).alias("_kind"), F.col("qty").alias("_add"))
     ev = ev_lines.unionByName(ev_rs)
     order = [F.col("_ts"), F.col("_kind"), F.col("order_id").asc_nulls_first()]
-    ev = assign_range_chunks(ev, "product_id", order)
+    ev = assign_range_chunks(ev, "product_id", order, write=lambda df: _store(df, root, "events"))
+    spans = _store(spanning_keys(ev, "product_id"), root, "spans")
+    pairs = _store(ev.filter(F.col("_kind") == 2).select("product_id", "_rchunk").distinct(), root, "pairs")
     run = chunked_running_sum(ev, "product_id", F.col("_rchunk"), order,
-                              {"_restocked": F.col("_add").cast("bigint")})
-    return (run.filter(F.col("_kind") == 2).join(opening, "product_id", "left")
-            .select("order_id", "product_id", "qty", "_cart", "order_date", "_rchunk",
+                              {"_restocked": F.col("_add").cast("bigint")}, spanning=spans)
+    # met by (product, chunk), as the running sum left the lines: they are not moved again
+    return (run.filter(F.col("_kind") == 2).join(pairs.join(opening, "product_id"), ["product_id", "_rchunk"], "left")
+            .select("order_id", "product_id", "qty", "_cart", "_slice", F.col("_ts").alias("order_date"), "_rchunk",
                     (F.coalesce(F.col("opening_qty"), F.lit(0)) + F.col("_restocked")).alias("supply")))
 
 
-def _open_lines(work: DataFrame, seq: list) -> DataFrame:
-    """The round's lines with ``lower`` and ``upper``, without the chunks
-    from which on nothing is undecided.  ``work`` is partitioned by
-    (product, chunk)."""
+def _store(df: DataFrame, root: str, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as the table ``name`` below ``root``, split by column ``by``."""
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.option("compression", "zstd").parquet(os.path.join(root, name))
+    return df.sparkSession.read.schema(df.schema).parquet(os.path.join(root, name))
+
+
+def _open_lines(work: DataFrame, seq: list, spanning: DataFrame | None = None) -> DataFrame:
+    """The round's lines with ``lower`` and ``upper``.  ``spanning``: the
+    products that lie in several chunks, where these are known."""
     taken = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
-    rows = work.withColumn("_a", taken).withColumn("_q", F.col("qty").cast("bigint"))
-    totals = rows.groupBy("product_id", "_rchunk").agg(
-        F.sum("_a").alias("_a"), F.sum("_q").alias("_q"),
-        F.count_if(F.col("state") == "U").alias("_u"))
-    by_chunk = Window.partitionBy("product_id").orderBy("_rchunk")
-    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "product_id", "_rchunk", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_oa"),
-        F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_oq"),
-        F.sum("_u").over(by_chunk.rowsBetween(0, Window.unboundedFollowing)).alias("_open"))
-    inner = Window.partitionBy("product_id", "_rchunk").orderBy(*seq).rowsBetween(Window.unboundedPreceding, -1)
-    within = rows.select("*", F.coalesce(F.sum("_a").over(inner), F.lit(0)).alias("_wa"),
-                         F.coalesce(F.sum("_q").over(inner), F.lit(0)).alias("_wq"))
-    return within.join(offsets.filter("_open > 0"), ["product_id", "_rchunk"]).select(
-        *work.columns, (F.col("_oa") + F.col("_wa")).alias("lower"), (F.col("_oq") + F.col("_wq")).alias("upper"))
+    return chunked_running_sum(work, "product_id", F.col("_rchunk"), seq,
+                               {"lower": taken, "upper": F.col("qty").cast("bigint")},
+                               inclusive=False, prepartitioned=True, spanning=spanning)
 
 
 def _replayer():
@@ -130,26 +131,25 @@ def _replayer():
     return replay_orders
 
 
-def _replay(open_lines: DataFrame, rnd: int) -> DataFrame:
-    """``order_id, state, decided_round`` of the orders of open lines, replayed
-    by ``_label``: each label's orders share no product with any other's."""
+def _replay(open_lines: DataFrame) -> DataFrame:
+    """``order_id, state`` of the orders of open lines, replayed by
+    ``_label``: each label's orders share no product with any other's."""
     return open_lines.select("_label", "order_id", "order_date", "product_id", "qty", "lower", "supply").groupBy(
-        "_label").applyInPandas(_replayer(), "order_id bigint, state string").withColumn(
-        "decided_round", F.lit(rnd))
+        "_label").applyInPandas(_replayer(), "order_id bigint, state string")
 
 
-def _closed_components(open_lines: DataFrame) -> DataFrame:
+def _closed_components(open_lines: DataFrame, root: str) -> DataFrame:
     """The open lines, with a ``_label``, of the components that label
     spreading has closed and that one task can replay.  Orders and products
     take the smallest label next to them; a label is closed when none of its
     products carries another."""
-    links = write_out(open_lines, "open-lines")
+    links = _store(open_lines, root, "open")
     labels = links.select("order_id", F.col("order_id").alias("_label")).distinct()
-    for _ in range(SPREAD_STEPS):
+    for step in range(SPREAD_STEPS):
         near = links.select("order_id", "product_id").join(labels, "order_id")
         by_product = near.groupBy("product_id").agg(F.min("_label").alias("_label"))
-        labels = write_out(links.select("order_id", "product_id").join(by_product, "product_id")
-                           .groupBy("order_id").agg(F.min("_label").alias("_label")), "labels")
+        labels = _store(links.select("order_id", "product_id").join(by_product, "product_id")
+                        .groupBy("order_id").agg(F.min("_label").alias("_label")), root, f"labels-{step}")
         # a label is an order too: take on its label, which triples the reach of a step
         further = labels.select(F.col("order_id").alias("_label"), F.col("_label").alias("_next"))
         labels = labels.join(further, "_label").select("order_id", F.col("_next").alias("_label"))
@@ -160,19 +160,76 @@ def _closed_components(open_lines: DataFrame) -> DataFrame:
     return labelled.join(unclosed.unionByName(large).distinct(), "_label", "left_anti")
 
 
-def _reject_detail(lines: DataFrame, decisions: DataFrame, seq: list) -> DataFrame:
+def _reject_detail(lines: DataFrame, seq: list, spanning: DataFrame) -> DataFrame:
     """For orders short of stock: the first failing line in cart order and
-    the quantity that was available to it."""
-    d = lines.join(decisions.select("order_id", "decision"), "order_id")
-    taken = F.when(F.col("decision") == "accepted", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
-    sums = chunked_running_sum(d, "product_id", F.col("_rchunk"), seq, {"_taken": taken}, inclusive=False)
+    the quantity that was available to it.  ``lines`` have their ``state``."""
+    taken = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
+    sums = chunked_running_sum(lines, "product_id", F.col("_rchunk"), seq, {"_taken": taken}, inclusive=False,
+                               prepartitioned=True, spanning=spanning)
     left = F.col("supply") - F.col("_taken")
-    short = sums.filter((F.col("decision") == "rejected") & (left < F.col("qty")))
+    short = sums.filter((F.col("state") == "R") & (left < F.col("qty")))
     return short.groupBy("order_id").agg(F.min_by(
         F.struct("product_id", left.alias("available")), F.struct("_cart", "product_id")).alias("_f")).select(
         "order_id", F.col("_f.product_id").alias("failing_product_id"), F.col("_f.available").alias("available"))
 
 
+def _sliced(headers: DataFrame, n: int) -> DataFrame:
+    """``order_id, order_date`` with ``_slice``, one of ``n`` spans of time
+    with about as many orders each.  A repeated order is all in one."""
+    heads = headers.select("order_id", "order_date")
+    bounds = [] if n == 1 else heads.agg(
+        F.percentile_approx("order_date", [k / n for k in range(1, n)])).first()[0] or []
+    if not bounds:
+        return heads.withColumn("_slice", F.lit(0))
+    after = [F.coalesce((F.col("order_date") > ntz(b)).cast("int"), F.lit(0)) for b in sorted(set(bounds))]
+    return heads.withColumn("_slice", F.min(sum(after, F.lit(0))).over(Window.partitionBy("order_id")))
+
+
+def _decide_slice(lines: DataFrame, taken: DataFrame | None, spans: DataFrame, seq: list, rounds: str, rnd: int) -> int:
+    """Decide a slice's lines in rounds, the first numbered ``rnd``; returns
+    the number after the last.  ``taken``: what the slices before took, by
+    (product, chunk).  Each round is a table ``rnd=N`` below ``rounds`` that
+    holds the lines then open with their new state.  A line keeps its
+    ``supply``, and in ``used`` what accepted orders took before it, so a
+    round needs only the open lines and those accepted just before."""
+    spark, first = lines.sparkSession, rnd
+    used = F.lit(0).cast("bigint")
+    if taken is not None:
+        lines = lines.join(taken, ["product_id", "_rchunk"], "left")
+        used = F.coalesce(F.col("_taken"), F.lit(0))
+    work = lines.select(*LINE_COLS, used.alias("used"), F.lit("U").alias("state"))
+    undecided, slow = None, False
+    while undecided != 0:
+        sums = _open_lines(work, seq, spans).filter(F.col("state") == "U")
+        scratch, looked = f"{rounds}-work-{rnd}", False
+        # written once, as both the verdict and the lines that it falls on need it
+        sums = _store(sums.select(*LINE_COLS, (F.col("used") + F.col("lower")).alias("used"),
+                                  (F.col("used") + F.col("upper")).alias("upper")), scratch, "sums")
+        bounded = sums.withColumnRenamed("used", "lower")
+        if undecided is not None and undecided <= REPLAY_LINES:
+            verdict = _replay(bounded.withColumn("_label", F.lit(0).cast("bigint"))).withColumnRenamed("state", "new")
+        elif looked := slow:
+            verdict = _store(_replay(_closed_components(bounded, scratch)).withColumnRenamed("state", "new"),
+                             scratch, "replayed")
+        else:
+            verdict = bounded.groupBy("order_id").agg(
+                F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("_fits"),
+                F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("_fails")).select(
+                "order_id", F.when(F.col("_fits"), "A").when(F.col("_fails"), "R").alias("new"))
+        decided = sums.drop("upper").join(verdict, "order_id", "left").withColumn(
+            "state", F.coalesce("new", F.lit("U"))).drop("new")
+        after = _store(decided, rounds, f"rnd={rnd}", by="state")
+        before, undecided = undecided, after.filter(F.col("state") == "U").count()
+        if rnd > first:
+            remove_path(spark, os.path.join(rounds, f"rnd={rnd - 1}", "state=U"))
+        remove_path(spark, scratch)
+        # rejected lines take nothing and leave; those accepted just now count once more
+        work = after.filter(F.col("state") != "R")
+        slow = not looked and before is not None and before - undecided < SLOW_ROUND * before
+        rnd += 1
+    return rnd
+
+
 def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame,
                restocks: DataFrame) -> DataFrame:
     """Decide every order: ``accepted``, or ``rejected`` with a reason, the
@@ -180,56 +237,50 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
     available to it.  Stock-independent reasons (missing input, customer,
     unknown product, expired on the order date) come from
     :func:`billing.validate_carts`.  ``lines`` should be materialised; the
-    rounds run, as jobs, while the result is being built."""
-    static = cut_lineage(billing.validate_carts(t, lines, headers, None, check_stock=False))
+    rounds run, as jobs, while the result is being built, and the result is a
+    checkpoint."""
+    root = scratch_path(t.spark, "admission")
+    try:
+        return cut_lineage(_decide(t, lines, headers, opening, restocks, root))
+    finally:
+        remove_path(t.spark, root)
+
+
+def _decide(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame, restocks: DataFrame,
+            root: str) -> DataFrame:
+    """:func:`bill_batch` over tables written below ``root``."""
+    static = _store(billing.validate_carts(t, lines, headers, None, check_stock=False), root, "static")
     ok = static.filter(F.col("status") == "ok").select("order_id")
     cart_order = F.col("pos") if "pos" in lines.columns else F.col("first_line")
+    n_slices = max(1, min(MAX_SLICES, -(-lines.count() // SLICE_LINES)))
     work = (lines.select("order_id", "product_id", "qty", cart_order.cast("bigint").alias("_cart"))
             .join(ok, "order_id", "left_semi")
-            .join(headers.select("order_id", "order_date"), "order_id"))
+            .join(_sliced(headers, n_slices), "order_id"))
     # The range chunks along (product, order time) are assigned once and kept:
     # dropping restocks and decided lines never breaks their contiguity.
-    work = supply_per_line(work, opening, restocks)
+    every_line = _store(supply_per_line(work, opening, restocks, root), root, "lines", by="_slice")
+    remove_path(t.spark, os.path.join(root, "events"))
+    spans, pairs = (t.spark.read.parquet(os.path.join(root, x)) for x in ("spans", "pairs"))
     seq = [F.col("order_date"), F.col("order_id")]
-    every_line = work = cut_lineage(
-        work.withColumn("state", F.lit("U")).withColumn("decided_round", F.lit(None).cast("int"))
-        .repartition("product_id", "_rchunk"))
-    decided = every_line.filter("false").select("order_id", "state", "decided_round")
-    rnd, undecided, slow = 0, None, False
-    while undecided != 0:
-        rnd += 1
-        sums = _open_lines(work, seq)
-        if undecided is not None and undecided <= REPLAY_LINES:
-            open_lines = sums.filter(F.col("state") == "U").withColumn("_label", F.lit(0).cast("bigint"))
-            decided = decided.unionByName(cut_lineage(_replay(open_lines, rnd)))
-            break
-        if looked := slow:
-            replayed = write_out(_replay(_closed_components(sums.filter(F.col("state") == "U")), rnd), "replayed")
-            verdict = replayed.select(F.col("order_id").alias("_o"), F.col("state").alias("new"))
-        else:
-            verdict = (sums.filter(F.col("state") == "U").groupBy("order_id").agg(
-                F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("fits_all"),
-                F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("fails_one"))
-                .select(F.col("order_id").alias("_o"),
-                        F.when(F.col("fits_all"), "A").when(F.col("fails_one"), "R").alias("new")))
-        counter = Observation(f"admission-round-{rnd}")
-        # rejected lines take nothing and leave; accepted ones still count
-        work = (sums.filter(F.col("state") != "R").drop("lower", "upper")
-                .join(verdict, (F.col("order_id") == F.col("_o")) & (F.col("state") == "U"), "left")
-                .withColumn("decided_round", F.when(F.col("new").isNotNull(), F.lit(rnd))
-                            .otherwise(F.col("decided_round")))
-                .withColumn("state", F.coalesce("new", "state")).drop("new", "_o")
-                .observe(counter, F.count_if(F.col("state") == "U").alias("undecided")))
-        work = cut_lineage(work.repartition("product_id", "_rchunk"))  # also fills the counter
-        before, undecided = undecided, counter.get["undecided"]
-        slow = not looked and before is not None and before - undecided < SLOW_ROUND * before
-        decided = decided.unionByName(work.filter(F.col("decided_round") == rnd)
-                                      .select("order_id", "state", "decided_round"))
+    rounds, rnd, taken = os.path.join(root, "rounds"), 1, None
+    row = every_line.drop("_slice").schema
+    schema = StructType([*row.fields, StructField("used", LongType()), StructField("rnd", IntegerType()),
+                         StructField("state", StringType())])
+    for part in range(n_slices):
+        by_chunk = None if taken is None else pairs.join(taken, "product_id")
+        first, rnd = rnd, _decide_slice(every_line.filter(F.col("_slice") == part).drop("_slice"), by_chunk, spans,
+                                        seq, rounds, rnd)
+        done = t.spark.read.schema(schema).parquet(rounds).filter(F.col("state") != "U")
+        if part + 1 < n_slices:
+            sold = done.filter((F.col("state") == "A") & (F.col("rnd") >= first)).select(
+                "product_id", F.col("qty").cast("bigint").alias("_taken"))
+            sold = sold if taken is None else sold.unionByName(taken)
+            taken = _store(sold.groupBy("product_id").agg(F.sum("_taken").alias("_taken")), root, f"taken-{part}")
     # an order's lines are all decided in the same round
-    decisions = cut_lineage(decided.groupBy("order_id").agg(
-        F.first("state").alias("_s"), F.first("decided_round").alias("decided_round")).select(
-        "order_id", F.when(F.col("_s") == "A", "accepted").otherwise("rejected").alias("decision"), "decided_round"))
-    detail = _reject_detail(every_line.drop("state", "decided_round"), decisions, seq)
+    decisions = done.groupBy("order_id").agg(
+        F.first("state").alias("_s"), F.first("rnd").alias("decided_round")).select(
+        "order_id", F.when(F.col("_s") == "A", "accepted").otherwise("rejected").alias("decision"), "decided_round")
+    detail = _reject_detail(done, seq, spans)
     by_stock = decisions.join(detail, "order_id", "left").select(
         "order_id", "decision", F.when(F.col("decision") == "rejected", "short_stock").alias("reason"),
         "failing_product_id", "available", "decided_round")
@@ -248,13 +299,15 @@ def admitted_sales(t: Tables, decisions: DataFrame, lines: DataFrame, headers: D
                     F.col("qty").alias("qty_sold"), "cashier_id", "order_date"))
 
 
-def decide_fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFrame]:
-    """(decisions, cart lines) of the registered batch, both checkpoints:
-    every order of the tables, opening stock p_size x 20 and the scheduled
-    restocks."""
-    lines = cut_lineage(D.cart_lines(t))
-    decisions = bill_batch(t, lines, D.cart_headers(t), D.opening_stock(t), billing.accepted_restocks(t, as_of))
-    return cut_lineage(decisions), lines
+def decide_fixture_batch(t: Tables, as_of: dt.date, lines_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(decisions, cart lines) of the registered batch, the decisions a
+    checkpoint and the lines a table (at ``lines_path``, replaced): every order
+    of the tables, opening stock p_size x 20 and the scheduled restocks."""
+    lines = D.cart_lines(t)
+    path = lines_path or scratch_path(t.spark, "cart-lines")
+    lines.write.mode("overwrite").parquet(path)
+    lines = t.spark.read.schema(lines.schema).parquet(path)
+    return bill_batch(t, lines, D.cart_headers(t), D.opening_stock(t), billing.accepted_restocks(t, as_of)), lines
 
 
 #: The tables that the registered batch is decided from.
@@ -267,8 +320,7 @@ def store_batch(t: Tables, as_of: dt.date) -> str:
     Returns the folder (``decisions`` and ``lines`` below it)."""
     root = os.path.join(checkpoint_root(t.spark), "tillwise", "batches", f"{t.version(BATCH_TABLES)}-{as_of}")
     if not path_exists(t.spark, os.path.join(root, "decisions", "_SUCCESS")):
-        decisions, lines = decide_fixture_batch(t, as_of)
-        lines.write.mode("overwrite").parquet(os.path.join(root, "lines"))
+        decisions, _ = decide_fixture_batch(t, as_of, os.path.join(root, "lines"))
         decisions.write.mode("overwrite").parquet(os.path.join(root, "decisions"))  # last: it marks the outcome whole
     return root
 
@@ -295,7 +347,11 @@ def fixture_batch(t: Tables, as_of: dt.date) -> tuple[DataFrame, DataFrame, Data
 
 def bill_fixture_batch(t: Tables, as_of: dt.date) -> DataFrame:
     """Decisions of the registered batch, decided anew."""
-    return decide_fixture_batch(t, as_of)[0]
+    path = scratch_path(t.spark, "cart-lines")
+    try:
+        return decide_fixture_batch(t, as_of, path)[0]
+    finally:
+        remove_path(t.spark, path)
 
 
 def fixture_sales(t: Tables, as_of: dt.date) -> DataFrame:

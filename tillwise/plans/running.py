@@ -18,7 +18,7 @@ full ordering, so even a single hot key-day is split evenly.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +29,7 @@ from tillwise.plans.lineage import cut_lineage
 def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
                         order: Sequence[Column], values: dict[str, Column],
                         inclusive: bool = True, materialize: bool = False,
-                        prepartitioned: bool = False) -> DataFrame:
+                        prepartitioned: bool = False, spanning: DataFrame | None = None) -> DataFrame:
     """Add one running-sum column per ``values`` entry.
 
     ``chunk`` must be non-decreasing along ``order`` within a key (it is the
@@ -39,7 +39,9 @@ def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
     reliable checkpoint first, for inputs that are expensive to recompute.
     ``prepartitioned``: the input is already hash partitioned by (key,
     chunk) (e.g. a checkpoint written that way), so no explicit repartition
-    is requested and the planner reuses that layout.
+    is requested and the planner reuses that layout.  ``spanning``: the few
+    keys (:func:`spanning_keys`) that may lie in more than one chunk; only
+    theirs are totalled, and the offsets are broadcast.
     """
     keys = [key] if isinstance(key, str) else list(key)
     d = df.withColumn("_chunk", chunk)
@@ -47,25 +49,31 @@ def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
         d = d.withColumn(f"_v_{name}", v)
     if materialize:
         d = cut_lineage(d)
+    # the totals combine before their shuffle, so they are taken before the rows are moved
+    totalled = d if spanning is None else d.join(F.broadcast(spanning), keys, "left_semi")
     if not prepartitioned:
         d = d.repartition(*keys, "_chunk")
     upto = 0 if inclusive else -1
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     within = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)).alias(f"_w_{n}")
                              for n in values])
-    totals = d.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    totals = totalled.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", *[
         F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
-    out = within.join(offsets, [*keys, "_chunk"])
+    if spanning is None:
+        out = within.join(offsets, [*keys, "_chunk"])
+    else:
+        out = within.join(F.broadcast(offsets), [*keys, "_chunk"], "left")
     for n in values:
-        out = out.withColumn(n, F.col(f"_o_{n}") + F.col(f"_w_{n}"))
+        out = out.withColumn(n, F.coalesce(F.col(f"_o_{n}"), F.lit(0)) + F.col(f"_w_{n}"))
     drop = ["_chunk"] + [f"_{p}_{n}" for p in "vwo" for n in values]
     return out.drop(*drop)
 
 
 def assign_range_chunks(df: DataFrame, key: str | Sequence[str], order: Sequence[Column],
-                        name: str = "_rchunk", partitions: int | None = None) -> DataFrame:
+                        name: str = "_rchunk", partitions: int | None = None,
+                        write: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
     """Tag rows with chunk ids that are contiguous along (key, order).
 
     ``repartitionByRange`` samples the sort keys and cuts the total order
@@ -73,11 +81,19 @@ def assign_range_chunks(df: DataFrame, key: str | Sequence[str], order: Sequence
     split across many ranges; the range's partition index is the chunk id.
     The result is checkpointed, which fixes the ids: both branches of a
     running sum (and every round of an iteration) see the same chunks.
-    Removing rows later never breaks contiguity.
+    Removing rows later never breaks contiguity.  ``write`` may store the
+    rows elsewhere, e.g. as a table that the caller removes.
     """
     keys = [key] if isinstance(key, str) else list(key)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = (df.repartitionByRange(n, *[F.col(k).asc() for k in keys], *order)
               .withColumn(name, F.spark_partition_id()))
-    return cut_lineage(tagged)
+    return write(tagged)
+
+
+def spanning_keys(tagged: DataFrame, key: str, chunk: str = "_rchunk") -> DataFrame:
+    """The keys that may lie in several chunks of :func:`assign_range_chunks`:
+    such a key ends one chunk and begins another.  At most one per chunk."""
+    edges = tagged.groupBy(chunk).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    return edges.select(F.col("_lo").alias(key)).intersect(edges.select(F.col("_hi").alias(key)))

@@ -31,11 +31,11 @@ MAX_LEN = {"category_name": 100, "username": 50, "full_name": 100, "name": 150,
 
 #: What one row says: its table breaks rule ``slot`` of topic ``rule``; or it holds key
 #: (``id`` or ``word``) of a topic, in the part that ``slot`` numbers.
-EVENT = "struct<topic:string,id:bigint,word:string,slot:int>"
+EVENT = "struct<topic:int,id:bigint,word:string,slot:int>"
 SLOTS = 5
 
 
-def _event(topic: str, slot: int, id: Column | None = None, word: Column | None = None) -> Column:
+def _event(topic: int, slot: int, id: Column | None = None, word: Column | None = None) -> Column:
     return F.struct(F.lit(topic).alias("topic"), (F.lit(None) if id is None else id).cast("bigint").alias("id"),
                     (F.lit(None) if word is None else word).cast("string").alias("word"),
                     F.lit(slot).alias("slot"))
@@ -50,12 +50,16 @@ class _Checks:
     twice, a child key without a parent, a parent without a child."""
 
     def __init__(self):
+        self.topics: dict[str, int] = {"rule": 0}       # topic -> its number in the events
         self.names: list[tuple[str, str]] = []     # (rule, check) by number
         self.unique: dict[str, int] = {}           # topic -> check
         self.children: dict[str, dict[int, int]] = {}   # parent topic -> slot -> check
         self.childless: dict[str, tuple[int, int]] = {}  # parent topic -> (child slot, check)
         self.events: list[DataFrame] = []
 
+    def _topic(self, name: str) -> int:
+        return self.topics.setdefault(name, len(self.topics))
+
     def _number(self, rule: str, name: str) -> int:
         self.names.append((rule, name))
         return len(self.names) - 1
@@ -68,21 +72,22 @@ class _Checks:
         slots[slot] = self._number("DQ-6", name)
         if childless is not None:
             self.childless[parent] = (slot, self._number("DQ-9", childless))
-        return F.when(F.col(key).isNotNull(), _event(parent, slot, id=F.col(key)))
+        return F.when(F.col(key).isNotNull(), _event(self._topic(parent), slot, id=F.col(key)))
 
     def parent(self, topic: str, key: str) -> Column:
-        return F.when(F.col(key).isNotNull(), _event(topic, 0, id=F.col(key)))
+        return F.when(F.col(key).isNotNull(), _event(self._topic(topic), 0, id=F.col(key)))
 
     def distinct(self, name: str, key: Column) -> Column:
         topic = f"unique {name}"
         self.unique[topic] = self._number("DQ-5", name)
-        return F.when(key.isNotNull(), _event(topic, 0, word=key))
+        return F.when(key.isNotNull(), _event(self._topic(topic), 0, word=key))
 
     def table(self, df: DataFrame, rules: list[tuple[str, str, Column]], keys: list[Column] = ()) -> None:
         """Add a table: ``rules`` hold for the rows that break them."""
-        broken = [F.when(cond, _event("rule", 0, id=F.lit(self._number(rule, name)))) for rule, name, cond in rules]
-        said = F.filter(F.array(*broken, *keys), lambda e: e.isNotNull())
-        self.events.append(df.select(F.inline(said.cast(f"array<{EVENT}>"))))
+        broken = [F.when(cond, _event(self._topic("rule"), 0, id=F.lit(self._number(rule, name)))) for rule, name, cond in rules]
+        # what is not said is null and falls out after the generator, which Spark compiles
+        said = F.array(*broken, *keys).cast(f"array<{EVENT}>")
+        self.events.append(df.select(F.inline(said)).filter(F.col("topic").isNotNull()))
 
     def result(self) -> DataFrame:
         """One row per (rule, check), zero where nothing is wrong."""
@@ -98,12 +103,14 @@ class _Checks:
             return F.when(cond & (violations > 0), F.struct(number.cast("int").alias("check"),
                                                             violations.cast("bigint").alias("violations")))
 
-        topic = F.col("topic")
-        out = [found(F.col("id"), topic == "rule", n[0])]
-        out += [found(check, (topic == t) & (n[0] > 1), F.lit(1)) for t, check in self.unique.items()]
-        out += [found(check, (topic == t) & (n[0] == 0), n[slot])
+        def about(topic: str) -> Column:
+            return F.col("topic") == self._topic(topic)
+
+        out = [found(F.col("id"), about("rule"), n[0])]
+        out += [found(check, about(t) & (n[0] > 1), F.lit(1)) for t, check in self.unique.items()]
+        out += [found(check, about(t) & (n[0] == 0), n[slot])
                 for t, slots in self.children.items() for slot, check in slots.items()]
-        out += [found(check, (topic == t) & (n[slot] == 0), n[0]) for t, (slot, check) in self.childless.items()]
+        out += [found(check, about(t) & (n[slot] == 0), n[0]) for t, (slot, check) in self.childless.items()]
         wrong = counted.select(F.inline(F.filter(F.array(*out), lambda x: x.isNotNull())))
         spark = counted.sparkSession
         zeros = spark.createDataFrame([(i, 0) for i in range(len(self.names))], "check int, violations long")
@@ -113,6 +120,21 @@ class _Checks:
                         "violations"))
 
 
+def _orphans_by_parent(rule: str, checks: list[tuple[str, DataFrame, str]], parent: DataFrame,
+                       pk: str) -> DataFrame:
+    """Foreign-key checks of several children (name, table, key) against one
+    parent, by the same counts; one row per check."""
+    k = _Checks()
+    k.table(parent, [], [k.parent("parent", pk)])
+    for name, child, fk in checks:
+        k.table(child, [], [k.child("parent", name, fk)])
+    return k.result().withColumn("rule", F.lit(rule))
+
+
+def _orphans(rule: str, name: str, child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+    return _orphans_by_parent(rule, [(name, child, fk)], parent, pk)
+
+
 def _too_long(c: str) -> Column:
     return F.length(F.col(c)) > MAX_LEN[c]
 

@@ -38,11 +38,11 @@ import os
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tillwise.operators import billing
-from tillwise.plans.lineage import cut_lineage
-from tillwise.plans.running import assign_range_chunks, chunked_running_sum, spanning_keys
+from tillwise.plans.lineage import cut_lineage, deal_out, drop_tables
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum, hot_keys, mark_cold, spanning_keys
 from tillwise.session import checkpoint_root, path_exists, remove_path, scratch_path
 from tillwise.sources import derived as D
 from tillwise.sources import sinks
@@ -55,33 +55,47 @@ REPLAY_LINES = 400_000
 SLOW_ROUND, SPREAD_STEPS = 0.05, 4
 #: A batch of more lines than this is decided in slices of time, the earlier
 #: first, as few of a short span's orders are still in doubt after a round; at most so many.
-SLICE_LINES, MAX_SLICES = 4_000_000, 16
+SLICE_LINES, MAX_SLICES = 1_000_000, 16
 LINE_COLS = ["order_id", "product_id", "qty", "_cart", "order_date", "_rchunk", "supply"]
+#: The products of at most so many open lines are broadcast, so that accepted lines of others stay where they are.
+OPEN_PRODUCTS = 1_000_000
 DECISION_COLS = ["order_id", "decision", "reason", "failing_product_id", "available", "decided_round"]
 
 
-def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame, root: str) -> DataFrame:
+def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame, hot: DataFrame,
+                    root: str) -> tuple[DataFrame, dict]:
     """Opening stock plus every accepted restock at or before the order's
-    time (restocks sort before sales at the same instant).  ``_rchunk``: the
-    line's range chunk along (product, order time, order).  Tables written
-    below ``root``: the chunked events, the products that span chunks and the
-    (product, chunk) pairs."""
+    time (restocks sort before sales at the same instant), and how running
+    sums find the keys that span chunks.  ``_rchunk``: the line's chunk along
+    (product, order time, order); a ``hot`` product's are ranges, and any
+    other product is one chunk, which one shuffle brings together.  Tables
+    written below ``root``: the hot products' events and those that span
+    chunks."""
     ev_lines = lines.select("order_id", "product_id", "qty", "_cart", "_slice", F.col("order_date").alias("_ts"),
                             F.lit(2).alias("_kind"), F.lit(0).alias("_add"))
     ev_rs = restocks.select(F.lit(None).cast("bigint").alias("order_id"), "product_id",
                             F.lit(0).alias("qty"), F.lit(0).cast("bigint").alias("_cart"), F.lit(0).alias("_slice"),
                             F.col("request_ts").alias("_ts"), F.lit(1).alias("_kind"), F.col("qty").alias("_add"))
-    ev = ev_lines.unionByName(ev_rs)
     order = [F.col("_ts"), F.col("_kind"), F.col("order_id").asc_nulls_first()]
-    ev = assign_range_chunks(ev, "product_id", order, write=lambda df: _store(df, root, "events"))
+    added = {"_restocked": F.col("_add").cast("bigint")}
+
+    def supplied(run: DataFrame, opening: DataFrame) -> DataFrame:
+        # met by (product, chunk), as the running sum left the lines: they are not moved again
+        return (run.filter(F.col("_kind") == 2).join(opening, ["product_id", "_rchunk"], "left")
+                .select("order_id", "product_id", "qty", "_cart", "_slice", F.col("_ts").alias("order_date"), "_rchunk",
+                        (F.coalesce(F.col("opening_qty"), F.lit(0)) + F.col("_restocked")).alias("supply")))
+
+    cold = mark_cold(ev_lines.unionByName(ev_rs), "product_id", hot)
+    out = supplied(chunked_running_sum(cold, "product_id", F.col("_rchunk"), order, added, whole=True),
+                   mark_cold(opening, "product_id", hot))
+    if hot.isEmpty():
+        return out, {"whole": True}
+    own = [df.join(F.broadcast(hot), "product_id", "left_semi") for df in (ev_lines, ev_rs)]
+    ev = assign_range_chunks(own[0].unionByName(own[1]), "product_id", order, write=lambda df: _store(df, root, "events"))
     spans = _store(spanning_keys(ev, "product_id"), root, "spans")
-    pairs = _store(ev.filter(F.col("_kind") == 2).select("product_id", "_rchunk").distinct(), root, "pairs")
-    run = chunked_running_sum(ev, "product_id", F.col("_rchunk"), order,
-                              {"_restocked": F.col("_add").cast("bigint")}, spanning=spans)
-    # met by (product, chunk), as the running sum left the lines: they are not moved again
-    return (run.filter(F.col("_kind") == 2).join(pairs.join(opening, "product_id"), ["product_id", "_rchunk"], "left")
-            .select("order_id", "product_id", "qty", "_cart", "_slice", F.col("_ts").alias("order_date"), "_rchunk",
-                    (F.coalesce(F.col("opening_qty"), F.lit(0)) + F.col("_restocked")).alias("supply")))
+    pairs = ev.filter(F.col("_kind") == 2).select("product_id", "_rchunk").distinct()
+    run = chunked_running_sum(ev, "product_id", F.col("_rchunk"), order, added, spanning=spans)
+    return out.unionByName(supplied(run, pairs.join(opening, "product_id"))), {"spanning": spans}
 
 
 def _store(df: DataFrame, root: str, name: str, by: str | None = None) -> DataFrame:
@@ -91,13 +105,13 @@ def _store(df: DataFrame, root: str, name: str, by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(os.path.join(root, name))
 
 
-def _open_lines(work: DataFrame, seq: list, spanning: DataFrame | None = None) -> DataFrame:
-    """The round's lines with ``lower`` and ``upper``.  ``spanning``: the
-    products that lie in several chunks, where these are known."""
+def _open_lines(work: DataFrame, seq: list, **chunks) -> DataFrame:
+    """The round's lines with ``lower`` and ``upper``.  ``chunks``: what is
+    known of the products that lie in several chunks."""
     taken = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
     return chunked_running_sum(work, "product_id", F.col("_rchunk"), seq,
                                {"lower": taken, "upper": F.col("qty").cast("bigint")},
-                               inclusive=False, prepartitioned=True, spanning=spanning)
+                               inclusive=False, prepartitioned=True, **chunks)
 
 
 def _replayer():
@@ -160,12 +174,17 @@ def _closed_components(open_lines: DataFrame, root: str) -> DataFrame:
     return labelled.join(unclosed.unionByName(large).distinct(), "_label", "left_anti")
 
 
-def _reject_detail(lines: DataFrame, seq: list, spanning: DataFrame) -> DataFrame:
+def _reject_detail(lines: DataFrame, seq: list, chunks: dict) -> DataFrame:
     """For orders short of stock: the first failing line in cart order and
-    the quantity that was available to it.  ``lines`` have their ``state``."""
-    taken = F.when(F.col("state") == "A", F.col("qty")).otherwise(F.lit(0)).cast("bigint")
-    sums = chunked_running_sum(lines, "product_id", F.col("_rchunk"), seq, {"_taken": taken}, inclusive=False,
-                               prepartitioned=True, spanning=spanning)
+    the quantity that was available to it.  ``lines`` have their ``state``;
+    of the rejected orders', only the ``tight`` ones may have failed."""
+    refused = F.col("state") == "R"
+    taken = F.when(~refused, F.col("qty")).otherwise(F.lit(0)).cast("bigint")
+    moved = lines.filter(~refused | F.col("tight")).select(
+        "order_id", "product_id", "qty", "order_date", "_rchunk", "state",
+        *[F.when(refused, F.col(c)).alias(c) for c in ("_cart", "supply")])
+    sums = chunked_running_sum(moved, "product_id", F.col("_rchunk"), seq, {"_taken": taken}, inclusive=False,
+                               prepartitioned=True, **chunks)
     left = F.col("supply") - F.col("_taken")
     short = sums.filter((F.col("state") == "R") & (left < F.col("qty")))
     return short.groupBy("order_id").agg(F.min_by(
@@ -185,13 +204,14 @@ def _sliced(headers: DataFrame, n: int) -> DataFrame:
     return heads.withColumn("_slice", F.min(sum(after, F.lit(0))).over(Window.partitionBy("order_id")))
 
 
-def _decide_slice(lines: DataFrame, taken: DataFrame | None, spans: DataFrame, seq: list, rounds: str, rnd: int) -> int:
+def _decide_slice(lines: DataFrame, taken: DataFrame | None, chunks: dict, seq: list, rounds: str, rnd: int) -> int:
     """Decide a slice's lines in rounds, the first numbered ``rnd``; returns
     the number after the last.  ``taken``: what the slices before took, by
     (product, chunk).  Each round is a table ``rnd=N`` below ``rounds`` that
     holds the lines then open with their new state.  A line keeps its
     ``supply``, and in ``used`` what accepted orders took before it, so a
-    round needs only the open lines and those accepted just before."""
+    round needs only the open lines and those accepted just before, of the
+    products that are still open.  A line is ``tight`` if it may not fit."""
     spark, first = lines.sparkSession, rnd
     used = F.lit(0).cast("bigint")
     if taken is not None:
@@ -200,11 +220,12 @@ def _decide_slice(lines: DataFrame, taken: DataFrame | None, spans: DataFrame, s
     work = lines.select(*LINE_COLS, used.alias("used"), F.lit("U").alias("state"))
     undecided, slow = None, False
     while undecided != 0:
-        sums = _open_lines(work, seq, spans).filter(F.col("state") == "U")
+        sums = _open_lines(work, seq, **chunks).filter(F.col("state") == "U")
         scratch, looked = f"{rounds}-work-{rnd}", False
         # written once, as both the verdict and the lines that it falls on need it
         sums = _store(sums.select(*LINE_COLS, (F.col("used") + F.col("lower")).alias("used"),
-                                  (F.col("used") + F.col("upper")).alias("upper")), scratch, "sums")
+                                  (F.col("used") + F.col("upper") + F.col("qty") > F.col("supply")).alias("tight")),
+                      scratch, "sums")
         bounded = sums.withColumnRenamed("used", "lower")
         if undecided is not None and undecided <= REPLAY_LINES:
             verdict = _replay(bounded.withColumn("_label", F.lit(0).cast("bigint"))).withColumnRenamed("state", "new")
@@ -213,10 +234,10 @@ def _decide_slice(lines: DataFrame, taken: DataFrame | None, spans: DataFrame, s
                              scratch, "replayed")
         else:
             verdict = bounded.groupBy("order_id").agg(
-                F.bool_and(F.col("upper") + F.col("qty") <= F.col("supply")).alias("_fits"),
+                (~F.bool_or("tight")).alias("_fits"),
                 F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("_fails")).select(
                 "order_id", F.when(F.col("_fits"), "A").when(F.col("_fails"), "R").alias("new"))
-        decided = sums.drop("upper").join(verdict, "order_id", "left").withColumn(
+        decided = sums.join(verdict, "order_id", "left").withColumn(
             "state", F.coalesce("new", F.lit("U"))).drop("new")
         after = _store(decided, rounds, f"rnd={rnd}", by="state")
         before, undecided = undecided, after.filter(F.col("state") == "U").count()
@@ -224,7 +245,12 @@ def _decide_slice(lines: DataFrame, taken: DataFrame | None, spans: DataFrame, s
             remove_path(spark, os.path.join(rounds, f"rnd={rnd - 1}", "state=U"))
         remove_path(spark, scratch)
         # rejected lines take nothing and leave; those accepted just now count once more
-        work = after.filter(F.col("state") != "R")
+        work = after.filter(F.col("state") == "U")
+        accepted = after.filter(F.col("state") == "A")
+        if undecided <= OPEN_PRODUCTS:
+            accepted = accepted.join(F.broadcast(work.select("product_id").distinct()), "product_id", "left_semi")
+        work = work.unionByName(accepted.select(*[
+            F.lit(None).cast("bigint").alias(c) if c in ("_cart", "supply", "used") else F.col(c) for c in work.columns]))
         slow = not looked and before is not None and before - undecided < SLOW_ROUND * before
         rnd += 1
     return rnd
@@ -239,16 +265,17 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
     :func:`billing.validate_carts`.  ``lines`` should be materialised; the
     rounds run, as jobs, while the result is being built, and the result is a
     checkpoint."""
-    root = scratch_path(t.spark, "admission")
+    root, tables = scratch_path(t.spark, "admission"), []
     try:
-        return cut_lineage(_decide(t, lines, headers, opening, restocks, root))
+        return cut_lineage(_decide(t, lines, headers, opening, restocks, root, tables))
     finally:
+        drop_tables(t.spark, tables)
         remove_path(t.spark, root)
 
 
 def _decide(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame, restocks: DataFrame,
-            root: str) -> DataFrame:
-    """:func:`bill_batch` over tables written below ``root``."""
+            root: str, tables: list[str]) -> DataFrame:
+    """:func:`bill_batch` over tables written below ``root``, some of them named in ``tables``."""
     static = _store(billing.validate_carts(t, lines, headers, None, check_stock=False), root, "static")
     ok = static.filter(F.col("status") == "ok").select("order_id")
     cart_order = F.col("pos") if "pos" in lines.columns else F.col("first_line")
@@ -256,19 +283,22 @@ def _decide(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame,
     work = (lines.select("order_id", "product_id", "qty", cart_order.cast("bigint").alias("_cart"))
             .join(ok, "order_id", "left_semi")
             .join(_sliced(headers, n_slices), "order_id"))
-    # The range chunks along (product, order time) are assigned once and kept:
+    # The chunks along (product, order time) are assigned once and kept:
     # dropping restocks and decided lines never breaks their contiguity.
-    every_line = _store(supply_per_line(work, opening, restocks, root), root, "lines", by="_slice")
+    hot = hot_keys(lines.select("product_id").unionByName(restocks.select("product_id")), "product_id")
+    supplied, chunks = supply_per_line(work, opening, restocks, hot, root)
+    every_line = deal_out(supplied, os.path.join(root, "lines"), ["product_id", "_rchunk"], tables, by="_slice")
     remove_path(t.spark, os.path.join(root, "events"))
-    spans, pairs = (t.spark.read.parquet(os.path.join(root, x)) for x in ("spans", "pairs"))
+    if n_slices > 1:
+        pairs = _store(every_line.select("product_id", "_rchunk").distinct(), root, "pairs")
     seq = [F.col("order_date"), F.col("order_id")]
     rounds, rnd, taken = os.path.join(root, "rounds"), 1, None
-    row = every_line.drop("_slice").schema
-    schema = StructType([*row.fields, StructField("used", LongType()), StructField("rnd", IntegerType()),
-                         StructField("state", StringType())])
+    row = every_line.drop("_slice").select(*LINE_COLS).schema
+    schema = StructType([*row.fields, StructField("used", LongType()), StructField("tight", BooleanType()),
+                         StructField("rnd", IntegerType()), StructField("state", StringType())])
     for part in range(n_slices):
         by_chunk = None if taken is None else pairs.join(taken, "product_id")
-        first, rnd = rnd, _decide_slice(every_line.filter(F.col("_slice") == part).drop("_slice"), by_chunk, spans,
+        first, rnd = rnd, _decide_slice(every_line.filter(F.col("_slice") == part).drop("_slice"), by_chunk, chunks,
                                         seq, rounds, rnd)
         done = t.spark.read.schema(schema).parquet(rounds).filter(F.col("state") != "U")
         if part + 1 < n_slices:
@@ -280,7 +310,7 @@ def _decide(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame,
     decisions = done.groupBy("order_id").agg(
         F.first("state").alias("_s"), F.first("rnd").alias("decided_round")).select(
         "order_id", F.when(F.col("_s") == "A", "accepted").otherwise("rejected").alias("decision"), "decided_round")
-    detail = _reject_detail(done, seq, spans)
+    detail = _reject_detail(done, seq, chunks)
     by_stock = decisions.join(detail, "order_id", "left").select(
         "order_id", "decision", F.when(F.col("decision") == "rejected", "short_stock").alias("reason"),
         "failing_product_id", "available", "decided_round")
@@ -304,10 +334,14 @@ def decide_fixture_batch(t: Tables, as_of: dt.date, lines_path: str | None = Non
     checkpoint and the lines a table (at ``lines_path``, replaced): every order
     of the tables, opening stock p_size x 20 and the scheduled restocks."""
     lines = D.cart_lines(t)
-    path = lines_path or scratch_path(t.spark, "cart-lines")
-    lines.write.mode("overwrite").parquet(path)
-    lines = t.spark.read.schema(lines.schema).parquet(path)
-    return bill_batch(t, lines, D.cart_headers(t), D.opening_stock(t), billing.accepted_restocks(t, as_of)), lines
+    path, tables = lines_path or scratch_path(t.spark, "cart-lines"), []
+    try:
+        # numbered by the order, the lines are stored by the order too
+        dealt = deal_out(lines, path, ["order_id"], tables)
+        decisions = bill_batch(t, dealt, D.cart_headers(t), D.opening_stock(t), billing.accepted_restocks(t, as_of))
+    finally:
+        drop_tables(t.spark, tables)
+    return decisions, t.spark.read.schema(lines.schema).parquet(path)
 
 
 #: The tables that the registered batch is decided from.

@@ -71,17 +71,12 @@ def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str =
         "payment_mode", F.when(F.col("reason").isNull(), "ok").otherwise("rejected").alias("status"), "reason")
 
 
-def line_checks(t: Tables, lines: DataFrame, as_of, check_stock: bool = True,
-                days: DataFrame | None = None) -> DataFrame:
+def line_checks(t: Tables, lines: DataFrame, as_of, check_stock: bool = True) -> DataFrame:
     """Per cart line, the first failing check: unknown product, expired,
     short stock against the shelf ``stock_qty``.  ``as_of`` is a date, or a
-    column (e.g. each order's own date) present on ``lines`` or on ``days``,
-    which is joined by the order after the products: what follows per order
-    finds the lines where they are."""
+    column (e.g. each order's own date) present on ``lines``."""
     p = t.product_base.select("product_id", "expiry_date", "stock_qty").withColumn("_known", F.lit(True))
     j = lines.join(p, "product_id", "left")
-    if days is not None:
-        j = j.join(days, "order_id")
     ref = as_of if isinstance(as_of, Column) else F.lit(as_of)
     reason = (F.when(F.col("_known").isNull(), "unknown_product")
                .when(F.col("expiry_date") < ref, "expired"))
@@ -97,16 +92,20 @@ def validate_carts(t: Tables, lines: DataFrame, headers: DataFrame, as_of: dt.da
     ``as_of=None`` checks expiry against each order's own date."""
     customers = t.app_user.filter(F.col("role") == "customer").select(
         F.col("user_id").alias("customer_id"), F.lit(True).alias("_cust"))
-    days, ref = None, as_of
-    if as_of is None:
-        days, ref = headers.select("order_id", F.to_date("order_date").alias("_day")), F.col("_day")
-    # One pass over the lines: the order has lines, and its first failing one.
     # Cart order: ``pos`` when the lines carry it, else (first_line, product_id).
     cart_order = F.struct(*[F.col(c) for c in ("pos", "first_line", "product_id") if c in lines.columns])
     first_bad = F.min_by(F.struct(F.col("line_reason").alias("r"), F.col("product_id").alias("p")),
-                         F.when(F.col("line_reason").isNotNull(), cart_order))
-    per_order = (line_checks(t, lines, ref, check_stock, days).groupBy("order_id")
-                 .agg(first_bad.alias("first_bad"), F.lit(True).alias("_has")))
+                         F.when(F.col("line_reason").isNotNull(), cart_order)).alias("first_bad")
+    if as_of is None:
+        # lines stored by the order meet its date where they lie; of those that have
+        # met the products, only the failing ones go back to their order
+        dated = lines.join(headers.select("order_id", F.to_date("order_date").alias("_day")), "order_id")
+        bad = line_checks(t, dated, F.col("_day"), check_stock).filter(F.col("line_reason").isNotNull())
+        per_order = lines.select("order_id").distinct().withColumn("_has", F.lit(True)).join(
+            bad.groupBy("order_id").agg(first_bad), "order_id", "left")
+    else:
+        # one pass over the lines: the order has lines, and its first failing one
+        per_order = line_checks(t, lines, as_of, check_stock).groupBy("order_id").agg(first_bad, F.lit(True).alias("_has"))
     h = (headers.select("order_id", "customer_id")
          .join(customers, "customer_id", "left")
          .join(per_order, "order_id", "left"))

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.operators import admission
-from tillwise.plans.lineage import cut_lineage
 from tillwise.sources import sinks
 from tillwise.sources.tables import Tables
 
@@ -54,7 +53,7 @@ def commit_batch(t: Tables, base: str, batch: int, lines: DataFrame, headers: Da
     stock, due, before = _state(spark, base, opening, restocks)
     decisions = admission.bill_batch(t, lines, headers, stock, due)
     accepted = decisions.filter(F.col("decision") == "accepted").select("order_id")
-    sales = cut_lineage(lines.join(accepted, "order_id", "left_semi"))
+    sales = lines.join(accepted, "order_id", "left_semi")
     last = headers.agg(F.max("order_date").alias("closed_at")).first()["closed_at"]
     closed = max((x for x in (before, last) if x is not None), default=None)
     close = spark.createDataFrame([(closed,)], "closed_at timestamp_ntz")

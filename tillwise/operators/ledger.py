@@ -17,7 +17,7 @@ from tillwise.functions import scalar as S
 from tillwise.operators import admission, billing, changes
 from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.lookup import lookup_join
-from tillwise.plans.running import assign_range_chunks, chunked_running_sum
+from tillwise.plans.running import assign_range_chunks, chunked_running_sum, hot_keys, mark_cold
 from tillwise.sources import derived as D
 from tillwise.sources.tables import Tables, ntz
 
@@ -52,20 +52,27 @@ def stock_ledger(t: Tables, as_of: dt.date, sales: DataFrame | None = None) -> D
 
 
 def running_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None) -> DataFrame:
-    """Stock after every ledger row, per product in ledger order.  The ledger
-    is cut into range chunks of the (product, ledger order) sequence, so a
-    hot product is spread over many tasks; the chunked ledger is written once
-    as a checkpoint and both branches of the running sum read it."""
+    """Stock after every ledger row, per product in ledger order.  One
+    shuffle brings a product's rows together; those of a hot product are cut
+    into range chunks of its ledger order, so they are spread over many tasks,
+    and written once as a checkpoint that both branches of their sum read."""
     memo = t.__dict__.setdefault("_running_stock", {})
     if ledger is None and as_of in memo:
         return memo[as_of]
-    led = ledger if ledger is not None else stock_ledger(t, as_of)
+    led = (ledger if ledger is not None else stock_ledger(t, as_of)).filter(F.col("product_id").isNotNull())
+    # of the registered ledger, the cart lines and the restocks tell which products are hot
+    keys = led if ledger is not None else admission.fixture_batch(t, as_of)[1].select("product_id").unionByName(
+        billing.accepted_restocks(t, as_of).select("product_id"))
+    hot = hot_keys(keys.select("product_id"), "product_id")
     order = [F.col(c).asc_nulls_first() for c in LEDGER_ORDER]
-    led = assign_range_chunks(led, "product_id", order)
-    out = chunked_running_sum(led, "product_id", F.col("_rchunk"), order,
-                              {"stock_after": F.col("change_qty").cast("bigint")}).drop("_rchunk")
+    change = {"stock_after": F.col("change_qty").cast("bigint")}
+    out = chunked_running_sum(mark_cold(led, "product_id", hot), "product_id", F.col("_rchunk"), order, change, whole=True)
+    if not hot.isEmpty():
+        tagged = assign_range_chunks(led.join(F.broadcast(hot), "product_id", "left_semi"), "product_id", order)
+        out = out.unionByName(chunked_running_sum(tagged, "product_id", F.col("_rchunk"), order, change))
+    out = out.drop("_rchunk")
     if ledger is None:
-        memo[as_of] = out  # the chunked ledger is checkpointed: reuse it per bundle
+        memo[as_of] = out
     return out
 
 
@@ -75,7 +82,11 @@ def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None
     r = running if running is not None else running_stock(t, as_of)
     p = t.product_base.select("product_id", "name", "reorder_level")
     before = F.col("stock_after") - F.col("change_qty")
-    hit = (r.filter(F.col("kind") > 0).join(p, "product_id")
+    # only rows that cross some product's level have to meet their own
+    span = p.agg(F.min("reorder_level").alias("_least"), F.max("reorder_level").alias("_most"))
+    near = r.filter(F.col("kind") > 0).crossJoin(F.broadcast(span)).filter(
+        (F.col("stock_after") <= F.col("_most")) & (before > F.col("_least")))
+    hit = (near.join(p, "product_id")
            .filter((F.col("stock_after") <= F.col("reorder_level")) & (before > F.col("reorder_level"))))
     msg = F.concat(F.lit('Low stock alert: "'), F.col("name"), F.lit('" has only '),
                    F.col("stock_after").cast("string"), F.lit(" units left. Reorder level: "),

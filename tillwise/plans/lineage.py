@@ -7,7 +7,9 @@ that computed earlier rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.session import checkpoint_root, scratch_path
 
@@ -25,3 +27,20 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal_out(df: DataFrame, path: str, keys: list[str], tables: list[str], by: str | None = None) -> DataFrame:
+    """``df`` as a table at ``path`` that lies dealt by ``keys``, so that
+    what follows by these moves no row.  Its name joins ``tables``, which the
+    caller drops (:func:`drop_tables`); the files stay until they are removed."""
+    spark, name = df.sparkSession, f"tillwise_{uuid.uuid4().hex}"
+    writer = df.write if by is None else df.write.partitionBy(by)
+    tables.append(name)
+    (writer.mode("overwrite").option("compression", "zstd").option("path", path)
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(name))
+    return spark.table(name)
+
+
+def drop_tables(spark: SparkSession, tables: list[str]) -> None:
+    for name in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 
 from tillwise.plans.lineage import cut_lineage
 
+#: Rows sampled per shuffle partition to find the hot keys.
+HOT_SAMPLE = 1000
+
 
 def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
                         order: Sequence[Column], values: dict[str, Column],
                         inclusive: bool = True, materialize: bool = False,
-                        prepartitioned: bool = False, spanning: DataFrame | None = None) -> DataFrame:
+                        prepartitioned: bool = False, spanning: DataFrame | None = None,
+                        whole: bool = False) -> DataFrame:
     """Add one running-sum column per ``values`` entry.
 
     ``chunk`` must be non-decreasing along ``order`` within a key (it is the
@@ -41,22 +45,26 @@ def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
     chunk) (e.g. a checkpoint written that way), so no explicit repartition
     is requested and the planner reuses that layout.  ``spanning``: the few
     keys (:func:`spanning_keys`) that may lie in more than one chunk; only
-    theirs are totalled, and the offsets are broadcast.
+    theirs are totalled, and the offsets are broadcast.  ``whole``: no key
+    lies in more than one chunk, so there are no offsets.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    d = df.withColumn("_chunk", chunk)
+    # where keys are whole the chunk keeps its own name, by which the rows then lie
+    at, d = (chunk, df) if whole else (F.col("_chunk"), df.withColumn("_chunk", chunk))
     for name, v in values.items():
         d = d.withColumn(f"_v_{name}", v)
     if materialize:
         d = cut_lineage(d)
     # the totals combine before their shuffle, so they are taken before the rows are moved
     totalled = d if spanning is None else d.join(F.broadcast(spanning), keys, "left_semi")
-    if not prepartitioned:
+    if not prepartitioned and not whole:
         d = d.repartition(*keys, "_chunk")
     upto = 0 if inclusive else -1
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    inner = Window.partitionBy(*keys, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     within = d.select("*", *[F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)).alias(f"_w_{n}")
                              for n in values])
+    if whole:
+        return within.select(*df.columns, *[F.col(f"_w_{n}").alias(n) for n in values])
     totals = totalled.groupBy(*keys, "_chunk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", *[
@@ -92,6 +100,24 @@ def assign_range_chunks(df: DataFrame, key: str | Sequence[str], order: Sequence
     return write(tagged)
 
 
+def hot_keys(keys: DataFrame, key: str) -> DataFrame:
+    """The keys of ``keys`` (one row per row to come) that hold more than half
+    a shuffle partition's share of the rows, as a bounded sample has them: at
+    most about twice as many as there are partitions.  It only decides how
+    rows are dealt, never a result."""
+    n, rows = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys.count()
+    fraction = min(1.0, HOT_SAMPLE * n / max(rows, 1))
+    counted = keys.filter(F.col(key).isNotNull()).sample(fraction, seed=17).groupBy(key).count()
+    return cut_lineage(counted.filter(F.col("count") > fraction * rows / (2 * n)).select(key))
+
+
+def mark_cold(df: DataFrame, key: str, hot: DataFrame, name: str = "_rchunk") -> DataFrame:
+    """The rows of keys that are not ``hot``, each key in the one chunk -1.
+    The number comes out of a join, so that it stays a column to deal by."""
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(0))), key, "left")
+    return marked.filter(F.col("_hot").isNull()).withColumn(name, F.coalesce("_hot", F.lit(-1))).drop("_hot")
+
+
 def spanning_keys(tagged: DataFrame, key: str, chunk: str = "_rchunk") -> DataFrame:
     """The keys that may lie in several chunks of :func:`assign_range_chunks`:
     such a key ends one chunk and begins another.  At most one per chunk."""

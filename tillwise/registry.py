@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tillwise import oracle as O
 from tillwise.operators import admission, billing, carry, catalog, changes, ledger, quality, sales
-from tillwise.plans.lineage import cut_lineage
-from tillwise.session import checkpoint_root, scratch_path
+from tillwise.plans.lineage import cut_lineage, deal_out, drop_tables
+from tillwise.session import checkpoint_root, remove_path, scratch_path
 from tillwise.sources import derived as D
 from tillwise.sources import sinks
 from tillwise.sources.tables import Tables
@@ -60,16 +60,21 @@ def _carried_store(t: Tables, base: str) -> str:
     """The tables' orders, decided in two batches along their time, at ``base``."""
     if len(sinks.published_versions(t.spark, base)) == 2:
         return base
-    heads = D.cart_headers(t)
-    lines = cut_lineage(D.cart_lines(t))
-    restocks = cut_lineage(billing.accepted_restocks(t, AS_OF))
-    for batch, late in enumerate([False, True]):
-        def part(df: DataFrame, time: str) -> DataFrame:
-            from_then = F.coalesce(F.col(time) >= F.lit(SECOND_BATCH).cast("timestamp_ntz"), F.lit(False))
-            return df.filter(from_then == F.lit(late))
-        orders = part(heads, "order_date")
-        own = cut_lineage(lines.join(orders.select("order_id"), "order_id", "left_semi"))
-        carry.commit_batch(t, base, batch, own, orders, D.opening_stock(t), part(restocks, "request_ts"))
+    heads, scratch, tables = D.cart_headers(t), scratch_path(t.spark, "carried-lines"), []
+    try:
+        lines = deal_out(D.cart_lines(t), os.path.join(scratch, "all"), ["order_id"], tables)
+        restocks = cut_lineage(billing.accepted_restocks(t, AS_OF))
+        for batch, late in enumerate([False, True]):
+            def part(df: DataFrame, time: str) -> DataFrame:
+                from_then = F.coalesce(F.col(time) >= F.lit(SECOND_BATCH).cast("timestamp_ntz"), F.lit(False))
+                return df.filter(from_then == F.lit(late))
+            orders = part(heads, "order_date")
+            own = deal_out(lines.join(orders.select("order_id"), "order_id", "left_semi"),
+                           os.path.join(scratch, str(batch)), ["order_id"], tables)
+            carry.commit_batch(t, base, batch, own, orders, D.opening_stock(t), part(restocks, "request_ts"))
+    finally:
+        drop_tables(t.spark, tables)
+        remove_path(t.spark, scratch)
     return base
 
 

@@ -23,9 +23,9 @@ side, and only a larger one goes on in rounds.
 
 A round is kept cheap: a line carries what the accepted lines before it took,
 so a decided line leaves the work one round later, and the rounds read and
-write the open lines only.  Lines lie in range chunks along (product, time): a
-hot product is spread over its chunks, nothing is joined by the product alone,
-and only the few products that span chunks need offsets.  A large batch is
+write the open lines only.  Lines are stored dealt by (product, chunk), where
+the first round finds them: a hot product is spread over range chunks along
+time, any other is one chunk, and only hot products need offsets.  A large batch is
 decided in a fixed number of slices of time, each against what the earlier
 ones took.  Rounds are tables below ``spark.checkpoint.dir``, removed at the end.
 """

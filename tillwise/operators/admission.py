@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tillwise.operators import billing
+from tillwise.plans.broadcast import met_by_shuffle
 from tillwise.plans.lineage import cut_lineage, deal_out, drop_tables
 from tillwise.plans.running import assign_range_chunks, chunked_running_sum, hot_keys, mark_cold, spanning_keys
 from tillwise.session import checkpoint_root, path_exists, remove_path, scratch_path
@@ -57,16 +58,17 @@ SLOW_ROUND, SPREAD_STEPS = 0.05, 4
 #: first, as few of a short span's orders are still in doubt after a round; at most so many.
 SLICE_LINES, MAX_SLICES = 1_000_000, 16
 LINE_COLS = ["order_id", "product_id", "qty", "_cart", "order_date", "_rchunk", "supply"]
-#: The products of at most so many open lines are broadcast, so that accepted lines of others stay where they are.
-OPEN_PRODUCTS = 1_000_000
+#: The products of at most so many open lines are broadcast (about 16 MB), so that accepted lines of others stay where they are.
+OPEN_PRODUCTS = 250_000
 DECISION_COLS = ["order_id", "decision", "reason", "failing_product_id", "available", "decided_round"]
 
 
 def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame, hot: DataFrame,
-                    root: str) -> tuple[DataFrame, dict]:
+                    root: str) -> tuple[DataFrame, dict, DataFrame | None]:
     """Opening stock plus every accepted restock at or before the order's
-    time (restocks sort before sales at the same instant), and how running
-    sums find the keys that span chunks.  ``_rchunk``: the line's chunk along
+    time (restocks sort before sales at the same instant), how running
+    sums find the keys that span chunks, and the (product, chunk) pairs of hot
+    products, if any: about as many as there are hot products and chunks.  ``_rchunk``: the line's chunk along
     (product, order time, order); a ``hot`` product's are ranges, and any
     other product is one chunk, which one shuffle brings together.  Tables
     written below ``root``: the hot products' events and those that span
@@ -81,7 +83,7 @@ def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame, h
 
     def supplied(run: DataFrame, opening: DataFrame) -> DataFrame:
         # met by (product, chunk), as the running sum left the lines: they are not moved again
-        return (run.filter(F.col("_kind") == 2).join(opening, ["product_id", "_rchunk"], "left")
+        return (run.filter(F.col("_kind") == 2).join(met_by_shuffle(opening), ["product_id", "_rchunk"], "left")
                 .select("order_id", "product_id", "qty", "_cart", "_slice", F.col("_ts").alias("order_date"), "_rchunk",
                         (F.coalesce(F.col("opening_qty"), F.lit(0)) + F.col("_restocked")).alias("supply")))
 
@@ -89,13 +91,13 @@ def supply_per_line(lines: DataFrame, opening: DataFrame, restocks: DataFrame, h
     out = supplied(chunked_running_sum(cold, "product_id", F.col("_rchunk"), order, added, whole=True),
                    mark_cold(opening, "product_id", hot))
     if hot.isEmpty():
-        return out, {"whole": True}
+        return out, {"whole": True}, None
     own = [df.join(F.broadcast(hot), "product_id", "left_semi") for df in (ev_lines, ev_rs)]
     ev = assign_range_chunks(own[0].unionByName(own[1]), "product_id", order, write=lambda df: _store(df, root, "events"))
     spans = _store(spanning_keys(ev, "product_id"), root, "spans")
-    pairs = ev.filter(F.col("_kind") == 2).select("product_id", "_rchunk").distinct()
+    pairs = _store(ev.filter(F.col("_kind") == 2).select("product_id", "_rchunk").distinct(), root, "pairs")
     run = chunked_running_sum(ev, "product_id", F.col("_rchunk"), order, added, spanning=spans)
-    return out.unionByName(supplied(run, pairs.join(opening, "product_id"))), {"spanning": spans}
+    return out.unionByName(supplied(run, opening.join(F.broadcast(pairs), "product_id"))), {"spanning": spans}, pairs
 
 
 def _store(df: DataFrame, root: str, name: str, by: str | None = None) -> DataFrame:
@@ -160,18 +162,18 @@ def _closed_components(open_lines: DataFrame, root: str) -> DataFrame:
     links = _store(open_lines, root, "open")
     labels = links.select("order_id", F.col("order_id").alias("_label")).distinct()
     for step in range(SPREAD_STEPS):
-        near = links.select("order_id", "product_id").join(labels, "order_id")
+        near = links.select("order_id", "product_id").join(met_by_shuffle(labels), "order_id")
         by_product = near.groupBy("product_id").agg(F.min("_label").alias("_label"))
-        labels = _store(links.select("order_id", "product_id").join(by_product, "product_id")
+        labels = _store(links.select("order_id", "product_id").join(met_by_shuffle(by_product), "product_id")
                         .groupBy("order_id").agg(F.min("_label").alias("_label")), root, f"labels-{step}")
         # a label is an order too: take on its label, which triples the reach of a step
         further = labels.select(F.col("order_id").alias("_label"), F.col("_label").alias("_next"))
-        labels = labels.join(further, "_label").select("order_id", F.col("_next").alias("_label"))
-    labelled = links.join(labels, "order_id")
+        labels = labels.join(met_by_shuffle(further), "_label").select("order_id", F.col("_next").alias("_label"))
+    labelled = links.join(met_by_shuffle(labels), "order_id")
     split = labelled.groupBy("product_id").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b")).filter("_a < _b")
-    unclosed = labelled.join(split.select("product_id"), "product_id", "left_semi").select("_label")
+    unclosed = labelled.join(met_by_shuffle(split.select("product_id")), "product_id", "left_semi").select("_label")
     large = labelled.groupBy("_label").count().filter(F.col("count") > REPLAY_LINES).select("_label")
-    return labelled.join(unclosed.unionByName(large).distinct(), "_label", "left_anti")
+    return labelled.join(met_by_shuffle(unclosed.unionByName(large).distinct()), "_label", "left_anti")
 
 
 def _reject_detail(lines: DataFrame, seq: list, chunks: dict) -> DataFrame:
@@ -204,6 +206,12 @@ def _sliced(headers: DataFrame, n: int) -> DataFrame:
     return heads.withColumn("_slice", F.min(sum(after, F.lit(0))).over(Window.partitionBy("order_id")))
 
 
+def _by_chunk(per_product: DataFrame, hot: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """A row per product as a row per (product, chunk) that holds its lines."""
+    cold = mark_cold(per_product, "product_id", hot)
+    return cold if pairs is None else cold.unionByName(per_product.join(F.broadcast(pairs), "product_id"))
+
+
 def _decide_slice(lines: DataFrame, taken: DataFrame | None, chunks: dict, seq: list, rounds: str, rnd: int) -> int:
     """Decide a slice's lines in rounds, the first numbered ``rnd``; returns
     the number after the last.  ``taken``: what the slices before took, by
@@ -215,7 +223,7 @@ def _decide_slice(lines: DataFrame, taken: DataFrame | None, chunks: dict, seq:
     spark, first = lines.sparkSession, rnd
     used = F.lit(0).cast("bigint")
     if taken is not None:
-        lines = lines.join(taken, ["product_id", "_rchunk"], "left")
+        lines = lines.join(met_by_shuffle(taken), ["product_id", "_rchunk"], "left")
         used = F.coalesce(F.col("_taken"), F.lit(0))
     work = lines.select(*LINE_COLS, used.alias("used"), F.lit("U").alias("state"))
     undecided, slow = None, False
@@ -237,7 +245,7 @@ def _decide_slice(lines: DataFrame, taken: DataFrame | None, chunks: dict, seq:
                 (~F.bool_or("tight")).alias("_fits"),
                 F.bool_or(F.col("lower") + F.col("qty") > F.col("supply")).alias("_fails")).select(
                 "order_id", F.when(F.col("_fits"), "A").when(F.col("_fails"), "R").alias("new"))
-        decided = sums.join(verdict, "order_id", "left").withColumn(
+        decided = sums.join(met_by_shuffle(verdict), "order_id", "left").withColumn(
             "state", F.coalesce("new", F.lit("U"))).drop("new")
         after = _store(decided, rounds, f"rnd={rnd}", by="state")
         before, undecided = undecided, after.filter(F.col("state") == "U").count()
@@ -276,28 +284,27 @@ def bill_batch(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFra
 def _decide(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame, restocks: DataFrame,
             root: str, tables: list[str]) -> DataFrame:
     """:func:`bill_batch` over tables written below ``root``, some of them named in ``tables``."""
+    restocks = _store(restocks.select("product_id", "qty", "request_ts"), root, "restocks")
     static = _store(billing.validate_carts(t, lines, headers, None, check_stock=False), root, "static")
     ok = static.filter(F.col("status") == "ok").select("order_id")
     cart_order = F.col("pos") if "pos" in lines.columns else F.col("first_line")
     n_slices = max(1, min(MAX_SLICES, -(-lines.count() // SLICE_LINES)))
     work = (lines.select("order_id", "product_id", "qty", cart_order.cast("bigint").alias("_cart"))
-            .join(ok, "order_id", "left_semi")
-            .join(_sliced(headers, n_slices), "order_id"))
+            .join(met_by_shuffle(ok), "order_id", "left_semi")
+            .join(met_by_shuffle(_sliced(headers, n_slices)), "order_id"))
     # The chunks along (product, order time) are assigned once and kept:
     # dropping restocks and decided lines never breaks their contiguity.
     hot = hot_keys(lines.select("product_id").unionByName(restocks.select("product_id")), "product_id")
-    supplied, chunks = supply_per_line(work, opening, restocks, hot, root)
+    supplied, chunks, pairs = supply_per_line(work, opening, restocks, hot, root)
     every_line = deal_out(supplied, os.path.join(root, "lines"), ["product_id", "_rchunk"], tables, by="_slice")
     remove_path(t.spark, os.path.join(root, "events"))
-    if n_slices > 1:
-        pairs = _store(every_line.select("product_id", "_rchunk").distinct(), root, "pairs")
     seq = [F.col("order_date"), F.col("order_id")]
     rounds, rnd, taken = os.path.join(root, "rounds"), 1, None
     row = every_line.drop("_slice").select(*LINE_COLS).schema
     schema = StructType([*row.fields, StructField("used", LongType()), StructField("tight", BooleanType()),
                          StructField("rnd", IntegerType()), StructField("state", StringType())])
     for part in range(n_slices):
-        by_chunk = None if taken is None else pairs.join(taken, "product_id")
+        by_chunk = None if taken is None else _by_chunk(taken, hot, pairs)
         first, rnd = rnd, _decide_slice(every_line.filter(F.col("_slice") == part).drop("_slice"), by_chunk, chunks,
                                         seq, rounds, rnd)
         done = t.spark.read.schema(schema).parquet(rounds).filter(F.col("state") != "U")
@@ -311,7 +318,7 @@ def _decide(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame,
         F.first("state").alias("_s"), F.first("rnd").alias("decided_round")).select(
         "order_id", F.when(F.col("_s") == "A", "accepted").otherwise("rejected").alias("decision"), "decided_round")
     detail = _reject_detail(done, seq, chunks)
-    by_stock = decisions.join(detail, "order_id", "left").select(
+    by_stock = decisions.join(met_by_shuffle(detail), "order_id", "left").select(
         "order_id", "decision", F.when(F.col("decision") == "rejected", "short_stock").alias("reason"),
         "failing_product_id", "available", "decided_round")
     by_input = static.filter(F.col("status") == "rejected").select(

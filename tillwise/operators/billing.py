@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.functions import scalar as S
+from tillwise.plans.broadcast import met_by_shuffle
 from tillwise.plans.thresholds import with_best
 from tillwise.sources import derived as D
 from tillwise.sources.seeds import MAX_RULES
@@ -53,7 +54,7 @@ def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str =
     tax rounded to the cent, total; payment mode defaults to cash.  A cart
     without lines (``missing_input``) or with a product that has no price
     (``unknown_product``) is rejected and gets no total."""
-    priced = lines.join(t.product_base.select("product_id", "price"), "product_id", "left")
+    priced = lines.join(met_by_shuffle(t.product_base.select("product_id", "price")), "product_id", "left")
     per_order = priced.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("price").isNull()).alias("_unknown"),
         S.sum_money(F.col("price") * F.col("qty")).alias("_subtotal"))
@@ -61,7 +62,7 @@ def price_carts(t: Tables, lines: DataFrame, headers: DataFrame, tax_rate: str =
                        F.coalesce(F.col("discount"), F.lit(0).cast(MONEY)).alias("discount"),
                        F.coalesce(F.col("payment_mode"), F.lit("cash")).alias("payment_mode"))
     reason = F.when(F.col("n_lines").isNull(), "missing_input").when(F.col("_unknown") > 0, "unknown_product")
-    j = h.join(per_order, "order_id", "left").withColumn("reason", reason).withColumn(
+    j = h.join(met_by_shuffle(per_order), "order_id", "left").withColumn("reason", reason).withColumn(
         "subtotal", F.when(reason.isNull(), F.col("_subtotal")))
     net = F.col("subtotal") - F.col("discount")
     tax = F.round(net * F.lit(tax_rate).cast("decimal(4,2)"), 2)
@@ -76,7 +77,7 @@ def line_checks(t: Tables, lines: DataFrame, as_of, check_stock: bool = True) ->
     short stock against the shelf ``stock_qty``.  ``as_of`` is a date, or a
     column (e.g. each order's own date) present on ``lines``."""
     p = t.product_base.select("product_id", "expiry_date", "stock_qty").withColumn("_known", F.lit(True))
-    j = lines.join(p, "product_id", "left")
+    j = lines.join(met_by_shuffle(p), "product_id", "left")
     ref = as_of if isinstance(as_of, Column) else F.lit(as_of)
     reason = (F.when(F.col("_known").isNull(), "unknown_product")
                .when(F.col("expiry_date") < ref, "expired"))
@@ -99,16 +100,17 @@ def validate_carts(t: Tables, lines: DataFrame, headers: DataFrame, as_of: dt.da
     if as_of is None:
         # lines stored by the order meet its date where they lie; of those that have
         # met the products, only the failing ones go back to their order
-        dated = lines.join(headers.select("order_id", F.to_date("order_date").alias("_day")), "order_id")
+        days = headers.select("order_id", F.to_date("order_date").alias("_day"))
+        dated = lines.join(met_by_shuffle(days), "order_id")
         bad = line_checks(t, dated, F.col("_day"), check_stock).filter(F.col("line_reason").isNotNull())
         per_order = lines.select("order_id").distinct().withColumn("_has", F.lit(True)).join(
-            bad.groupBy("order_id").agg(first_bad), "order_id", "left")
+            met_by_shuffle(bad.groupBy("order_id").agg(first_bad)), "order_id", "left")
     else:
         # one pass over the lines: the order has lines, and its first failing one
         per_order = line_checks(t, lines, as_of, check_stock).groupBy("order_id").agg(first_bad, F.lit(True).alias("_has"))
     h = (headers.select("order_id", "customer_id")
-         .join(customers, "customer_id", "left")
-         .join(per_order, "order_id", "left"))
+         .join(met_by_shuffle(customers), "customer_id", "left")
+         .join(met_by_shuffle(per_order), "order_id", "left"))
     reason = (F.when(F.col("customer_id").isNull() | F.col("_has").isNull(), "missing_input")
                .when(F.col("_cust").isNull(), "no_customer")
                .otherwise(F.col("first_bad.r")))
@@ -156,7 +158,7 @@ def apply_restocks(t: Tables, requests: DataFrame) -> DataFrame:
     """Accept restock requests for existing active products with qty > 0;
     rejected requests keep their reason (product check first)."""
     active = t.product_base.filter(F.col("is_active")).select("product_id", F.lit(True).alias("_ok"))
-    j = requests.join(active, "product_id", "left")
+    j = requests.join(met_by_shuffle(active), "product_id", "left")
     reason = F.when(F.col("_ok").isNull(), "not_found").when(F.col("qty") <= 0, "bad_qty")
     return j.select(*requests.columns,
                     F.when(reason.isNull(), "accepted").otherwise("rejected").alias("status"),

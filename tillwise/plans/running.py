@@ -23,6 +23,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillwise.plans.broadcast import met_by_shuffle
 from tillwise.plans.lineage import cut_lineage
 
 #: Rows sampled per shuffle partition to find the hot keys.
@@ -70,7 +71,7 @@ def chunked_running_sum(df: DataFrame, key: str | Sequence[str], chunk: Column,
     offsets = totals.select(*keys, "_chunk", *[
         F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
     if spanning is None:
-        out = within.join(offsets, [*keys, "_chunk"])
+        out = within.join(met_by_shuffle(offsets), [*keys, "_chunk"])
     else:
         out = within.join(F.broadcast(offsets), [*keys, "_chunk"], "left")
     for n in values:

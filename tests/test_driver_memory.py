@@ -59,6 +59,9 @@ def test_the_checkout_broadcasts_nothing_by_an_estimate(tables_small, monkeypatc
 @pytest.mark.parametrize("name, build", [
     ("validate_carts", lambda t: billing.validate_carts(t, D.cart_demand(t), D.cart_headers(t), None, check_stock=False)),
     ("apply_restocks", lambda t: billing.apply_restocks(t, D.restock_requests(t, AS_OF))),
+    ("admitted_items", lambda t: admission.admitted_items(t, AS_OF)),
+    ("admitted_orders", lambda t: admission.admitted_orders(t, AS_OF)),
+    ("product_stock", lambda t: admission.product_stock(t, AS_OF)),
 ])
 def test_readers_broadcast_nothing_by_an_estimate(tables_small, each_threshold, name, build):
     def joins():

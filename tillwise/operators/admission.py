@@ -330,8 +330,8 @@ def _decide(t: Tables, lines: DataFrame, headers: DataFrame, opening: DataFrame,
 def admitted_sales(t: Tables, decisions: DataFrame, lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Sale ledger input for accepted orders (one row per cart line)."""
     acc = decisions.filter(F.col("decision") == "accepted").select("order_id")
-    return (lines.join(acc, "order_id", "left_semi")
-            .join(headers.select("order_id", "cashier_id", "order_date"), "order_id")
+    return (lines.join(met_by_shuffle(acc), "order_id", "left_semi")
+            .join(met_by_shuffle(headers.select("order_id", "cashier_id", "order_date")), "order_id")
             .select("order_id", "product_id", F.col("pos").alias("line_no"),
                     F.col("qty").alias("qty_sold"), "cashier_id", "order_date"))
 
@@ -405,7 +405,7 @@ def admitted_items(t: Tables, as_of: dt.date) -> DataFrame:
     """Lines of the accepted orders at current prices."""
     sales = fixture_sales(t, as_of)
     price = t.product_base.select("product_id", F.col("price").alias("unit_price"))
-    return sales.join(price, "product_id").select(
+    return sales.join(met_by_shuffle(price), "product_id").select(
         "order_id", "product_id", "line_no", "qty_sold", "unit_price",
         (F.col("unit_price") * F.col("qty_sold")).cast("decimal(12,2)").alias("line_total"), "order_date")
 
@@ -413,10 +413,11 @@ def admitted_items(t: Tables, as_of: dt.date) -> DataFrame:
 def admitted_orders(t: Tables, as_of: dt.date) -> DataFrame:
     """Priced headers of the accepted orders."""
     decisions, lines, heads = fixture_batch(t, as_of)
-    accepted = decisions.filter(F.col("decision") == "accepted").select("order_id")
+    accepted = met_by_shuffle(decisions.filter(F.col("decision") == "accepted").select("order_id"))
     priced = billing.price_carts(t, lines.join(accepted, "order_id", "left_semi"),
                                  heads.join(accepted, "order_id", "left_semi"))
-    return priced.drop("status", "reason", "failing_product_id").join(heads.select("order_id", "order_date"), "order_id")
+    dates = met_by_shuffle(heads.select("order_id", "order_date"))
+    return priced.drop("status", "reason", "failing_product_id").join(dates, "order_id")
 
 
 def rejected_carts(t: Tables, as_of: dt.date) -> DataFrame:
@@ -431,8 +432,9 @@ def product_stock(t: Tables, as_of: dt.date) -> DataFrame:
     ledger), one aggregate each."""
     added = billing.accepted_restocks(t, as_of).groupBy("product_id").agg(F.sum("qty").alias("_in"))
     sold = fixture_sales(t, as_of).groupBy("product_id").agg(F.sum("qty_sold").alias("_out"))
-    p = t.product_base.drop("stock_qty").join(D.opening_stock(t), "product_id").join(
-        added, "product_id", "left").join(sold, "product_id", "left")
+    p = t.product_base.drop("stock_qty")
+    for side, how in [(D.opening_stock(t), "inner"), (added, "left"), (sold, "left")]:
+        p = p.join(met_by_shuffle(side), "product_id", how)
     stock = F.col("opening_qty") + F.coalesce("_in", F.lit(0)) - F.coalesce("_out", F.lit(0))
     return p.select(*[c for c in t.product_base.columns if c != "stock_qty"], stock.cast("bigint").alias("stock_qty"))
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tillwise.operators import admission, billing
+from tillwise.operators import admission, billing, ledger
 from tillwise.sources import derived as D
 
 AS_OF = dt.date(2001, 8, 1)
@@ -62,6 +62,7 @@ def test_the_checkout_broadcasts_nothing_by_an_estimate(tables_small, monkeypatc
     ("admitted_items", lambda t: admission.admitted_items(t, AS_OF)),
     ("admitted_orders", lambda t: admission.admitted_orders(t, AS_OF)),
     ("product_stock", lambda t: admission.product_stock(t, AS_OF)),
+    ("running_stock", lambda t: ledger.running_stock(t, AS_OF)),
 ])
 def test_readers_broadcast_nothing_by_an_estimate(tables_small, each_threshold, name, build):
     def joins():

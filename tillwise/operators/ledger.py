@@ -60,9 +60,9 @@ def running_stock(t: Tables, as_of: dt.date, ledger: DataFrame | None = None) ->
     if ledger is None and as_of in memo:
         return memo[as_of]
     led = (ledger if ledger is not None else stock_ledger(t, as_of)).filter(F.col("product_id").isNotNull())
-    # of the registered ledger, the cart lines and the restocks tell which products are hot
+    # of the registered ledger, the cart lines and the restock requests tell which products are hot
     keys = led if ledger is not None else admission.fixture_batch(t, as_of)[1].select("product_id").unionByName(
-        billing.accepted_restocks(t, as_of).select("product_id"))
+        D.restock_requests(t, as_of).select("product_id"))
     hot = hot_keys(keys.select("product_id"), "product_id")
     order = [F.col(c).asc_nulls_first() for c in LEDGER_ORDER]
     change = {"stock_after": F.col("change_qty").cast("bigint")}

@@ -63,6 +63,7 @@ def test_the_checkout_broadcasts_nothing_by_an_estimate(tables_small, monkeypatc
     ("admitted_orders", lambda t: admission.admitted_orders(t, AS_OF)),
     ("product_stock", lambda t: admission.product_stock(t, AS_OF)),
     ("running_stock", lambda t: ledger.running_stock(t, AS_OF)),
+    ("alert_severity", lambda t: ledger.alert_severity(t, AS_OF)),
 ])
 def test_readers_broadcast_nothing_by_an_estimate(tables_small, each_threshold, name, build):
     def joins():

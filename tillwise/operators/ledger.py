@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions import scalar as S
 from tillwise.operators import admission, billing, changes
+from tillwise.plans.broadcast import met_by_shuffle
 from tillwise.plans.lineage import cut_lineage
 from tillwise.plans.lookup import lookup_join
 from tillwise.plans.running import assign_range_chunks, chunked_running_sum, hot_keys, mark_cold
@@ -86,7 +87,7 @@ def low_stock_alerts(t: Tables, as_of: dt.date, running: DataFrame | None = None
     span = p.agg(F.min("reorder_level").alias("_least"), F.max("reorder_level").alias("_most"))
     near = r.filter(F.col("kind") > 0).crossJoin(F.broadcast(span)).filter(
         (F.col("stock_after") <= F.col("_most")) & (before > F.col("_least")))
-    hit = (near.join(p, "product_id")
+    hit = (near.join(met_by_shuffle(p), "product_id")
            .filter((F.col("stock_after") <= F.col("reorder_level")) & (before > F.col("reorder_level"))))
     msg = F.concat(F.lit('Low stock alert: "'), F.col("name"), F.lit('" has only '),
                    F.col("stock_after").cast("string"), F.lit(" units left. Reorder level: "),

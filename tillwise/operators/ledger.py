@@ -163,7 +163,7 @@ def apply_alert_reads(t: Tables, as_of: dt.date, reads: DataFrame,
          .withColumn("_read", F.lit(True)))
     a = alerts if alerts is not None else all_alerts(t, as_of)
     cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    j = a.join(r, cond, "left")
+    j = a.join(met_by_shuffle(r), cond, "left")
     return j.select(*[c for c in a.columns if c != "is_read"],
                     (F.col("is_read") | F.coalesce(F.col("_read"), F.lit(False))).alias("is_read"))
 

@@ -65,6 +65,7 @@ def test_the_checkout_broadcasts_nothing_by_an_estimate(tables_small, monkeypatc
     ("running_stock", lambda t: ledger.running_stock(t, AS_OF)),
     ("alert_severity", lambda t: ledger.alert_severity(t, AS_OF)),
     ("apply_alert_reads", lambda t: ledger.apply_alert_reads(t, AS_OF, ledger.manager_reads(t, AS_OF))),
+    ("alerts_feed", lambda t: ledger.alerts_feed(t, AS_OF)),
 ])
 def test_readers_broadcast_nothing_by_an_estimate(tables_small, each_threshold, name, build):
     def joins():

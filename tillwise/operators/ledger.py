@@ -147,7 +147,7 @@ def alerts_feed(t: Tables, as_of: dt.date, n: int = 50) -> DataFrame:
     product is gone).  The names join only the ``n`` rows kept."""
     names = t.product_base.select("product_id", F.col("name").alias("product_name"))
     top = all_alerts(t, as_of).orderBy(*_alert_order()).limit(n)
-    return top.join(names, "product_id", "left").orderBy(*_alert_order())
+    return top.join(met_by_shuffle(names), "product_id", "left").orderBy(*_alert_order())
 
 
 def unread_alerts(t: Tables, as_of: dt.date, n: int = 20) -> DataFrame:
@@ -189,7 +189,7 @@ def stock_log_feed(t: Tables, as_of: dt.date, product_id=None, n: int = 100) ->
     names = t.product_base.select("product_id", F.col("name").alias("product_name"))
     users = t.app_user.select(F.col("user_id").alias("performed_by"),
                               F.col("full_name").alias("performed_by_name"))
-    named = top.join(names, "product_id", "left").select(*LEDGER_COLS, "product_name")
+    named = top.join(met_by_shuffle(names), "product_id", "left").select(*LEDGER_COLS, "product_name")
     return lookup_join(named, "performed_by", users, "performed_by", ["performed_by_name"],
                        how="left", probe=top).orderBy(*order)
 

@@ -2,11 +2,13 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tillwise.operators import admission, billing, ledger
 from tillwise.sources import derived as D
+from tillwise.streaming import reports
 
 AS_OF = dt.date(2001, 8, 1)
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
@@ -75,3 +77,36 @@ def test_readers_broadcast_nothing_by_an_estimate(tables_small, each_threshold,
     off, on = each_threshold(joins)
     assert off == on
 
+
+class _State:
+    """The state of one group of a stream."""
+
+    def __init__(self):
+        self.exists, self.get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_the_low_stock_state_takes_a_quarter_of_its_numbers():
+    day = 86_400_000_000
+    frame = pd.DataFrame([
+        {"product_id": 64 + p, "micros": (9_000 + (p * 7 + i * 31) % 2_400) * day, "kind": 2, "no_ref": False,
+         "reference_id": 1_000_000 + (p * 7919 + i * 104_729) % 9_000_000, "line_no": i % 7 + 1,
+         "change_qty": -(i % 50) - 1, "reorder_level": 10} for p in range(64) for i in range(30)])
+    state, advance = _State(), reports.stock_state()
+    halves = [frame.iloc[::2], frame.iloc[1::2]]
+    got = [pd.concat(advance((1,), [f], state)) for f in halves]
+    assert len(state.get[0]) < len(frame) * 7 * 8 / 4
+    whole = _State()
+    want = pd.concat(advance((1,), [frame], whole))
+    pd.testing.assert_frame_equal(got[1].reset_index(drop=True), want.reset_index(drop=True))
+
+
+def test_packed_rows_come_back():
+    import numpy as np
+
+    pack, unpack = reports.packing()
+    rows = np.array([[1, reports.NO_TIME, 0, 1, 0, 0, 5], [2, -1, 2, 0, (1 << 63) - 1, 3, -(1 << 63)]], dtype="<i8")
+    for n in (0, 1, 2):
+        assert np.array_equal(unpack(pack(rows[:n])), rows[:n])
